@@ -37,9 +37,10 @@ PART_BITS = 6
 PARTS = 1 << PART_BITS
 HUBS = 6
 #: Bytes of packed grams that one range should hold; the number of ranges follows from the input.
-RANGE_BYTES = 12 << 20
-FLUSH = 400_000
-WORDS = 1_000_000
+RANGE_BYTES = 4 << 20
+FLUSH = 300_000
+#: Words, and sets, that a worker remembers before it starts anew.
+WORDS = 200_000
 POST = np.dtype([("t", "<u8"), ("f", "<u8"), ("n", "<u4"), ("p", "<u4")])
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
