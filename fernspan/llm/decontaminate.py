@@ -82,9 +82,9 @@ def prepared_items(benchmark: DataFrame) -> DataFrame:
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", words_hashed(F.col("text")).alias("H"))
     items = items.withColumn("n", F.size("H")).filter("n > 0").withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
     long = items.select("item_id", "n", F.xxhash64("H").alias("hh"), F.explode(shingles(F.col("H"), F.col("k"))).alias("sh"))
-    count = items.agg(F.count("*").alias("items"))
+    count = float(items.select("item_id").distinct().count())
     df = long.groupBy("sh").agg(F.count_distinct("item_id").alias("df"))
-    weighed = long.join(df, "sh").crossJoin(F.broadcast(count)).select("item_id", "hh", "sh", F.log(1 + F.col("items") / F.col("df")).alias("weight"))
+    weighed = long.join(df, "sh").select("item_id", "hh", "sh", F.log(1 + F.lit(count) / F.col("df")).alias("weight"))
     lists = weighed.groupBy("item_id", "hh").agg(F.map_from_entries(F.collect_list(F.struct("sh", "weight"))).alias("weights"), F.sum("weight").alias("total"))
     return items.withColumn("hh", F.xxhash64("H")).dropDuplicates(["item_id", "hh"]).join(lists, ["item_id", "hh"]).drop("hh")
 
