@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list[str] = []
+MODULES: list[str] = ["fernspan.plans.q_text"]
 
 
 def _all(name: str) -> dict:
