@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,18 @@ def ship(spark: SparkSession) -> None:
     sc._fernspan_shipped = True
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands Python workers at most so many rows at a time (texts and packed blocks are large rows)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
