@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
-from fernspan.session import fits_broadcast, keep, ship
+from fernspan.session import fits_broadcast, keep, ship, small_batches
 
 SHINGLE = 5
 CELL_BITS = 22
@@ -39,6 +39,8 @@ HUBS = 6
 #: Bytes of packed grams that one range should hold; the number of ranges follows from the input.
 RANGE_BYTES = 4 << 20
 FLUSH = 300_000
+#: Rows that reach a Python worker at a time: whole texts, or packed blocks of some 50 KB.
+BATCH_ROWS = 256
 #: Words, and sets, that a worker remembers before it starts anew.
 WORDS = 200_000
 POST = np.dtype([("t", "<u8"), ("f", "<u8"), ("n", "<u4"), ("p", "<u4")])
@@ -193,6 +195,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by_range.setdefault(r, []).append(x)
+    pa.default_memory_pool().release_unused()
     for r in list(by_range):
         a = np.frombuffer(b"".join(by_range.pop(r)), POST)
         a = a[np.lexsort((a["n"], a["f"], a["t"]))]
@@ -307,6 +310,11 @@ def join_ngrams(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. docs must be readable again (a table), since sets are not stored."""
     spark = docs.sparkSession
     ship(spark)
+    with small_batches(spark, BATCH_ROWS):
+        return _join(spark, docs)
+
+
+def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = keep(docs.mapInArrow(_scan, "kind int, doc_id long, n long, f long, sig binary, r int, cells binary"), "ngram_scan")
     members = scan.filter("kind = 0").select("doc_id", "n", "f")
