@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: An explicit broadcast is used only for sides whose counted rows times this many bytes stay below BROADCAST_BYTES.
 BROADCAST_BYTES = 32 << 20
+#: Rows with whole texts that reach a Python worker at a time, at most.
+TEXT_ROWS = 1000
 
 
 def session(app: str = "fernspan", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -30,7 +32,13 @@ def session(app: str = "fernspan", master: str = "local[8]", **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker (once for each Spark context)."""
+    """Make this package importable in every Python worker (once for each Spark context).
+
+    Also bounds what a Python worker gets at a time: rows here hold whole texts, and Spark's default is 10,000 of them.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_fernspan_shipped", False):
         return
