@@ -75,13 +75,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
     gone = F.broadcast(gone) if fits_broadcast(few["rows"] * 40 + (few["lines"] or 0) * 4, 1) else gone
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), "gone")
-    joined = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__tid")), "left")
-    cut = joined.withColumn("__lines", F.when(F.col("gone").isNotNull(), F.split("text", LINE_CUT, -1)))
+    # Cut into lines before the join: what is computed above a join isn't inlined into the lambdas below.
+    base = docs.select(*names, F.split("text", LINE_CUT, -1).alias("__lines"), F.xxhash64("text").alias("__own"))
+    cut = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__tid")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
-    n_lines = F.when(F.col("gone").isNotNull(), F.size("__lines")).otherwise(F.coalesce(F.size(F.split("text", LINE_CUT, -1)), F.lit(0)))
-    n_gone = F.coalesce(F.size("gone"), F.lit(0))
-    return cut.select(*names, text.alias("text"), F.greatest(n_lines, F.lit(0)).cast("long").alias("__n_lines"), F.greatest(n_gone, F.lit(0)).cast("long").alias("__n_removed"))
+    text = F.when(F.col("gone").isNull(), F.array_join("__lines", "")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
+    n_lines, n_gone = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("__lines", "gone"))
+    return cut.select(*names, text.alias("text"), n_lines.alias("__n_lines"), n_gone.alias("__n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:

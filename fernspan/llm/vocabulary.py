@@ -73,8 +73,7 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         #: characters that the regex module would split otherwise: texts that have one are left to the library
-        points = "".join(map(chr, np.frombuffer(odd[0], "<u4").tolist()))
-        self.odd = regex.compile("[" + regex.escape(points) + "]").search if points else None
+        self.odd = frozenset(map(chr, np.frombuffer(odd[0], "<u4").tolist()))
 
         self.tokenizer = Tokenizer.from_file(path)
         #: strings that the library takes out of a text by default, before any other rule
@@ -86,7 +85,7 @@ class Vocabulary:
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text, each with the id of the special string after it (None at the end)."""
         at = 0
-        if self._cut is not None:
+        if self._cut is not None and any(s in text for s in self.special):
             for m in self._cut.finditer(text):
                 yield text[at : m.start()], self.special[m[0]]
                 at = m.end()
@@ -94,7 +93,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> bytes:
         """All ids, as little-endian 4-byte numbers."""
-        if self.odd and not text.isascii() and self.odd(text):
+        if self.odd and not text.isascii() and not self.odd.isdisjoint(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, out = self.encoded.__getitem__, []
         for part, special in self.segments(text):
