@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list[str] = ["fernspan.plans.q_text"]
+MODULES: list[str] = ["fernspan.plans.q_text", "fernspan.plans.q_tables", "fernspan.plans.q_eval", "fernspan.plans.q_ap"]
 
 
 def _all(name: str) -> dict:
