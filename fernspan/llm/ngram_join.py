@@ -8,9 +8,10 @@ of a gram the length and positional filters apply, before a pair's sets are fetc
 ``PARTS`` hash classes bound the overlap), and sets are compared exactly.
 
 Groups are never expanded into all pairs.  A bucket of up to ``HUBS`` + 1 nodes yields its pairs, a larger one only pairs with its
-``HUBS`` nodes of lowest hash.  The links found give components; a second round then looks at buckets that still hold several
-components and takes the pairs across them, since a link inside a component can't change the result.  Every pair across
-components that prefix filtering admits is thus verified, and no pair twice.
+``HUBS`` nodes of lowest hash.  The links found give components.  Later rounds look at buckets that still hold several
+components and take pairs across them only, since a link inside a component can't change the result: first ``CAPS`` partners for
+each node outside the bucket's largest component, which nearly always joins it, in the last round all that are left.  Every
+pair across components that prefix filtering admits is thus verified, and no pair twice.
 
 Defined results: no words or no text: an empty set, linked with nothing; fewer than five words: one gram, the whole sequence;
 null doc_id: its row has a null component and joins nothing; rows that repeat a doc_id each get their own set's component;
@@ -36,6 +37,8 @@ CELLS = 1 << CELL_BITS
 PART_BITS = 6
 PARTS = 1 << PART_BITS
 HUBS = 6
+#: Partners a node takes in the rounds before the last, which has no cap.
+CAPS = (12, 96)
 #: Bytes of packed grams that one range should hold; the number of ranges follows from the input.
 RANGE_BYTES = 4 << 20
 FLUSH = 300_000
@@ -237,34 +240,48 @@ def _bucket_rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols[:4])], names=["kind", "f", "n", "g", "m"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets that still hold several components (all rows of a bucket are in this task): the admitted pairs across them."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not len(table):
-        return
-    t, x, n, p, c = (table.column(i).to_numpy() for i in range(5))
-    order = np.lexsort((n, t))
-    t, x, n, p, c = t[order], x[order], n[order], p[order], c[order]
-    begin = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
-    ends = np.append(begin[1:], len(t))
-    seen: list[np.ndarray] = []
-    size = 0
-    for i, j in zip(begin, ends, strict=True):
-        for k in range(i, j - 1):
-            # rows are in order of size: partners end where the length filter does
-            to = min(j, int(np.searchsorted(n[i:j], n[k] * 5 // 4, "right")) + i)
-            ys = np.arange(k + 1, to)
-            ys = ys[(c[ys] != c[k]) & admitted(n[k], p[k], n[ys], p[ys])]
-            if len(ys):
-                seen.append(np.stack([np.minimum(x[k], x[ys]), np.maximum(x[k], x[ys])], 1))
-                if (size := size + len(ys)) > 200_000:
-                    seen, size = [np.unique(np.concatenate(seen), axis=0)], 0
-                    if len(seen[0]) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(seen[0][:, 0]), pa.array(seen[0][:, 1])], names=["x", "y"])
-                        seen = []
-    if seen:
-        u = np.unique(np.concatenate(seen), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["x", "y"])
+def _across(cap: int | None):
+    """Admitted pairs across the components of each bucket (all rows of a bucket are in this task).
+
+    With a cap, each node outside its bucket's largest component takes that many partners of other components, by lowest
+    hash of the pair; without one, all pairs across components are taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held) if (held := list(batches)) else None
+        if table is None or not len(table):
+            return
+        t, x, n, p, c = (table.column(i).to_numpy() for i in range(5))
+        order = np.lexsort((n, t))
+        t, x, n, p, c = t[order], x[order], n[order], p[order], c[order]
+        begin = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
+        ends = np.append(begin[1:], len(t))
+        out: list[np.ndarray] = []
+        size = 0
+        for i, j in zip(begin, ends, strict=True):
+            kinds, counts = np.unique(c[i:j], return_counts=True)
+            rows = range(i, j) if cap is None else np.flatnonzero(c[i:j] != kinds[counts.argmax()]) + i
+            for k in rows:
+                # rows are in order of size: partners lie where the length filter lets them
+                lo = k + 1 if cap is None else int(np.searchsorted(n[i:j], needed(int(n[k])), "left")) + i
+                hi = int(np.searchsorted(n[i:j], n[k] * 5 // 4, "right")) + i
+                ys = np.arange(lo, hi)
+                ys = ys[(c[ys] != c[k]) & admitted(n[k], p[k], n[ys], p[ys])]
+                if cap is not None and len(ys) > cap:
+                    pair = _mix((np.minimum(x[k], x[ys]).astype(np.uint64) * _P) ^ np.maximum(x[k], x[ys]).astype(np.uint64))
+                    ys = ys[np.argpartition(pair, cap)[:cap]]
+                if len(ys):
+                    out.append(np.stack([np.minimum(x[k], x[ys]), np.maximum(x[k], x[ys])], 1))
+                    if (size := size + len(ys)) > 200_000:
+                        out, size = [np.unique(np.concatenate(out), axis=0)], 0
+                        if len(out[0]) > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(out[0][:, 0]), pa.array(out[0][:, 1])], names=["x", "y"])
+                            out = []
+        if out:
+            u = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["x", "y"])
+
+    return run
 
 
 def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,14 +356,20 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = keep(components(links, "x", "y"), "ngram_first")
 
     rest = found.filter("kind = 1").select("f", "n", F.col("g").alias("t"), F.col("m").alias("p")).join(a, ["f", "n"])
-    rest = rest.join(first.select(F.col("v").alias("dx"), "component"), "dx", "left").select("t", F.col("dx").alias("x"), "n", "p", F.coalesce("component", "dx").alias("c"))
-    rest = keep(rest, "ngram_rest")
-    mixed = keep(rest.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t"), "ngram_mixed")
-    if not mixed.isEmpty():
-        dealt = rest.join(mixed, "t", "left_semi").repartition(ranges, "t").mapInArrow(_across, "x long, y long").distinct()
+    rest = keep(rest.select("t", F.col("dx").alias("x"), "n", "p"), "ngram_rest")
+    for cap in (*CAPS, None):
+        now = rest.join(first.select(F.col("v").alias("x"), "component"), "x", "left").select("t", "x", "n", "p", F.coalesce("component", "x").alias("c"))
+        now = keep(now, "ngram_rest")
+        mixed = keep(now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t"), "ngram_mixed")
+        if mixed.isEmpty():
+            break
+        dealt = now.join(mixed, "t", "left_semi").repartition(ranges, "t").mapInArrow(_across(cap), "x long, y long").distinct()
         more = keep(dealt.join(pairs, ["x", "y"], "left_anti"), "ngram_pairs")
-        links = links.unionAll(_links(more, nodes, docs))
-        first = keep(components(links, "x", "y"), "ngram_second")
+        if more.isEmpty():
+            continue
+        new = _links(more, nodes, docs)
+        pairs, links = pairs.unionAll(more), links.unionAll(new)
+        first = keep(components(links, "x", "y"), "ngram_components")
     named = nodes.select("f", "n", "doc").join(first.select(F.col("v").alias("doc"), "component"), "doc", "left")
     named = keep(named.select("f", "n", F.coalesce("component", "doc").alias("component")), "ngram_named")
     out = members.join(named, ["f", "n"], "left")
