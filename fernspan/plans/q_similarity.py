@@ -54,7 +54,7 @@ def near_copy_clusters(spark, sf):
 
 
 def cluster_sizes(spark, sf):
-    return S.cluster_sizes(near_copy_clusters(spark, sf))
+    return S.cluster_sizes(embedding_components(spark, sf))
 
 
 def _templates(spark, sf):
@@ -166,5 +166,6 @@ SELECT split, count(*) AS held, count(*) FILTER (EXISTS (SELECT 1 FROM s z WHERE
     "embedding_knn": _COS + " SELECT a AS vec_id, cast(rank AS INTEGER) AS rank, b AS neighbour, round(cosine, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s) WHERE rank <= 5",
     "embedding_vote": _COS + ", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s), c AS (SELECT a, la, lb, count(*) AS n FROM k WHERE rank <= 5 GROUP BY ALL), p AS (SELECT a, la, lb, row_number() OVER (PARTITION BY a ORDER BY n DESC, lb) AS r FROM c) SELECT la AS label, count(*) AS n, count(*) FILTER (la = lb) AS hits FROM p WHERE r = 1 GROUP BY la",
     "embedding_pairs": _COS + " SELECT a, b, round(cosine, 5) AS cosine FROM s WHERE a < b AND cosine >= 0.5",
+    "cluster_sizes": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.5), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x) SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM c GROUP BY cluster) GROUP BY size",
     "embedding_components": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.5), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS vec_id, min(y) AS cluster FROM r GROUP BY x",
 }

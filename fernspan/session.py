@@ -81,7 +81,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/fernspan/{label}_{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/fernspan/{spark.sparkContext.applicationId}/{label}_{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that this application wrote to the shared folder; results that still read it end with it."""
+    drop_path(spark, f"{scratch_root(spark)}/fernspan/{spark.sparkContext.applicationId}")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
