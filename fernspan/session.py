@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,33 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """In a Python worker: hands freed memory back to the system. Workers are reused, and an executor may keep several."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def lean(run: Callable, *caches: dict) -> Callable:
+    """A function over Arrow batches that empties the given caches and releases memory when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            release()
+
+    return wrapped
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
