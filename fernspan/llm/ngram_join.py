@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
-from fernspan.session import fits_broadcast, keep, ship, small_batches
+from fernspan.session import fits_broadcast, keep, lean, release, ship, small_batches
 
 SHINGLE = 5
 CELL_BITS = 22
@@ -117,6 +117,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(n)
         yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
     add()
+    _words.clear()
     rows = []
     for r in range(CELLS >> 16):
         part = counts[r << 16 : (r + 1) << 16]
@@ -180,6 +181,7 @@ def _posting(classes, ranges: int):
                 if (size := size + len(t)) > FLUSH:
                     yield flush()
                     held, size = [], 0
+        _words.clear()
         if held:
             yield flush()
 
@@ -198,7 +200,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by_range.setdefault(r, []).append(x)
-    pa.default_memory_pool().release_unused()
+    release()
     for r in list(by_range):
         a = np.frombuffer(b"".join(by_range.pop(r)), POST)
         a = a[np.lexsort((a["n"], a["f"], a["t"]))]
@@ -314,13 +316,13 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x, y) of representatives that link, each looked at once."""
     sig = nodes.select(F.col("doc").alias("d"), "sig")
     near = pairs.join(sig.select(F.col("d").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("d").alias("y"), F.col("sig").alias("sy")), "y")
-    near = keep(near.select("x", "y", "sx", "sy").mapInArrow(_suffix, "x long, y long"), "ngram_near")
+    near = keep(near.select("x", "y", "sx", "sy").mapInArrow(lean(_suffix), "x long, y long"), "ngram_near")
     wanted = keep(near.select(F.col("x").alias("doc_id")).unionAll(near.select(F.col("y").alias("doc_id"))).distinct(), "ngram_wanted")
     wanted = F.broadcast(wanted) if fits_broadcast(wanted.count(), 32) else wanted
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets, "d long, s binary")
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(lean(_sets), "d long, s binary")
     sets = keep(sets, "ngram_sets")
     both = near.join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y").join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x")
-    return keep(both.select("x", "y", "sx", "sy").mapInArrow(_verify, "x long, y long"), "ngram_links")
+    return keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
 
 
 def join_ngrams(docs: DataFrame) -> DataFrame:
@@ -333,9 +335,9 @@ def join_ngrams(docs: DataFrame) -> DataFrame:
 
 def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = keep(docs.mapInArrow(_scan, "kind int, doc_id long, n long, f long, sig binary, r int, cells binary"), "ngram_scan")
+    scan = keep(docs.mapInArrow(lean(_scan), "kind int, doc_id long, n long, f long, sig binary, r int, cells binary"), "ngram_scan")
     members = scan.filter("kind = 0").select("doc_id", "n", "f")
-    ranked = scan.filter("kind = 1").select("r", "cells").repartition(CELLS >> 16, "r").mapInArrow(_sum_cells, "r int, cells binary")
+    ranked = scan.filter("kind = 1").select("r", "cells").repartition(CELLS >> 16, "r").mapInArrow(lean(_sum_cells), "r int, cells binary")
     classes = np.zeros(CELLS, np.uint8)
     for row in ranked.collect():  # CELLS bytes, whatever the input
         classes[row["r"] << 16 : (row["r"] + 1) << 16] = np.frombuffer(row["cells"], np.uint8)
@@ -345,8 +347,8 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     total = nodes.agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).first()
     bytes_ = ((total["grams"] or 0) // 5 + total["rows"]) * POST.itemsize
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // RANGE_BYTES + 1)
-    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(_posting(shared, ranges), "r long, posts binary").repartition(ranges, "r")
-    found = keep(dealt.mapInArrow(_buckets, "kind int, f long, n long, g long, m long"), "ngram_buckets")
+    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lean(_posting(shared, ranges)), "r long, posts binary").repartition(ranges, "r")
+    found = keep(dealt.mapInArrow(lean(_buckets), "kind int, f long, n long, g long, m long"), "ngram_buckets")
 
     a = nodes.select("f", "n", F.col("doc").alias("dx"))
     z = nodes.select(F.col("f").alias("g"), F.col("n").alias("m"), F.col("doc").alias("dy"))
@@ -363,7 +365,7 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         mixed = keep(now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t"), "ngram_mixed")
         if mixed.isEmpty():
             break
-        dealt = now.join(mixed, "t", "left_semi").repartition(ranges, "t").mapInArrow(_across(cap), "x long, y long").distinct()
+        dealt = now.join(mixed, "t", "left_semi").repartition(ranges, "t").mapInArrow(lean(_across(cap)), "x long, y long").distinct()
         more = keep(dealt.join(pairs, ["x", "y"], "left_anti"), "ngram_pairs")
         if more.isEmpty():
             continue

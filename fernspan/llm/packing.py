@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernspan.llm.vocabulary import default_path, overrides, vocabulary
-from fernspan.session import fits_broadcast, keep, ship
+from fernspan.session import fits_broadcast, keep, lean, ship
 
 CAPACITY = 1024
 END = 2
@@ -127,11 +127,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     if not 0 < capacity < CAPACITY_BITS:
         raise ValueError("capacity out of range")
     path = path or default_path()
-    raw = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, overrides(path), capacity), _SCHEMA), "pack_pieces")
+    raw = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_pieces(path, overrides(path), capacity)), _SCHEMA), "pack_pieces")
     order = [F.col("length").desc(), F.col("doc_id").asc(), F.col("piece").asc(), F.col("ids_crc32").asc()]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = raw.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = keep(ranged.mapInArrow(_number, f"{_SCHEMA}, pid long, rank long"), "pack_ranks")
+    numbered = keep(ranged.mapInArrow(lean(_number), f"{_SCHEMA}, pid long, rank long"), "pack_ranks")
     tally = keep(numbered.groupBy("length", "pid").agg(F.count("*").alias("n")), "pack_tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table, _ = best_fit(counts, capacity)
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     starts = keep(tally.select(F.col("length").alias("l"), F.col("pid").alias("p"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")), "pack_starts")
     starts = F.broadcast(starts) if fits_broadcast(starts.count(), 40) else starts
     ranked = numbered.join(starts, (F.col("length") == F.col("l")) & (F.col("pid") == F.col("p"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_place(rules), f"{_SCHEMA}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(rules)), f"{_SCHEMA}, sequence_id long, offset long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernspan.session import keep, ship
+from fernspan.session import keep, lean, ship
 
 TRAIN_ROWS = 8_000
 BUCKETS = 1 << 16
@@ -156,7 +156,7 @@ def rate_documents(docs: DataFrame) -> DataFrame:
     sample = voted.withColumn("h", F.xxhash64("doc_id", F.lit(5)))
     if total > TRAIN_ROWS:
         sample = sample.filter(F.col("h") <= int(-(1 << 63) + (1 << 64) * TRAIN_ROWS / total))
-    got = sample.select("text", weak.alias("y")).mapInArrow(_featurise, "at binary, x binary, y double").toArrow()
+    got = sample.select("text", weak.alias("y")).mapInArrow(lean(_featurise), "at binary, x binary, y double").toArrow()
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4")) for a, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
     model = spark.sparkContext.broadcast(fit_linear(rows, got.column(2).to_numpy()))
 
@@ -169,4 +169,4 @@ def rate_documents(docs: DataFrame) -> DataFrame:
                 s.append(round(float(1 / (1 + np.exp(-np.clip(w[at] @ x + bias, -30, 30)))), 6) if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array([v >= KEEP for v in s], pa.bool_())], names=["doc_id", "weak", "score", "keep"])
 
-    return voted.select("doc_id", "text", F.round(weak, 6).alias("weak")).mapInArrow(score, schema)
+    return voted.select("doc_id", "text", F.round(weak, 6).alias("weak")).mapInArrow(lean(score), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.llm.vocabulary import LONGEST, REMEMBERED, default_path, overrides, vocabulary
-from fernspan.session import ship
+from fernspan.session import lean, ship
 
 LIMIT = 512
 CHUNK = 128
@@ -209,4 +209,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """Per row: doc_id, n_bytes, n_tokens, over_limit."""
     ship(docs.sparkSession)
     path = path or default_path()
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_batches(path, overrides(path), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_count_batches(path, overrides(path), limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

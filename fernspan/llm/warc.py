@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspan.session import fits_broadcast, keep, scratch_path, ship
+from fernspan.session import fits_broadcast, keep, lean, scratch_path, ship
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
@@ -232,7 +232,7 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "archive string")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(lean(write), "archive string")
 
 
 def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
@@ -284,10 +284,10 @@ def archive(pages: DataFrame, folder: str) -> str:
     names = keep(write_arc(pages, arcs), "warc_names")
     if names.isEmpty():
         return ""
-    index = keep(read_files(spark, arcs, ".arc.gz").mapInArrow(_index, "archive string, offset long, page_id long, digest string, size long"), "warc_index")
+    index = keep(read_files(spark, arcs, ".arc.gz").mapInArrow(lean(_index), "archive string, offset long, page_id long, digest string, size long"), "warc_index")
     decided = keep(decide(index).groupBy("archive").agg(F.collect_list(F.struct("offset", "first")).alias("decided")), "warc_decided")
     files = read_files(spark, arcs, ".arc.gz").join(F.broadcast(decided) if fits_broadcast(index.count(), 24) else decided, "archive", "left")
-    keep(files.select("archive", "content", "decided").mapInArrow(_convert(warcs), "archive string"), "warc_done")
+    keep(files.select("archive", "content", "decided").mapInArrow(lean(_convert(warcs)), "archive string"), "warc_done")
     return warcs
 
 
@@ -315,7 +315,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = archive(pages, scratch_path(spark, "archives"))
     if not folder:
         return spark.createDataFrame([], schema)
-    return read_files(spark, folder, ".warc.gz").mapInArrow(_rows, schema)
+    return read_files(spark, folder, ".warc.gz").mapInArrow(lean(_rows), schema)
 
 
 ORACLE_SQL = """
