@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernspan.llm.vocabulary import default_path, overrides, vocabulary
+from fernspan.llm.vocabulary import default_path, unusual, vocabulary
 from fernspan.session import fits_broadcast, keep, lean, ship
 
 CAPACITY = 1024
@@ -37,7 +37,7 @@ END = 2
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, odd: tuple[bytes, bytes], capacity: int):
+def _pieces(path: str, odd: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, end = vocabulary(path, odd), END.to_bytes(4, "little")
         for b in batches:
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     if not 0 < capacity < CAPACITY_BITS:
         raise ValueError("capacity out of range")
     path = path or default_path()
-    raw = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_pieces(path, overrides(path), capacity)), _SCHEMA), "pack_pieces")
+    raw = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_pieces(path, unusual(path), capacity)), _SCHEMA), "pack_pieces")
     order = [F.col("length").desc(), F.col("doc_id").asc(), F.col("piece").asc(), F.col("ids_crc32").asc()]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = raw.repartitionByRange(parts, *order).sortWithinPartitions(*order)
