@@ -6,7 +6,8 @@ and the one before it; a chunk begins at a line whose rolling hash is smaller th
 depend on four lines around them only, shift with the text they belong to, and chunks have two lines at least (save at a
 text's start).  Chunks of two or more lines whose hash occurs more than once anywhere are read again with their text and
 grouped by hash, length and the text itself, which compares their bytes.  Of each group the occurrence with the smallest
-(doc_id, text hash, line) stays, every other one is removed.
+(doc_id, text hash, line) stays, every other one is removed, and with it up to ``EDGE`` lines on either side that equal, byte for
+byte, those beside the first: a repeated passage begins and ends between boundaries.
 
 Scale: the first shuffle carries 12-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
 map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
@@ -27,6 +28,8 @@ from fernspan.session import fits_broadcast, keep
 LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])"
 #: Chunks with fewer lines are left alone.
 MIN_LINES = 2
+#: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
+EDGE = 4
 
 
 def _line_columns(docs: DataFrame) -> DataFrame:
@@ -52,19 +55,37 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df.count(), row_bytes) else df
 
 
+def _common(side: str) -> Column:
+    """How many lines next to the chunk are the first occurrence's, byte for byte, from the chunk outwards."""
+    same = F.zip_with(side, f"first.{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False)
+    return F.when(at == 0, F.size(same)).otherwise(at - 1)
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, the indices of the lines it loses. docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     chunked = _line_columns(base)
     keys = chunked.select(F.explode(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES)).alias("c")).select("c.key", "c.n")
     repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
-    texts = chunked.select("doc_id", "tid", F.explode(F.transform(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes")))).alias("c")).select("doc_id", "tid", "c.*")
+
+    def cut(c: Column) -> Column:
+        before = F.reverse(F.slice("__lines", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
+        after = F.slice("__lines", c["start"] + c["n"] + 1, EDGE)
+        return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
+
+    texts = chunked.select("doc_id", "tid", F.explode(F.transform(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES), cut)).alias("c")).select("doc_id", "tid", "c.*")
     occurrences = keep(texts.join(_sized(repeated, 24), ["key", "n"]), "line_chunks")
-    same = occurrences.groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
+    # chunks of blank lines are no content
+    same = occurrences.filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start", "before", "after")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
     proven = keep(same.groupBy("key", "n").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "n", "first"), "line_proven")
-    victims = occurrences.select("doc_id", "tid", "start", "key", "n").join(_sized(proven, 48), ["key", "n"]).filter(F.struct("doc_id", "tid", "start") != F.col("first"))
-    lines = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
+    victims = occurrences.drop("bytes").join(_sized(proven, 256 + 128 * EDGE), ["key", "n"])
+    victims = victims.filter(F.struct("doc_id", "tid", "start") != F.struct("first.doc_id", "first.tid", "first.start"))
+    other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
+    from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
+    to = F.col("start") + F.col("n") - 1 + F.when(other, _common("after")).otherwise(0)
+    lines = F.flatten(F.collect_set(F.sequence(from_.cast("int"), to.cast("int"))))
     return keep(victims.groupBy("doc_id", "tid").agg(lines.alias("gone")), "line_removals")
 
 
@@ -74,13 +95,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = removals(docs.select("doc_id", "text"))
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
     gone = F.broadcast(gone) if fits_broadcast(few["rows"] * 40 + (few["lines"] or 0) * 4, 1) else gone
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), "gone")
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), F.col("gone").alias("__gone"))
     # Cut into lines before the join: what is computed above a join isn't inlined into the lambdas below.
     base = docs.select(*names, F.split("text", LINE_CUT, -1).alias("__lines"), F.xxhash64("text").alias("__own"))
     cut = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__tid")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.array_join("__lines", "")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
-    n_lines, n_gone = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("__lines", "gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.array_join("__lines", "")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
+    n_lines, n_gone = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("__lines", "__gone"))
     return cut.select(*names, text.alias("text"), n_lines.alias("__n_lines"), n_gone.alias("__n_removed"))
 
 
