@@ -34,8 +34,8 @@ def _benchmark_vectors(spark, sf):
 
 
 def near_copy_pairs(spark, sf):
-    """Pairs of benchmark passages with a cosine of 0.3 or more."""
-    return S.similar_pairs(_benchmark_vectors(spark, sf), "item_id", 0.3).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """Pairs of benchmark passages with a cosine of 0.2 or more."""
+    return S.similar_pairs(_benchmark_vectors(spark, sf), "item_id", 0.2).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def near_copy_semijoin(spark, sf):
@@ -111,12 +111,12 @@ def embedding_vote(spark, sf):
 
 
 def embedding_pairs(spark, sf):
-    p = V.close_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5)
+    p = V.close_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4)
     return p.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 def embedding_components(spark, sf):
-    c = V.threshold_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5)
+    c = V.threshold_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4)
     return c.select("vec_id", "cluster")
 
 
@@ -152,7 +152,7 @@ t AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, unnest(
 c AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY ALL), i AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT item_id) FROM c)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term), x AS (SELECT item_id, c.term, (1 + ln(c)) * idf AS x FROM c JOIN i USING (term))
 SELECT item_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS w FROM x""",
     "char_tfidf_norms": _wb(_TURNS) + "SELECT k, count(*) AS terms, round(max(w), 6) AS largest, round(sum(w * w), 6) AS norm FROM v GROUP BY k",
-    "near_copy_pairs": _wb(_BENCH) + "SELECT a, b, round(s, 6) AS cosine FROM (SELECT x.k AS a, y.k AS b, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.term = y.term AND x.k < y.k GROUP BY ALL) WHERE s >= 0.3 - 1e-9",
+    "near_copy_pairs": _wb(_BENCH) + "SELECT a, b, round(s, 6) AS cosine FROM (SELECT x.k AS a, y.k AS b, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.term = y.term AND x.k < y.k GROUP BY ALL) WHERE s >= 0.2 - 1e-9",
     "near_copy_semijoin": _wb(_TURNS + " UNION ALL SELECT 'b' || item_id, text FROM benchmark") + "SELECT a AS k, round(max(s), 6) AS cosine, max(s) >= 0.2 AS near FROM (SELECT x.k AS a, y.k AS b, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.term = y.term AND NOT starts_with(x.k, 'b') AND starts_with(y.k, 'b') GROUP BY ALL) GROUP BY a",
     "random_split": f"WITH {_TPL} SELECT CASE WHEN {_bucket('quality || chr(47) || doc_id', 5)} = 0 THEN 'hold' ELSE 'train' END AS side, quality, count(*) AS n, cast(sum(doc_id) AS BIGINT) AS id_sum FROM t GROUP BY ALL",
     "group_split": f"""WITH {_TPL}, m AS (SELECT template, quality, count(*) AS n FROM t GROUP BY ALL), j AS (SELECT template, quality AS major FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY n DESC, quality) AS r FROM m) WHERE r = 1),
@@ -165,7 +165,7 @@ p AS (SELECT *, CASE WHEN role = 'pool' AND h THEN 'held' WHEN role = 'pool' THE
 SELECT split, count(*) AS held, count(*) FILTER (EXISTS (SELECT 1 FROM s z WHERE z.split = s.split AND z.template = s.template AND NOT z.h)) AS twins FROM s WHERE h GROUP BY split""",
     "embedding_knn": _COS + " SELECT a AS vec_id, cast(rank AS INTEGER) AS rank, b AS neighbour, round(cosine, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s) WHERE rank <= 5",
     "embedding_vote": _COS + ", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s), c AS (SELECT a, la, lb, count(*) AS n FROM k WHERE rank <= 5 GROUP BY ALL), p AS (SELECT a, la, lb, row_number() OVER (PARTITION BY a ORDER BY n DESC, lb) AS r FROM c) SELECT la AS label, count(*) AS n, count(*) FILTER (la = lb) AS hits FROM p WHERE r = 1 GROUP BY la",
-    "embedding_pairs": _COS + " SELECT a, b, round(cosine, 5) AS cosine FROM s WHERE a < b AND cosine >= 0.5",
-    "cluster_sizes": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.5), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x) SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM c GROUP BY cluster) GROUP BY size",
-    "embedding_components": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.5), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS vec_id, min(y) AS cluster FROM r GROUP BY x",
+    "embedding_pairs": _COS + " SELECT a, b, round(cosine, 5) AS cosine FROM s WHERE a < b AND cosine >= 0.4",
+    "cluster_sizes": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.4), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x) SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM c GROUP BY cluster) GROUP BY size",
+    "embedding_components": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.4), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS vec_id, min(y) AS cluster FROM r GROUP BY x",
 }
