@@ -69,12 +69,17 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
     if data[:2] != b"\x1f\x8b":
         yield 0, data
         return
-    at = 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        content = d.decompress(data[at:]) + d.flush()
-        yield at, content
-        at = len(data) - len(d.unused_data)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out, to = zlib.decompressobj(31), [], at
+        while not d.eof:  # in small pieces, since what is left of a piece is copied
+            piece = view[to : to + 8192]
+            if not len(piece):
+                raise ArchiveError(f"gzip member at {at} has no end")
+            out.append(d.decompress(piece))
+            to += len(piece)
+        yield at, b"".join(out)
+        at = to - len(d.unused_data)
 
 
 # --- ARC
