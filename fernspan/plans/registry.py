@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list[str] = [f"fernspan.plans.{m}" for m in ("q_text", "q_tables", "q_eval", "q_ap", "q_fx", "q_similarity", "q_io", "q_ml")]
+MODULES: list[str] = [f"fernspan.plans.{m}" for m in ("q_text", "q_tables", "q_eval", "q_ap", "q_fx", "q_similarity", "q_io", "q_ml", "q_composite")]
 
 
 def _all(name: str) -> dict:
