@@ -89,12 +89,13 @@ def unusual(path: str) -> str:
     cps, out = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)], []
     todo = [cps[i : i + 4096] for i in range(0, len(cps), 4096)]
     while todo:
+        parts, todo = todo[:8], todo[8:]  # a few at a time: the library's answers are large
         # a letter joins the a, a number the 1, anything else neither
-        texts = ["".join(f"a{chr(x)}1\n" for x in part) for part in todo]
-        pairs = zip(todo, slow.encode_batch(texts, add_special_tokens=False), fast.encode_ordinary_batch(texts), strict=True)
+        texts = ["".join(f"a{chr(x)}1\n" for x in part) for part in parts]
+        pairs = zip(parts, slow.encode_batch(texts, add_special_tokens=False), fast.encode_ordinary_batch(texts), strict=True)
         wrong = [part for part, x, y in pairs if x.ids != y]
         out += [part[0] for part in wrong if len(part) == 1]
-        todo = [part[i : i + max(1, len(part) // 16)] for part in wrong if len(part) > 1 for i in range(0, len(part), max(1, len(part) // 16))]
+        todo += [part[i : i + max(1, len(part) // 16)] for part in wrong if len(part) > 1 for i in range(0, len(part), max(1, len(part) // 16))]
     return "".join(map(chr, sorted(out)))
 
 
