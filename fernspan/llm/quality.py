@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.session import keep, lean, ship
@@ -30,30 +30,36 @@ REMEMBERED = 300_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """Each labeller's vote by name; a text without words gets bad ones from all that can tell."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    per_word = lambda x: x / F.greatest(n, F.lit(1))
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    again = F.size(F.filter(F.zip_with(h, F.slice(h, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: x == y), lambda same: same))
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
-    vote = lambda bad, good: F.when(n == 0, -1).when(bad, -1).when(good, 1).otherwise(0)
+def voted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with each labeller's vote, v_<name>; a text without words gets bad ones from all that can tell.
+
+    What several labellers look at is computed once, below them: word hashes, lines, and the text without its plain letters.
+    """
+    text = F.coalesce("text", F.lit(""))
+    d = docs.withColumn("__h", F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    d = d.withColumn("__rest", F.translate(text, "abcdefghijklmnopqrstuvwxyz ", "")).withColumn("__lines", F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    size = {"upper": _UPPER, "bang": "!", "field": "|<>{}\\", "symbol": "$%&#*@^~", "mark": "|<>{}\\$%&#*@^~!?;:=+", "digit": "0123456789"}
+    n, rest = F.size("__h"), F.length("__rest")
+    again = F.size(F.filter(F.zip_with("__h", F.slice("__h", 2, F.greatest(n - 1, F.lit(0))), lambda x, y: x == y), lambda same: same))
+    d = d.select("doc_id", "text", n.alias("n"), F.length(text).alias("chars"), F.size(F.array_distinct("__h")).alias("distinct"), again.alias("again"), F.size("__lines").alias("lines"), F.size(F.array_distinct("__lines")).alias("own_lines"), *((rest - F.length(F.translate("__rest", x, ""))).alias(k) for k, x in size.items()))
+    c = F.col
+    vote = lambda bad, good: F.when(c("n") == 0, -1).when(bad, -1).when(good, 1).otherwise(0).cast("byte")
+    word = lambda k: c(k) / F.greatest("n", F.lit(1))
     # a text's vocabulary grows about as a power of its length
-    spread = F.size(F.array_distinct(h)) / F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(0.75))
-    return {
-        "length": vote(n < 1, n >= 50),
-        "spread": vote((n >= 20) & (spread < 0.7), (n >= 20) & (spread > 1)),
-        "repeats": vote(per_word(again) > 0.1, per_word(again) < 0.03),
-        "capitals": vote(count(_UPPER) > 0.2 * F.length(text), count(_UPPER) < 0.08 * F.length(text)),
-        "shouting": vote(per_word(count("!")) > 0.1, per_word(count("!")) < 0.02),
-        "fields": vote(per_word(count("|<>{}\\")) > 0.1, per_word(count("|<>{}\\")) < 0.01),
-        "symbols": vote(per_word(count("$%&#*@^~")) > 0.2, per_word(count("$%&#*@^~")) < 0.02),
-        "marks": vote(count("|<>{}\\$%&#*@^~!?;:=+") > 0.04 * F.length(text), count("|<>{}\\$%&#*@^~!?;:=+") < 0.01 * F.length(text)),
-        "digits": vote(count("0123456789") > 0.2 * F.length(text), count("0123456789") < 0.05 * F.length(text)),
-        "lines": vote((F.size(lines) >= 4) & (F.size(F.array_distinct(lines)) < 0.7 * F.size(lines)), F.size(F.array_distinct(lines)) == F.size(lines)),
+    spread = c("distinct") / F.pow(F.greatest("n", F.lit(1)).cast("double"), F.lit(0.75))
+    named = {
+        "length": vote(c("n") < 1, c("n") >= 50),
+        "spread": vote((c("n") >= 20) & (spread < 0.7), (c("n") >= 20) & (spread > 1)),
+        "repeats": vote(word("again") > 0.1, word("again") < 0.03),
+        "capitals": vote(c("upper") > 0.2 * c("chars"), c("upper") < 0.08 * c("chars")),
+        "shouting": vote(word("bang") > 0.1, word("bang") < 0.02),
+        "fields": vote(word("field") > 0.1, word("field") < 0.01),
+        "symbols": vote(word("symbol") > 0.2, word("symbol") < 0.02),
+        "marks": vote(c("mark") > 0.04 * c("chars"), c("mark") < 0.01 * c("chars")),
+        "digits": vote(c("digit") > 0.2 * c("chars"), c("digit") < 0.05 * c("chars")),
+        "lines": vote((c("lines") >= 4) & (c("own_lines") < 0.7 * c("lines")), c("own_lines") == c("lines")),
     }
+    return d.select("doc_id", "text", *(v.alias(f"v_{k}") for k, v in named.items()))
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -80,15 +86,26 @@ _SHAPE = ((re.compile(r"[A-Z]+"), "X"), (re.compile(r"[a-z]+"), "x"), (re.compil
 
 
 class _Words(dict):
-    """Word to (number, its bucket, its shape's bucket)."""
+    """Word to number; buckets of the word and of its shape by number."""
 
-    def __missing__(self, w: str) -> tuple[int, int, int]:
+    def __init__(self) -> None:
+        self.table = np.zeros((REMEMBERED, 2), np.int64)
+
+    def __missing__(self, w: str) -> int:
         shape = w[:32]
         for r, x in _SHAPE:
             shape = r.sub(x, shape)
         shape += str(min(len(w) // 6, 4))
-        self[w] = got = (len(self), xxhash.xxh3_64_intdigest(w.lower(), 1) % BUCKETS, xxhash.xxh3_64_intdigest(shape, 2) % BUCKETS)
-        return got
+        self[w] = i = len(self)
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[i] = xxhash.xxh3_64_intdigest(w.lower(), 1) % BUCKETS, xxhash.xxh3_64_intdigest(shape, 2) % BUCKETS
+        return i
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self.table
 
 
 _words = _Words()
@@ -96,14 +113,12 @@ _words = _Words()
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a text: shares of its words, shapes and pairs of shapes, and steps of its repeats and length."""
-    if len(_words) > REMEMBERED:
-        _words.clear()
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    a = np.array(list(map(_words.__getitem__, words)), np.int64)
-    n = len(a)
-    ids, word, shape = a.T
+    ids, table = _words.of(words)
+    n = len(ids)
+    word, shape = table[ids].T
     pair = (shape[:-1] * 31 + shape[1:] * 17 + 5) % BUCKETS
     distinct = len(np.unique(ids)) / n**0.75
     again = float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0
@@ -138,25 +153,23 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rate_documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, weak (posterior of the votes), score (0 to 1, higher is better), keep."""
+    """Per row: doc_id, score (0 to 1, higher is better), keep."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = votes(F.col("text"))
-    voted = docs.select("doc_id", "text", *(v.cast("byte").alias(f"v_{k}") for k, v in named.items()))
-    cols = [f"v_{k}" for k in named]
-    tally = keep(voted.groupBy(*cols).agg(F.count("*").alias("n")), "quality_votes").toPandas()  # 3^10 rows at most
+    every = voted(docs)
+    cols = every.columns[2:]
+    tally = keep(every.groupBy(*cols).agg(F.count("*").alias("n")), "quality_votes").toPandas()  # 3^10 rows at most
     post = em(tally[cols].to_numpy(), tally["n"].to_numpy())
     total = int(tally["n"].sum())
-    schema = "doc_id long, weak double, score double, keep boolean"
+    schema = "doc_id long, score double, keep boolean"
     if not total:
         return spark.createDataFrame([], schema)
-    by_pattern = {tuple(int(x) for x in p): float(q) for p, q in zip(tally[cols].to_numpy(), post, strict=True)}
-    weak = F.element_at(F.create_map(*(x for p, q in by_pattern.items() for x in (F.lit("".join("+0-"[1 - v] for v in p)), F.lit(q)))), F.concat(*(F.when(F.col(c) == 1, "+").when(F.col(c) == 0, "0").otherwise("-") for c in cols)))
-    sample = voted.withColumn("h", F.xxhash64("doc_id", F.lit(5)))
+    known = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(tally[cols].to_numpy(), post, strict=True)], ", ".join(f"{c} byte" for c in cols) + ", y double")
+    sample = docs
     if total > TRAIN_ROWS:
-        sample = sample.filter(F.col("h") <= int(-(1 << 63) + (1 << 64) * TRAIN_ROWS / total))
-    got = sample.select("text", weak.alias("y")).mapInArrow(lean(_featurise), "at binary, x binary, y double").toArrow()
+        sample = docs.filter(F.xxhash64("doc_id", F.lit(5)) <= int(-(1 << 63) + (1 << 64) * TRAIN_ROWS / total))
+    got = voted(sample).join(F.broadcast(known), cols).select("text", "y").mapInArrow(lean(_featurise), "at binary, x binary, y double").toArrow()
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4")) for a, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
     model = spark.sparkContext.broadcast(fit_linear(rows, got.column(2).to_numpy()))
 
@@ -167,6 +180,6 @@ def rate_documents(docs: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 at, x = features(t)
                 s.append(round(float(1 / (1 + np.exp(-np.clip(w[at] @ x + bias, -30, 30)))), 6) if len(at) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array([v >= KEEP for v in s], pa.bool_())], names=["doc_id", "weak", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([v >= KEEP for v in s], pa.bool_())], names=["doc_id", "score", "keep"])
 
-    return voted.select("doc_id", "text", F.round(weak, 6).alias("weak")).mapInArrow(lean(score), schema)
+    return docs.mapInArrow(lean(score), schema)
