@@ -6,8 +6,9 @@ and the one before it; a chunk begins at a line whose rolling hash is smaller th
 depend on four lines around them only, shift with the text they belong to, and chunks have two lines at least (save at a
 text's start).  Chunks of two or more lines whose hash occurs more than once anywhere are read again with their text and
 grouped by hash, length and the text itself, which compares their bytes.  Of each group the occurrence with the smallest
-(doc_id, text hash, line) stays, every other one is removed, and with it up to ``EDGE`` lines on either side that equal, byte for
-byte, those beside the first: a repeated passage begins and ends between boundaries.
+(doc_id, text hash, line) stays, every other one is removed, and with it up to ``EDGE`` lines on either side whose 64-bit hashes
+are those beside the first: a repeated passage begins and ends between boundaries. (Chunks are compared by bytes; these few
+lines beside a proven chunk by hash, since carrying their text would treble what is shuffled.)
 
 Scale: the first shuffle carries 12-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
 map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
@@ -29,7 +30,7 @@ LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])"
 #: Chunks with fewer lines are left alone.
 MIN_LINES = 2
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
-EDGE = 4
+EDGE = 5
 
 
 def _line_columns(docs: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def _common(side: str) -> Column:
-    """How many lines next to the chunk are the first occurrence's, byte for byte, from the chunk outwards."""
-    same = F.zip_with(side, f"first.{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    """How many lines next to the chunk are the first occurrence's, by their hashes, from the chunk outwards."""
+    same = F.zip_with(side, f"first_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(same, False)
     return F.when(at == 0, F.size(same)).otherwise(at - 1)
 
@@ -70,18 +71,20 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
 
     def cut(c: Column) -> Column:
-        before = F.reverse(F.slice("__lines", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
-        after = F.slice("__lines", c["start"] + c["n"] + 1, EDGE)
+        before = F.reverse(F.slice("__h", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
+        after = F.slice("__h", c["start"] + c["n"] + 1, EDGE)
         return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
 
     texts = chunked.select("doc_id", "tid", F.explode(F.transform(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES), cut)).alias("c")).select("doc_id", "tid", "c.*")
     occurrences = keep(texts.join(_sized(repeated, 24), ["key", "n"]), "line_chunks")
     # chunks of blank lines are no content
-    same = occurrences.filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start", "before", "after")).alias("first"))
+    same = occurrences.select("key", "n", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
     proven = keep(same.groupBy("key", "n").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "n", "first"), "line_proven")
-    victims = occurrences.drop("bytes").join(_sized(proven, 256 + 128 * EDGE), ["key", "n"])
-    victims = victims.filter(F.struct("doc_id", "tid", "start") != F.struct("first.doc_id", "first.tid", "first.start"))
+    place = F.struct("doc_id", "tid", "start")
+    marked = occurrences.drop("bytes").join(_sized(proven, 64), ["key", "n"])
+    firsts = keep(marked.filter(place == F.col("first")).select("key", "n", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
+    victims = occurrences.drop("bytes").join(_sized(firsts, 128 + 16 * EDGE), ["key", "n"]).filter(place != F.col("first"))
     other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
     to = F.col("start") + F.col("n") - 1 + F.when(other, _common("after")).otherwise(0)
