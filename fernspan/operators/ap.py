@@ -18,6 +18,8 @@ from fernspan.functions import rules as R
 APPROVAL_LIMIT = 10_000
 MOST_AMOUNT = 10_000_000
 SPLIT_DAYS = 7
+#: Head of a case message.
+TITLE = "INVOICE CONTROL"
 HISTORIC = ("ALPHA|A-776",)
 REJECTED = ("HOLD_INVALID_DATA", "HOLD_DUPLICATE")
 
@@ -100,7 +102,7 @@ def triage(invoices: DataFrame, po: DataFrame, ledger: DataFrame, now: dt.dateti
     d = d.withColumn("case_id", R.case_id(ms, day, F.col("invoice_id"), F.col("seq")))
     icon = F.when(F.col("priority") == "P1", "\U0001f534 HOLD").when(F.col("priority") == "P2", "\U0001f7e0 REVIEW").otherwise("\U0001f7e2 READY")
     text = F.concat(
-        F.lit("MERIDIAN AP V4 | "), icon, F.lit("\nCase: "), "case_id", F.lit("\nInvoice: "), "invoice_id", F.lit(" ("), "channel", F.lit(")\nSupplier: "), "supplier", F.lit("  Ref: "), "invoice_ref",
+        F.lit(f"{TITLE} | "), icon, F.lit("\nCase: "), "case_id", F.lit("\nInvoice: "), "invoice_id", F.lit(" ("), "channel", F.lit(")\nSupplier: "), "supplier", F.lit("  Ref: "), "invoice_ref",
         F.lit("\nAmount: $"), F.coalesce(money("amount_usd"), F.lit("INVALID")), F.lit("  PO: "), F.when(F.col("po_id") == "", "-").otherwise(F.col("po_id")), F.lit("\nStatus: "), "status", F.lit("\nFlags: "), "control_flags", F.lit("\nReason: "), "reason",
         F.lit("\nHUMAN REVIEW REQUIRED. NO PAYMENT MADE."),
     )

@@ -165,7 +165,7 @@ ORACLES = {
     "ap_triage": _WITH
     + """SELECT seq, case_id, priority, team_id, invoice_id, supplier, invoice_ref, amount_usd, po_id, CASE WHEN changed THEN 'YES' ELSE 'NO' END AS bank_changed, status, reason, control_flags, manager AS manager_approval_required,
   CASE WHEN priority = 'P2' THEN 'PENDING' ELSE 'NOT_REQUIRED' END AS ai_guardrail,
-  md5('MERIDIAN AP V4 | ' || CASE priority WHEN 'P1' THEN '🔴 HOLD' WHEN 'P2' THEN '🟠 REVIEW' ELSE '🟢 READY' END || chr(10) || 'Case: ' || case_id || chr(10) || 'Invoice: ' || invoice_id || ' (api)' || chr(10) || 'Supplier: ' || supplier || '  Ref: ' || invoice_ref || chr(10) || 'Amount: $' || coalesce(format('{:.2f}', amount_usd), 'INVALID') || '  PO: ' || CASE WHEN po_id = '' THEN '-' ELSE po_id END || chr(10) || 'Status: ' || status || chr(10) || 'Flags: ' || control_flags || chr(10) || 'Reason: ' || reason || chr(10) || 'HUMAN REVIEW REQUIRED. NO PAYMENT MADE.') AS telegram_md5
+  md5('INVOICE CONTROL | ' || CASE priority WHEN 'P1' THEN '🔴 HOLD' WHEN 'P2' THEN '🟠 REVIEW' ELSE '🟢 READY' END || chr(10) || 'Case: ' || case_id || chr(10) || 'Invoice: ' || invoice_id || ' (api)' || chr(10) || 'Supplier: ' || supplier || '  Ref: ' || invoice_ref || chr(10) || 'Amount: $' || coalesce(format('{:.2f}', amount_usd), 'INVALID') || '  PO: ' || CASE WHEN po_id = '' THEN '-' ELSE po_id END || chr(10) || 'Status: ' || status || chr(10) || 'Flags: ' || control_flags || chr(10) || 'Reason: ' || reason || chr(10) || 'HUMAN REVIEW REQUIRED. NO PAYMENT MADE.') AS telegram_md5
 FROM c""",
     "ap_status_counts": _WITH + "SELECT priority, status, control_flags, count(*) AS n, round(sum(amount_usd), 2) AS amount FROM c GROUP BY ALL",
     "ap_triage_fixed": _WITH
