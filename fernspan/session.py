@@ -104,6 +104,10 @@ def scratch_root(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="fernspan_scratch_")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             root = spark.sparkContext._fernspan_scratch = "file://" + folder
+    if "://" not in root:  # name the file system, so that readers outside Spark find the same one
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        root = "file:///" + root[6:].lstrip("/") if root.startswith("file:/") else root
     return root.rstrip("/")
 
 
