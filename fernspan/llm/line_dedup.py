@@ -30,7 +30,7 @@ LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])"
 #: Chunks with fewer lines are left alone.
 MIN_LINES = 2
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
-EDGE = 5
+EDGE = 4
 
 
 def _line_columns(docs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _common(side: str) -> Column:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, gone): for each document that loses lines, the indices of the lines it loses. docs: doc_id, text."""
+    """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     chunked = _line_columns(base)
     keys = chunked.select(F.explode(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES)).alias("c")).select("c.key", "c.n")
@@ -84,24 +84,30 @@ def removals(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "tid", "start")
     marked = occurrences.drop("bytes").join(_sized(proven, 64), ["key", "n"])
     firsts = keep(marked.filter(place == F.col("first")).select("key", "n", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
-    victims = occurrences.drop("bytes").join(_sized(firsts, 128 + 16 * EDGE), ["key", "n"]).filter(place != F.col("first"))
+    victims = marked.filter(place != F.col("first")).drop("first").join(firsts.hint("merge"), ["key", "n"])
     other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
     to = F.col("start") + F.col("n") - 1 + F.when(other, _common("after")).otherwise(0)
-    lines = F.flatten(F.collect_set(F.sequence(from_.cast("int"), to.cast("int"))))
-    return keep(victims.groupBy("doc_id", "tid").agg(lines.alias("gone")), "line_removals")
+    # a range of lines in one number, so that what documents lose stays small
+    ranges = F.collect_set(F.shiftleft(from_.cast("long"), 32) + to.cast("long"))
+    return keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")
+
+
+def _lines_of(ranges: Column) -> Column:
+    return F.flatten(F.transform(ranges, lambda x: F.sequence(F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with ``text`` rewritten, plus __n_lines and __n_removed (both long; 0 for null texts)."""
     names = [c for c in docs.columns if c != "text"]
     gone = removals(docs.select("doc_id", "text"))
-    few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
-    gone = F.broadcast(gone) if fits_broadcast(few["rows"] * 40 + (few["lines"] or 0) * 4, 1) else gone
+    few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("ranges")).first()
+    gone = F.broadcast(gone) if fits_broadcast(few["rows"] * 40 + (few["ranges"] or 0) * 8, 1) else gone
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), F.col("gone").alias("__gone"))
     # Cut into lines before the join: what is computed above a join isn't inlined into the lambdas below.
     base = docs.select(*names, F.split("text", LINE_CUT, -1).alias("__lines"), F.xxhash64("text").alias("__own"))
     cut = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__tid")), "left")
+    cut = cut.withColumn("__gone", F.array_distinct(_lines_of(F.col("__gone"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.array_join("__lines", "")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
     n_lines, n_gone = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("__lines", "__gone"))
