@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One character model for toxic and one for ordinary text predict each of a word's first ``ORDER`` characters (and its end)
-from the word's beginning.  Each class discounts its own counts by ``DISCOUNT`` and hands the rest to one shared backoff:
+One character model for toxic and one for ordinary text predict every character of a word, and its end, from the up to
+``ORDER`` - 1 characters before it in the word.  Each class discounts its own counts by ``DISCOUNT`` and hands the rest to one shared backoff:
 pooled counts of both classes at the same history, then continuation counts (distinct histories, not occurrences) of the
 last three and of the last two characters.  An expression that one class has hardly met is thus scored from what both know
 of its parts.  A word's log-likelihood ratio is the sum over its characters; a document's features are ratios per word: of
@@ -38,15 +38,18 @@ DISCOUNT = 0.75
 STRONG = 2.5
 #: On the curve a toxic row weighs as much as so many ordinary ones, since toxic rows are the rarer.
 TOXIC_WEIGHT = 3.0
-#: Words whose ratios a worker remembers before it starts anew. Of a word only the first ORDER characters are read.
+#: Words, and characters of them, whose ratios a worker remembers before it starts anew.
 KEPT_WORDS = 200_000
+KEPT_CHARS = 8_000_000
+#: Characters whose events are made at a time (a longer word is one block).
+BLOCK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits, cut to what the model reads."""
+    """Lower-case runs of letters and digits, whole."""
     if not text:
         return []
     t = text.lower()
@@ -71,24 +74,23 @@ def lower(s: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def events(words: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each of the first ORDER + 1 characters: which words have it, hashes of the gram and its history, and its last three characters packed."""
-    m = np.zeros((len(words), ORDER + 4), np.uint32)
-    m[:, 2] = 2
-    for i, w in enumerate(words):
-        cut = w[:ORDER]
-        m[i, 3 : 3 + len(cut)] = np.frombuffer(cut.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(w) <= ORDER:
-            m[i, 3 + len(cut)] = 3
-    history = _hash(np.full(len(words), 1))
-    for i in range(3, ORDER + 4):
-        rows = np.flatnonzero(m[:, i])
-        if not len(rows):
-            return
-        c = m[rows]
-        gram = _hash(history[rows], c[:, i])
-        yield rows, gram, history[rows], c[:, i - 2].astype(np.uint64) << np.uint64(42) | c[:, i - 1].astype(np.uint64) << np.uint64(21) | c[:, i]
-        history = history.copy()
-        history[rows] = gram
+    """For every character of every word and for its end, in blocks: which word, hashes of the gram and its history, and its last three characters packed."""
+    at = 0
+    while at < len(words):
+        to, size = at, 0
+        while to < len(words) and (to == at or size + len(words[to]) + ORDER < BLOCK):
+            size += len(words[to]) + ORDER
+            to += 1
+        # each word between ORDER - 1 places before it, the last of which marks the start, and a mark of its end
+        flat = "".join("\0" * (ORDER - 2) + "\2" + w + "\3" for w in words[at:to])
+        c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        three = c.copy()
+        three[1:] |= c[:-1] << np.uint64(21)
+        three[2:] |= c[:-2] << np.uint64(42)
+        i = np.flatnonzero(c > 2)
+        history = _hash(three[i - 1], three[i - 4], c[i - 7])
+        yield at + np.cumsum(c == 2)[i] - 1, _hash(history, c[i]), history, three[i]
+        at = to
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +125,7 @@ class Model:
     def forget(self) -> None:
         self.ids = _Ids()
         self.llr = np.zeros(0)
+        self.chars = 0
 
     def __getstate__(self) -> np.ndarray:
         return self.t
@@ -142,15 +145,16 @@ class Model:
             for y in (0, 1):
                 d = np.maximum(t[2 + y][c], 1)
                 ps.append(np.where(t[2 + y][c] > 0, np.maximum(t[y][g] - DISCOUNT, 0) / d + np.minimum(1, DISCOUNT * t[4 + y][c] / d) * p, p))
-            out[rows] += np.log(np.maximum(ps[1], 1e-12)) - np.log(np.maximum(ps[0], 1e-12))
+            out += np.bincount(rows, np.log(np.maximum(ps[1], 1e-12)) - np.log(np.maximum(ps[0], 1e-12)), len(words))
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.ids) > KEPT_WORDS:
+        if len(self.ids) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.forget()
         at = [np.array(list(map(self.ids.__getitem__, words_of(t))), np.int64) for t in texts]
         if new := self.ids.new:
             self.llr = np.concatenate([self.llr, self.ratios(new)])
+            self.chars += sum(map(len, new))
             self.ids.new = []
         out = np.zeros((len(texts), 5))
         for i, a in enumerate(at):
