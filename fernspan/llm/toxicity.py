@@ -8,9 +8,9 @@ of its parts.  A word's log-likelihood ratio is the sum over its characters; a d
 its single most toxic word, of its three most toxic distinct words, of the words beyond ``STRONG`` nats, and of the whole
 text, with the length beside them.  A logistic curve, fitted on labelled rows that gave no counts, maps them to a score.
 
-Counts come from every labelled row of the fitting folds (a shuffle that grows with the input).  What is broadcast is
-bounded whatever the input: 13 hashed tables of ``CELLS`` 4-byte numbers (27 MB).  Only the weights of the logistic curve
-are fitted on a bounded sample: ``CALIBRATION_ROWS`` rows, lowest by hash.
+Counts come from every labelled row of the fitting folds (a shuffle that grows with the input), each under its own 64-bit key.
+The model, which is collected and broadcast, hence grows with the distinct grams: 16 bytes each, and 28 bytes a distinct
+history.  Only the weights of the logistic curve are fitted on a bounded sample: ``CALIBRATION_ROWS`` rows, lowest by hash.
 
 Defined results: null or empty text scores as text without words; null doc_id rows are scored but never learned from;
 several label rows of one document count as toxic if any is; null labels are not learned from; if either class is missing
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from fernspan.session import fits_broadcast, keep, lean, release, ship
 
 ORDER = 8
-CELLS = 1 << 19
-TABLES = 13
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 DISCOUNT = 0.75
@@ -64,15 +62,6 @@ def _hash(*columns: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return ((h >> np.uint64(17)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def lower(s: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashes of the last three characters, of the two before the last, of the last two, and of the one before the last."""
-    return _hash(3, s), _hash(4, s >> np.uint64(21)), _hash(5, s & np.uint64((1 << 42) - 1)), _hash(6, s >> np.uint64(21) & np.uint64((1 << 21) - 1))
-
-
 def events(words: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
     """For every character of every word and for its end, in blocks: which word, hashes of the gram and its history, and its last three characters packed."""
     at = 0
@@ -105,21 +94,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.uint64).view(np.int64)) for x in e), pa.array(n[rows, 0]), pa.array(n[rows, 1])], names=["g", "c", "s", "n0", "n1"])
 
 
-def _lower_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (s, n), the number of distinct histories before each three characters: (t, key, n) of tables 7 to 12, still unhashed."""
-    for b in batches:
-        s = b.column(0).to_numpy().view(np.uint64)
-        g3, c3, g2, c2 = (x.view(np.int64) for x in lower(s))
-        for t, x in ((7, g3), (8, c3), (10, g2), (11, c2)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(x), b.column(1)], names=["t", "k", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c3), 9, np.int32)), pa.array(c3), pa.array(np.ones(len(c3), np.int64))], names=["t", "k", "n"])
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (first column, long) in order, and the other columns as rows of one array."""
+    t = df.toArrow()
+    k = t.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(k)
+    return k[order], np.stack([t.column(i).to_numpy().astype(np.float32)[order] for i in range(1, t.num_columns)])
+
+
+def _by(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _sorted: the columns summed by key."""
+    k, at = np.unique(keys, return_inverse=True)
+    return k, np.stack([np.bincount(at, c, len(k)).astype(np.float32) for c in columns])
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The columns at the keys, 0 where a key was never counted."""
+    known, columns = table
+    i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[i] == keys, columns[:, i], 0)
 
 
 class Model:
-    """The hashed tables, and the log-likelihood ratios of words under them."""
+    """Counts under their own keys, and the log-likelihood ratios of words under them.
 
-    def __init__(self, tables: np.ndarray):
-        self.t = tables
+    grams: (gram; n0, n1). histories: (history; n0, n1, types0, types1, types). threes: (last three characters; distinct histories before them).
+    """
+
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], histories: tuple[np.ndarray, np.ndarray], threes: tuple[np.ndarray, np.ndarray]):
+        self.tables = grams, histories, threes
+        # the lower levels follow from the threes: after two characters, the last two, and after one
+        s, n = threes[0], threes[1][0]
+        twos = _by(s & np.uint64((1 << 42) - 1), n)
+        self.lower = _by(s >> np.uint64(21), n, np.ones(len(s))), twos, _by(twos[0] >> np.uint64(21), twos[1][0], np.ones(len(twos[0])))
         self.forget()
 
     def forget(self) -> None:
@@ -127,24 +134,24 @@ class Model:
         self.llr = np.zeros(0)
         self.chars = 0
 
-    def __getstate__(self) -> np.ndarray:
-        return self.t
-
-    def __setstate__(self, t: np.ndarray) -> None:
-        self.__init__(t)
+    def __reduce__(self) -> tuple:
+        return Model, self.tables
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        t, out = self.t, np.zeros(len(words))
-        for rows, *e in events(words):
-            g, c, g3, c3, g2, c2 = (_cell(x) for x in (*e[:2], *lower(e[2])))
+        (grams, histories, threes), (after_two, twos, after_one) = self.tables, self.lower
+        out = np.zeros(len(words))
+        for rows, g, c, s in events(words):
+            n0, n1 = _find(grams, g)
+            c0, c1, types0, types1, types = _find(histories, c)
+            two = s & np.uint64((1 << 42) - 1)
             p = np.full(len(rows), 1 / 256)
-            for n, total, types in ((t[10][g2], t[11][c2], t[12][c2]), (t[7][g3], t[8][c3], t[9][c3]), (t[0][g] + t[1][g], t[2][c] + t[3][c], t[6][c])):
+            for n, (total, kinds) in ((_find(twos, two)[0], _find(after_one, two >> np.uint64(21))), (_find(threes, s)[0], _find(after_two, s >> np.uint64(21))), (n0 + n1, (c0 + c1, types))):
                 d = np.maximum(total, 1)
-                p = np.where(total > 0, np.maximum(n - DISCOUNT, 0) / d + np.minimum(1, DISCOUNT * types / d) * p, p)
+                p = np.where(total > 0, np.maximum(n - DISCOUNT, 0) / d + np.minimum(1, DISCOUNT * kinds / d) * p, p)
             ps = []
-            for y in (0, 1):
-                d = np.maximum(t[2 + y][c], 1)
-                ps.append(np.where(t[2 + y][c] > 0, np.maximum(t[y][g] - DISCOUNT, 0) / d + np.minimum(1, DISCOUNT * t[4 + y][c] / d) * p, p))
+            for n, total, kinds in ((n0, c0, types0), (n1, c1, types1)):
+                d = np.maximum(total, 1)
+                ps.append(np.where(total > 0, np.maximum(n - DISCOUNT, 0) / d + np.minimum(1, DISCOUNT * kinds / d) * p, p))
             out += np.bincount(rows, np.log(np.maximum(ps[1], 1e-12)) - np.log(np.maximum(ps[0], 1e-12)), len(words))
         return out
 
@@ -177,23 +184,12 @@ class _Ids(dict):
 
 
 def fit_counts(train: DataFrame) -> Model:
-    """train: (text, toxic). Grams are told apart first, then summed into the bounded tables."""
+    """train: (text, toxic). Every distinct gram is counted under its own key; the model is as large as they are many."""
     grams = train.select("text", "toxic").mapInArrow(lean(_count), "g long, c long, s long, n0 long, n1 long")
     grams = keep(grams.groupBy("g").agg(F.first("c").alias("c"), F.first("s").alias("s"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity_grams")
-    cell = lambda k: F.shiftrightunsigned(F.col(k), 17).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    part = lambda df, t, k, n: df.select(F.lit(t).alias("t"), cell(k).alias("cell"), n.cast("long").alias("n"))
-    rows = [part(grams, 0, "g", F.col("n0")), part(grams, 1, "g", F.col("n1")), part(grams, 2, "c", F.col("n0")), part(grams, 3, "c", F.col("n1")), part(grams, 4, "c", F.col("n0") > 0), part(grams, 5, "c", F.col("n1") > 0), part(grams, 6, "c", F.lit(1))]
-    low = grams.groupBy("s").agg(F.count("*").alias("n")).mapInArrow(lean(_lower_types), "t int, k long, n long")
-    cells = low.select("t", cell("k").alias("cell"), "n")
-    for r in rows:
-        cells = cells.unionAll(r)
-    tables = np.zeros((TABLES, CELLS), np.float32)
-    # a bounded result: TABLES * CELLS rows at most, whatever the input
-    got = cells.groupBy("t", "cell").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
-    t, c, n = (got.column(i).to_numpy() for i in range(3))
-    tables[t, c] = n
-    tables[12] = np.minimum(tables[11], 64)  # types after one character: so many at most, and its discount hardly matters
-    return Model(tables)
+    n0, n1 = F.col("n0"), F.col("n1")
+    histories = grams.groupBy("c").agg(F.sum(n0).cast("float"), F.sum(n1).cast("float"), F.count_if(n0 > 0).cast("float"), F.count_if(n1 > 0).cast("float"), F.count("*").cast("float"))
+    return Model(_sorted(grams.select("g", n0.cast("float"), n1.cast("float"))), _sorted(histories), _sorted(grams.groupBy("s").agg(F.count("*").cast("float"))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Operators read all of their input: tests of what a cut would lose."""
 
+import collections
 import random
 
 import numpy as np
@@ -18,3 +19,40 @@ def test_toxicity_reads_whole_words(spark):
     model = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"))
     bad, good = model.ratios(["harmlessslorgak", "harmlessmeadows"])
     assert bad > good + 3
+
+
+def grams_of(w):
+    c = "\0" * 6 + "\2" + w + "\3"
+    return [c[i - 7 : i + 1] for i in range(7, len(c))]
+
+
+def test_toxicity_counts_are_exact(spark):
+    """Ratios equal Kneser-Ney in plain dictionaries."""
+    r = random.Random(22)
+    rows = [(" ".join(letters(r, r.randint(1, 14)) for _ in range(60)), k % 2) for k in range(150)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    grams = {}
+    for text, y in rows:
+        for w in text.split():
+            for g in grams_of(w):
+                grams.setdefault(g, [0, 0])[y] += 1
+    sums, threes = collections.defaultdict(lambda: np.zeros(6)), collections.Counter()
+    for g, (a, b) in grams.items():
+        sums[g[:-1]] += (a, b, a > 0, b > 0, a + b, 1)
+        threes[g[-3:]] += 1
+    twos, after = collections.Counter(), collections.defaultdict(lambda: np.zeros(2))
+    for s, n in threes.items():
+        twos[s[1:]] += n
+        after[s[:2]] += (n, 1)
+    for s, n in twos.items():
+        after[s[:1]] += (n, 1)
+    step = lambda n, total, kinds, p: max(n - 0.75, 0) / total + min(1, 0.75 * kinds / total) * p if total else p
+    probe = sorted({w for text, _ in rows for w in text.split()})[::7] + ["neverseen", "q"]
+    for w, got in zip(probe, model.ratios(probe), strict=True):
+        want = 0.0
+        for g in grams_of(w):
+            s, (a, b), c = g[-3:], grams.get(g, (0, 0)), sums[g[:-1]]
+            p = step(threes[s], *after[s[:2]], step(twos[s[1:]], *after[s[1:2]], 1 / 256))
+            p = step(a + b, c[4], c[5], p)
+            want += np.log(step(b, c[1], c[3], p)) - np.log(step(a, c[0], c[2], p))
+        assert abs(got - want) < 1e-3
