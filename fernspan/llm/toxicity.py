@@ -8,9 +8,11 @@ of its parts.  A word's log-likelihood ratio is the sum over its characters; a d
 its single most toxic word, of its three most toxic distinct words, of the words beyond ``STRONG`` nats, and of the whole
 text, with the length beside them.  A logistic curve, fitted on labelled rows that gave no counts, maps them to a score.
 
-Counts come from every labelled row of the fitting folds (a shuffle that grows with the input), each under its own 64-bit key.
+Counts come from every labelled row of the fitting folds 0 and 2 (a shuffle that grows with the input) but those the curve is
+fitted on, each under its own 64-bit key.
 The model, which is collected and broadcast, hence grows with the distinct grams: 16 bytes each, and 28 bytes a distinct
-history.  Only the weights of the logistic curve are fitted on a bounded sample: ``CALIBRATION_ROWS`` rows, lowest by hash.
+history.  Only the weights of the logistic curve are fitted on a bounded sample: of each class in fold 2 the rows lowest by
+hash, half of them, and ``CALIBRATION_ROWS`` of both together at most.
 
 Defined results: null or empty text scores as text without words; null doc_id rows are scored but never learned from;
 several label rows of one document count as toxic if any is; null labels are not learned from; if either class is missing
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.session import fits_broadcast, keep, lean, release, ship
@@ -213,13 +215,28 @@ def _fold(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic, fold) of the rows whose labels may be learned from: crc32 of the id mod 3 is 0 (counts) or 2 (curve)."""
+    """(doc_id, text, toxic, fold) of the rows whose labels may be learned from: crc32 of the id mod 3 is 0 (counts) or 2 (curve and counts)."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     one = keep(one.withColumn("fold", _fold(F.col("doc_id"))).filter("fold <> 1"), "toxicity_labels")
     one = F.broadcast(one) if fits_broadcast(one.count(), 32) else one  # else a shuffle join
     return docs.select("doc_id", "text").join(one, "doc_id").select("doc_id", "text", "toxic", "fold")
 
 
+def set_aside(rows: DataFrame, n: dict[int, int]) -> Column:
+    """Which of the labelled rows the curve is fitted on and no counts are taken from. n: rows of fold 2 by class."""
+    h = F.xxhash64("doc_id", F.lit(7))
+    share, out = min(0.5, CALIBRATION_ROWS / sum(n.values())), F.lit(False)
+    for y, size in n.items():
+        most = max(1, int(size * share))
+        of = (F.col("fold") == 2) & (F.col("toxic") == y)
+        if size < 50 * CALIBRATION_ROWS:
+            cut = rows.filter(of).select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        else:
+            cut = int(-(1 << 63) + (1 << 64) * most / size)
+        out = out | (of & (h <= cut))
+    return out
+
+
 class Scorer:
     """A fitted model and its curve; apply() adds ``__score`` and ``__predicted`` to any DataFrame with a column ``text``."""
 
@@ -230,11 +247,9 @@ class Scorer:
         have = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
         self.ready = all(have.get((f, t)) for f in (0, 2) for t in (0, 1))
         if self.ready:
-            self.model = model = spark.sparkContext.broadcast(fit_counts(rows.filter("fold = 0")))
-            sample = rows.filter("fold = 2").withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-            if (n := have[2, 0] + have[2, 1]) > CALIBRATION_ROWS:
-                cut = sample.select("h").orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0] if n < 50 * CALIBRATION_ROWS else int(-(1 << 63) + (1 << 64) * CALIBRATION_ROWS / n)
-                sample = sample.filter(F.col("h") <= cut)
+            aside = set_aside(rows, {y: have[2, y] for y in (0, 1)})
+            self.model = model = spark.sparkContext.broadcast(fit_counts(rows.filter(~aside)))
+            sample = rows.filter(aside)
 
             def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:

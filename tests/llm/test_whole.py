@@ -2,8 +2,10 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fernspan.llm import toxicity
 
@@ -56,3 +58,22 @@ def test_toxicity_counts_are_exact(spark):
             p = step(a + b, c[4], c[5], p)
             want += np.log(step(b, c[1], c[3], p)) - np.log(step(a, c[0], c[2], p))
         assert abs(got - want) < 1e-3
+
+
+def test_toxicity_learns_from_both_folds(spark):
+    """An expression whose labelled documents are all in fold 2 is learned."""
+    r = random.Random(23)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rows = []
+    for i in range(900):
+        bad = i % 4 == 0
+        slur = ["grumpaw", "slorgak"][fold(i) == 2 or i % 8 == 0 and fold(i) == 1] if bad else letters(r, 7)
+        rows.append((i, " ".join([*(letters(r, r.randint(2, 6)) for _ in range(30)), *[slur] * 3]), int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache(), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = toxicity.Scorer(docs.drop("toxic"), labels)
+    low, high = scorer.model.value.ratios([letters(r, 7), "slorgak"])
+    assert high > low + 3
+    rows = toxicity.labelled(docs.drop("toxic"), labels)
+    n = {y: rows.filter((F.col("fold") == 2) & (F.col("toxic") == y)).count() for y in (0, 1)}
+    aside = rows.filter(toxicity.set_aside(rows, n))
+    assert aside.filter("fold <> 2").count() == 0 and {y: aside.filter(F.col("toxic") == y).count() for y in n} == {y: k // 2 for y, k in n.items()}
