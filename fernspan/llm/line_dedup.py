@@ -1,10 +1,10 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A text is cut into lines at line breaks and, since running prose has few of them, after clause punctuation followed by white
-space; the cuts keep every character, so the lines joined are the text.  Each line is hashed; a rolling hash covers a line
-and the one before it; a chunk begins at a line whose rolling hash is smaller than both its neighbours'.  Boundaries hence
-depend on four lines around them only, shift with the text they belong to, and chunks have two lines at least (save at a
-text's start).  Chunks of two or more lines whose hash occurs more than once anywhere are read again with their text and
+space (or full-width punctuation); the cuts keep every character, so the lines joined are the text.  Each line is hashed; a
+rolling hash covers a line and the next; two lines are a chunk if their hash is the least of any three in a row it is among.
+Chunks hence depend on six lines around them only, shift with the text they belong to, may overlap, and every passage of four
+whole lines holds one, the same in each copy.  Chunks whose hash occurs more than once anywhere are read again with their text and
 grouped by hash, length and the text itself, which compares their bytes.  Of each group the occurrence with the smallest
 (doc_id, text hash, line) stays, every other one is removed, and with it up to ``EDGE`` lines on either side whose 64-bit hashes
 are those beside the first: a repeated passage begins and ends between boundaries. (Chunks are compared by bytes; these few
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from fernspan.session import fits_broadcast, keep
 
-#: Cuts after a line break, and after clause punctuation and one white space.
-LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])"
-#: Chunks with fewer lines are left alone.
+#: Cuts after a line break, after clause punctuation and one white space, and after full-width punctuation.
+LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])"
+#: Lines of a chunk.
 MIN_LINES = 2
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
 EDGE = 4
@@ -37,18 +37,16 @@ def _line_columns(docs: DataFrame) -> DataFrame:
     """Adds tid (hash of the text), lines, and chunks: array of (start, n, key)."""
     d = docs.withColumn("__lines", F.split("text", LINE_CUT, -1))
     d = d.withColumn("__h", F.transform("__lines", lambda x: F.xxhash64(x)))
-    d = d.withColumn("__r", F.transform("__h", lambda x, i: F.xxhash64(F.coalesce(F.get("__h", i - 1), F.lit(0)), x)))
     n = F.size("__h")
+    d = d.withColumn("__r", F.transform(F.slice("__h", 1, n - 1), lambda x, i: F.xxhash64(x, F.get("__h", i + 1))))
 
-    def starts(i: Column) -> Column:
-        here, after = F.get("__r", i), F.get("__r", i + 1)
-        return (i == 0) | ((here < F.get("__r", i - 1)) & (after.isNull() | (here < after)))
+    def chosen(i: Column) -> Column:
+        here = F.get("__r", i)
+        least = lambda k: here <= F.coalesce(F.get("__r", i + k), F.lit((1 << 63) - 1))
+        return (i >= 0) & (i < n - 1) & ((least(-1) & (least(-2) | least(1))) | (least(1) & least(2)))
 
-    d = d.withColumn("__s", F.filter(F.sequence(F.lit(0), n - 1), starts))
-    end = lambda k: F.coalesce(F.get("__s", k + 1), n)
-    return d.withColumn(
-        "__chunks", F.transform("__s", lambda s, k: F.struct(s.alias("start"), (end(k) - s).alias("n"), F.xxhash64(F.slice("__h", s + 1, end(k) - s)).alias("key")))
-    )
+    d = d.withColumn("__s", F.filter(F.sequence(F.lit(0), n - 1), chosen))
+    return d.withColumn("__chunks", F.transform("__s", lambda s: F.struct(s.alias("start"), F.lit(MIN_LINES).alias("n"), F.get("__r", s).alias("key"))))
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -67,7 +65,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     chunked = _line_columns(base)
-    keys = chunked.select(F.explode(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES)).alias("c")).select("c.key", "c.n")
+    keys = chunked.select(F.explode("__chunks").alias("c")).select("c.key", "c.n")
     repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
 
     def cut(c: Column) -> Column:
@@ -75,7 +73,7 @@ def removals(docs: DataFrame) -> DataFrame:
         after = F.slice("__h", c["start"] + c["n"] + 1, EDGE)
         return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
 
-    texts = chunked.select("doc_id", "tid", F.explode(F.transform(F.filter("__chunks", lambda c: c["n"] >= MIN_LINES), cut)).alias("c")).select("doc_id", "tid", "c.*")
+    texts = chunked.select("doc_id", "tid", F.explode(F.transform("__chunks", cut)).alias("c")).select("doc_id", "tid", "c.*")
     occurrences = keep(texts.join(_sized(repeated, 24), ["key", "n"]), "line_chunks")
     # chunks of blank lines are no content
     same = occurrences.select("key", "n", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))

@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from fernspan.llm import toxicity
+from fernspan.llm import line_dedup, toxicity
+from fernspan.session import scratch_path
 
 
 def letters(r, n, alphabet="abcdefghiklmnop"):
@@ -77,3 +78,23 @@ def test_toxicity_learns_from_both_folds(spark):
     n = {y: rows.filter((F.col("fold") == 2) & (F.col("toxic") == y)).count() for y in (0, 1)}
     aside = rows.filter(toxicity.set_aside(rows, n))
     assert aside.filter("fold <> 2").count() == 0 and {y: aside.filter(F.col("toxic") == y).count() for y in n} == {y: k // 2 for y, k in n.items()}
+
+
+def test_line_dedup_finds_short_passages(spark):
+    """Every passage of 50 to 60 words goes from all texts but the first, whatever its hashes; clauses with full-width marks too."""
+    r = random.Random(24)
+    clause = lambda: " ".join(letters(r, r.randint(2, 7)) for _ in range(7)) + r.choice([". ", ", ", "; "])
+    wide = lambda: letters(r, 12, "的一是不了人我在有他这中大来上") + r.choice("。，；")
+    texts, passages = [], []
+    for k in range(80):
+        make = wide if k % 4 == 0 else clause
+        passage = "".join(make() for _ in range(8))
+        passages.append(passage)
+        texts += ["".join([*(make() for _ in range(5)), passage, *(make() for _ in range(5))]) for _ in range(3)]
+    path = scratch_path(spark, "test")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.read.parquet(path)).collect()}
+    for k, passage in enumerate(passages):
+        assert got[3 * k] == texts[3 * k]
+        for i in (3 * k + 1, 3 * k + 2):
+            assert got[i] == texts[i].replace(passage, "")
