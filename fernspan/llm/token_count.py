@@ -5,9 +5,8 @@ each transition how many pre-tokens begin, at the character read (``HERE``) or,
 the one before (``BACK``).  A batch of texts becomes one array of classes with a reset between texts.  It is cut into chunks;
 for all chunks at once, and for every state that a chunk might begin in, a pass over the chunk's columns yields its state
 map (state to state, with the pre-tokens emitted).  The maps compose associatively, so a parallel prefix scan over chunks
-gives each chunk its true first state; a last pass marks where pre-tokens begin.  The second transducer, from a pre-token
-to its number of tokens, is the prefix tree of the pre-tokens met, compiled on demand and kept path by path: each path
-is annotated with the count that the vocabulary's merges give it.
+gives each chunk its true first state; a last pass marks where pre-tokens begin.  The number of tokens of a
+pre-token is what the library counts for it, remembered by whole pre-token: there is no second automaton.
 
 Special strings are counted as the library counts them by default: taken out of the text first, one token each.
 
@@ -148,7 +147,7 @@ def starts(texts: list[str], odd: tuple[bytes, bytes] = (b"", b"")) -> list[np.n
 
 
 class _Counts(dict):
-    """The second transducer: pre-token to number of tokens."""
+    """A memo of library results: pre-token to number of tokens."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
