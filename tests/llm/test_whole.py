@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from fernspan.llm import line_dedup, toxicity
+from fernspan.llm import line_dedup, secrets, toxicity
 from fernspan.session import scratch_path
 
 
@@ -98,3 +98,10 @@ def test_line_dedup_finds_short_passages(spark):
         assert got[3 * k] == texts[3 * k]
         for i in (3 * k + 1, 3 * k + 2):
             assert got[i] == texts[i].replace(passage, "")
+
+
+def test_secrets_learns_from_rare_findings(spark):
+    """Twenty secrets in 40,000 documents are enough for a network."""
+    key = F.when(F.col("id") % 2000 == 7, F.concat(F.lit("token="), F.md5(F.col("id").cast("string")))).otherwise(F.concat(F.lit("see release-notes-of-2024-"), F.col("id")))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), key.alias("text"))
+    assert secrets.train(docs) is not None
