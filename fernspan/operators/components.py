@@ -1,4 +1,4 @@
-"""Connected components by contraction: every vertex points to its smallest neighbour, edges are rewritten to the pointers, and so on."""
+"""Connected components by random contraction: every vertex points to the vertex of least priority around it, edges are rewritten to the pointers, and so on."""
 
 from __future__ import annotations
 
@@ -7,35 +7,39 @@ from pyspark.sql import functions as F
 
 from fernspan.session import Kept
 
-#: Contractions; each at least halves every component that is not yet one vertex, so 64 are never needed.
-MOST_ROUNDS = 64
+#: Contractions after which something must be wrong. Priorities are drawn anew in every round, so that a constant share of the
+#: vertices that still have an edge goes each time, in expectation, whatever the graph and its ids: about log2 of them suffice.
+MOST_ROUNDS = 200
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(v, component) for every vertex of an undirected edge list of longs; component is the smallest vertex that v reaches.
 
-    Loops and repeated edges are harmless and null ends are ignored.  Nothing is collected but one count a round; every
-    round's tables are written to the shared folder, and both sides of each join come from an exchange, so that
-    AQE can split the rows of a hub.
+    Loops and repeated edges are harmless and null ends are ignored.  A round costs the same shuffles whatever the graph, and
+    rounds grow with the logarithm of the vertices; running out of ``MOST_ROUNDS`` raises.  Nothing is collected but one
+    test a round; every round's tables are written to the shared folder, and both sides of each join come from an exchange,
+    so that AQE can split the rows of a hub.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     start = Kept(edges.filter(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "cc_edges")
     labels: Kept | None = None
     e = Kept(start.df.filter("u <> v"), "cc_edges")
     loops = start.df.filter("u = v").select(F.col("u").alias("v"))
-    for _ in range(MOST_ROUNDS):
-        if e.df.isEmpty():
-            break
+    rounds = 0
+    while not e.df.isEmpty():
+        if (rounds := rounds + 1) > MOST_ROUNDS:
+            raise RuntimeError(f"components: edges are left after {MOST_ROUNDS} contractions")
+        rank = lambda x, r=rounds: F.struct(F.xxhash64(x, F.lit(r)).alias("h"), F.col(x).alias("x"))
         both = e.df.unionAll(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        p = Kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "cc_parent")
-        # one pointer jump, so that paths shrink twice as fast
+        p = Kept(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("k"), F.least("m", rank("u"))["x"].alias("m")), "cc_parent")
+        # one pointer jump, so that more goes in a round
         jump = p.df.select(F.col("k").alias("k2"), F.col("m").alias("m2"))
         parent = Kept(p.df.join(jump, F.col("m") == F.col("k2"), "left").select("k", F.coalesce("m2", "m").alias("m")), "cc_parent")
         p.drop()
         if labels is None:
-            new = Kept(parent.df.select(F.col("k").alias("v"), F.col("m").alias("component")), "cc_labels")
+            new = Kept(parent.df.select(F.col("k").alias("v"), F.col("m").alias("root")), "cc_labels")
         else:
-            new = Kept(labels.df.join(parent.df, F.col("component") == F.col("k"), "left").select("v", F.coalesce("m", "component").alias("component")), "cc_labels")
+            new = Kept(labels.df.join(parent.df, F.col("root") == F.col("k"), "left").select("v", F.coalesce("m", "root").alias("root")), "cc_labels")
             labels.drop()
         labels = new
         q = parent.df.select(F.col("k").alias("k2"), F.col("m").alias("m2"))
@@ -45,4 +49,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         parent.drop()
         e = nxt
     own = loops.select("v", F.col("v").alias("component"))
-    return own if labels is None else labels.df.unionAll(own.join(labels.df, "v", "left_anti"))
+    if labels is None:
+        return own
+    least = labels.df.groupBy(F.col("root").alias("r")).agg(F.min("v").alias("component"))
+    named = Kept(labels.df.join(least, F.col("root") == F.col("r")).select("v", "component"), "cc_components").df
+    return named.unionAll(own.join(named, "v", "left_anti"))
