@@ -13,9 +13,15 @@ components and take pairs across them only, since a link inside a component can'
 each node outside the bucket's largest component, which nearly always joins it, in the last round all that are left.  Every
 pair across components that prefix filtering admits is thus verified, and no pair twice.
 
+Scale: what is shuffled is packed posts (24 bytes a prefix gram), pairs, and the sets of candidates.  A bucket whose gram may have
+more than ``SALT_ROWS`` posts is dealt to several tasks, whose nodes meet in the later rounds; there a bucket is cut into
+slices of ``SLICE`` rows, and each pair of slices (nodes outside the largest component by all nodes) is a group of its own, so no
+bucket lands in one task.  Counts of cells are summed in two steps.
+
 Defined results: no words or no text: an empty set, linked with nothing; fewer than five words: one gram, the whole sequence;
 null doc_id: its row has a null component and joins nothing; rows that repeat a doc_id each get their own set's component;
-empty tables give empty results.
+very long texts are read whole (a set takes 8 bytes a distinct gram, and must fit a task); other columns, whatever their
+names, are not looked at; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
@@ -39,6 +45,9 @@ PARTS = 1 << PART_BITS
 HUBS = 6
 #: Partners a node takes in the rounds before the last, which has no cap.
 CAPS = (12, 96)
+#: Posts that a gram may have before its bucket is dealt to several tasks, and rows of a slice of a bucket in the later rounds.
+SALT_ROWS = 1 << 20
+SLICE = 512
 #: Bytes of packed grams that one range should hold; the number of ranges follows from the input.
 RANGE_BYTES = 4 << 20
 FLUSH = 300_000
@@ -47,6 +56,8 @@ BATCH_ROWS = 256
 #: Words, and sets, that a worker remembers before it starts anew.
 WORDS = 200_000
 POST = np.dtype([("t", "<u8"), ("f", "<u8"), ("n", "<u4"), ("p", "<u4")])
+#: Marks the posts of a salted bucket, in p.
+SALTED = 1 << 31
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -129,16 +140,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=names)
 
 
-def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k = len(x) // 10
-            s = sums.setdefault(r, np.zeros(1 << 16, np.int64))
-            s[np.frombuffer(x, "<u2", k)] += np.frombuffer(x, "<u8", k, 2 * k).astype(np.int64)
-    # the order needs a rough logarithm only: one byte a cell
-    rows = [(r, np.minimum(255, np.round(6 * np.log2(s + 1.0))).astype(np.uint8).tobytes()) for r, s in sums.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["r", "cells"])
+def _sum_cells(final: bool):
+    """Sums of the counts of each range of cells: as they came, or (final) as the rough logarithm that the order needs, one byte a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k = len(x) // 10
+                s = sums.setdefault(r, np.zeros(1 << 16, np.int64))
+                s[np.frombuffer(x, "<u2", k)] += np.frombuffer(x, "<u8", k, 2 * k).astype(np.int64)
+        rows = []
+        for r, s in sums.items():
+            at = np.flatnonzero(s)
+            rows.append((r, _classes(s).tobytes() if final else at.astype("<u2").tobytes() + s[at].astype("<u8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["r", "cells"])
+
+    return run
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(6 * np.log2(counts + 1.0))).astype(np.uint8)
+
+
+def salts(classes: np.ndarray, salt_rows: int) -> np.ndarray:
+    """Into how many parts the buckets of cells of these classes are dealt: a gram has no more posts than its cell has counts."""
+    return np.ceil(np.exp2((classes.astype(np.float64) + 0.5) / 6) / salt_rows).astype(np.uint64)
 
 
 def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -149,14 +176,16 @@ def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return s[first[np.argsort(rank[first], kind="stable")]]
 
 
-def _posting(classes, ranges: int):
+def _posting(classes, ranges: int, salt_rows: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             a = np.concatenate(held)
-            r = ((a["t"] >> np.uint64(3)) % np.uint64(ranges)).astype(np.int64)
+            parts = salts(classes.value[(a["t"] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], salt_rows)
+            a["p"][parts > 1] |= np.uint32(SALTED)
+            r = (((a["t"] >> np.uint64(3)) + _mix(a["f"]) % parts * _P) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(r, kind="stable")
             a, r = a[order], r[order]
             cuts = np.flatnonzero(np.diff(r, prepend=-1))
@@ -207,6 +236,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_t = np.diff(a["t"], prepend=~a["t"][:1]) != 0
         distinct = new_t | (np.diff(a["f"], prepend=~a["f"][:1]) != 0) | (np.diff(a["n"].astype(np.int64), prepend=-1) != 0)
         a = a[distinct]
+        salted = (a["p"] & np.uint32(SALTED)) > 0
+        a["p"] &= np.uint32(SALTED - 1)
         begin = np.flatnonzero(np.diff(a["t"], prepend=~a["t"][:1]) != 0)
         m = np.diff(np.append(begin, len(a)))
         pairs = []
@@ -233,8 +264,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x[swap] = x[swap][:, [2, 3, 0, 1]]
             x = np.unique(x, axis=0).view(np.int64)
             yield _bucket_rows(0, x[:, 0], x[:, 1], x[:, 2], x[:, 3], np.zeros(len(x), np.int64))
-        if len(large):
-            rest = a[np.concatenate([np.arange(begin[k], begin[k] + m[k]) for k in large])]
+        open_ = np.flatnonzero((m > HUBS + 1) | salted[begin])
+        if len(open_):
+            rest = a[np.concatenate([np.arange(begin[k], begin[k] + m[k]) for k in open_])]
             yield _bucket_rows(1, rest["f"].view(np.int64) if rest["f"].flags.c_contiguous else rest["f"].astype(np.int64), rest["n"].astype(np.int64), np.ascontiguousarray(rest["t"]).view(np.int64), rest["p"].astype(np.int64), np.zeros(len(rest), np.int64))
 
 
@@ -242,36 +274,35 @@ def _bucket_rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols[:4])], names=["kind", "f", "n", "g", "m"])
 
 
-def _across(cap: int | None):
-    """Admitted pairs across the components of each bucket (all rows of a bucket are in this task).
+def _across(capped: bool):
+    """Admitted pairs across components within each group: nodes outside the bucket's largest component (side 1) by a slice of all (side 0).
 
-    With a cap, each node outside its bucket's largest component takes that many partners of other components, by lowest
-    hash of the pair; without one, all pairs across components are taken.
+    A group is one slice of either side, all of whose rows are in this task.  If capped, each node of side 1 takes ``most``
+    partners of the slice at most, by lowest hash of the pair; otherwise all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held) if (held := list(batches)) else None
         if table is None or not len(table):
             return
-        t, x, n, p, c = (table.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((n, t))
-        t, x, n, p, c = t[order], x[order], n[order], p[order], c[order]
-        begin = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
-        ends = np.append(begin[1:], len(t))
+        g, side, x, n, p, c, most = (table.column(i).to_numpy() for i in range(7))
+        order = np.lexsort((n, side, g))
+        g, side, x, n, p, c, most = g[order], side[order], x[order], n[order], p[order], c[order], most[order]
+        begin = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+        ends = np.append(begin[1:], len(g))
         out: list[np.ndarray] = []
         size = 0
         for i, j in zip(begin, ends, strict=True):
-            kinds, counts = np.unique(c[i:j], return_counts=True)
-            rows = range(i, j) if cap is None else np.flatnonzero(c[i:j] != kinds[counts.argmax()]) + i
-            for k in rows:
+            mid = i + int(np.searchsorted(side[i:j], 1))
+            for k in range(mid, j):
                 # rows are in order of size: partners lie where the length filter lets them
-                lo = k + 1 if cap is None else int(np.searchsorted(n[i:j], needed(int(n[k])), "left")) + i
-                hi = int(np.searchsorted(n[i:j], n[k] * 5 // 4, "right")) + i
+                lo = int(np.searchsorted(n[i:mid], needed(int(n[k])), "left")) + i
+                hi = int(np.searchsorted(n[i:mid], n[k] * 5 // 4, "right")) + i
                 ys = np.arange(lo, hi)
                 ys = ys[(c[ys] != c[k]) & admitted(n[k], p[k], n[ys], p[ys])]
-                if cap is not None and len(ys) > cap:
+                if capped and len(ys) > most[k]:
                     pair = _mix((np.minimum(x[k], x[ys]).astype(np.uint64) * _P) ^ np.maximum(x[k], x[ys]).astype(np.uint64))
-                    ys = ys[np.argpartition(pair, cap)[:cap]]
+                    ys = ys[np.argpartition(pair, most[k])[: most[k]]]
                 if len(ys):
                     out.append(np.stack([np.minimum(x[k], x[ys]), np.maximum(x[k], x[ys])], 1))
                     if (size := size + len(ys)) > 200_000:
@@ -286,6 +317,23 @@ def _across(cap: int | None):
     return run
 
 
+def _groups(now: DataFrame, cap: int | None, ranges: int) -> DataFrame:
+    """The rows of buckets with several components, dealt to groups of one slice of each side. now: t, x, n, p, c."""
+    kinds = now.groupBy("t", "c").agg(F.count("*").alias("k"))
+    mixed = kinds.groupBy("t").agg(F.sum("k").alias("rows"), F.max("k").alias("top"), F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
+    mixed = keep(mixed.filter("parts > 1").select("t", "rows", (F.col("rows") - F.col("top")).alias("outside"), "main"), "ngram_mixed")
+    if mixed.isEmpty():
+        return mixed
+    slices = lambda rows: F.ceil(F.col(rows) / SLICE)
+    d = now.join(F.broadcast(mixed) if fits_broadcast(mixed.count(), 64) else mixed, "t").withColumn("all_", slices("rows")).withColumn("out_", slices("outside"))
+    mine = lambda salt, parts: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(parts))
+    every = d.select("t", F.lit(0).alias("side"), "x", "n", "p", "c", "all_", mine(1, "all_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_") - 1)).alias("j"))
+    few = d.filter(F.col("c") != F.col("main")).select("t", F.lit(1).alias("side"), "x", "n", "p", "c", "all_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_") - 1)).alias("i"), mine(2, "out_").alias("j"))
+    most = F.greatest(F.lit(1), F.ceil(F.lit(cap or 0) / F.col("all_"))).cast("int")
+    dealt = every.unionByName(few).select(F.xxhash64("t", "i", "j").alias("g"), "side", "x", "n", "p", "c", most.alias("most"))
+    return dealt.repartition(ranges, "g")
+
+
 def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose counts by hash class allow the overlap: it can't exceed the sum of the classes' smaller counts."""
     for b in batches:
@@ -298,7 +346,8 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["d", "s"])
+        sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "n", "s"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,18 +362,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of representatives that link, each looked at once."""
-    sig = nodes.select(F.col("doc").alias("d"), "sig")
-    near = pairs.join(sig.select(F.col("d").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("d").alias("y"), F.col("sig").alias("sy")), "y")
+    """The pairs (x, y) of nodes that link, each looked at once."""
+    sig = nodes.select("x", "sig", "doc")
+    near = pairs.join(sig.select("x", F.col("sig").alias("sx")), "x").join(sig.select(F.col("x").alias("y"), F.col("sig").alias("sy")), "y")
     near = keep(near.select("x", "y", "sx", "sy").mapInArrow(lean(_suffix), "x long, y long"), "ngram_near")
-    wanted = keep(near.select(F.col("x").alias("doc_id")).unionAll(near.select(F.col("y").alias("doc_id"))).distinct(), "ngram_wanted")
+    ends = keep(near.select("x").unionAll(near.select(F.col("y").alias("x"))).distinct(), "ngram_ends")
+    ends = F.broadcast(ends) if fits_broadcast(ends.count(), 32) else ends
+    wanted = keep(sig.join(ends, "x", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "ngram_wanted")
     wanted = F.broadcast(wanted) if fits_broadcast(wanted.count(), 32) else wanted
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(lean(_sets), "d long, s binary")
+    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, n long, s binary")
+    # rows that repeat a doc_id may bring other sets, and the same one twice
+    sets = sets.select(_node().alias("x"), "s").join(ends, "x", "left_semi").dropDuplicates(["x"])
     sets = keep(sets, "ngram_sets")
-    both = near.join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y").join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x")
+    both = near.join(sets.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.select("x", F.col("s").alias("sx")), "x")
     return keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
 
 
+def _node(f: str = "f", n: str = "n") -> Column:
+    """A node's number: 64 bits of its set's hash and size."""
+    return F.xxhash64(f, n)
+
+
 def join_ngrams(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. docs must be readable again (a table), since sets are not stored."""
     spark = docs.sparkSession
@@ -337,52 +395,72 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = keep(docs.mapInArrow(lean(_scan), "kind int, doc_id long, n long, f long, sig binary, r int, cells binary"), "ngram_scan")
     members = scan.filter("kind = 0").select("doc_id", "n", "f")
-    ranked = scan.filter("kind = 1").select("r", "cells").repartition(CELLS >> 16, "r").mapInArrow(lean(_sum_cells), "r int, cells binary")
+    cells = scan.filter("kind = 1").select("r", "cells")
+    tasks = len(scan.inputFiles())
+    if tasks > 64:  # in two steps, so that no task reads what all of them counted
+        few = int(tasks**0.5)
+        cells = cells.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(few))).repartition((CELLS >> 16) * few, "r", "part").select("r", "cells").mapInArrow(lean(_sum_cells(False)), "r int, cells binary")
+    ranked = cells.repartition(CELLS >> 16, "r").mapInArrow(lean(_sum_cells(True)), "r int, cells binary")
     classes = np.zeros(CELLS, np.uint8)
     for row in ranked.collect():  # CELLS bytes, whatever the input
         classes[row["r"] << 16 : (row["r"] + 1) << 16] = np.frombuffer(row["cells"], np.uint8)
     shared = spark.sparkContext.broadcast(classes)
     nodes = scan.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
-    nodes = keep(nodes, "ngram_nodes")
+    nodes = keep(nodes.select(_node().alias("x"), "f", "n", "doc", "sig"), "ngram_nodes")
     total = nodes.agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).first()
     bytes_ = ((total["grams"] or 0) // 5 + total["rows"]) * POST.itemsize
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // RANGE_BYTES + 1)
-    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lean(_posting(shared, ranges)), "r long, posts binary").repartition(ranges, "r")
+    dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lean(_posting(shared, ranges, SALT_ROWS)), "r long, posts binary").repartition(ranges, "r")
     found = keep(dealt.mapInArrow(lean(_buckets), "kind int, f long, n long, g long, m long"), "ngram_buckets")
 
-    a = nodes.select("f", "n", F.col("doc").alias("dx"))
-    z = nodes.select(F.col("f").alias("g"), F.col("n").alias("m"), F.col("doc").alias("dy"))
-    pairs = found.filter("kind = 0").select("f", "n", "g", "m").distinct().join(a, ["f", "n"]).join(z, ["g", "m"])
-    pairs = keep(pairs.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")).filter("x <> y").distinct(), "ngram_pairs")
+    pairs = found.filter("kind = 0").select(_node().alias("x"), _node("g", "m").alias("y"))
+    pairs = keep(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "ngram_pairs")
     links = _links(pairs, nodes, docs)
     first = keep(components(links, "x", "y"), "ngram_first")
 
-    rest = found.filter("kind = 1").select("f", "n", F.col("g").alias("t"), F.col("m").alias("p")).join(a, ["f", "n"])
-    rest = keep(rest.select("t", F.col("dx").alias("x"), "n", "p"), "ngram_rest")
+    rest = keep(found.filter("kind = 1").select(F.col("g").alias("t"), _node().alias("x"), "n", F.col("m").alias("p")).distinct(), "ngram_rest")
     for cap in (*CAPS, None):
         now = rest.join(first.select(F.col("v").alias("x"), "component"), "x", "left").select("t", "x", "n", "p", F.coalesce("component", "x").alias("c"))
-        now = keep(now, "ngram_rest")
-        mixed = keep(now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t"), "ngram_mixed")
-        if mixed.isEmpty():
+        groups = _groups(keep(now, "ngram_rest"), cap, ranges)
+        if groups.isEmpty():
             break
-        dealt = now.join(mixed, "t", "left_semi").repartition(ranges, "t").mapInArrow(lean(_across(cap)), "x long, y long").distinct()
+        dealt = groups.mapInArrow(lean(_across(cap is not None)), "x long, y long").distinct()
         more = keep(dealt.join(pairs, ["x", "y"], "left_anti"), "ngram_pairs")
         if more.isEmpty():
             continue
         new = _links(more, nodes, docs)
         pairs, links = pairs.unionAll(more), links.unionAll(new)
         first = keep(components(links, "x", "y"), "ngram_components")
-    named = nodes.select("f", "n", "doc").join(first.select(F.col("v").alias("doc"), "component"), "doc", "left")
-    named = keep(named.select("f", "n", F.coalesce("component", "doc").alias("component")), "ngram_named")
+    named = nodes.select("x", "f", "n", "doc").join(first.select(F.col("v").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    named = keep(named, "ngram_named")
+    least = named.groupBy(F.col("component").alias("c")).agg(F.min("doc").alias("least"))
+    named = named.join(least, F.col("component") == F.col("c")).select("f", "n", F.col("least").alias("component"))
     out = members.join(named, ["f", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id (all its rows, and all rows with a null id); columns as in docs."""
-    names = docs.columns
-    groups = join_ngrams(docs)
-    copies = keep(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__copy")).distinct(), "ngram_copies")
+def one_of_each(docs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id (all its rows, and all rows with a null id); columns as in docs.
+
+    whole: (doc_id, text) of the same documents before an earlier stage cut them (other ids are ignored).  Documents then link
+    if either their present or their whole texts do, so that what is left of a near copy goes with it.
+    """
+    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    if whole is None:
+        groups = join_ngrams(now)
+    else:
+        hashed = lambda d: d.select("doc_id", F.xxhash64("text").alias("h")).distinct()
+        before = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        cut = keep(hashed(before).join(hashed(now), ["doc_id", "h"], "left_anti").join(now.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct(), "ngram_cut")
+        cut = F.broadcast(cut) if fits_broadcast(cut.count(), 32) else cut
+        both = now.unionAll(keep(before.join(cut, "doc_id", "left_semi"), "ngram_whole"))
+        links = keep(join_ngrams(both).select("doc_id", "component_id"), "ngram_versions")
+        groups = components(links, "doc_id", "component_id").select(F.col("v").alias("doc_id"), F.col("component").alias("component_id"))
+    copies = keep(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("doc_id")).distinct(), "ngram_copies")
     copies = F.broadcast(copies) if fits_broadcast(copies.count(), 32) else copies
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti").select(*names)
+    return _without(docs, copies)
+
+
+def _without(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    return docs.join(copies, docs["doc_id"] == copies["doc_id"], "left_anti")
