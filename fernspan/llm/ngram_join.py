@@ -8,15 +8,15 @@ of a gram the length and positional filters apply, before a pair's sets are fetc
 ``PARTS`` hash classes bound the overlap), and sets are compared exactly.
 
 Groups are never expanded into all pairs.  A bucket of up to ``HUBS`` + 1 nodes yields its pairs, a larger one only pairs with its
-``HUBS`` nodes of lowest hash.  The links found give components.  Later rounds look at buckets that still hold several
+``HUBS`` nodes of lowest number.  The links found give components.  Later rounds look at buckets that still hold several
 components and take pairs across them only, since a link inside a component can't change the result: first ``CAPS`` partners for
 each node outside the bucket's largest component, which nearly always joins it, in the last round all that are left.  Every
 pair across components that prefix filtering admits is thus verified, and no pair twice.
 
 Scale: what is shuffled is packed posts (24 bytes a prefix gram), pairs, and the sets of candidates.  A bucket whose gram may have
 more than ``SALT_ROWS`` posts is dealt to several tasks, whose nodes meet in the later rounds; there a bucket is cut into
-slices of ``SLICE`` rows, and each pair of slices (nodes outside the largest component by all nodes) is a group of its own, so no
-bucket lands in one task.  Counts of cells are summed in two steps.
+slices of ``SLICE`` rows, and each pair of slices (nodes outside the largest component by all nodes; in the capped rounds each
+of them by ``SOME`` slices) is a group of its own, so no bucket lands in one task.  Counts of cells are summed in two steps.
 
 Defined results: no words or no text: an empty set, linked with nothing; fewer than five words: one gram, the whole sequence;
 null doc_id: its row has a null component and joins nothing; rows that repeat a doc_id each get their own set's component;
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
@@ -47,7 +47,9 @@ HUBS = 6
 CAPS = (12, 96)
 #: Posts that a gram may have before its bucket is dealt to several tasks, and rows of a slice of a bucket in the later rounds.
 SALT_ROWS = 1 << 20
-SLICE = 512
+SLICE = 128
+#: Slices of a bucket that a node meets in the capped rounds.
+SOME = 4
 #: Bytes of packed grams that one range should hold; the number of ranges follows from the input.
 RANGE_BYTES = 4 << 20
 FLUSH = 300_000
@@ -94,7 +96,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def set_id(s: np.ndarray) -> int:
-    """64 bits of a whole set (as a signed long); with its size the name of a node."""
+    """64 bits of a whole set (as a signed long): the number of its node."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
@@ -255,7 +257,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = np.flatnonzero(m > HUBS + 1)
         for k in large:
             rows = np.arange(begin[k], begin[k] + m[k])
-            rows = rows[np.argsort(_mix(a["f"][rows]), kind="stable")]
+            rows = rows[np.argsort(np.ascontiguousarray(a["f"][rows]).view(np.int64), kind="stable")]
             for h in range(HUBS):
                 take(np.full(len(rows) - h - 1, rows[h]), rows[h + 1 :])
         if pairs and sum(map(len, pairs)):
@@ -325,11 +327,19 @@ def _groups(now: DataFrame, cap: int | None, ranges: int) -> DataFrame:
     if mixed.isEmpty():
         return mixed
     slices = lambda rows: F.ceil(F.col(rows) / SLICE)
-    d = now.join(F.broadcast(mixed) if fits_broadcast(mixed.count(), 64) else mixed, "t").withColumn("all_", slices("rows")).withColumn("out_", slices("outside"))
+    d = now.join(F.broadcast(mixed) if fits_broadcast(mixed.count(), 96) else mixed, "t").withColumn("all_", slices("rows")).withColumn("out_", slices("outside"))
     mine = lambda salt, parts: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(parts))
-    every = d.select("t", F.lit(0).alias("side"), "x", "n", "p", "c", "all_", mine(1, "all_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_") - 1)).alias("j"))
-    few = d.filter(F.col("c") != F.col("main")).select("t", F.lit(1).alias("side"), "x", "n", "p", "c", "all_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_") - 1)).alias("i"), mine(2, "out_").alias("j"))
-    most = F.greatest(F.lit(1), F.ceil(F.lit(cap or 0) / F.col("all_"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    outside = d.filter(F.col("c") != F.col("main"))
+    if cap is None:
+        every = d.select("t", F.lit(0).alias("side"), "x", "n", "p", "c", "all_", mine(1, "all_").alias("i"), F.explode(upto("out_")).alias("j"))
+        few = outside.select("t", F.lit(1).alias("side"), "x", "n", "p", "c", "all_", F.explode(upto("all_")).alias("i"), mine(2, "out_").alias("j"))
+    else:
+        none = F.lit(0).cast("long").alias("j")
+        some = F.when(F.col("all_") <= SOME, upto("all_")).otherwise(F.array_distinct(F.array(*(mine(3 + k, "all_") for k in range(SOME)))))
+        every = d.select("t", F.lit(0).alias("side"), "x", "n", "p", "c", "all_", mine(1, "all_").alias("i"), none)
+        few = outside.select("t", F.lit(1).alias("side"), "x", "n", "p", "c", "all_", F.explode(some).alias("i"), none)
+    most = F.greatest(F.lit(1), F.ceil(F.lit(cap or 0) / F.least("all_", F.lit(SOME)))).cast("int")
     dealt = every.unionByName(few).select(F.xxhash64("t", "i", "j").alias("g"), "side", "x", "n", "p", "c", most.alias("most"))
     return dealt.repartition(ranges, "g")
 
@@ -347,7 +357,7 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "n", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f", "s"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,19 +380,14 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ends = F.broadcast(ends) if fits_broadcast(ends.count(), 32) else ends
     wanted = keep(sig.join(ends, "x", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "ngram_wanted")
     wanted = F.broadcast(wanted) if fits_broadcast(wanted.count(), 32) else wanted
-    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, n long, s binary")
-    # rows that repeat a doc_id may bring other sets, and the same one twice
-    sets = sets.select(_node().alias("x"), "s").join(ends, "x", "left_semi").dropDuplicates(["x"])
-    sets = keep(sets, "ngram_sets")
+    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, s binary")
+    sets = keep(sets.select(F.col("f").alias("x"), "s").join(ends, "x", "left_semi"), "ngram_sets")
+    if sets.count() > sets.select("x").distinct().count():  # rows that repeat a doc_id may bring the same set twice
+        sets = keep(sets.dropDuplicates(["x"]), "ngram_sets")
     both = near.join(sets.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.select("x", F.col("s").alias("sx")), "x")
     return keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
 
 
-def _node(f: str = "f", n: str = "n") -> Column:
-    """A node's number: 64 bits of its set's hash and size."""
-    return F.xxhash64(f, n)
-
-
 def join_ngrams(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. docs must be readable again (a table), since sets are not stored."""
     spark = docs.sparkSession
@@ -405,20 +410,20 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for row in ranked.collect():  # CELLS bytes, whatever the input
         classes[row["r"] << 16 : (row["r"] + 1) << 16] = np.frombuffer(row["cells"], np.uint8)
     shared = spark.sparkContext.broadcast(classes)
-    nodes = scan.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
-    nodes = keep(nodes.select(_node().alias("x"), "f", "n", "doc", "sig"), "ngram_nodes")
+    nodes = scan.filter("kind = 0 and n > 0 and doc_id is not null").groupBy(F.col("f").alias("x")).agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    nodes = keep(nodes, "ngram_nodes")
     total = nodes.agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).first()
     bytes_ = ((total["grams"] or 0) // 5 + total["rows"]) * POST.itemsize
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // RANGE_BYTES + 1)
     dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lean(_posting(shared, ranges, SALT_ROWS)), "r long, posts binary").repartition(ranges, "r")
     found = keep(dealt.mapInArrow(lean(_buckets), "kind int, f long, n long, g long, m long"), "ngram_buckets")
 
-    pairs = found.filter("kind = 0").select(_node().alias("x"), _node("g", "m").alias("y"))
+    pairs = found.filter("kind = 0").select(F.col("f").alias("x"), F.col("g").alias("y"))
     pairs = keep(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "ngram_pairs")
     links = _links(pairs, nodes, docs)
     first = keep(components(links, "x", "y"), "ngram_first")
 
-    rest = keep(found.filter("kind = 1").select(F.col("g").alias("t"), _node().alias("x"), "n", F.col("m").alias("p")).distinct(), "ngram_rest")
+    rest = keep(found.filter("kind = 1").select(F.col("g").alias("t"), F.col("f").alias("x"), "n", F.col("m").alias("p")).distinct(), "ngram_rest")
     for cap in (*CAPS, None):
         now = rest.join(first.select(F.col("v").alias("x"), "component"), "x", "left").select("t", "x", "n", "p", F.coalesce("component", "x").alias("c"))
         groups = _groups(keep(now, "ngram_rest"), cap, ranges)
@@ -431,11 +436,11 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         new = _links(more, nodes, docs)
         pairs, links = pairs.unionAll(more), links.unionAll(new)
         first = keep(components(links, "x", "y"), "ngram_components")
-    named = nodes.select("x", "f", "n", "doc").join(first.select(F.col("v").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    named = nodes.select("x", "doc").join(first.select(F.col("v").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     named = keep(named, "ngram_named")
     least = named.groupBy(F.col("component").alias("c")).agg(F.min("doc").alias("least"))
-    named = named.join(least, F.col("component") == F.col("c")).select("f", "n", F.col("least").alias("component"))
-    out = members.join(named, ["f", "n"], "left")
+    named = named.join(least, F.col("component") == F.col("c")).select("x", F.col("least").alias("component"))
+    out = members.join(named, (F.col("f") == F.col("x")) & (F.col("n") > 0), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
