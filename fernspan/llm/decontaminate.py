@@ -1,39 +1,43 @@
-"""Benchmark decontamination by SimHash tiles and multi-index Hamming blocks, in DataFrame functions only.
-
-Texts become words (lower-case runs of letters and digits).  Windows as long as a benchmark item would have to be
-fingerprinted at every word; instead a document is tiled: every ``s`` words a window of ``w`` words gets a 60-bit SimHash of its
-words, while an item is fingerprinted at every offset.  (w, s) follows the size of the item: a passage that reaches the
-threshold keeps a run of untouched words of at least w + s - 1, so one tile lies inside it and equals one item window
-word for word (``CLASSES``).  Fingerprints are cut into ``RADIUS + 1`` blocks; two fingerprints within ``RADIUS`` bits agree in one
-block at least, so equality of (block, value) finds all of them, and the bit count of the difference decides.  A hit aligns
-the whole item-sized window (a fifth of slack on either side), in which the item's 5-word shingles are looked up: the weight
-found over the item's weight must be ``THRESHOLD`` or more.  A shingle weighs ln(1 + items / items that have it).
-
-Scale: nothing of the documents is shuffled but hits; the items' fingerprints (about 30 blocks of 40 bytes an item word) and
-the hits are broadcast while their counted rows fit ``BROADCAST_BYTES``, and are shuffle joins beyond.
-
-Defined results: null and empty texts contain nothing; items without words match nothing; an item of fewer than five words
-has its whole sequence as its one shingle; rows with a null doc_id are never contaminated; rows that share a doc_id are
-reported each, with what any of them contains; empty tables give clean documents.
+"""Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact weighted shingles, in DataFrame functions only.
+
+Texts become words (lower-case runs of letters and digits).  An item's shingles are its runs of ``SHINGLE`` words (the whole
+sequence, if shorter); a shingle weighs ln(1 + items / items that have it).  A document contains an item if an item-sized
+window of it (as many words as the item, and a fifth of slack on either side) holds shingles of ``THRESHOLD`` or more
+of the item's weight; the similarity reported is that of the best such window.
+
+What is fingerprinted (60-bit SimHash of the words) is every window of ``SHINGLE`` words, not of the item's length: one edited
+word moves an item-sized fingerprint by more bits than multi-index blocks can follow (figures in the README), while a window
+at the threshold must hold some shingles whole.  Fingerprints are cut into ``RADIUS + 1`` blocks; two within ``RADIUS`` bits agree in
+one block at least, so equality of (block, value) finds all of them and the bit count of the difference decides.  Of these,
+windows equal to an item's shingle by their 64-bit hash are matches.  Rare first: a window at the threshold misses a fifth
+of an item's weight at most, so it holds one of the item's rarest shingles that make up more than that; only
+documents with such a match are candidates for the item.  Their matches in order of place, with a sliding frame as wide as the
+item-sized window, give the exact best window.  Nothing at or above the threshold is lost.
+
+Scale: texts are read once and nothing of the documents is shuffled but matches; the items' fingerprints are broadcast while
+their counted rows fit ``BROADCAST_BYTES``, and are a shuffle join beyond.
+
+Defined results: null and empty texts contain nothing; items without words match nothing; rows that repeat an item_id are one
+item with several texts, any of which may be found; rows with a null doc_id are never contaminated; rows that share a doc_id are
+reported each, with what any of them contains; very long texts are read whole, their matches are what one task sorts; other
+columns pass through, whatever their names; empty tables give clean documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernspan.session import fits_broadcast, keep
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 3
+RADIUS = 1
 BLOCKS = RADIUS + 1
-#: (smallest item in words, tile width w, tile step s), largest first.
-CLASSES = ((11, 8, 4), (5, 4, 2), (1, 1, 1))
+#: Sums of weights are compared with this much slack, since their order varies.
+EPSILON = 1e-9
 _ONES = 0x0111111111111111
 
 
@@ -41,64 +45,54 @@ def words_hashed(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def simhash(a: Column, w: int) -> Column:
-    """Bit by bit the majority over w < 16 hashes, 60 bits: counters four bits wide, fifteen to a long, are added at a time."""
-    if w == 1:
-        return F.get(a, F.lit(0)).bitwiseAND(F.lit((1 << 60) - 1))
-    out = None
+def simhash(hashes: list[Column]) -> Column:
+    """Bit by bit the majority over fewer than 16 hashes, 60 bits: counters four bits wide, fifteen to a long, are added at a time."""
+    w, out = len(hashes), None
     for j in range(4):
-        lane = reduce(lambda x, y: x + y, (F.shiftrightunsigned(F.get(a, F.lit(k)), j).bitwiseAND(F.lit(_ONES)) for k in range(w)))
+        lane = reduce(lambda x, y: x + y, (F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES)) for h in hashes))
         # a counter above w / 2 reaches 8, and no counter reaches 16
         bit = F.shiftleft(F.shiftrightunsigned((lane + F.lit((7 - w // 2) * _ONES)).bitwiseAND(F.lit(8 * _ONES)), 3), j)
         out = bit if out is None else out.bitwiseOR(bit)
     return out
 
 
-def blocks(fp: Column, c: Column) -> Column:
-    """One key for each block: class, block number and the block's 16 bits."""
+def blocks(fp: Column, k: int) -> Column:
+    """One key for each block: words of the window, number of the block and its bits."""
     width = 60 // BLOCKS
-    return F.array(*(F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1)) + F.shiftleft((c * BLOCKS + b).cast("long"), width) for b in range(BLOCKS)))
+    return F.array(*(F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1)) + F.lit((k * BLOCKS + b) << width) for b in range(BLOCKS)))
 
 
-def windows(df: DataFrame, id_: str, chosen: dict[int, tuple[int, int]]) -> DataFrame:
-    """id_, at (first word), fp, key: for each chosen class (by its number: w, s) the windows of w words every s words of H."""
-    n = F.size("H")
-
-    def cut(c: int, w: int, s: int) -> Column:
-        starts = F.when(n >= w, F.sequence(F.lit(0), F.greatest(n - w, F.lit(0)), F.lit(s))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(c).alias("c"), i.alias("at"), F.slice("H", i + 1, w).alias("a")))
-
-    d = df.select(id_, F.explode(F.concat(*(cut(c, w, s) for c, (w, s) in chosen.items()))).alias("t")).select(id_, "t.*")
-    fp = reduce(lambda e, c: F.when(F.col("c") == c, simhash(F.col("a"), chosen[c][0])).otherwise(e), chosen, F.lit(None).cast("long"))
-    return d.select(id_, "c", "at", fp.alias("fp")).select(id_, "at", "fp", F.explode(blocks(F.col("fp"), F.col("c"))).alias("key"))
-
-
-def shingles(h: Column, k: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(F.slice(h, i + 1, k))))
+def windows(df: DataFrame, ids: list[str], k: int) -> DataFrame:
+    """ids, pos (first word), sh (hash), fp (SimHash), key (one row a block): every window of k words of the hashed words H."""
+    h = [f"__h{j}" for j in range(k)]
+    d = df.select(*ids, *(F.slice("H", j + 1, F.size("H")).alias(x) for j, x in enumerate(h)))
+    d = d.select(*ids, F.posexplode(F.arrays_zip(*h)).alias("pos", "__w")).filter(F.col(f"__w.{h[-1]}").isNotNull())
+    cols = [F.col(f"__w.{x}") for x in h]
+    d = d.select(*ids, "pos", F.xxhash64(*cols).alias("sh"), simhash(cols).alias("fp"))
+    return d.select(*ids, "pos", "sh", "fp", F.explode(blocks(F.col("fp"), k)).alias("key"))
 
 
 def prepared_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, H, n, weights (shingle to weight), total."""
+    """item_id, tid, sh, fp, key, k, weight, total, rare, reach (how far beyond its first shingle an item-sized window may hold another)."""
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", words_hashed(F.col("text")).alias("H"))
-    items = items.withColumn("n", F.size("H")).filter("n > 0").withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
-    long = items.select("item_id", "n", F.xxhash64("H").alias("hh"), F.explode(shingles(F.col("H"), F.col("k"))).alias("sh"))
+    items = items.withColumn("n", F.size("H")).filter("n > 0").withColumn("tid", F.xxhash64("H")).dropDuplicates(["item_id", "tid"])
+    items = keep(items.withColumn("k", F.least(F.col("n"), F.lit(SHINGLE))), "bench_items")
+    sizes = [r["k"] for r in items.select("k").distinct().collect()]  # SHINGLE rows at most
+    if not sizes:
+        return items.select("item_id", "k").limit(0)
+    ids = ["item_id", "tid", "n", "k"]
+    long = reduce(DataFrame.unionAll, (windows(items.filter(F.col("k") == k), ids, k) for k in sizes))
+    long = keep(long.drop("pos").distinct(), "bench_shingles")
     count = float(items.select("item_id").distinct().count())
-    df = long.groupBy("sh").agg(F.count_distinct("item_id").alias("df"))
-    weighed = long.join(df, "sh").select("item_id", "hh", "sh", F.log(1 + F.lit(count) / F.col("df")).alias("weight"))
-    lists = weighed.groupBy("item_id", "hh").agg(F.map_from_entries(F.collect_list(F.struct("sh", "weight"))).alias("weights"), F.sum("weight").alias("total"))
-    return items.withColumn("hh", F.xxhash64("H")).dropDuplicates(["item_id", "hh"]).join(lists, ["item_id", "hh"]).drop("hh")
-
-
-@contextmanager
-def _small_methods(spark: SparkSession) -> Iterator[None]:
-    """Fused into one stage, the fingerprints make a method too large for the JVM to compile; operator by operator they are split up."""
-    name = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    df = long.groupBy("k", "sh").agg(F.count_distinct("item_id").alias("df"))
+    once = long.select(*ids, "sh").distinct().join(df, ["k", "sh"]).withColumn("weight", F.log(1 + F.lit(count) / F.col("df")))
+    one = Window.partitionBy("item_id", "tid")
+    before = F.coalesce(F.sum("weight").over(one.orderBy(F.col("weight").desc(), "sh").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    once = once.withColumn("total", F.sum("weight").over(one)).withColumn("before", before)
+    rare = F.col("before") <= (1 - THRESHOLD) * F.col("total") + EPSILON
+    slack = F.floor(F.col("n") / 5) + 1
+    once = once.select("item_id", "tid", "sh", "weight", "total", rare.alias("rare"), (F.col("n") + 2 * slack - F.col("k")).cast("long").alias("reach"))
+    return keep(long.select("item_id", "tid", "k", "sh", "fp", "key").join(once, ["item_id", "tid", "sh"]), "bench_weighed")
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -106,55 +100,48 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity) of every passage found, the most similar window of each pair."""
-    items = keep(prepared_items(benchmark), "bench_items")
-    sizes = items.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("rows")).first()
-    base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    hashed = base.select("doc_id", words_hashed(F.col("text")).alias("H"))
-    chosen, marks, upper = {}, [], 1 << 30
-    for c, (least, w, s) in enumerate(CLASSES):
-        if sizes["rows"] and sizes["lo"] < upper and sizes["hi"] >= least:
-            chosen[c] = (w, s)
-            marks.append(windows(items.filter((F.col("n") >= least) & (F.col("n") < upper)), "item_id", {c: (w, 1)}))
-        upper = least
-    if not marks:
+    """(doc_id, item_id, similarity) of every item found, of the most similar window of each pair."""
+    items = prepared_items(benchmark)
+    sizes = [r["k"] for r in items.select("k").distinct().collect()]
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
-    marks = keep(reduce(DataFrame.unionAll, marks).select("item_id", F.col("at").alias("offset"), F.col("fp").alias("item_fp"), "key").distinct(), "bench_marks")
-    near = windows(hashed, "doc_id", chosen).join(_sized(marks, 64), "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start"))
-    with _small_methods(docs.sparkSession):
-        hits = keep(near.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start")).alias("hits")), "bench_hits")
-    n_hits = hits.agg(F.sum(F.size("hits")).alias("n"), F.count("*").alias("d")).first()
-    hits = F.broadcast(hits) if fits_broadcast((n_hits["n"] or 0) * 24 + n_hits["d"] * 32, 1) else hits
-    with_text = base.join(hits, "doc_id").select("doc_id", "hits", words_hashed(F.col("text")).alias("H"))
-    each = with_text.select("doc_id", "H", F.explode("hits").alias("x")).select("doc_id", "H", "x.item_id", "x.start")
-    own = _sized(items.select("item_id", "n", "k", "weights", "total"), 4096)
-    # the window is cut before the join, so that only its words travel beside the item
-    slack = (F.col("n") / 5).cast("int") + 1
-    first = F.greatest(F.col("start") - slack, F.lit(0))
-    joined = each.join(own, "item_id").withColumn("win", F.slice("H", first + 1, F.greatest(F.col("start"), F.lit(0)) - first + F.col("n") + slack))
-    shared = F.array_intersect(shingles(F.col("win"), F.col("k")), F.map_keys("weights"))
-    hit = F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + F.element_at("weights", x))
-    scored = joined.filter(F.size("win") >= F.col("k")).select("doc_id", "item_id", (hit / F.col("total")).alias("similarity"))
-    scored = scored.filter(F.col("similarity") >= THRESHOLD - 1e-9)
+    base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    hashed = base.select("doc_id", F.xxhash64("text").alias("row"), words_hashed(F.col("text")).alias("H"))
+    marks = _sized(keep(items.select("key", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh")).distinct(), "bench_marks"), 96)
+    near = reduce(DataFrame.unionAll, (windows(hashed, ["doc_id", "row"], k) for k in sizes)).join(marks, "key")
+    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).filter(F.col("sh") == F.col("item_sh"))
+    # the blocks of one window may all agree
+    hits = keep(near.select("doc_id", "row", "pos", "sh").distinct(), "bench_hits")
+    own = keep(items.select("item_id", "tid", "sh", "weight", "total", "rare", "reach").distinct(), "bench_own")
+    few = own.filter("rare").select("sh", "item_id", "tid")
+    pairs = keep(hits.select("doc_id", "row", "sh").distinct().join(_sized(few, 96), "sh").select("doc_id", "row", "item_id", "tid").distinct(), "bench_pairs")
+    found = hits.join(_sized(own.drop("rare"), 128), "sh").join(_sized(pairs, 96), ["doc_id", "row", "item_id", "tid"], "left_semi")
+    # places in units of an item's reach, so that one frame fits all items; the next place beyond it lies 1 / reach further
+    widest = own.agg(F.max("reach")).first()[0] or 1
+    found = found.withColumn("at", F.col("pos") / F.greatest("reach", F.lit(1)))
+    frame = f"(PARTITION BY doc_id, row, item_id, tid ORDER BY at RANGE BETWEEN CURRENT ROW AND {1 + 0.5 / max(widest, 1):.15f}D FOLLOWING)"
+    found = found.select("doc_id", "item_id", "total", F.expr(f"collect_set(struct(sh, weight)) OVER {frame}").alias("held"))
+    held = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + x["weight"])
+    scored = found.select("doc_id", "item_id", (held / F.col("total")).alias("similarity")).filter(F.col("similarity") >= THRESHOLD - EPSILON)
     return keep(scored.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity")), "bench_found")
 
 
 def _by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(found_id, item_ids, max_similarity) of the documents that contain something."""
     found = contaminated(docs, benchmark)
-    by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
+    by_doc = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
     return F.broadcast(by_doc) if fits_broadcast(found.count(), 64) else by_doc
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, item_ids, max_similarity (null if clean)."""
-    d = docs.select("doc_id").join(_by_document(docs, benchmark), "doc_id", "left")
+    d = docs.select("doc_id")
+    d = d.join(_by_document(docs, benchmark), F.col("doc_id") == F.col("found_id"), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
     return d.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "max_similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark passage, with their own columns."""
-    names = docs.columns
-    bad = _by_document(docs, benchmark).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti").select(*names)
+    bad = _by_document(docs, benchmark).select("found_id")
+    return docs.join(bad, docs["doc_id"] == bad["found_id"], "left_anti")
