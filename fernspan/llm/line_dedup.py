@@ -1,21 +1,23 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A text is cut into lines at line breaks and, since running prose has few of them, after clause punctuation followed by white
-space (or full-width punctuation); the cuts keep every character, so the lines joined are the text.  Each line is hashed; a
-rolling hash covers a line and the next; two lines are a chunk if their hash is the least of any three in a row it is among.
-Chunks hence depend on six lines around them only, shift with the text they belong to, may overlap, and every passage of four
-whole lines holds one, the same in each copy.  Chunks whose hash occurs more than once anywhere are read again with their text and
-grouped by hash, length and the text itself, which compares their bytes.  Of each group the occurrence with the smallest
-(doc_id, text hash, line) stays, every other one is removed, and with it up to ``EDGE`` lines on either side whose 64-bit hashes
-are those beside the first: a repeated passage begins and ends between boundaries. (Chunks are compared by bytes; these few
-lines beside a proven chunk by hash, since carrying their text would treble what is shuffled.)
+space (or full-width punctuation) and, where a clause runs on for more than ``LONG`` characters, at about one in five of its
+spaces, by the letters beside them; every cut depends on the characters before it only, and the cuts keep every character, so the
+lines joined are the text.  Each line is hashed; a rolling hash covers a line and the next; two lines are a chunk if their hash
+is the least of any three in a row it is among.  Chunks hence depend on six lines around them only, shift with the text they
+belong to, may overlap, and every passage of four whole lines holds one, the same in each copy.  Chunks whose hash occurs more
+than once anywhere are read again with their text and grouped by hash, length and the text itself, which compares their bytes.
+Of each group the occurrence with the smallest (doc_id, text hash, line) stays, every other one is removed, and with it up to
+``EDGE`` lines on either side that are, byte for byte, those beside the first: a repeated passage begins and ends between
+boundaries, two whole lines from one at most.
 
 Scale: the first shuffle carries 12-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
 map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
 are broadcast only while their counted rows fit ``BROADCAST_BYTES``, else they are shuffle joins (skew split by AQE).
 
 Defined results: null texts stay null and empty texts empty; rows with a null doc_id pass unchanged; rows that agree in
-doc_id and text are one document (both rows get the same result); other columns pass through; an empty table gives an empty table.
+doc_id and text are one document (both rows get the same result); very long texts are read whole, one row at a time; other
+columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,14 +25,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernspan.llm.names import col, free
 from fernspan.session import fits_broadcast, keep
 
-#: Cuts after a line break, after clause punctuation and one white space, and after full-width punctuation.
-LINE_CUT = r"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])"
+_MARKS = r".!?,;:\n。！？，、；："
+#: Characters after which a clause is cut at some of its spaces.
+LONG = 40
+#: Cuts after a line break, after clause punctuation and one white space, after full-width punctuation, and within long clauses.
+LINE_CUT = rf"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])|(?<=[aeiou][ ])(?=[a-m])(?<=[^{_MARKS}]{{{LONG + 2}}})"
 #: Lines of a chunk.
 MIN_LINES = 2
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
-EDGE = 4
+EDGE = 2
+#: Bytes that a row of a few numbers takes in the hash table of a broadcast join, about.
+ROW_BYTES = 96
 
 
 def _line_columns(docs: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def _common(side: str) -> Column:
-    """How many lines next to the chunk are the first occurrence's, by their hashes, from the chunk outwards."""
+    """How many lines next to the chunk are the first occurrence's, from the chunk outwards."""
     same = F.zip_with(side, f"first_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(same, False)
     return F.when(at == 0, F.size(same)).otherwise(at - 1)
@@ -69,18 +77,18 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
 
     def cut(c: Column) -> Column:
-        before = F.reverse(F.slice("__h", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
-        after = F.slice("__h", c["start"] + c["n"] + 1, EDGE)
+        before = F.reverse(F.slice("__lines", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
+        after = F.slice("__lines", c["start"] + c["n"] + 1, EDGE)
         return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
 
     texts = chunked.select("doc_id", "tid", F.explode(F.transform("__chunks", cut)).alias("c")).select("doc_id", "tid", "c.*")
-    occurrences = keep(texts.join(_sized(repeated, 24), ["key", "n"]), "line_chunks")
+    occurrences = keep(texts.join(_sized(repeated, ROW_BYTES), ["key", "n"]), "line_chunks")
     # chunks of blank lines are no content
     same = occurrences.select("key", "n", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
     proven = keep(same.groupBy("key", "n").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "n", "first"), "line_proven")
     place = F.struct("doc_id", "tid", "start")
-    marked = occurrences.drop("bytes").join(_sized(proven, 64), ["key", "n"])
+    marked = occurrences.drop("bytes").join(_sized(proven, 2 * ROW_BYTES), ["key", "n"])
     firsts = keep(marked.filter(place == F.col("first")).select("key", "n", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
     victims = marked.filter(place != F.col("first")).drop("first").join(firsts.hint("merge"), ["key", "n"])
     other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
@@ -95,21 +103,22 @@ def _lines_of(ranges: Column) -> Column:
     return F.flatten(F.transform(ranges, lambda x: F.sequence(F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with ``text`` rewritten, plus __n_lines and __n_removed (both long; 0 for null texts)."""
+def dedup_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+    """docs with ``text`` rewritten, plus the numbers of its lines and of those removed (both long; 0 for null texts)."""
     names = [c for c in docs.columns if c != "text"]
+    lines, own, doc, tid, list_ = free(docs, "__lines", "__own", "__doc", "__tid", "__gone")
     gone = removals(docs.select("doc_id", "text"))
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("ranges")).first()
-    gone = F.broadcast(gone) if fits_broadcast(few["rows"] * 40 + (few["ranges"] or 0) * 8, 1) else gone
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), F.col("gone").alias("__gone"))
+    gone = F.broadcast(gone) if fits_broadcast(few["rows"] * ROW_BYTES + (few["ranges"] or 0) * 8, 1) else gone
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("gone").alias(list_))
     # Cut into lines before the join: what is computed above a join isn't inlined into the lambdas below.
-    base = docs.select(*names, F.split("text", LINE_CUT, -1).alias("__lines"), F.xxhash64("text").alias("__own"))
-    cut = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__tid")), "left")
-    cut = cut.withColumn("__gone", F.array_distinct(_lines_of(F.col("__gone"))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.array_join("__lines", "")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), ""))
-    n_lines, n_gone = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("__lines", "__gone"))
-    return cut.select(*names, text.alias("text"), n_lines.alias("__n_lines"), n_gone.alias("__n_removed"))
+    base = docs.select(*map(col, names), F.split("text", LINE_CUT, -1).alias(lines), F.xxhash64("text").alias(own))
+    cut = base.join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tid)), "left")
+    cut = cut.withColumn(list_, F.array_distinct(_lines_of(F.col(list_))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(list_))
+    text = F.when(F.col(list_).isNull(), F.array_join(lines, "")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), ""))
+    counts = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in (lines, list_))
+    return cut.select(*map(col, names), text.alias("text"), *(c.alias(x) for c, x in zip(counts, (n_lines, n_removed), strict=True)))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -119,9 +128,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated chunks taken out; one that loses all its text goes. Columns as in docs."""
-    d = dedup_lines(docs)
-    text = F.col("text")
-    gone = (F.col("__n_removed") > 0) & (F.length(F.regexp_replace(text, r"\s+", "")) == 0)
-    size = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return d.filter(~F.coalesce(gone, F.lit(False))).select(*(size.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """The documents with repeated chunks taken out; one that loses all its text goes. Columns as in docs (n_chars follows the text)."""
+    n_lines, n_removed = free(docs, "__n_lines", "__n_removed")
+    d = dedup_lines(docs, n_lines, n_removed)
+    cut = F.col(n_removed) > 0
+    gone = cut & (F.length(F.regexp_replace("text", r"\s+", "")) == 0)
+    d = d.filter(~F.coalesce(gone, F.lit(False)))
+    now = {"n_chars": lambda: F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return d.select(*(now.get(c, lambda c=c: col(c))() for c in docs.columns))
