@@ -5,12 +5,21 @@ each transition how many pre-tokens begin, at the character read (``HERE``) or,
 the one before (``BACK``).  A batch of texts becomes one array of classes with a reset between texts.  It is cut into chunks;
 for all chunks at once, and for every state that a chunk might begin in, a pass over the chunk's columns yields its state
 map (state to state, with the pre-tokens emitted).  The maps compose associatively, so a parallel prefix scan over chunks
-gives each chunk its true first state; a last pass marks where pre-tokens begin.  The number of tokens of a
-pre-token is what the library counts for it, remembered by whole pre-token: there is no second automaton.
+gives each chunk its true first state; a last pass marks where pre-tokens begin.
+
+Inside a pre-token the merges are compiled into a second transducer, over bytes: a state is a prefix, and the transition into it
+is annotated with the tokens that its last byte adds (which may be none, or fewer than none, as tokens merge).  The annotation
+follows from the merge table alone: the last token of a prefix is the one suffix in the vocabulary that can stand behind the last
+token of what comes before it, and the count is one more than there.  Whether two tokens can stand side by side is
+decided by undoing merges at their seam, latest first.  That automaton has as many states as the language has prefixes, so it
+is compiled on demand, as far as the texts at hand lead, up to ``STATES_KEPT`` states, then anew; whole pre-tokens met before
+are looked up.  The library counts nothing, unless its ids don't follow its merges.
 
 Special strings are counted as the library counts them by default: taken out of the text first, one token each.
 
-Defined results: null text is empty: no bytes and no tokens; rows that repeat a doc_id or have none are counted one by one.
+Defined results: null text is empty: no bytes and no tokens; rows that repeat a doc_id or have none are counted one by one; very
+long texts are read whole (a batch of their characters at a time, but never cut within a text); other columns are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernspan.llm.vocabulary import LONGEST, REMEMBERED, default_path, overrides, vocabulary
+from fernspan.llm.vocabulary import LONGEST, REMEMBERED, _merges, default_path, overrides, vocabulary
 from fernspan.session import lean, ship
 
 LIMIT = 512
@@ -146,14 +155,94 @@ def starts(texts: list[str], odd: tuple[bytes, bytes] = (b"", b"")) -> list[np.n
     return [where[a:b] - r - 1 for a, b, r in zip(cuts[:-1], cuts[1:], resets[:-1], strict=True)]
 
 
+#: States of the merge transducer that a worker keeps.
+STATES_KEPT = 400_000
+
+
+class Transducer:
+    """Byte-pair merges as a deterministic transducer over bytes, compiled as far as it is run."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: list[tuple[int, int]]):
+        self.merged = {p: 256 + i for i, p in enumerate(pairs)}
+        self.left, self.right = ([*range(256), *(p[side] for p in pairs)] for side in (0, 1))
+        sound = bytearray([1]) * 256
+        for i, (a, b) in enumerate(pairs):  # a token that its own bytes are never merged into ends no prefix
+            sound.append(sound[a] and sound[b] and self.beside(a, b, 256 + i))
+        self.ids = {t: i for t, i in ranks.items() if i < len(sound) and sound[i]}
+        self.longest = max(map(len, self.ids))
+        self.forget()
+
+    def forget(self) -> None:
+        self.to: dict[int, int] = {}
+        self.last, self.emitted = [-1], [0]
+
+    def beside(self, a: int, b: int, limit: int = 1 << 62) -> bool:
+        """Whether tokens a and b stay apart side by side, looking at merges below limit only."""
+        merged, left, right = self.merged, self.left, self.right
+        while True:
+            if merged.get((a, b), limit) < limit:
+                return False
+            # undo the later of the two merges at the seam; what was merged before it is what could have interfered
+            if a > b:
+                side = 0
+            else:
+                side = 1
+            for _ in range(2):
+                if side == 0 and a > 255:
+                    limit, a = min(limit, a), right[a]
+                    break
+                if side == 1 and b > 255:
+                    limit, b = min(limit, b + 1), left[b]
+                    break
+                side = 1 - side
+            else:
+                return True
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a pre-token: the sum of what its transitions emit."""
+        to, last, emitted, ids = self.to, self.last, self.emitted, self.ids
+        if len(last) > STATES_KEPT:
+            self.forget()
+            to, last, emitted = self.to, self.last, self.emitted
+        keep = len(word) <= LONGEST
+        state, ends, counts = 0, [-1], [0]
+        for i in range(1, len(word) + 1):
+            key = (state << 8) | word[i - 1]
+            nxt = to.get(key) if state >= 0 else None
+            if nxt is not None:
+                state = nxt
+                ends.append(last[state])
+                counts.append(counts[-1] + emitted[state])
+                continue
+            for n in range(min(i, self.longest), 0, -1):
+                t = ids.get(word[i - n : i])
+                if t is not None and (i == n or self.beside(ends[i - n], t)):
+                    break
+            ends.append(t)
+            counts.append(counts[i - n] + 1)
+            if keep and state >= 0:
+                to[key] = state = len(last)
+                last.append(t)
+                emitted.append(counts[i] - counts[i - 1])
+            else:
+                state = -1
+        return counts[-1]
+
+
 class _Counts(dict):
-    """A memo of library results: pre-token to number of tokens."""
+    """Tokens of whole pre-tokens met before; others go through the transducer."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, path: str):
+        found = _merges(path)
+        if found:
+            run = Transducer(*found).count
+            self.of = lambda word: run(word.encode("utf-8", "surrogatepass"))
+        else:
+            tokenizer = vocabulary(path).tokenizer
+            self.of = lambda word: len(tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> int:
-        n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        n = self.of(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -163,7 +252,7 @@ class _Counts(dict):
 
 @lru_cache(maxsize=4)
 def _counts(path: str) -> _Counts:
-    return _Counts(vocabulary(path).tokenizer)
+    return _Counts(path)
 
 
 def count(texts: list[str], path: str, odd: tuple[bytes, bytes] = (b"", b"")) -> list[int]:

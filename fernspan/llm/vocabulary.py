@@ -52,8 +52,8 @@ def overrides(path: str) -> tuple[bytes, bytes]:
     return np.array(points, "<u4").tobytes(), np.array(kinds, np.uint8).tobytes()
 
 
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """Tokens as bytes with their ids, if ids follow the order of the merges, so that merging by lowest id is the vocabulary's merging."""
+def _merges(path: str) -> tuple[dict[bytes, int], list[tuple[int, int]]] | None:
+    """Tokens as bytes with their ids, and the pair that token 256 + i is merged from, if ids follow the order of the merges, so that merging by lowest id is the vocabulary's merging."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -61,9 +61,16 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in printable)}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if any(model["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+    vocab = model["vocab"]
+    if any(vocab.get("".join(m)) != 256 + i for i, m in enumerate(merges)):
         return None
-    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token)}
+    return ranks, [(vocab[a], vocab[b]) for a, b in merges]
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    found = _merges(path)
+    return found[0] if found else None
 
 
 def _fast(path: str):
