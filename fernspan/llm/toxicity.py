@@ -12,11 +12,12 @@ Counts come from every labelled row of the fitting folds 0 and 2 (a shuffle that
 fitted on, each under its own 64-bit key.
 The model, which is collected and broadcast, hence grows with the distinct grams: 16 bytes each, and 28 bytes a distinct
 history.  Only the weights of the logistic curve are fitted on a bounded sample: of each class in fold 2 the rows lowest by
-hash, half of them, and ``CALIBRATION_ROWS`` of both together at most.
+hash, half of them, and ``CALIBRATION_ROWS`` of both together at most (the same rule at every size).
 
 Defined results: null or empty text scores as text without words; null doc_id rows are scored but never learned from;
 several label rows of one document count as toxic if any is; null labels are not learned from; if either class is missing
-from either fitting fold every score is 0.
+from either fitting fold every score is 0; rows that repeat a doc_id are scored one by one, by their own texts; very long
+texts and words are read whole; other columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernspan.llm.names import free
 from fernspan.session import fits_broadcast, keep, lean, release, ship
 
 ORDER = 8
@@ -229,16 +231,15 @@ def set_aside(rows: DataFrame, n: dict[int, int]) -> Column:
     for y, size in n.items():
         most = max(1, int(size * share))
         of = (F.col("fold") == 2) & (F.col("toxic") == y)
-        if size < 50 * CALIBRATION_ROWS:
-            cut = rows.filter(of).select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        else:
-            cut = int(-(1 << 63) + (1 << 64) * most / size)
-        out = out | (of & (h <= cut))
+        # the lowest lie far below this bound, so few rows are sorted whatever the size
+        bound = int(-(1 << 63) + (1 << 64) * min(1.0, (4 * most + 100) / size)) - 1
+        cut = rows.filter(of & (h <= bound)).select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        out = out | (of & (h <= cut)) if cut is not None else out
     return out
 
 
 class Scorer:
-    """A fitted model and its curve; apply() adds ``__score`` and ``__predicted`` to any DataFrame with a column ``text``."""
+    """A fitted model and its curve; apply() adds a score and what it predicts to any DataFrame with a column ``text``."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         spark = docs.sparkSession
@@ -249,7 +250,8 @@ class Scorer:
         if self.ready:
             aside = set_aside(rows, {y: have[2, y] for y in (0, 1)})
             self.model = model = spark.sparkContext.broadcast(fit_counts(rows.filter(~aside)))
-            sample = rows.filter(aside)
+            # rows that repeat a document count once here, so that the sample stays bounded
+            sample = rows.filter(aside).dropDuplicates(["doc_id", "text"]).limit(2 * CALIBRATION_ROWS)
 
             def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -259,10 +261,10 @@ class Scorer:
             got = sample.select("text", "toxic").mapInArrow(lean(feats), ", ".join(f"{c} double" for c in "abcdey")).toPandas().to_numpy()
             self.curve = logistic(got[:, :5], got[:, 5])
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs (other columns untouched) plus __score double, 0 to 1, and __predicted int."""
+    def apply(self, docs: DataFrame, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+        """docs (other columns untouched) plus its score (double, 0 to 1) and prediction (int) under these names."""
         if not self.ready:
-            return docs.withColumn("__score", F.lit(0.0)).withColumn("__predicted", F.lit(0))
+            return docs.withColumns({score_name: F.lit(0.0), predicted_name: F.lit(0)})
         model, (w, mean, std) = self.model, self.curve
 
         def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -273,17 +275,17 @@ class Scorer:
             release()
 
         score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # Spark reads real types
-        out = docs.withColumn("__score", F.arrow_udf(score, "double")(F.col("text").cast("string")))
-        return out.withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))
+        out = docs.withColumn(score_name, F.arrow_udf(score, "double")(F.col("text").cast("string")))
+        return out.withColumn(predicted_name, (F.col(score_name) >= THRESHOLD).cast("int"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     out = Scorer(docs, labels).apply(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below the threshold, with their own columns."""
-    names = docs.columns
-    return Scorer(docs, labels).apply(docs).filter("__predicted = 0").select(*names)
+    score, predicted = free(docs, "score", "predicted")
+    return Scorer(docs, labels).apply(docs, score, predicted).filter(F.col(predicted) == 0).drop(score, predicted)

@@ -2,9 +2,11 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from fernspan.llm import line_dedup, secrets, toxicity
@@ -105,3 +107,63 @@ def test_secrets_learns_from_rare_findings(spark):
     key = F.when(F.col("id") % 2000 == 7, F.concat(F.lit("token="), F.md5(F.col("id").cast("string")))).otherwise(F.concat(F.lit("see release-notes-of-2024-"), F.col("id")))
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), key.alias("text"))
     assert secrets.train(docs) is not None
+
+
+def brute_dedup(rows):
+    """Texts left by chunk removal, by its definition alone. rows: (doc_id, text), distinct."""
+    hashed = lambda x, seed=42: xxhash.xxh64_intdigest(x, seed)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    chunks, lines, tids = {}, {}, {}
+    for d, t in rows:
+        if t is None:
+            continue
+        x = lines[d] = re.split(line_dedup.LINE_CUT, t)
+        tids[d] = signed(hashed(t.encode()))
+        h = [hashed(y.encode()) for y in x]
+        r = [signed(hashed(b.to_bytes(8, "little"), a_)) for a_, b in zip([hashed(a.to_bytes(8, "little")) for a in h], h[1:], strict=False)]
+        for i in range(len(r)):
+            near = [r[j] if 0 <= j < len(r) else float("inf") for j in range(i - 2, i + 3)]
+            if r[i] <= min(near[:3]) or r[i] <= min(near[1:4]) or r[i] <= min(near[2:]):
+                chunks.setdefault("".join(x[i : i + 2]), []).append((d, tids[d], i))
+    gone = {d: set() for d in lines}
+    for text, at in chunks.items():
+        if len(at) < 2 or not text.strip():
+            continue
+        first = min(at)
+        for d, t, i in at:
+            if (d, t, i) != first:
+                gone[d] |= {i, i + 1}
+                if d != first[0]:
+                    a, b = lines[d], lines[first[0]]
+                    for step, own, its in ((-1, i, first[2]), (1, i + 1, first[2] + 1)):
+                        for k in range(1, line_dedup.EDGE + 1):
+                            p, q = own + step * k, its + step * k
+                            if min(p, q) < 0 or p >= len(a) or q >= len(b) or a[p] != b[q]:
+                                break
+                            gone[d].add(p)
+    return {d: "".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in lines}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(25)
+    clause = lambda: " ".join(letters(r, r.randint(1, 8)) for _ in range(r.randint(1, 25))) + r.choice([". ", ", ", "; ", "\n", " "])
+    shared = ["".join(clause() for _ in range(r.randint(2, 9))) for _ in range(12)]
+    texts = []
+    for _ in range(90):
+        parts = [clause() for _ in range(r.randint(0, 6))] + [r.choice(shared) for _ in range(r.randint(0, 3))] + [clause() for _ in range(r.randint(0, 4))]
+        r.shuffle(parts)
+        texts.append("".join(parts))
+    texts += [None, "", "\n\n\n", "yes. yes. yes. yes. yes. yes. yes. yes. ", shared[0] * 3, "word " * 5000]
+    rows = list(enumerate(texts))
+    path = scratch_path(spark, "test")
+    odd = {"__lines": F.lit(1), "a.b": F.lit(2), "__n_removed": F.lit(3), "n_chars": F.length("text").cast("long"), "key": F.lit("k")}
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns(odd).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs.select("doc_id", "text")).collect()}
+    want = brute_dedup(rows)
+    assert [i for i in want if got[i] != want[i]] == []
+    assert sum(got[i] != texts[i] for i in want) > 20
+    left = line_dedup.without_repeats(docs)
+    assert left.columns == docs.columns
+    assert {x["doc_id"]: (x["text"], x["n_chars"]) for x in left.collect() if (x["text"] or "").strip()} == {i: (t, len(t)) for i, t in want.items() if t.strip()}
+    assert line_dedup.without_repeats(docs.limit(0)).count() == 0
