@@ -73,7 +73,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     chunked = _line_columns(base)
-    keys = chunked.select(F.explode("__chunks").alias("c")).select("c.key", "c.n")
+    # outer, since the optimiser sends a filter on the size of what a plain explode takes below, and with it all that made it, into the lambdas
+    keys = chunked.select(F.explode_outer("__chunks").alias("c")).select("c.key", "c.n").filter(F.col("key").isNotNull())
     repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
 
     def cut(c: Column) -> Column:
@@ -81,7 +82,7 @@ def removals(docs: DataFrame) -> DataFrame:
         after = F.slice("__lines", c["start"] + c["n"] + 1, EDGE)
         return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
 
-    texts = chunked.select("doc_id", "tid", F.explode(F.transform("__chunks", cut)).alias("c")).select("doc_id", "tid", "c.*")
+    texts = chunked.select("doc_id", "tid", F.explode_outer(F.transform("__chunks", cut)).alias("c")).select("doc_id", "tid", "c.*").filter(F.col("key").isNotNull())
     occurrences = keep(texts.join(_sized(repeated, ROW_BYTES), ["key", "n"]), "line_chunks")
     # chunks of blank lines are no content
     same = occurrences.select("key", "n", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
