@@ -66,7 +66,8 @@ def windows(df: DataFrame, ids: list[str], k: int) -> DataFrame:
     """ids, pos (first word), sh (hash), fp (SimHash), key (one row a block): every window of k words of the hashed words H."""
     h = [f"__h{j}" for j in range(k)]
     d = df.select(*ids, *(F.slice("H", j + 1, F.size("H")).alias(x) for j, x in enumerate(h)))
-    d = d.select(*ids, F.posexplode(F.arrays_zip(*h)).alias("pos", "__w")).filter(F.col(f"__w.{h[-1]}").isNotNull())
+    # outer, since a filter on the size of what a plain explode takes would hash the words twice
+    d = d.select(*ids, F.posexplode_outer(F.arrays_zip(*h)).alias("pos", "__w")).filter(F.col(f"__w.{h[-1]}").isNotNull())
     cols = [F.col(f"__w.{x}") for x in h]
     d = d.select(*ids, "pos", F.xxhash64(*cols).alias("sh"), simhash(cols).alias("fp"))
     return d.select(*ids, "pos", "sh", "fp", F.explode(blocks(F.col("fp"), k)).alias("key"))
