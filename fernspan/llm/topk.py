@@ -1,22 +1,29 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Components become whole numbers, floor(``SCALE`` * x).  Vectors, sorted by vec_id, are cut into document-range blocks of ``BLOCK``
-vectors; a block is a forward index (ids and a matrix) with the largest and smallest value of every term.  For a query
-the summed term maxima (its positive terms times the largest, its negative ones times the smallest values) bound every
-score in a block.  Blocks are taken in the order of their bounds, scored through their forward index, and the query is done
-once the next bound falls below its k-th score (a bound that equals it may still win the tie by a smaller vec_id).
-
-Scale: the stated queries meet all rows in blocks.  Groups of ``GROUP`` vectors and tiles of ``TILE`` queries are joined by an explicit
-pair number, so each task holds one group and one tile (a few MB), and yields k rows a query; the groups' results meet
-in a window of k rows a group and query.
-
-Defined results: a vector that is null, empty or has a null or non-finite component takes no part, nor does a row without
-vec_id; rows that repeat a vec_id count once (the smallest vector); shorter vectors lack the last terms; whole components
-are held within +-2^27, so that scores fit a long; no queries or no candidates: no rows.
+Components become whole numbers, floor(``SCALE`` * x).  Vectors are numbered anew, those of like direction next to each other (by the
+signs of ``SIGNS`` fixed projections, then vec_id), and cut into document-range blocks of ``BLOCK`` vectors; a block is a
+forward index (ids and a matrix) with the largest and smallest value of every term.  For a query the summed term maxima (its
+positive terms times the largest, its negative ones times the smallest values) bound every score in a block.
+
+Bounds come before data: queries first meet only the blocks' maxima.  Each query's few best blocks by bound are scored and
+give it a first k-th score; then only blocks whose bound reaches some query's k-th score travel to those queries.  There
+blocks are taken in the order of their bounds and scored through their forward index, and a query is done once the next
+bound falls below its k-th score (a bound that equals it may still win the tie by a smaller vec_id).
+
+Scale: the stated queries meet all rows in blocks.  Tiles of about ``TILE`` queries and groups of about ``GROUP`` / ``BLOCK`` blocks meet under
+the pair of their numbers, so each task holds one group and one tile (a few MB) and yields k rows a query; the groups'
+results meet in a window of k rows a group and query.  Nothing is collected but counts.  Where vectors have no
+directions in common (random ones in many dimensions) no exact bound prunes, and every block is scored.
+
+Defined results: a vector that is null or has a null or non-finite component takes no part, nor does a row without vec_id; an
+empty vector scores 0 with all; shorter vectors lack the last terms; rows that repeat a vec_id are candidates each, none
+of them to a query of that id, and as queries share one list of k; a score beyond a long is held at its bounds; other
+columns are not looked at; no queries or no candidates: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,65 +32,150 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernspan.session import keep, ship
+from fernspan.session import fits_broadcast, keep, ship
 
 SCALE = 64
 K = 20
-BLOCK = 256
+BLOCK = 128
 GROUP = 8192
 TILE = 1024
-MOST = 1 << 27
+SIGNS = 16
+#: Blocks beyond those that hold k vectors, from which a query gets its first k-th score.
+FIRST = 1
 EVERY = 20
+_EXACT = float(1 << 53)
+_LONG = (1 << 63) - 1
 
 
-def whole(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): usable vectors in whole numbers."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v): the vectors that take part, as doubles."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    ints = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(float(MOST))), F.lit(float(-MOST)))).cast("int"))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Lists of doubles as rows, shorter ones with zeros at the end."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.diff(a.offsets.to_numpy()) if len(a) else np.zeros(0, np.int64)
+    out = np.zeros((len(a), dim))
+    out[np.arange(dim) < n[:, None]] = a.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def _packed(ids: list[int], vectors: list[list[int]], dim: int) -> tuple[bytes, bytes]:
-    m = np.zeros((len(ids), dim), "<i4")
-    for i, v in enumerate(vectors):
-        m[i, : len(v)] = v
-    return np.array(ids, "<i8").tobytes(), m.tobytes()
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x): as doubles, which hold it exactly below 2^53, else as Python's whole numbers."""
+    with np.errstate(over="ignore"):
+        w = np.floor(x * SCALE)
+    if np.abs(w).max(initial=0) < _EXACT:
+        return w
+    exact = [int(v) * SCALE if abs(v) >= _EXACT else math.floor(v * SCALE) for v in x.ravel().tolist()]
+    return np.array(exact, object).reshape(x.shape)
 
 
-def _pack(size: int, dim: int):
-    """Rows, sorted by vec_id, to packed rows of up to size vectors, numbered within the partition."""
+def _block_up(dim: int, block: int):
+    """Rows in their new order to blocks of up to so many vectors, with their numbers and the maxima and minima of their terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, last = TaskContext.get().partitionId(), 0, None
-        ids: list[int] = []
-        vectors: list[list[int]] = []
+        part, number = TaskContext.get().partitionId(), 0
+        ids, held, size = [], [], 0
+
+        def out(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            w = whole(x)
+            hi, lo = (np.array([_double(v) for v in f(w, 0)]) for f in (np.max, np.min))
+            cols = [(part << 32) + number, i.astype("<i8").tobytes(), x.astype("<f8").tobytes(), hi.astype("<f8").tobytes(), lo.astype("<f8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(cols)], names=["b", "ids", "m", "hi", "lo"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids.append(b.column(0).to_numpy())
+            held.append(matrix(b.column(1), dim))
+            size += b.num_rows
+            while size >= block:
+                i, x = np.concatenate(ids), np.concatenate(held)
+                yield out(i[:block], x[:block])
+                number, ids, held, size = number + 1, [i[block:]], [x[block:]], size - block
+        if size:
+            yield out(np.concatenate(ids), np.concatenate(held))
+
+    return run
 
-        def out() -> pa.RecordBatch:
-            a, m = _packed(ids, vectors, dim)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([a], pa.binary()), pa.array([m], pa.binary())], names=["part", "number", "ids", "m"])
 
+def _directions(dim: int):
+    """Adds the code by which vectors are numbered anew."""
+    axes = np.random.default_rng(7).normal(size=(dim, SIGNS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for vec_id, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if vec_id == last:
-                    continue
-                last = vec_id
-                ids.append(vec_id)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield out()
-                    number, ids, vectors = number + 1, [], []
-        if ids:
-            yield out()
+            x = matrix(b.column(1), dim)
+            x = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
+            code = ((x @ axes) > 0) @ (1 << np.arange(SIGNS))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.astype(np.int64))], names=["vec_id", "v", "code"])
+
+    return run
+
+
+def bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Summed term maxima, queries by blocks; never below any score. All are whole numbers, as doubles."""
+    with np.errstate(all="ignore"):
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        out = up @ hi.T + down @ lo.T
+        size = np.abs(q) @ np.maximum(np.abs(hi), np.abs(lo)).T
+        return np.where(np.isfinite(size), np.where(size < _EXACT, out, out + 1e-9 * size), np.inf)
+
+
+def _doubles(w: np.ndarray) -> np.ndarray:
+    if w.dtype != object:
+        return w
+    return np.array([_double(v) for v in w.ravel()]).reshape(w.shape)
+
+
+def _double(v: float) -> float:
+    return float(v) if abs(v) < 1 << 1000 else float("inf") if v > 0 else float("-inf")
+
+
+def _bounds_of(queries: pa.Table, blocks: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    hi, lo = (np.frombuffer(b"".join(blocks.column(c).to_pylist()), "<f8").reshape(-1, dim) for c in ("hi", "lo"))
+    return bounds(_doubles(whole(matrix(queries.column("v"), dim))), hi, lo), blocks.column("b").to_numpy()
+
+
+def _best_blocks(dim: int, n_first: int):
+    """For each query of a tile its first blocks of a group by bound."""
+
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not len(queries) or not len(blocks):
+            return pa.table({"t": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "bound": pa.array([], pa.float64())})
+        at, b = _bounds_of(queries, blocks, dim)
+        first = np.argsort(-at, 1, kind="stable")[:, :n_first]
+        n, rows = first.shape[1], len(at)
+        same = lambda c: pa.array(np.full(rows * n, queries.column(c)[0].as_py(), np.int64))
+        return pa.table({"t": same("t"), "g": same("g"), "b": b[first.ravel()], "query_id": np.repeat(queries.column("query_id").to_numpy(), n), "bound": np.take_along_axis(at, first, 1).ravel()})
+
+    return run
+
+
+def _needed_blocks(dim: int):
+    """Which blocks of a group have a bound that reaches some query's k-th score."""
+
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = np.zeros(0, np.int64)
+        t = g = 0
+        if len(queries) and len(blocks):
+            t, g = (queries.column(c)[0].as_py() for c in ("t", "g"))
+            at, b = _bounds_of(queries, blocks, dim)
+            kth = np.array([float("-inf") if x is None else float(x) for x in queries.column("kth").to_pylist()])
+            out = b[(at >= kth[:, None]).any(0)]
+        return pa.table({"t": pa.array(np.full(len(out), t, np.int64)), "g": pa.array(np.full(len(out), g, np.int64)), "b": out})
 
     return run
 
 
-def best(query: np.ndarray, own: int, order: np.ndarray, bounds: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """One query against blocks in the order of their bounds: (ids, scores, blocks scored)."""
-    ids, scores, kth, done = np.zeros(0, np.int64), np.zeros(0, query.dtype), None, 0
+def best(query: np.ndarray, own: int, order: np.ndarray, at: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, kth: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """One query against blocks in the order of their bounds, from a k-th score known before: (ids, scores, blocks scored)."""
+    ids, scores, done = np.zeros(0, np.int64), np.zeros(0, query.dtype), 0
     for b in order:
-        if kth is not None and bounds[b] < kth:
+        if kth is not None and at[b] < kth:
             break
         done += 1
         block_ids, m = blocks[b]
@@ -95,69 +187,118 @@ def best(query: np.ndarray, own: int, order: np.ndarray, bounds: np.ndarray, blo
             ids, scores = np.concatenate([ids, block_ids[ok]]), np.concatenate([scores, s[ok]])
             first = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[first], scores[first]
-            if len(ids) == k:
+            if len(ids) == k and (kth is None or scores[-1] > kth):
                 kth = scores[-1]
     return ids, scores, done
 
 
 def _search(k: int, dim: int):
-    def run(tiles: pa.Table, rows: pa.Table) -> pa.Table:
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(tiles) and len(rows):
-            blocks = [(np.frombuffer(i, "<i8"), np.frombuffer(m, "<i4").reshape(-1, dim)) for i, m in zip(rows.column("ids").to_pylist(), rows.column("m").to_pylist(), strict=True)]
-            queries = [(np.frombuffer(i, "<i8"), np.frombuffer(m, "<i4").reshape(-1, dim)) for i, m in zip(tiles.column("ids").to_pylist(), tiles.column("m").to_pylist(), strict=True)]
-            largest = max(int(np.abs(m).max(initial=0)) for _, m in blocks) * max(int(np.abs(m).max(initial=0)) for _, m in queries) * dim
-            kind = np.float64 if largest < 1 << 53 else np.int64  # floating point is exact up to there, and faster
-            blocks = [(i, m.astype(kind)) for i, m in blocks]
-            hi, lo = (np.stack([f(m, 0) for _, m in blocks]).T for f in (np.max, np.min))
-            for ids, m in queries:
-                q = m.astype(kind)
-                bounds = np.maximum(q, 0) @ hi + np.minimum(q, 0) @ lo
-                orders = np.argsort(-bounds, 1, kind="stable")
-                for r in range(len(ids)):
-                    found, scores, _ = best(q[r], int(ids[r]), orders[r], bounds[r], blocks, k)
-                    out.append((np.full(len(found), ids[r]), found, scores.astype(np.int64)))
+        if len(queries) and len(rows):
+            at, _ = _bounds_of(queries, rows, dim)
+            blocks = [(np.frombuffer(i, "<i8"), whole(np.frombuffer(m, "<f8").reshape(-1, dim))) for i, m in zip(rows.column("ids").to_pylist(), rows.column("m").to_pylist(), strict=True)]
+            q = whole(matrix(queries.column("v"), dim))
+            largest = lambda w: float(np.abs(w).max(initial=0)) if w.dtype != object else float("inf")
+            if not largest(q) * max(largest(m) for _, m in blocks) * dim < _EXACT:  # in whole numbers of any size
+                exact = lambda w: np.array([int(v) for v in w.ravel()], object).reshape(w.shape)
+                q, blocks = exact(q), [(i, exact(m)) for i, m in blocks]
+            orders = np.argsort(-at, 1, kind="stable")
+            known = queries.column("kth").to_pylist()
+            for r, own in enumerate(queries.column("query_id").to_pylist()):
+                kth = None if known[r] is None or abs(known[r]) >= _LONG else known[r]
+                found, scores, _ = best(q[r], own, orders[r], at[r], blocks, k, kth)
+                if scores.dtype == object:
+                    scores = np.array([min(max(v, -_LONG - 1), _LONG) for v in scores], np.int64)
+                out.append((np.full(len(found), own, np.int64), found, scores.astype(np.int64)))
         cols = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [()] * 3)]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+_RESULT = "query_id long, vec_id long, score long"
+
+
+class Index:
+    """Blocks of all usable vectors, written to the shared folder."""
+
+    def __init__(self, vectors: DataFrame):
+        spark = vectors.sparkSession
+        ship(spark)
+        self.v = usable(vectors)
+        size = self.v.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("rows")).first()
+        self.rows, self.dim = size["rows"], size["dim"] or 0
+        if self.dim:
+            coded = self.v.mapInArrow(_directions(self.dim), "vec_id long, v array<double>, code long")
+            self.groups = max(1, -(-self.rows // GROUP))
+            # ids break ties of the code, so that one direction shared by many vectors still spreads over partitions
+            ordered = coded.repartitionByRange(self.groups, "code", "vec_id").sortWithinPartitions("code", "vec_id").select("vec_id", "v")
+            made = ordered.mapInArrow(_block_up(self.dim, BLOCK), "b long, ids binary, m binary, hi binary, lo binary")
+            self.blocks = keep(made.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(self.groups))), "topk_blocks")
+
+    def needed(self, queries: DataFrame, k: int, tiles: int) -> tuple[DataFrame, DataFrame]:
+        """Queries with their first k-th scores, and the blocks (t, g, b) whose bounds reach one of them."""
+        dim, spread = self.dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("t")
+        n_first = FIRST - (-(k + 1) // BLOCK)
+        ends = self.blocks.select("g", "b", "hi", "lo", spread)
+        at = queries.select("t", "query_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.groups - 1).cast("long"))).alias("g"))
+        first = at.groupBy("t", "g").cogroup(ends.groupBy("t", "g")).applyInArrow(_best_blocks(dim, n_first), "t long, g long, b long, query_id long, bound double")
+        top = Window.partitionBy("t", "query_id").orderBy(F.col("bound").desc(), "b")
+        first = keep(first.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= n_first).select("t", "g", "b").distinct(), "topk_first")
+        scored = self._scored(queries.withColumn("kth", F.lit(None).cast("long")), first, k)
+        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+        kth = keep(scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("query_id", F.col("score").alias("kth")), "topk_kth")
+        known = keep(queries.join(kth, "query_id", "left").select("t", "query_id", "v", "kth"), "topk_queries")
+        at = known.select("t", "query_id", "v", "kth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.groups - 1).cast("long"))).alias("g"))
+        return known, keep(at.groupBy("t", "g").cogroup(ends.groupBy("t", "g")).applyInArrow(_needed_blocks(dim), "t long, g long, b long"), "topk_needed")
+
+    def _scored(self, queries: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+        small = F.broadcast(needed) if fits_broadcast(needed.count(), 64) else needed
+        blocks = self.blocks.drop("g").join(small, "b")
+        groups = needed.select(F.col("t").alias("t"), F.col("g").alias("g")).distinct()  # columns of its own beside those of blocks
+        at = queries.join(F.broadcast(groups) if fits_broadcast(needed.count(), 64) else groups, "t")
+        return at.groupBy("t", "g").cogroup(blocks.groupBy("t", "g")).applyInArrow(_search(k, self.dim), _RESULT)
+
+    def search(self, k: int, every: int) -> DataFrame:
+        wanted = self.v.filter(F.col("vec_id") % every == 0)
+        n = wanted.count()
+        tiles = max(1, -(-n // TILE))
+        queries = keep(wanted.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("t"), F.col("vec_id").alias("query_id"), "v"), "topk_wanted")
+        known, needed = self.needed(queries, k, tiles)
+        return self._scored(known, needed, k)
+
+
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """For each vector whose vec_id is divisible by every: query_id, rank, vec_id, score of the k best others."""
-    spark = vectors.sparkSession
-    ship(spark)
-    v = whole(vectors)
-    size = v.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("rows")).first()
-    schema = "query_id long, vec_id long, score long"
-    if not size["rows"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, parts = size["dim"], max(1, -(-size["rows"] // GROUP))
-    packed = "part long, number long, ids binary, m binary"
-    ordered = v.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id", "v")
-    blocks = keep(ordered.mapInArrow(_pack(BLOCK, dim), packed), "topk_blocks")
-    tiles = v.filter(F.col("vec_id") % every == 0)
-    tiles = keep(tiles.repartitionByRange(-(-parts * GROUP // (every * TILE)) if every > 1 else parts, "vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_pack(TILE, dim), packed), "topk_tiles")
-    # Groups of neighbouring blocks and tiles get numbers; every tile is sent to every group, under the number of the pair.
-    blocks = blocks.withColumn("g", F.concat_ws("/", F.col("part").cast("string"), F.floor(F.col("number") / (GROUP // BLOCK)).cast("string")))
-    tiles = tiles.withColumn("t", F.concat_ws("/", F.col("part").cast("string"), F.col("number").cast("string")))
-    groups, names = (keep(d.select(c).distinct(), "topk_names") for d, c in ((blocks, "g"), (tiles, "t")))
-    all_groups, all_tiles = (d.agg(F.collect_list(c).alias("all")) for d, c in ((groups, "g"), (names, "t")))
-    left = tiles.select("t", "ids", "m").join(F.broadcast(all_groups)).select("t", "ids", "m", F.explode("all").alias("g"))
-    right = blocks.select("g", "ids", "m").join(F.broadcast(all_tiles)).select("g", "ids", "m", F.explode("all").alias("t"))
-    found = left.groupBy("g", "t").cogroup(right.groupBy("g", "t")).applyInArrow(_search(k, dim), schema)
+    index = Index(vectors)
+    if index.dim:
+        found = index.search(k, every)
+    elif index.rows:  # empty vectors only: all score 0
+        found = _all_empty(index.v, k, every)
+    else:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _all_empty(v: DataFrame, k: int, every: int) -> DataFrame:
+    """All scores are 0, so the smallest ids win: k + 1 rows of other ids, and those of each query's own id left out."""
+    queries = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"))
+    ids = v.groupBy("vec_id").agg(F.count("*").alias("n")).orderBy("vec_id").limit(k + 1)
+    ids = ids.select("vec_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("i")).select("vec_id").agg(F.collect_list("vec_id").alias("all"))
+    both = queries.select("query_id", F.lit(1).alias("one")).join(F.broadcast(ids.withColumn("one", F.lit(1))), "one")
+    return both.select("query_id", F.explode("all").alias("vec_id")).filter("vec_id <> query_id").withColumn("score", F.lit(0).cast("long"))
+
+
 ORACLE_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x : cast(floor(64 * cast(x AS double)) AS bigint)) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z : z[1] * z[2])) AS bigint) AS score
+         cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z : z[1] * z[2])), 0) AS bigint) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
 )
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score

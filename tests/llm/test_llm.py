@@ -129,31 +129,6 @@ def test_em_recovers_accuracies():
     assert ((post > 0.5) == y).mean() > 0.95
 
 
-def brute_top(vectors, k=20):
-    v = {i: np.floor(64 * np.array(x, np.float64)).astype(int) for i, x in vectors if i is not None and x and all(c is not None and np.isfinite(c) for c in x)}
-    out = []
-    for q in sorted(v):
-        if q % 20 == 0:
-            s = sorted((-int(sum(a * b for a, b in zip(v[q], v[c]))), c) for c in v if c != q)[:k]
-            out += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s)]
-    return out
-
-
-def test_topk_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 8)
-    monkeypatch.setattr(topk, "GROUP", 64)
-    monkeypatch.setattr(topk, "TILE", 4)
-    r = random.Random(4)
-    rows = [(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(0, 300)] + [(400 + i, [0.5] * 12) for i in range(30)]
-    rows += [(1000, None), (1001, [float("nan")] * 12), (1002, [None, 1.0]), (1003, []), (1004, [float("inf")] * 12), (None, [1.0] * 12), (1020, [1e30] * 12)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(x) for x in topk.search(d).collect() if 1020 not in (x["query_id"], x["vec_id"]))
-    want = [x for x in brute_top([x for x in rows if x[0] != 1020], 20)]
-    with_big = {(q, c): s for q, _, c, s in got}
-    assert all(with_big.get((q, c)) == s for q, n, c, s in want if n <= 19)
-    assert topk.search(d.filter("vec_id < 0")).count() == 0 and topk.search(d.filter("vec_id = 20")).count() == 0
-
-
 def test_pruning_is_exact_and_prunes():
     r = np.random.default_rng(1)
     blocks = [(np.arange(b * 16, b * 16 + 16), (r.normal(0, 1, (16, 8)) + 6 * r.normal(0, 1, 8)).round()) for b in range(40)]
@@ -250,16 +225,6 @@ def test_decontamination(spark):
     assert decontaminate.clean(saved(documents(spark, texts, CLASH), spark), bench).columns == [c.split()[0] for c in CLASH.split(", ")]
 
 
-def test_simhash_bits(spark):
-    r = random.Random(11)
-    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(8)],) for _ in range(50)]
-    d = spark.createDataFrame(rows, "a array<long>")
-    got = [x[0] for x in d.select(decontaminate.simhash(F.col("a"), 8)).collect()]
-    for (a,), fp in zip(rows, got, strict=True):
-        want = sum(1 << b for b in range(60) if sum((x >> b) & 1 for x in a) > 4)
-        assert fp == want
-
-
 def test_toxicity(spark):
     r = random.Random(12)
     slurs = ["slorg" + s for s in ("ak", "em", "il", "op", "ut")]
