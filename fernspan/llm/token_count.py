@@ -155,8 +155,9 @@ def starts(texts: list[str], odd: tuple[bytes, bytes] = (b"", b"")) -> list[np.n
     return [where[a:b] - r - 1 for a, b, r in zip(cuts[:-1], cuts[1:], resets[:-1], strict=True)]
 
 
-#: States of the merge transducer that a worker keeps.
-STATES_KEPT = 400_000
+#: States of the merge transducer, and decisions about pairs of tokens, that a worker keeps.
+STATES_KEPT = 600_000
+PAIRS_KEPT = 1_000_000
 
 
 class Transducer:
@@ -168,13 +169,24 @@ class Transducer:
         sound = bytearray([1]) * 256
         for i, (a, b) in enumerate(pairs):  # a token that its own bytes are never merged into ends no prefix
             sound.append(sound[a] and sound[b] and self.beside(a, b, 256 + i))
-        self.ids = {t: i for t, i in ranks.items() if i < len(sound) and sound[i]}
-        self.longest = max(map(len, self.ids))
+        # the vocabulary as a tree read backwards, from the last byte of a token to its first
+        self.back, self.token = {}, [-1]
+        for t, i in ranks.items():
+            if i < len(sound) and sound[i]:
+                node = 0
+                for byte in reversed(t):
+                    key = node << 8 | byte
+                    node = self.back.get(key, 0)
+                    if not node:
+                        node = self.back[key] = len(self.token)
+                        self.token.append(-1)
+                self.token[node] = i
         self.forget()
 
     def forget(self) -> None:
         self.to: dict[int, int] = {}
         self.last, self.emitted = [-1], [0]
+        self.apart: dict[int, bool] = {}
 
     def beside(self, a: int, b: int, limit: int = 1 << 62) -> bool:
         """Whether tokens a and b stay apart side by side, looking at merges below limit only."""
@@ -200,30 +212,39 @@ class Transducer:
 
     def count(self, word: bytes) -> int:
         """Tokens of a pre-token: the sum of what its transitions emit."""
-        to, last, emitted, ids = self.to, self.last, self.emitted, self.ids
-        if len(last) > STATES_KEPT:
+        if len(self.last) > STATES_KEPT or len(self.apart) > PAIRS_KEPT:
             self.forget()
-            to, last, emitted = self.to, self.last, self.emitted
+        to, last, emitted, apart, back, token = self.to, self.last, self.emitted, self.apart, self.back, self.token
         keep = len(word) <= LONGEST
         state, ends, counts = 0, [-1], [0]
         for i in range(1, len(word) + 1):
-            key = (state << 8) | word[i - 1]
+            key = state << 8 | word[i - 1]
             nxt = to.get(key) if state >= 0 else None
             if nxt is not None:
                 state = nxt
                 ends.append(last[state])
                 counts.append(counts[-1] + emitted[state])
                 continue
-            for n in range(min(i, self.longest), 0, -1):
-                t = ids.get(word[i - n : i])
-                if t is not None and (i == n or self.beside(ends[i - n], t)):
-                    break
+            node, at = 0, i
+            while True:  # one of the tokens that end here fits, and no more than one
+                at -= 1
+                node = back[node << 8 | word[at]]
+                t = token[node]
+                if t >= 0:
+                    if not at:
+                        break
+                    pair = ends[at] << 20 | t
+                    ok = apart.get(pair)
+                    if ok is None:
+                        ok = apart[pair] = self.beside(ends[at], t)
+                    if ok:
+                        break
             ends.append(t)
-            counts.append(counts[i - n] + 1)
+            counts.append(counts[at] + 1)
             if keep and state >= 0:
                 to[key] = state = len(last)
                 last.append(t)
-                emitted.append(counts[i] - counts[i - 1])
+                emitted.append(counts[-1] - counts[-2])
             else:
                 state = -1
         return counts[-1]

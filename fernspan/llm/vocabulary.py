@@ -14,7 +14,7 @@ import numpy as np
 import regex
 
 #: Pre-tokens that a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 LONGEST = 64
 
 
