@@ -4,14 +4,15 @@ A text is cut into lines at line breaks and, since running prose has few of them
 space (or full-width punctuation) and, where a clause runs on for more than ``LONG`` characters, at about one in five of its
 spaces, by the letters beside them; every cut depends on the characters before it only, and the cuts keep every character, so the
 lines joined are the text.  Each line is hashed; a rolling hash covers a line and the next; two lines are a chunk if their hash
-is the least of any three in a row it is among.  Chunks hence depend on six lines around them only, shift with the text they
-belong to, may overlap, and every passage of four whole lines holds one, the same in each copy.  Chunks whose hash occurs more
-than once anywhere are read again with their text and grouped by hash, length and the text itself, which compares their bytes.
+is the least of some ``SPAN`` in a row that it is among.  Chunks hence depend on a dozen lines around them only, shift with the
+text they belong to, and every passage of ``SPAN`` + 1 whole lines holds one, the same in each copy.  Chunks whose hash occurs
+more than once anywhere are read again with their text and grouped by hash and the text itself, which compares their bytes.
 Of each group the occurrence with the smallest (doc_id, text hash, line) stays, every other one is removed, and with it up to
 ``EDGE`` lines on either side that are, byte for byte, those beside the first: a repeated passage begins and ends between
-boundaries, two whole lines from one at most.
+boundaries, no more than so many whole lines from one.
 
-Scale: the first shuffle carries 12-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
+Scale: neighbours of a line are looked at in rows of their own, beside each other, so that no text is gone through twice a pass.
+The first shuffle carries 8-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
 map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
 are broadcast only while their counted rows fit ``BROADCAST_BYTES``, else they are shuffle joins (skew split by AQE).
 
@@ -33,28 +34,43 @@ _MARKS = r".!?,;:\n。！？，、；："
 LONG = 40
 #: Cuts after a line break, after clause punctuation and one white space, after full-width punctuation, and within long clauses.
 LINE_CUT = rf"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])|(?<=[aeiou][ ])(?=[a-m])(?<=[^{_MARKS}]{{{LONG + 2}}})"
-#: Lines of a chunk.
+#: Lines of a chunk, and rolling hashes in a row of which one is a chunk's.
 MIN_LINES = 2
+SPAN = 6
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
-EDGE = 2
-#: Bytes that a row of a few numbers takes in the hash table of a broadcast join, about.
-ROW_BYTES = 96
+EDGE = SPAN - 1
+#: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about.
+KEY_BYTES, ROW_BYTES = 48, 96
+_NEAR = range(1 - SPAN, SPAN + 1)
 
 
-def _line_columns(docs: DataFrame) -> DataFrame:
-    """Adds tid (hash of the text), lines, and chunks: array of (start, n, key)."""
-    d = docs.withColumn("__lines", F.split("text", LINE_CUT, -1))
-    d = d.withColumn("__h", F.transform("__lines", lambda x: F.xxhash64(x)))
-    n = F.size("__h")
-    d = d.withColumn("__r", F.transform(F.slice("__h", 1, n - 1), lambda x, i: F.xxhash64(x, F.get("__h", i + 1))))
+def _chunks(docs: DataFrame, *texts: int) -> DataFrame:
+    """(doc_id, tid, start, key) of every chunk, with the lines at these distances from its first as l<distance>. docs: doc_id, tid, text."""
+    d = docs.select("doc_id", "tid", F.split("text", LINE_CUT, -1).alias("lines"))
+    d = d.select("doc_id", "tid", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
 
-    def chosen(i: Column) -> Column:
-        here = F.get("__r", i)
-        least = lambda k: here <= F.coalesce(F.get("__r", i + k), F.lit((1 << 63) - 1))
-        return (i >= 0) & (i < n - 1) & ((least(-1) & (least(-2) | least(1))) | (least(1) & least(2)))
+    def moved(column: str, by: int) -> Column:
+        none = F.lit(None).cast("long" if column == "h" else "string")
+        return F.concat(F.array(*[none] * -by), F.col(column)) if by < 0 else F.slice(column, by + 1, F.size(column))
 
-    d = d.withColumn("__s", F.filter(F.sequence(F.lit(0), n - 1), chosen))
-    return d.withColumn("__chunks", F.transform("__s", lambda s: F.struct(s.alias("start"), F.lit(MIN_LINES).alias("n"), F.get("__r", s).alias("key"))))
+    named = lambda x, by: f"{x}{by}".replace("-", "_")
+    cols = {named("h", k): moved("h", k) for k in _NEAR} | {named("l", k): moved("lines", k) for k in texts}
+    d = d.select("doc_id", "tid", *(c.alias(x) for x, c in cols.items()))
+    # outer, since the optimiser sends a filter on the size of what a plain explode takes below, and all that made it with it
+    d = d.select("doc_id", "tid", F.posexplode_outer(F.arrays_zip(*cols)).alias("start", "x")).select("doc_id", "tid", "start", "x.*")
+    d = d.filter(F.col("h0").isNotNull() & F.col("h1").isNotNull())
+    pair = lambda k: F.when(F.col(named("h", k)).isNotNull() & F.col(named("h", k + 1)).isNotNull(), F.xxhash64(named("h", k), named("h", k + 1)))
+    d = d.select("*", *(pair(k).alias(named("r", k)) for k in range(1 - SPAN, SPAN)))
+
+    def run(step: int) -> Column:
+        """How many rolling hashes on this side, in a row, are no less; the text's end counts as no less."""
+        out = F.lit(0)
+        for k in range(SPAN - 1, 0, -1):
+            out = F.when(F.coalesce(F.col("r0") <= F.col(named("r", step * k)), F.lit(True)), out + 1).otherwise(0)
+        return out
+
+    chosen = run(-1) + run(1) >= SPAN - 1
+    return d.filter(chosen).select("doc_id", "tid", "start", F.col("r0").alias("key"), *(named("l", k) for k in texts))
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -72,29 +88,27 @@ def _common(side: str) -> Column:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    chunked = _line_columns(base)
-    # outer, since the optimiser sends a filter on the size of what a plain explode takes below, and with it all that made it, into the lambdas
-    keys = chunked.select(F.explode_outer("__chunks").alias("c")).select("c.key", "c.n").filter(F.col("key").isNotNull())
-    repeated = keep(keys.groupBy("key", "n").agg(F.count("*").alias("seen")).filter("seen > 1").select("key", "n"), "line_keys")
-
-    def cut(c: Column) -> Column:
-        before = F.reverse(F.slice("__lines", F.greatest(c["start"] - EDGE + 1, F.lit(1)), F.least(c["start"], F.lit(EDGE))))
-        after = F.slice("__lines", c["start"] + c["n"] + 1, EDGE)
-        return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["key"].alias("key"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "").alias("bytes"), before.alias("before"), after.alias("after"))
-
-    texts = chunked.select("doc_id", "tid", F.explode_outer(F.transform("__chunks", cut)).alias("c")).select("doc_id", "tid", "c.*").filter(F.col("key").isNotNull())
-    occurrences = keep(texts.join(_sized(repeated, ROW_BYTES), ["key", "n"]), "line_chunks")
+    repeated = keep(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
+    repeated = F.broadcast(repeated) if fits_broadcast(repeated.count(), KEY_BYTES) else repeated
+    near = [*range(-EDGE, MIN_LINES + EDGE)]
+    texts = _chunks(base, *near).join(repeated, "key", "left_semi")
+    at = lambda k: F.col(f"l{k}".replace("-", "_"))
+    occurrences = texts.select(
+        "doc_id", "tid", "start", "key", F.concat(*(at(k) for k in range(MIN_LINES))).alias("bytes"),
+        F.array(*(at(-k) for k in range(1, EDGE + 1))).alias("before"), F.array(*(at(MIN_LINES + k) for k in range(EDGE))).alias("after"),
+    )
+    occurrences = keep(occurrences, "line_chunks")
     # chunks of blank lines are no content
-    same = occurrences.select("key", "n", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "n", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
+    same = occurrences.select("key", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
-    proven = keep(same.groupBy("key", "n").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "n", "first"), "line_proven")
+    proven = keep(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "first"), "line_proven")
     place = F.struct("doc_id", "tid", "start")
-    marked = occurrences.drop("bytes").join(_sized(proven, 2 * ROW_BYTES), ["key", "n"])
-    firsts = keep(marked.filter(place == F.col("first")).select("key", "n", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
-    victims = marked.filter(place != F.col("first")).drop("first").join(firsts.hint("merge"), ["key", "n"])
+    marked = occurrences.drop("bytes").join(_sized(proven, ROW_BYTES), "key")
+    firsts = keep(marked.filter(place == F.col("first")).select("key", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
+    victims = marked.filter(place != F.col("first")).drop("first").join(firsts.hint("merge"), "key")
     other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
-    to = F.col("start") + F.col("n") - 1 + F.when(other, _common("after")).otherwise(0)
+    to = F.col("start") + MIN_LINES - 1 + F.when(other, _common("after")).otherwise(0)
     # a range of lines in one number, so that what documents lose stays small
     ranges = F.collect_set(F.shiftleft(from_.cast("long"), 32) + to.cast("long"))
     return keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")

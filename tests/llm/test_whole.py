@@ -122,8 +122,9 @@ def brute_dedup(rows):
         h = [hashed(y.encode()) for y in x]
         r = [signed(hashed(b.to_bytes(8, "little"), a_)) for a_, b in zip([hashed(a.to_bytes(8, "little")) for a in h], h[1:], strict=False)]
         for i in range(len(r)):
-            near = [r[j] if 0 <= j < len(r) else float("inf") for j in range(i - 2, i + 3)]
-            if r[i] <= min(near[:3]) or r[i] <= min(near[1:4]) or r[i] <= min(near[2:]):
+            span = line_dedup.SPAN
+            near = [r[j] if 0 <= j < len(r) else float("inf") for j in range(i - span + 1, i + span)]
+            if any(r[i] <= min(near[j : j + span]) for j in range(span)):
                 chunks.setdefault("".join(x[i : i + 2]), []).append((d, tids[d], i))
     gone = {d: set() for d in lines}
     for text, at in chunks.items():
