@@ -1,15 +1,16 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A text is cut into lines at line breaks and, since running prose has few of them, after clause punctuation followed by white
-space (or full-width punctuation) and, where a clause runs on for more than ``LONG`` characters, at about one in five of its
-spaces, by the letters beside them; every cut depends on the characters before it only, and the cuts keep every character, so the
-lines joined are the text.  Each line is hashed; a rolling hash covers a line and the next; two lines are a chunk if their hash
+space (or full-width punctuation); clauses of more than ``LONG`` characters are cut again at about one in five of their spaces, by
+the letters beside them; a cut depends on its own clause only, and the cuts keep every character, so the lines joined are the
+text.  Each line is hashed; a rolling hash covers a line and the next; two lines are a chunk if their hash
 is the least of some ``SPAN`` in a row that it is among.  Chunks hence depend on a dozen lines around them only, shift with the
 text they belong to, and every passage of ``SPAN`` + 1 whole lines holds one, the same in each copy.  Chunks whose hash occurs
 more than once anywhere are read again with their text and grouped by hash and the text itself, which compares their bytes.
 Of each group the occurrence with the smallest (doc_id, text hash, line) stays, every other one is removed, and with it up to
-``EDGE`` lines on either side that are, byte for byte, those beside the first: a repeated passage begins and ends between
-boundaries, no more than so many whole lines from one.
+``EDGE`` lines on either side whose 64-bit hashes are those beside the first: a repeated passage begins and ends between
+boundaries, no more than so many whole lines from one. (Chunks are compared by bytes; these few lines beside a proven chunk by
+hash, since carrying their text made the shuffles three times as large.)
 
 Scale: neighbours of a line are looked at in rows of their own, beside each other, so that no text is gone through twice a pass.
 The first shuffle carries 8-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
@@ -29,11 +30,30 @@ from pyspark.sql import functions as F
 from fernspan.llm.names import col, free
 from fernspan.session import fits_broadcast, keep
 
-_MARKS = r".!?,;:\n。！？，、；："
-#: Characters after which a clause is cut at some of its spaces.
-LONG = 40
-#: Cuts after a line break, after clause punctuation and one white space, after full-width punctuation, and within long clauses.
-LINE_CUT = rf"(?<=\n)|(?<=[.!?,;:][ \t])(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])|(?<=[aeiou][ ])(?=[a-m])(?<=[^{_MARKS}]{{{LONG + 2}}})"
+#: Clause marks: a cut comes after one of the first and a space, and after one of the second, unless white space follows.
+MARKS, WIDE_MARKS = ".!?,;:", "。！？，、；："
+CLAUSE_CUT = rf"(?<=\n)|(?<=[{MARKS}] )(?![ \t\n])|(?<=[{WIDE_MARKS}])(?![ \t\n])"
+#: Clauses of more characters than this are cut again, at about one in five of their spaces, by the letters beside them.
+LONG = 60
+LONG_CUT = r"(?<=[aeiou] )(?=[a-m])"
+_CUT = "\x01"
+
+
+def lines_of(text: Column) -> Column:
+    """A text's lines; joined, they are the text."""
+    marked = text
+    for m in MARKS:
+        marked = F.replace(marked, F.lit(f"{m} "), F.lit(f"{m} {_CUT}"))
+    for m in WIDE_MARKS:
+        marked = F.replace(marked, F.lit(m), F.lit(m + _CUT))
+    for w in " \t\n":
+        marked = F.replace(marked, F.lit(_CUT + w), F.lit(w))
+    marked = F.replace(marked, F.lit("\n"), F.lit(f"\n{_CUT}"))
+    # plain replacements find the same cuts as the pattern, several times faster; a text that has the mark itself is left to the pattern
+    clauses = F.when(F.contains(text, F.lit(_CUT)), F.split(text, CLAUSE_CUT, -1)).otherwise(F.split(marked, _CUT, -1))
+    return F.flatten(F.transform(clauses, lambda x: F.when(F.length(x) > LONG, F.split(x, LONG_CUT, -1)).otherwise(F.array(x))))
+
+
 #: Lines of a chunk, and rolling hashes in a row of which one is a chunk's.
 MIN_LINES = 2
 SPAN = 6
@@ -41,12 +61,12 @@ SPAN = 6
 EDGE = SPAN - 1
 #: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about.
 KEY_BYTES, ROW_BYTES = 48, 96
-_NEAR = range(1 - SPAN, SPAN + 1)
+_NEAR = range(1 - SPAN, SPAN + MIN_LINES - 1)
 
 
-def _chunks(docs: DataFrame, *texts: int) -> DataFrame:
-    """(doc_id, tid, start, key) of every chunk, with the lines at these distances from its first as l<distance>. docs: doc_id, tid, text."""
-    d = docs.select("doc_id", "tid", F.split("text", LINE_CUT, -1).alias("lines"))
+def _chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """(doc_id, tid, start, key) of every chunk; with texts also its bytes and the hashes of the lines before and after it, outwards. docs: doc_id, tid, text."""
+    d = docs.select("doc_id", "tid", lines_of(F.col("text")).alias("lines"))
     d = d.select("doc_id", "tid", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
 
     def moved(column: str, by: int) -> Column:
@@ -54,7 +74,7 @@ def _chunks(docs: DataFrame, *texts: int) -> DataFrame:
         return F.concat(F.array(*[none] * -by), F.col(column)) if by < 0 else F.slice(column, by + 1, F.size(column))
 
     named = lambda x, by: f"{x}{by}".replace("-", "_")
-    cols = {named("h", k): moved("h", k) for k in _NEAR} | {named("l", k): moved("lines", k) for k in texts}
+    cols = {named("h", k): moved("h", k) for k in _NEAR} | {named("l", k): moved("lines", k) for k in range(MIN_LINES if texts else 0)}
     d = d.select("doc_id", "tid", *(c.alias(x) for x, c in cols.items()))
     # outer, since the optimiser sends a filter on the size of what a plain explode takes below, and all that made it with it
     d = d.select("doc_id", "tid", F.posexplode_outer(F.arrays_zip(*cols)).alias("start", "x")).select("doc_id", "tid", "start", "x.*")
@@ -70,7 +90,11 @@ def _chunks(docs: DataFrame, *texts: int) -> DataFrame:
         return out
 
     chosen = run(-1) + run(1) >= SPAN - 1
-    return d.filter(chosen).select("doc_id", "tid", "start", F.col("r0").alias("key"), *(named("l", k) for k in texts))
+    d, key = d.filter(chosen), F.col("r0").alias("key")
+    if not texts:
+        return d.select("doc_id", "tid", "start", key)
+    before, after = (F.array(*(F.col(named("h", k)) for k in ks)) for ks in (range(-1, -EDGE - 1, -1), range(MIN_LINES, MIN_LINES + EDGE)))
+    return d.select("doc_id", "tid", "start", key, F.concat("l0", "l1").alias("bytes"), before.alias("before"), after.alias("after"))
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -79,7 +103,7 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def _common(side: str) -> Column:
-    """How many lines next to the chunk are the first occurrence's, from the chunk outwards."""
+    """How many lines next to the chunk are the first occurrence's, by their hashes, from the chunk outwards."""
     same = F.zip_with(side, f"first_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(same, False)
     return F.when(at == 0, F.size(same)).otherwise(at - 1)
@@ -90,14 +114,7 @@ def removals(docs: DataFrame) -> DataFrame:
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     repeated = keep(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
     repeated = F.broadcast(repeated) if fits_broadcast(repeated.count(), KEY_BYTES) else repeated
-    near = [*range(-EDGE, MIN_LINES + EDGE)]
-    texts = _chunks(base, *near).join(repeated, "key", "left_semi")
-    at = lambda k: F.col(f"l{k}".replace("-", "_"))
-    occurrences = texts.select(
-        "doc_id", "tid", "start", "key", F.concat(*(at(k) for k in range(MIN_LINES))).alias("bytes"),
-        F.array(*(at(-k) for k in range(1, EDGE + 1))).alias("before"), F.array(*(at(MIN_LINES + k) for k in range(EDGE))).alias("after"),
-    )
-    occurrences = keep(occurrences, "line_chunks")
+    occurrences = keep(_chunks(base, texts=True).join(repeated, "key", "left_semi"), "line_chunks")
     # chunks of blank lines are no content
     same = occurrences.select("key", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
@@ -118,34 +135,33 @@ def _lines_of(ranges: Column) -> Column:
     return F.flatten(F.transform(ranges, lambda x: F.sequence(F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
 
 
-def dedup_lines(docs: DataFrame, n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
-    """docs with ``text`` rewritten, plus the numbers of its lines and of those removed (both long; 0 for null texts)."""
+def dedup_lines(docs: DataFrame, n_removed: str = "__n_removed") -> DataFrame:
+    """docs with ``text`` rewritten, plus the number of its lines that were removed (long)."""
     names = [c for c in docs.columns if c != "text"]
     lines, own, doc, tid, list_ = free(docs, "__lines", "__own", "__doc", "__tid", "__gone")
     gone = removals(docs.select("doc_id", "text"))
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("ranges")).first()
     gone = F.broadcast(gone) if fits_broadcast(few["rows"] * ROW_BYTES + (few["ranges"] or 0) * 8, 1) else gone
-    gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("gone").alias(list_))
-    # Cut into lines before the join: what is computed above a join isn't inlined into the lambdas below.
-    base = docs.select(*map(col, names), F.split("text", LINE_CUT, -1).alias(lines), F.xxhash64("text").alias(own))
-    cut = base.join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tid)), "left")
-    cut = cut.withColumn(list_, F.array_distinct(_lines_of(F.col(list_))))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.array_distinct(_lines_of(F.col("gone"))).alias(list_))
+    cut = docs.withColumn(own, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tid)), "left")
+    # texts that lose nothing are not cut; the lines are used more than once below, so they are not inlined into the lambda
+    cut = cut.withColumn(lines, F.when(F.col(list_).isNotNull(), lines_of(F.col("text"))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(list_))
-    text = F.when(F.col(list_).isNull(), F.array_join(lines, "")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), ""))
-    counts = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in (lines, list_))
-    return cut.select(*map(col, names), text.alias("text"), *(c.alias(x) for c, x in zip(counts, (n_lines, n_removed), strict=True)))
+    text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), ""))
+    n = F.when(F.col(list_).isNotNull(), F.size(lines) - F.size(left)).otherwise(0).cast("long")
+    return cut.select(*map(col, names), text.alias("text"), n.alias(n_removed))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, lines, lines removed, characters left, digest of what is left."""
+    """Per document: doc_id, lines removed, characters left, digest of what is left."""
     d = dedup_lines(docs.select("doc_id", "text"))
-    return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return d.select("doc_id", F.col("__n_removed").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated chunks taken out; one that loses all its text goes. Columns as in docs (n_chars follows the text)."""
-    n_lines, n_removed = free(docs, "__n_lines", "__n_removed")
-    d = dedup_lines(docs, n_lines, n_removed)
+    [n_removed] = free(docs, "__n_removed")
+    d = dedup_lines(docs, n_removed)
     cut = F.col(n_removed) > 0
     gone = cut & (F.length(F.regexp_replace("text", r"\s+", "")) == 0)
     d = d.filter(~F.coalesce(gone, F.lit(False)))

@@ -324,10 +324,14 @@ def test_arc_headers(version):
         list(warc.parse_arc(data[:-20]))
 
 
+def line_cuts(t):
+    """Lines of a text by the patterns alone."""
+    return [y for x in re.split(line_dedup.CLAUSE_CUT, t) for y in (re.split(line_dedup.LONG_CUT, x) if len(x) > line_dedup.LONG else [x])]
+
+
 def brute_lines(texts):
     """The removal rule in plain Python: same cuts, hashes taken from Spark's by equality of lines only."""
-    cut = re.compile(line_dedup.LINE_CUT)
-    return [None if t is None else [x for x in re.split(cut, t)] for t in texts]
+    return [None if t is None else line_cuts(t) for t in texts]
 
 
 def test_line_dedup(spark):
@@ -367,7 +371,8 @@ def line_dedup_pieces(left, lines):
 
 def test_cuts_agree_with_spark(spark):
     r = random.Random(15)
-    texts = ["".join(r.choice(list("ab.!,;: \t\n")) for _ in range(60)) for _ in range(200)]
-    d = documents(spark, texts).select("doc_id", F.split("text", line_dedup.LINE_CUT, -1).alias("l"))
+    texts = ["".join(r.choice(list("ab.!,;: \t\n。；")) for _ in range(60)) for _ in range(200)]
+    texts += ["".join(r.choice("aeiou bcdk\x01. ") for _ in range(300)) for _ in range(50)] + ["".join(r.choice("aeiou bcdk ") for _ in range(300)) for _ in range(50)] + [""]
+    d = documents(spark, texts).select("doc_id", line_dedup.lines_of(F.col("text")).alias("l"))
     for x in d.collect():
-        assert "".join(x["l"]) == texts[x["doc_id"]]
+        assert x["l"] == line_cuts(texts[x["doc_id"]]) and "".join(x["l"]) == texts[x["doc_id"]]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fernspan.llm import line_dedup, secrets, toxicity
 from fernspan.session import scratch_path
+from tests.llm.test_llm import line_cuts
 
 
 def letters(r, n, alphabet="abcdefghiklmnop"):
@@ -117,7 +118,7 @@ def brute_dedup(rows):
     for d, t in rows:
         if t is None:
             continue
-        x = lines[d] = re.split(line_dedup.LINE_CUT, t)
+        x = lines[d] = line_cuts(t)
         tids[d] = signed(hashed(t.encode()))
         h = [hashed(y.encode()) for y in x]
         r = [signed(hashed(b.to_bytes(8, "little"), a_)) for a_, b in zip([hashed(a.to_bytes(8, "little")) for a in h], h[1:], strict=False)]
@@ -157,7 +158,7 @@ def test_line_dedup_equals_brute_force(spark):
     texts += [None, "", "\n\n\n", "yes. yes. yes. yes. yes. yes. yes. yes. ", shared[0] * 3, "word " * 5000]
     rows = list(enumerate(texts))
     path = scratch_path(spark, "test")
-    odd = {"__lines": F.lit(1), "a.b": F.lit(2), "__n_removed": F.lit(3), "n_chars": F.length("text").cast("long"), "key": F.lit("k")}
+    odd = {"__lines": F.lit(1), "a.b": F.lit(2), "__n_removed": F.lit(3), "__gone": F.lit("x"), "n_chars": F.length("text").cast("long"), "key": F.lit("k")}
     spark.createDataFrame(rows, "doc_id long, text string").withColumns(odd).write.parquet(path)
     docs = spark.read.parquet(path)
     got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs.select("doc_id", "text")).collect()}
