@@ -60,12 +60,14 @@ def triage(invoices: DataFrame, po: DataFrame, ledger: DataFrame, now: dt.dateti
     keys, used, recent = _ledger(ledger, now)
     d = normalised(invoices).join(keys, "key", "left").join(used, "po_id", "left").join(recent, "supplier", "left").join(latest_orders(po, load_order), "po_id", "left")
     earlier = (Window.unboundedPreceding, -1)
-    by_key = Window.partitionBy("key").orderBy("seq")
+    # rows that lack a part of a key (they are invalid, whatever else) get partitions of their own, so they don't pile up in one
+    alone = F.concat(F.lit("\n"), F.col("seq").cast("string"))
+    by_key = Window.partitionBy(F.when((F.col("supplier") == "") | (F.col("invoice_ref") == ""), alone).otherwise(F.col("key"))).orderBy("seq")
     d = d.withColumn("duplicate", F.coalesce("in_ledger", F.lit(False)) | F.col("key").isin(*HISTORIC) | (F.row_number().over(by_key) > 1))
     d = d.withColumn("counted", (F.col("valid") & ~F.col("duplicate")).cast("int"))
-    # rows without an order get partitions of their own, so they don't pile up in one
-    by_po = Window.partitionBy(F.when(F.col("po_id") == "", F.concat(F.lit("\n"), F.col("seq").cast("string"))).otherwise(F.col("po_id"))).orderBy("seq").rowsBetween(*earlier)
-    by_supplier = Window.partitionBy("supplier").orderBy("seq").rowsBetween(*earlier)
+    by_po = Window.partitionBy(F.when(F.col("po_id") == "", alone).otherwise(F.col("po_id"))).orderBy("seq").rowsBetween(*earlier)
+    # one supplier's rows of a batch are one task: their running sum needs their order
+    by_supplier = Window.partitionBy(F.when(F.col("supplier") == "", alone).otherwise(F.col("supplier"))).orderBy("seq").rowsBetween(*earlier)
     small = F.when((F.col("counted") == 1) & (F.col("amount_usd") <= APPROVAL_LIMIT), F.col("amount_usd"))
     d = d.withColumn("po_used", F.coalesce("po_in_ledger", F.lit(False)) | (F.coalesce(F.sum("counted").over(by_po), F.lit(0)) > 0))
     d = d.withColumn("siblings", F.coalesce("old_n", F.lit(0)) + F.count(small).over(by_supplier)).withColumn("split_total", F.coalesce("old_sum", F.lit(0.0)) + F.coalesce(F.sum(small).over(by_supplier), F.lit(0.0)) + F.coalesce("amount_usd", F.lit(0.0)))
@@ -152,15 +154,35 @@ def batch_response(cases: DataFrame) -> DataFrame:
     return total.join(F.broadcast(counts("priority"))).join(F.broadcast(counts("status"))).withColumn("payment_authorized", F.lit(False))
 
 
+def _recent(cases: DataFrame, now: dt.datetime) -> DataFrame:
+    return cases.filter(F.col("case_id").isNotNull() & (F.col("received_at") >= F.lit(now - dt.timedelta(hours=24))))
+
+
 def digest(cases: DataFrame, now: dt.datetime) -> DataFrame:
-    """The last 24 hours in one row: counts, sums and the held cases."""
-    rows = cases.filter(F.col("case_id").isNotNull() & (F.col("received_at") >= F.lit(now - dt.timedelta(hours=24))))
+    """The last 24 hours in one row: counts by priority and status, sums, and the head of the message. The held cases are held()."""
+    rows = _recent(cases, now)
     amount = F.coalesce("amount_usd", F.lit(0.0))
     p = lambda x: F.count_if(F.col("priority") == x)
-    return rows.agg(
+    total = rows.agg(
         F.count("*").alias("cases"), p("P1").alias("p1"), p("P2").alias("p2"), p("P3").alias("p3"), F.round(F.coalesce(F.sum(F.when(F.col("priority") == "P1", amount)), F.lit(0.0)), 2).alias("on_hold_usd"),
         F.round(F.coalesce(F.sum(F.when(F.col("manager_approval_required"), amount)), F.lit(0.0)), 2).alias("needs_manager_usd"), F.count_if(F.col("ai_guardrail") == "BLOCKED").alias("ai_notes_blocked"),
     )
+    status = rows.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("by_status"))
+    out = total.join(F.broadcast(status))  # one row each
+    named = F.array_join(F.transform(F.map_entries("by_status"), lambda x: F.concat(x["key"], F.lit(" "), x["value"].cast("string"))), ", ")
+    money = lambda c: F.format_string("%.2f", F.col(c))
+    head = F.concat(
+        F.lit(f"{TITLE} | DAILY DIGEST\nCases: "), F.col("cases").cast("string"), F.lit(" | P1 "), F.col("p1").cast("string"), F.lit(" / P2 "), F.col("p2").cast("string"), F.lit(" / P3 "), F.col("p3").cast("string"),
+        F.lit("\nOn hold: $"), money("on_hold_usd"), F.lit(" | Needs manager: $"), money("needs_manager_usd"), F.lit("\nBy status: "), F.when(F.size("by_status") > 0, named).otherwise("none"),
+    )
+    return out.withColumn("header", head)
+
+
+def held(cases: DataFrame, now: dt.datetime) -> DataFrame:
+    """The cases on hold of the last 24 hours, a line each: invoice, supplier, amount and status."""
+    amount = F.coalesce(F.regexp_replace(F.format_string("%.2f", F.col("amount_usd")), r"\.?0+$", ""), F.lit("null"))
+    line = F.concat("invoice_id", F.lit(" "), "supplier", F.lit(" $"), F.when(F.col("amount_usd").isNull(), "null").otherwise(amount), F.lit(" "), "status")
+    return _recent(cases, now).filter("priority = 'P1'").select("seq", line.alias("line"))
 
 
 def guarded_notes(cases: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ the other one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,16 +23,18 @@ from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
 from fernspan.operators import metrics
+from fernspan.session import ship
 
 FEATURES = 1 << 14
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """Adds word and character n-gram arrays; null text is empty."""
+def prepared(df: DataFrame, chars: bool = True) -> DataFrame:
+    """Adds word and (if a model wants them) character n-gram arrays; null text is empty."""
     t = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\b\w\w+\b)"), 1)
     pairs = F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("words", words).withColumn("word_pairs", F.concat(words, pairs)).withColumn("chars", T.char_wb(t, 2, 4))
+    out = df.withColumn("words", words).withColumn("word_pairs", F.concat(words, pairs))
+    return out.withColumn("chars", T.char_wb(t, 2, 4)) if chars else out
 
 
 def _tfidf(column: str, out: str, idf: bool = True) -> list:
@@ -150,29 +153,61 @@ def top_features(df: DataFrame, weights: np.ndarray, classes: list[str], column:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def explained(model: PipelineModel, df: DataFrame, key: str, classes: list[str], label: str, draws: int = 60, top: int = 5, seed: int = 7) -> DataFrame:
+def _kept(n: int, draws: int, key: object, seed: int) -> np.ndarray:
+    """Which of n words each variant keeps: all in the first, else all but a random number of random ones."""
+    r = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+    out = np.ones((draws, n), bool)
+    for row in out[1:]:
+        row[r.choice(n, r.integers(1, n + 1), replace=False)] = False
+    return out
+
+
+def explained(model: PipelineModel, df: DataFrame, key: str, classes: list[str], label: str, draws: int = 1000, top: int = 5, seed: int = 7) -> DataFrame:
     """The words that speak for a class: words are left out at random, every variant is scored, a weighted line is fitted for each text.
 
-    Variants are one frame, so the model scores them all in one pass; the fits are one small problem a text.
+    A word left out goes in all its places, wherever in the text; variants are scored as rows of one frame, the line is fitted
+    where a text's scores meet (with more words than draws in the space of the draws), and which words a variant lacks follows
+    from the key, so only scores travel. A text of one word has that word as its flag. Keys are taken to be distinct.
     """
-    words = F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 200)
-    base = df.select(key, words.alias("tokens")).filter(F.size("tokens") > 0)
-    each = base.select(key, "tokens", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    keep_ = F.transform("tokens", lambda t, i: F.when(F.col("draw") == 0, 1).otherwise((F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw"), i), F.lit(2))).cast("int")))
-    varied = each.withColumn("kept", keep_)
-    varied = varied.withColumn("text", F.array_join(F.transform(F.filter(F.arrays_zip("tokens", "kept"), lambda x: x["kept"] == 1), lambda x: x["tokens"]), " "))
-    s = scored(model, prepared(varied), classes).select(key, "tokens", "kept", F.get("proba", F.lit(classes.index(label))).alias("p"))
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(p["kept"].tolist(), float)
-        w = np.exp(-((1 - x.mean(1)) ** 2) / 0.25)
-        a = np.hstack([np.ones((len(x), 1)), x])
-        beta = np.linalg.solve((a * w[:, None]).T @ a + 0.1 * np.eye(a.shape[1]), (a * w[:, None]).T @ p["p"].to_numpy())[1:]
-        order = np.argsort(-beta, kind="stable")
-        tokens = p["tokens"].iloc[0]
-        return pd.DataFrame({key: [p[key].iloc[0]], "words": [[tokens[i] for i in order]], "weights": [[float(beta[i]) for i in order]]})
-
-    out = s.groupBy(key).applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, words array<string>, weights array<double>")
+    ship(df.sparkSession)
+    words = T.words(F.coalesce("text", F.lit("")))
+    # few texts make many variants, so they are spread first
+    base = df.select(key, words.alias("tokens")).filter(F.size("tokens") > 0).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+    kind = dict(df.dtypes)[key]
+
+    def vary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for k, tokens in zip(p[key], p["tokens"], strict=True):
+                tokens = np.asarray(list(tokens), object)
+                _, where = np.unique(tokens.astype(str), return_inverse=True)
+                kept = _kept(where.max() + 1, draws, k, seed)
+                for at in range(0, draws, 50):
+                    texts = [" ".join(tokens[row[where]]) for row in kept[at : at + 50]]
+                    yield pd.DataFrame({key: k, "draw": np.arange(at, at + len(texts)), "text": texts})
+
+    varied = base.mapInPandas(vary, f"{key} {kind}, draw int, text string")
+    s = scored(model, prepared(varied), classes).select(key, "draw", F.get("proba", F.lit(classes.index(label))).alias("p"))
+    scores = s.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "p"))), lambda x: x["p"]).alias("ps"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for k, tokens, ps in zip(p[key], p["tokens"], p["ps"], strict=True):
+                names, first = np.unique(np.asarray(list(tokens), object).astype(str), return_index=True)
+                if len(names) == 1:
+                    rows.append((k, [names[0]], [1.0]))
+                    continue
+                x = _kept(len(names), draws, k, seed).astype(float)
+                w = np.sqrt(np.exp(-((100 * (1 - np.sqrt(x.mean(1)))) ** 2) / 25.0**2))
+                y, mean = np.asarray(list(ps)), w / w.sum()
+                a, b = (x - mean @ x) * np.sqrt(w)[:, None], (y - mean @ y) * np.sqrt(w)
+                n = x.shape[1]
+                beta = np.linalg.solve(a.T @ a + np.eye(n), a.T @ b) if n <= draws else a.T @ np.linalg.solve(a @ a.T + np.eye(draws), b)
+                order = np.lexsort((first, -beta))
+                rows.append((k, [str(names[i]) for i in order], [float(beta[i]) for i in order]))
+            yield pd.DataFrame(rows, columns=[key, "words", "weights"])
+
+    out = base.join(scores, key).mapInPandas(fit, f"{key} {kind}, words array<string>, weights array<double>")
     return out.select(key, T.red_flags(F.col("words"), F.col("weights"), top).alias("flags"))
 
 

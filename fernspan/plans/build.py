@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
-from fernspan.operators import dedup, metrics, ml, similarity, split, tabular
+from fernspan.operators import dedup, metrics, ml, similarity, split
 from fernspan.session import keep
 
-# Headlines of a verdict, and messages whose verdict should survive rewording (probe, variant, text, wanted).
-HEADLINES = {"ham": "Looks genuine", "spam": "Unwanted marketing", "smishing": "Likely a scam"}
+# The marks and headlines of a verdict, its notes, and messages whose verdict should survive rewording (probe, variant, text, wanted).
+MARKS = {"ham": "✅", "spam": "📣", "smishing": "⚠️"}
+UNSURE, UNKNOWN = "❔", "•"
+HEADLINES = {"ham": "No scam signals found", "spam": "Marketing / spam", "smishing": "Likely scam"}
+REVIEW_NOTE = "\n🔎 {}, so a person should check it. Until then, treat it as suspicious: don't click links, pay, or share codes."
+REVIEW_HAM, REVIEW_OTHER = "There is still enough chance this is a scam", "I'm not certain about this one"
+HAM_NOTE = "\nThis is not a guarantee. If it asks for money, a code or a login, check with the sender on a number you already trust."
 PROBES = (
     ("obfuscation", "plain", "Your DBS account has been locked. Verify now at http://dbs-sg-verify.top", "smishing"),
     ("obfuscation", "leetspeak", "Y0ur DB5 acc0unt has been l0cked. Verify now at http://dbs-sg-verify.top", "smishing"),
@@ -52,20 +57,35 @@ def build_splits(rows: DataFrame, rank: Column, synthetic: list[str], shift: lis
     return reduce(DataFrame.unionByName, (train, val, test, away))
 
 
-def predict_batch(model: PipelineModel, messages: DataFrame, classes: list[str], rule: str = "argmax", review_cost: float = metrics.REVIEW_COST) -> DataFrame:
-    """Per message: label, confidence, scores by class and whether a person should look; blank messages are left out."""
-    d = ml.scored(model, ml.prepared(messages.filter(F.length(F.trim("text")) > 0)), classes)
+def predict_batch(model: PipelineModel, messages: DataFrame, classes: list[str], rule: str = "argmax", review_cost: float = metrics.REVIEW_COST, explain: str | None = None, draws: int = 1000) -> DataFrame:
+    """Per message: label, confidence, scores by class and whether a person should look; a blank message is an error.
+
+    explain names a key of messages: warnings then get their red flags, and every message its verdict in words.
+    """
+    text = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, F.col("text")).otherwise(F.raise_error(F.lit("cannot classify an empty message")))
+    d = ml.scored(model, ml.prepared(messages.withColumn("text", text)), classes)
     label = metrics.min_cost_class(F.col("proba")) if rule == "min_cost" else metrics.argmax_class(F.col("proba"))
     d = d.withColumn("label_", label)
     scores = F.map_from_arrays(F.array(*map(F.lit, classes)), "proba")
-    return d.select(*messages.columns, F.col("label_").alias("predicted"), F.element_at(scores, F.col("label_")).alias("confidence"), scores.alias("scores"), (metrics.answer_cost(F.col("proba"), F.col("label_")) > review_cost).alias("needs_review"))
+    out = d.select(*messages.columns, F.col("label_").alias("predicted"), F.element_at(scores, F.col("label_")).alias("confidence"), scores.alias("scores"), (metrics.answer_cost(F.col("proba"), F.col("label_")) > review_cost).alias("needs_review"))
+    if explain is None:
+        return out
+    out = keep(out, "predictions")
+    flags = [ml.explained(model, out.filter(F.col("predicted") == c).select(explain, "text"), explain, classes, c, draws) for c in classes if c != "ham"]
+    out = out.join(reduce(DataFrame.unionByName, flags), explain, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    return out.withColumn("verdict", verdict(F.col("predicted"), F.col("confidence"), F.col("flags"), F.col("needs_review")))
 
 
 def verdict(label: Column, confidence: Column, flags: Column, review: Column) -> Column:
-    """A verdict in words: headline, percentage, red flags, and a note where a person looks too."""
-    head = F.create_map(*(F.lit(x) for kv in HEADLINES.items() for x in kv))
-    pct = F.floor(confidence * 100 + 0.5).cast("string")
-    return F.concat(F.element_at(head, label), F.lit(" ("), pct, F.lit("%)"), F.when(F.size(flags) > 0, F.concat(F.lit(". Red flags: "), F.array_join(flags, ", "))).otherwise(""), F.when(review, ". Sent to a person for review").otherwise(""))
+    """A verdict in words: mark, headline, percentage, red flags, and what to do about it."""
+    of = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    mark = F.when((label == "ham") & review, UNSURE).otherwise(F.coalesce(F.try_element_at(of(MARKS), label), F.lit(UNKNOWN)))
+    pct = F.bround(confidence * 100, 0).cast("long").cast("string")
+    quoted = F.array_join(F.transform(flags, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
+    why = F.when(label == "ham", REVIEW_NOTE.format(REVIEW_HAM)).otherwise(REVIEW_NOTE.format(REVIEW_OTHER))
+    note = F.when(review, why).when(label == "ham", HAM_NOTE).otherwise("")
+    head = F.concat(mark, F.lit(" "), F.coalesce(F.try_element_at(of(HEADLINES), label), label), F.lit(" ("), pct, F.lit("%)"))
+    return F.concat(head, F.when(F.size(flags) > 0, F.concat(F.lit("\nFlagged on: "), quoted)).otherwise(""), note)
 
 
 def html_table(df: DataFrame, columns: list[str], order: list[Column], title: str) -> DataFrame:
@@ -77,30 +97,71 @@ def html_table(df: DataFrame, columns: list[str], order: list[Column], title: st
     return rows.select(F.concat(F.lit(f"<h1>{title}</h1><table>{head}"), "body", F.lit("</table>")).alias("html"))
 
 
-def cleaning_ablation(df: DataFrame, classes: list[str], fit, levels: range = range(6)) -> DataFrame:
-    """Macro F1 by cleaning level: the same model on the same folds over texts cleaned so far. df: doc_id, text, y, fold."""
-    out = []
-    for k in levels:
-        d = keep(ml.labelled(ml.prepared(df.withColumn("text", T.cleaned(F.col("text"), k))), classes), "ablation")
-        s = ml.scored(fit().fit(d.filter("fold <> 0")), d.filter("fold = 0"), classes)
-        out.append(s.select(F.lit(k).alias("level"), "y", "pred"))
-    return metrics.summary(keep(reduce(DataFrame.unionByName, out), "ablation_scores"), ["level"])
+def cleaning_ablation(df: DataFrame, fields: dict[str, Column], classes: list[str], fit, levels: range = range(6), folds: int = 5) -> DataFrame:
+    """Per text field and cleaning level: mean and deviation over the folds of the macro F1 of one model, and the words that are left. df: doc_id, y."""
+    scores, words = [], []
+    for (name, field), k in ((f, k) for f in fields.items() for k in levels):
+        d = df.select("doc_id", "y", T.cleaned(F.coalesce(field, F.lit("")), k).alias("text"), split.bucket(F.concat_ws("/", "y", "doc_id"), folds, 5).cast("int").alias("fold"))
+        d = keep(ml.labelled(ml.prepared(keep(d, "ablation_texts"), chars=False), classes), "ablation")
+        at = (F.lit(name).alias("field"), F.lit(k).alias("level"))
+        scores.append(ml.fold_predictions(fit, d, classes, "fold", folds).select(*at, "fold", "y", "pred"))
+        words.append(d.select(*at, F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w")).distinct().groupBy("field", "level").agg(F.count("*").alias("vocabulary")))
+    each = metrics.summary(keep(reduce(DataFrame.unionByName, scores), "ablation_scores"), ["field", "level", "fold"])
+    out = each.groupBy("field", "level").agg(F.avg("macro_f1").alias("macro_f1"), F.stddev_pop("macro_f1").alias("deviation"), F.sum("n").alias("n"))
+    return out.join(reduce(DataFrame.unionByName, words), ["field", "level"])
+
+
+def augmentation_ablation(rows: DataFrame, synthetic: Column, classes: list[str], fit) -> DataFrame:
+    """With and without generated training rows: metrics on the validation side and false alarms on the shift set. rows: as build_splits gives them."""
+    d = keep(ml.prepared(rows.withColumn("y", F.col("label")).drop("label"), chars=False), "augmentation")
+    val, shift, out = d.filter("split = 'val'"), d.filter("split = 'shift'"), []
+    for name, train in (("real_only", d.filter((F.col("split") == "train") & ~synthetic)), ("real_plus_synthetic", d.filter("split = 'train'"))):
+        model = fit().fit(ml.labelled(train, classes))
+        p = keep(ml.scored(model, val, classes).select("y", "pred"), "augmentation_scores")
+        alarms = ml.scored(model, shift, classes).agg(F.avg((F.col("pred") != "ham").cast("double")).alias("shift_false_alarms"))
+        one = (p.agg(metrics.mean_cost(p).alias("expected_cost")), alarms, train.agg(F.count("*").alias("train_rows")))  # one row each
+        s = reduce(lambda x, y: x.join(F.broadcast(y)), one, metrics.summary(p))
+        out.append(s.select(F.lit(name).alias("condition"), "train_rows", "n", "accuracy", "macro_f1", "target_recall", "expected_cost", "shift_false_alarms"))
+    return reduce(DataFrame.unionByName, out)
 
 
-def split_study(df: DataFrame, classes: list[str], fit) -> DataFrame:
-    """Target recall under a split by rows and one by templates, for held-out rows with a twin in training and without."""
-    out = []
-    t = df.withColumn("template", F.md5(T.normalise_text(F.col("text"))))
-    by_template = t.withColumn("side", F.when(split.bucket(F.col("template"), 3) == 0, "hold").otherwise("train"))
-    for name, s in (("rows", split.random_split(t, "doc_id", "y", 0.33)), ("templates", by_template)):
-        s = keep(s, "study")
-        train, held = s.filter("side = 'train'"), s.filter("side = 'hold'")
-        twins = train.select("template").distinct().withColumn("twin", F.lit(True))
-        p = ml.scored(fit().fit(train), held, classes).join(twins, "template", "left")
-        hit = (F.col("pred") == F.col("y")).cast("double")
-        out.append(p.agg(F.lit(name).alias("split"), F.count("*").alias("held"), F.count_if("twin").alias("twins"), F.avg(F.when(F.col("twin"), hit)).alias("twin_accuracy"), F.avg(F.when(F.col("twin").isNull(), hit)).alias("new_accuracy")))
-    return reduce(DataFrame.unionByName, out)
+def repeated_ablation(rows: DataFrame, synthetic: Column, classes: list[str], fit, seeds: int = 6) -> DataFrame:
+    """The same over repeated splits of the real train and validation rows by cluster; generated rows that share a held-out cluster go."""
+    d = keep(ml.prepared(rows.filter("split in ('train', 'val')").withColumn("y", F.col("label")).drop("label"), chars=False), "repeated")
+    made, pool, out = d.filter(synthetic), d.filter(~synthetic), []
+    for seed in range(seeds):
+        s = keep(split.group_split(pool, "cluster", "y", 0.2, seed), "repeated_split")
+        held = s.filter("side = 'hold'").drop("side")
+        real = s.filter("side = 'train'").drop("side")
+        every = real.unionByName(split.without_leaks(made, held, "cluster"))
+        for name, train in (("real_only", real), ("with_generated", every)):
+            model = fit().fit(ml.labelled(train, classes))
+            out.append(ml.scored(model, held, classes).select(F.lit(seed).alias("seed"), F.lit(name).alias("condition"), "y", "pred"))
+    r = metrics.summary(keep(reduce(DataFrame.unionByName, out), "repeated_scores"), ["seed", "condition"])
+    wide = r.groupBy("seed").agg(*(F.max(F.when(F.col("condition") == n, F.col(c))).alias(f"{c}_{n}") for n in ("real_only", "with_generated") for c in ("target_recall", "macro_f1")))
+    return wide.withColumn("recall_gain", F.col("target_recall_with_generated") - F.col("target_recall_real_only")).withColumn("f1_gain", F.col("macro_f1_with_generated") - F.col("macro_f1_real_only"))
+
 
+def split_study(df: DataFrame, classes: list[str], fit, seeds: tuple[int, ...] = (42, 1, 2), target: str = metrics.TARGET) -> DataFrame:
+    """Target recall by splitting method and seed, for held-out rows with a twin in training (the same template or a near copy) and without.
 
-def share_table(df: DataFrame, key: str) -> DataFrame:
-    return tabular.value_counts(df, key)
+    random splits rows; delete splits templates and drops training rows that nearly copy a held-out one; cluster splits near-copy clusters.
+    """
+    t = df.withColumn("template", F.md5(T.normalise_text(F.col("text"))))
+    t = keep(t.join(similarity.near_copy_clusters(t, "doc_id", "text"), "doc_id"), "study_rows")
+    out = []
+    for method, seed in ((m, s) for m in ("random", "delete", "cluster") for s in seeds):
+        if method == "random":
+            s = split.random_split(t, "doc_id", "y", 0.2, seed)
+        else:
+            s = split.group_split(t, "template" if method == "delete" else "cluster", "y", 0.2, seed)
+        s = keep(s, "study")
+        train, held = s.filter("side = 'train'").drop("side"), s.filter("side = 'hold'").drop("side")
+        if method == "delete":
+            train = split.without_leaks(train, held, "cluster")
+        known = [train.select(k).distinct().withColumn(f"by_{k}", F.lit(True)) for k in ("template", "cluster")]
+        p = ml.scored(fit().fit(train), held, classes).join(known[0], "template", "left").join(known[1], "cluster", "left")
+        p = p.filter(F.col("y") == target).select((F.col("pred") == target).cast("double").alias("hit"), (F.coalesce("by_template", F.lit(False)) | F.coalesce("by_cluster", F.lit(False))).alias("twin"))
+        of = lambda c: F.avg(F.when(c, F.col("hit")))
+        out.append(p.agg(F.lit(method).alias("method"), F.lit(seed).alias("seed"), F.count("*").alias("targets"), F.avg("hit").alias("recall"), F.count_if("twin").alias("twins"), of(F.col("twin")).alias("twin_recall"), F.count_if(~F.col("twin")).alias("new"), of(~F.col("twin")).alias("new_recall")))
+    return keep(reduce(DataFrame.unionByName, out), "study_table")

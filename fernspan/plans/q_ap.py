@@ -70,7 +70,12 @@ def ap_split_window(spark, sf):
 
 
 def ap_digest(spark, sf):
-    return ap.digest(cases(spark, sf), NOW + dt.timedelta(hours=3))
+    d = ap.digest(cases(spark, sf), NOW + dt.timedelta(hours=3))
+    return d.withColumn("by_status", F.concat_ws(",", F.transform(F.map_entries("by_status"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))))
+
+
+def ap_held(spark, sf):
+    return ap.held(cases(spark, sf), NOW + dt.timedelta(hours=3))
 
 
 def ap_batch_response(spark, sf):
@@ -125,7 +130,7 @@ def ap_numbers(spark, sf):
     return e.select("event_id", R.number(raw).alias("x"), R.yes(F.when(k == 0, "true").when(k == 1, " Yes ").when(k == 2, "1")).alias("flag"))
 
 
-QUERIES = {f.__name__: f for f in (ap_triage, ap_status_counts, ap_triage_fixed, ap_split_window, ap_digest, ap_batch_response, ap_guardrail_notes, ap_guardrail_numbers, ap_batch_rows, ap_route, ap_numbers)}
+QUERIES = {f.__name__: f for f in (ap_triage, ap_status_counts, ap_triage_fixed, ap_split_window, ap_digest, ap_held, ap_batch_response, ap_guardrail_notes, ap_guardrail_numbers, ap_batch_rows, ap_route, ap_numbers)}
 
 _INV = """
 inv AS (SELECT o_orderkey AS seq, 'T1' AS team_id, CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE 'INV-' || o_orderkey END AS invoice_id, 'SUP' || (o_custkey % 97) AS supplier, 'R' || (o_orderkey % 4999) AS invoice_ref,
@@ -175,7 +180,10 @@ FROM c""",
     "ap_split_window": """WITH e AS (SELECT 'SUP' || (user_id % 97 + CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 0 END) AS supplier, ts, CASE WHEN value <= 100 THEN value END AS small FROM events),
   w AS (SELECT supplier, count(small) OVER p AS n, sum(small) OVER p AS total FROM e WINDOW p AS (PARTITION BY supplier ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW))
   SELECT supplier, count(*) AS n_rows, max(n) AS most, cast(sum(n) AS BIGINT) AS n_sum, round(max(round(total, 4)), 3) AS largest FROM w GROUP BY supplier""",
-    "ap_digest": _WITH + "SELECT count(*) AS cases, count(*) FILTER (priority = 'P1') AS p1, count(*) FILTER (priority = 'P2') AS p2, count(*) FILTER (priority = 'P3') AS p3, round(coalesce(sum(amount_usd) FILTER (priority = 'P1'), 0), 2) AS on_hold_usd, round(coalesce(sum(amount_usd) FILTER (manager), 0), 2) AS needs_manager_usd, 0::BIGINT AS ai_notes_blocked FROM c",
+    "ap_digest": _WITH
+    + "SELECT *, 'INVOICE CONTROL | DAILY DIGEST' || chr(10) || 'Cases: ' || cases || ' | P1 ' || p1 || ' / P2 ' || p2 || ' / P3 ' || p3 || chr(10) || 'On hold: $' || format('{:.2f}', on_hold_usd) || ' | Needs manager: $' || format('{:.2f}', needs_manager_usd) || chr(10) || 'By status: ' || (SELECT string_agg(k || ' ' || n, ', ' ORDER BY k) FROM (SELECT status AS k, count(*) AS n FROM c GROUP BY 1)) AS header,"
+    " (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT status AS k, count(*) AS n FROM c GROUP BY 1)) AS by_status FROM (SELECT count(*) AS cases, count(*) FILTER (priority = 'P1') AS p1, count(*) FILTER (priority = 'P2') AS p2, count(*) FILTER (priority = 'P3') AS p3, round(coalesce(sum(amount_usd) FILTER (priority = 'P1'), 0), 2) AS on_hold_usd, round(coalesce(sum(amount_usd) FILTER (manager), 0), 2) AS needs_manager_usd, 0::BIGINT AS ai_notes_blocked FROM c)",
+    "ap_held": _WITH + "SELECT seq, invoice_id || ' ' || supplier || ' $' || coalesce(regexp_replace(format('{:.2f}', amount_usd::DOUBLE), '\\.?0+$', ''), 'null') || ' ' || status AS line FROM c WHERE priority = 'P1'",
     "ap_batch_response": _WITH + "SELECT count(*) AS received, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT priority AS k, count(*) AS n FROM c GROUP BY 1)) AS by_priority, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT status AS k, count(*) AS n FROM c GROUP BY 1)) AS by_status, false AS payment_authorized FROM c",
     "ap_guardrail_notes": _NOTE.replace("{st}", ", ".join(f"'{s}'" for s in R.STATUSES)).replace("{pat}", R.FORBIDDEN_NOTE.replace("(?i)", "")),
     "ap_guardrail_numbers": """SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'BLOCKED' ELSE 'PASSED' END AS ai_guardrail,

@@ -137,7 +137,7 @@ def evaluation_report(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    b = M.bootstrap(predictions(spark, sf), F.col("source"), 400, 42)
+    b = M.bootstrap(predictions(spark, sf), F.col("source"), 2000, 42)
     return b.select(R("lo").alias("lo"), R("hi").alias("hi"), R("mean").alias("mean"), "draws")
 
 
@@ -242,7 +242,7 @@ ORACLES = {
     "class_weights": _P + "SELECT y, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM o GROUP BY y",
     "score_map": _P + "SELECT doc_id, pred AS label, round(CASE pred WHEN 'ham' THEN ph WHEN 'smishing' THEN pt ELSE ps END, 6) AS confidence, 'ham=' || floor(ph * 10000)::BIGINT || ';smishing=' || floor(pt * 10000)::BIGINT || ';spam=' || floor(ps * 10000)::BIGINT AS scores FROM o",
     "evaluation_report": _P + f"SELECT n, accuracy, macro_f1, target_recall, (SELECT count(DISTINCT source) FROM p WHERE y = 'smishing') AS target_groups FROM (SELECT {_SUM} FROM ({_metrics('p')}))",
-    "bootstrap_ci": _P + ", g AS (SELECT source, count(*) FILTER (y = 'smishing') AS s, count(*) FILTER (y = 'smishing' AND pred = y) AS h FROM p GROUP BY source), d AS (SELECT draw, s, h, ('0x' || substr(md5('42/' || source || '/' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM g, generate_series(1, 400) x(draw) WHERE s > 0), "
+    "bootstrap_ci": _P + ", g AS (SELECT source, count(*) FILTER (y = 'smishing') AS s, count(*) FILTER (y = 'smishing' AND pred = y) AS h FROM p GROUP BY source), d AS (SELECT draw, s, h, ('0x' || substr(md5('42/' || source || '/' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM g, generate_series(1, 2000) x(draw) WHERE s > 0), "
     + f"w AS (SELECT draw, {' + '.join(_POIS)} AS k, s, h FROM d), r AS (SELECT draw, coalesce(sum(k * h) / nullif(sum(k * s), 0), 0) AS r FROM w GROUP BY draw) SELECT round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi, round(avg(r), 6) AS mean, count(*) AS draws FROM r",
     "repeated_summary": _P + ", r AS (SELECT doc_id % 6 AS seed, avg((mc = 'smishing')::INT) - avg((pred = 'smishing')::INT) AS gain FROM o WHERE y = 'smishing' GROUP BY 1) SELECT round(avg(gain), 6) AS mean_gain, count(*) FILTER (gain > 0) AS better, round(min(gain), 6) AS least, round(max(gain), 6) AS most FROM r",
     "before_after": _P + ", t AS (SELECT 'before' AS run, 0.5::DOUBLE AS t UNION ALL SELECT 'after', 0.35::DOUBLE) SELECT run, count(*) FILTER (y = 'smishing' AND pt >= t) AS tp, count(*) FILTER (y <> 'smishing' AND pt >= t) AS fp, count(*) FILTER (y = 'smishing' AND pt < t) AS fn, count(*) FILTER (y <> 'smishing' AND pt < t) AS tn, round(count(*) FILTER ((y = 'smishing') = (pt >= t)) / count(*), 6) AS accuracy, count(*) FILTER ((y = 'smishing') <> (pt >= t)) AS errors FROM o, t GROUP BY run",

@@ -43,6 +43,26 @@ def source_xml(spark, sf):
     return _summary(loaders.load_xml(spark, path)).select("source", "label", "n")
 
 
+def source_rate_feed(spark, sf):
+    """Average order prices by day and priority as a feed of nested cubes, loaded back."""
+    path = scratch_path(spark, "feed")
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d"), F.substring("o_orderpriority", 1, 1).alias("p")).agg(F.round(F.avg("o_totalprice"), 4).alias("r"))
+    cube = F.concat(F.lit('<Cube currency="c'), "p", F.lit('" rate="'), F.col("r").cast("string"), F.lit('"/>'))
+    day = o.groupBy("d").agg(F.concat_ws("", F.collect_list(cube)).alias("cubes")).select(F.concat(F.lit('<Cube time="'), F.col("d").cast("string"), F.lit('">'), "cubes", F.lit("</Cube>")).alias("x"))
+    day.agg(F.concat(F.lit("<Envelope><Cube>"), F.concat_ws("", F.collect_list("x")), F.lit('<Cube time="n/a"><Cube currency="USD" rate="1"/></Cube></Cube></Envelope>')).alias("value")).write.text(path)
+    return loaders.load_rate_feed(spark, path).withColumn("rate_date", F.col("rate_date").cast("string"))
+
+
+def source_invoices(spark, sf):
+    """Customers as a CSV of open invoices: blanks trimmed, currencies in upper case, unreadable amounts and dates null."""
+    path = scratch_path(spark, "invoices")
+    c = table(spark, sf, "customer")
+    amount = F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.format_string(" %.2f", F.col("c_acctbal")))
+    due = F.when(F.col("c_custkey") % 5 == 0, "soon").otherwise(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 90).cast("int")).cast("string"))
+    c.select(F.format_string(" INV-%d ", F.col("c_custkey")).alias("invoice_id"), F.when(F.col("c_custkey") % 2 == 0, " usd").otherwise("Eur ").alias("currency"), amount.alias("amount"), due.alias("due_date")).write.option("header", "true").csv(path)
+    return loaders.load_invoices(spark, path).select("invoice_id", "currency", F.round("amount", 2).alias("amount"), F.col("due_date").cast("string").alias("due_date"))
+
+
 def source_all(spark, sf):
     """Registry: available sources are united, a missing one is skipped."""
     path = scratch_path(spark, "tsv")
@@ -113,13 +133,15 @@ def stream_ledger(spark, sf):
     return t.rows().groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("supplier").alias("suppliers"))
 
 
-QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_all, source_binary, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger)}
+QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_rate_feed, source_invoices, source_all, source_binary, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger)}
 
 _L = "WITH l AS (SELECT regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text, CASE WHEN toxic = 1 THEN 'smishing' WHEN quality = 0 THEN 'spam' ELSE 'ham' END AS label FROM documents JOIN labels USING (doc_id))"
 ORACLES = {
     "source_tsv": _L + " SELECT 'tsv' AS source, label, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM l GROUP BY label",
     "source_csv_roles": _L + " SELECT 'csv' AS source, label, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM l GROUP BY label",
     "source_xml": "SELECT 'xml' AS source, 'ham' AS label, count(*) AS n FROM conversations WHERE conv_id % 2 = 0",
+    "source_rate_feed": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS rate_date, 'C' || left(o_orderpriority, 1) AS currency, round(avg(o_totalprice), 4) AS eur_rate FROM orders GROUP BY 1, 2",
+    "source_invoices": "SELECT 'INV-' || c_custkey AS invoice_id, CASE WHEN c_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency, CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal::DOUBLE, 2) END AS amount, CASE WHEN c_custkey % 5 <> 0 THEN strftime(DATE '2024-01-01' + (c_custkey % 90)::INT, '%Y-%m-%d') END AS due_date FROM customer",
     "source_all": _L + " SELECT s AS source, label, count(*) AS n FROM l, (VALUES ('a'), ('b')) v(s) GROUP BY ALL",
     "sink_splits": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, cast(sum(doc_id) AS BIGINT) AS id_sum, cast(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1",
     "sink_append": "SELECT count(*) AS n, cast(sum(conv_id) AS BIGINT) AS id_sum, cast(sum(length(text) + 17) AS BIGINT) AS chars FROM conversations",

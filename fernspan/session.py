@@ -96,9 +96,14 @@ def lean(run: Callable, *caches: dict) -> Callable:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The shared folder for cut lineage: spark.checkpoint.dir, or what setCheckpointDir() named, or in local mode (tests) a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and (named := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = named.get()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         root = getattr(spark.sparkContext, "_fernspan_scratch", None)
         if root is None:
             folder = tempfile.mkdtemp(prefix="fernspan_scratch_")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
+from fernspan.session import ship
 
 SCHEMA = "text string, label string, source string"
 
@@ -74,19 +77,47 @@ def require_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def load_images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(path, file, cls, patient, md5, size): class is the folder's name, the patient a class-specific part of the file name."""
+    """(path, file, cls, patient, md5, size, width, height, mode, aspect): class is the folder's name, the patient a class-specific part of the file name.
+
+    Width, height and colour mode come from the header of a PNG (IHDR) or JPEG (start of frame), without decoding; aspect is width / height, rounded to 2.
+    """
+    ship(spark)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    image_head.__annotations__ = {"content": pd.Series, "return": pd.DataFrame}  # Spark reads real types
+    head = F.pandas_udf(image_head, "width int, height int, mode string")
     name, cls = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
     ok = F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*suffixes)
     patient = F.when(cls == "PNEUMONIA", F.regexp_extract(name, r"(person\d+)", 1)).otherwise(F.regexp_extract(name, r"((?:IM|NORMAL2-IM)-\d+)", 1))
-    return df.filter(ok).select("path", name.alias("file"), cls.alias("cls"), F.nullif(patient, F.lit("")).alias("patient"), F.md5("content").alias("md5"), F.length("content").alias("size"))
+    return df.filter(ok).select("path", name.alias("file"), cls.alias("cls"), F.nullif(patient, F.lit("")).alias("patient"), F.md5("content").alias("md5"), F.length("content").alias("size"), head("content").alias("head")).select("*", "head.*", F.round(F.col("head.width") / F.col("head.height"), 2).alias("aspect")).drop("head")
+
+
+def image_head(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_head(c) for c in content], columns=["width", "height", "mode"])
+
+
+def _head(c: bytes) -> tuple[int | None, int | None, str | None]:
+    """(width, height, mode) of a PNG or JPEG by its header; nulls for anything else."""
+    if c[:8] == b"\x89PNG\r\n\x1a\n" and len(c) >= 26:
+        return *struct.unpack(">II", c[16:24]), {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(c[25])
+    if c[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(c) and c[at] == 0xFF:
+            kind, size = c[at + 1], int.from_bytes(c[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", c[at + 5 : at + 9])
+                return width, height, {1: "L", 3: "RGB", 4: "CMYK"}.get(c[at + 9])
+            at += 2 + size
+    return None, None, None
 
 
 def load_rate_feed(spark: SparkSession, path: str) -> DataFrame:
-    """(rate_date, currency, eur_rate) from a feed of <Cube time=…><Cube currency=… rate=…/></Cube>."""
-    schema = "_time date, Cube array<struct<_currency:string,_rate:double>>"
-    df = spark.read.format("xml").option("rowTag", "Day").schema(schema).load(path)
-    return df.select(F.col("_time").alias("rate_date"), F.explode("Cube").alias("c")).select("rate_date", F.col("c._currency").alias("currency"), F.col("c._rate").alias("eur_rate"))
+    """(rate_date, currency, eur_rate) from a feed of nested cubes: <Cube><Cube time="…"><Cube currency="…" rate="…"/></Cube></Cube>; unreadable rates are left out."""
+    rate = "struct<_currency:string,_rate:string>"
+    schema = f"Cube array<struct<_time:string,Cube:array<{rate}>>>"
+    df = spark.read.format("xml").option("rowTag", "Cube").schema(schema).load(path)
+    day = df.select(F.explode("Cube").alias("d")).select(F.col("d._time").try_cast("date").alias("rate_date"), F.explode("d.Cube").alias("c"))
+    out = day.select("rate_date", F.upper(F.trim("c._currency")).alias("currency"), F.col("c._rate").try_cast("double").alias("eur_rate"))
+    return out.filter("rate_date IS NOT NULL AND currency <> '' AND eur_rate IS NOT NULL")
 
 
 def load_invoices(spark: SparkSession, path: str) -> DataFrame:
