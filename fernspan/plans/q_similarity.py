@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
 from fernspan.operators import similarity as S
 from fernspan.operators import split as P
 from fernspan.operators import vectors as V
+from fernspan.operators.components import components
 from fernspan.session import keep, table
 
 
@@ -120,7 +122,14 @@ def embedding_components(spark, sf):
     return c.select("vec_id", "cluster")
 
 
-QUERIES = {f.__name__: f for f in (word_tfidf, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components)}
+def component_chains(spark, sf):
+    """Customers of a nation as a chain, each linked with the next one: long paths whose ids rise along them."""
+    c = table(spark, sf, "customer")
+    nxt = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return components(c.select(F.col("c_custkey").alias("src"), F.coalesce(nxt, "c_custkey").alias("dst")))
+
+
+QUERIES = {f.__name__: f for f in (component_chains, word_tfidf, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components)}
 
 
 def _wb(rows: str) -> str:
@@ -147,6 +156,7 @@ def _bucket(key: str, k: int) -> str:
 _COS = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 
 ORACLES = {
+    "component_chains": "SELECT c_custkey AS v, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer",
     "word_tfidf": """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM benchmark),
 t AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2),
 c AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY ALL), i AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT item_id) FROM c)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term), x AS (SELECT item_id, c.term, (1 + ln(c)) * idf AS x FROM c JOIN i USING (term))
