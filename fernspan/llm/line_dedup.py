@@ -15,7 +15,7 @@ hash, since carrying their text made the shuffles three times as large.)
 Scale: neighbours of a line are looked at in rows of their own, beside each other, so that no text is gone through twice a pass.
 The first shuffle carries 8-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
 map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
-are broadcast only while their counted rows fit ``BROADCAST_BYTES``, else they are shuffle joins (skew split by AQE).
+are broadcast only while the hash tables of their counted rows fit ``MOST_BYTES``, else they are shuffle joins (skew split by AQE).
 
 Defined results: null texts stay null and empty texts empty; rows with a null doc_id pass unchanged; rows that agree in
 doc_id and text are one document (both rows get the same result); very long texts are read whole, one row at a time; other
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.llm.names import col, free
-from fernspan.session import fits_broadcast, keep
+from fernspan.session import keep
 
 #: Clause marks: a cut comes after one of the first and a space, and after one of the second, unless white space follows.
 MARKS, WIDE_MARKS = ".!?,;:", "。！？，、；："
@@ -59,8 +59,8 @@ MIN_LINES = 2
 SPAN = 6
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
 EDGE = SPAN - 1
-#: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about.
-KEY_BYTES, ROW_BYTES = 48, 96
+#: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about, and the most that one takes.
+KEY_BYTES, ROW_BYTES, MOST_BYTES = 48, 112, 128 << 20
 _NEAR = range(1 - SPAN, SPAN + MIN_LINES - 1)
 
 
@@ -99,7 +99,7 @@ def _chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
     """Broadcast hint where the counted rows allow it; the plain frame (a shuffle join) beyond."""
-    return F.broadcast(df) if fits_broadcast(df.count(), row_bytes) else df
+    return F.broadcast(df) if df.count() * row_bytes <= MOST_BYTES else df
 
 
 def _common(side: str) -> Column:
@@ -113,7 +113,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     repeated = keep(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
-    repeated = F.broadcast(repeated) if fits_broadcast(repeated.count(), KEY_BYTES) else repeated
+    repeated = _sized(repeated, KEY_BYTES)
     occurrences = keep(_chunks(base, texts=True).join(repeated, "key", "left_semi"), "line_chunks")
     # chunks of blank lines are no content
     same = occurrences.select("key", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, n_removed: str = "__n_removed") -> DataFrame:
     lines, own, doc, tid, list_ = free(docs, "__lines", "__own", "__doc", "__tid", "__gone")
     gone = removals(docs.select("doc_id", "text"))
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("ranges")).first()
-    gone = F.broadcast(gone) if fits_broadcast(few["rows"] * ROW_BYTES + (few["ranges"] or 0) * 8, 1) else gone
+    gone = F.broadcast(gone) if few["rows"] * ROW_BYTES + (few["ranges"] or 0) * 8 <= MOST_BYTES else gone
     gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.array_distinct(_lines_of(F.col("gone"))).alias(list_))
     cut = docs.withColumn(own, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tid)), "left")
     # texts that lose nothing are not cut; the lines are used more than once below, so they are not inlined into the lambda
