@@ -142,10 +142,10 @@ def dedup_lines(docs: DataFrame, n_removed: str = "__n_removed") -> DataFrame:
     gone = removals(docs.select("doc_id", "text"))
     few = gone.agg(F.count("*").alias("rows"), F.sum(F.size("gone")).alias("ranges")).first()
     gone = F.broadcast(gone) if few["rows"] * ROW_BYTES + (few["ranges"] or 0) * 8 <= MOST_BYTES else gone
-    gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.array_distinct(_lines_of(F.col("gone"))).alias(list_))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("gone").alias(list_))
     cut = docs.withColumn(own, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tid)), "left")
     # texts that lose nothing are not cut; the lines are used more than once below, so they are not inlined into the lambda
-    cut = cut.withColumn(lines, F.when(F.col(list_).isNotNull(), lines_of(F.col("text"))))
+    cut = cut.withColumn(lines, F.when(F.col(list_).isNotNull(), lines_of(F.col("text")))).withColumn(list_, F.array_distinct(_lines_of(F.col(list_))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(list_))
     text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), ""))
     n = F.when(F.col(list_).isNotNull(), F.size(lines) - F.size(left)).otherwise(0).cast("long")
