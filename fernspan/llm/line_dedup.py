@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A text is cut into lines at line breaks and, since running prose has few of them, after clause punctuation followed by white
-space (or full-width punctuation); clauses of more than ``LONG`` characters are cut again at about one in five of their spaces, by
+space (or full-width punctuation); clauses of more than ``LONG`` bytes are cut again at about one in five of their spaces, by
 the letters beside them; a cut depends on its own clause only, and the cuts keep every character, so the lines joined are the
 text.  Each line is hashed; a rolling hash covers a line and the next; two lines are a chunk if their hash
 is the least of some ``SPAN`` in a row that it is among.  Chunks hence depend on a dozen lines around them only, shift with the
@@ -30,42 +30,32 @@ from pyspark.sql import functions as F
 from fernspan.llm.names import col, free
 from fernspan.session import keep
 
-#: Clause marks: a cut comes after one of the first and a space, and after one of the second, unless white space follows.
-MARKS, WIDE_MARKS = ".!?,;:", "。！？，、；："
-CLAUSE_CUT = rf"(?<=\n)|(?<=[{MARKS}] )(?![ \t\n])|(?<=[{WIDE_MARKS}])(?![ \t\n])"
-#: Clauses of more characters than this are cut again, at about one in five of their spaces, by the letters beside them.
+#: Cuts after a line break, after clause punctuation and a space, and after full-width punctuation.
+CLAUSE_CUT = r"(?<=\n)|(?<=[.!?,;:] )(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])"
+#: Clauses of more bytes than this are cut again, at about one in five of their spaces, by the letters beside them.
 LONG = 60
 LONG_CUT = r"(?<=[aeiou] )(?=[a-m])"
-_CUT = "\x01"
 
 
 def lines_of(text: Column) -> Column:
     """A text's lines; joined, they are the text."""
-    marked = text
-    for m in MARKS:
-        marked = F.replace(marked, F.lit(f"{m} "), F.lit(f"{m} {_CUT}"))
-    for m in WIDE_MARKS:
-        marked = F.replace(marked, F.lit(m), F.lit(m + _CUT))
-    for w in " \t\n":
-        marked = F.replace(marked, F.lit(_CUT + w), F.lit(w))
-    marked = F.replace(marked, F.lit("\n"), F.lit(f"\n{_CUT}"))
-    # plain replacements find the same cuts as the pattern, several times faster; a text that has the mark itself is left to the pattern
-    clauses = F.when(F.contains(text, F.lit(_CUT)), F.split(text, CLAUSE_CUT, -1)).otherwise(F.split(marked, _CUT, -1))
-    return F.flatten(F.transform(clauses, lambda x: F.when(F.length(x) > LONG, F.split(x, LONG_CUT, -1)).otherwise(F.array(x))))
+    return F.flatten(F.transform(F.split(text, CLAUSE_CUT, -1), lambda x: F.when(F.octet_length(x) > LONG, F.split(x, LONG_CUT, -1)).otherwise(F.array(x))))
 
 
 #: Lines of a chunk, and rolling hashes in a row of which one is a chunk's.
 MIN_LINES = 2
-SPAN = 6
+SPAN = 4
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
 EDGE = SPAN - 1
 #: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about, and the most that one takes.
 KEY_BYTES, ROW_BYTES, MOST_BYTES = 48, 112, 128 << 20
 _NEAR = range(1 - SPAN, SPAN + MIN_LINES - 1)
+#: Columns with the hashes of the lines beside a chunk, by their distance from its first line.
+_SIDES = {-k: f"before{k}" for k in range(1, EDGE + 1)} | {MIN_LINES - 1 + k: f"after{k}" for k in range(1, EDGE + 1)}
 
 
 def _chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """(doc_id, tid, start, key) of every chunk; with texts also its bytes and the hashes of the lines before and after it, outwards. docs: doc_id, tid, text."""
+    """(doc_id, tid, start, key) of every chunk; with texts also its bytes and the hashes of the lines beside it. docs: doc_id, tid, text."""
     d = docs.select("doc_id", "tid", lines_of(F.col("text")).alias("lines"))
     d = d.select("doc_id", "tid", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
 
@@ -93,8 +83,9 @@ def _chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
     d, key = d.filter(chosen), F.col("r0").alias("key")
     if not texts:
         return d.select("doc_id", "tid", "start", key)
-    before, after = (F.array(*(F.col(named("h", k)) for k in ks)) for ks in (range(-1, -EDGE - 1, -1), range(MIN_LINES, MIN_LINES + EDGE)))
-    return d.select("doc_id", "tid", "start", key, F.concat("l0", "l1").alias("bytes"), before.alias("before"), after.alias("after"))
+    # columns of their own, since arrays would cost more than all the rest
+    sides = [F.col(named("h", k)).alias(x) for k, x in _SIDES.items()]
+    return d.select("doc_id", "tid", "start", key, F.concat("l0", "l1").alias("bytes"), *sides)
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -104,9 +95,10 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def _common(side: str) -> Column:
     """How many lines next to the chunk are the first occurrence's, by their hashes, from the chunk outwards."""
-    same = F.zip_with(side, f"first_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1)
+    out = F.lit(0)
+    for k in range(EDGE, 0, -1):
+        out = F.when(F.col(f"{side}{k}") == F.col(f"first_{side}{k}"), out + 1).otherwise(0)
+    return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -121,7 +113,7 @@ def removals(docs: DataFrame) -> DataFrame:
     proven = keep(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", "first"), "line_proven")
     place = F.struct("doc_id", "tid", "start")
     marked = occurrences.drop("bytes").join(_sized(proven, ROW_BYTES), "key")
-    firsts = keep(marked.filter(place == F.col("first")).select("key", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")), "line_firsts")
+    firsts = keep(marked.filter(place == F.col("first")).select("key", "first", *(F.col(x).alias(f"first_{x}") for x in _SIDES.values())), "line_firsts")
     victims = marked.filter(place != F.col("first")).drop("first").join(firsts.hint("merge"), "key")
     other = F.struct("doc_id", "tid") != F.struct("first.doc_id", "first.tid")  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)

@@ -326,7 +326,7 @@ def test_arc_headers(version):
 
 def line_cuts(t):
     """Lines of a text by the patterns alone."""
-    return [y for x in re.split(line_dedup.CLAUSE_CUT, t) for y in (re.split(line_dedup.LONG_CUT, x) if len(x) > line_dedup.LONG else [x])]
+    return [y for x in re.split(line_dedup.CLAUSE_CUT, t) for y in (re.split(line_dedup.LONG_CUT, x) if len(x.encode()) > line_dedup.LONG else [x])]
 
 
 def brute_lines(texts):
