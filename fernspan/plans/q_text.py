@@ -94,19 +94,21 @@ def template_overlap(spark, sf):
     return rest.join(held, "t", "left_semi").groupBy("source").agg(F.count("*").alias("n_overlap"))
 
 
+_LEVELS = [f"c{k}" for k in range(6)]
+
+
 def cleaning_stages(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.select("doc_id", *(F.md5(T.cleaned(F.col("text"), k)).alias(f"s{k}") for k in range(6)))
+    d = T.with_stages(table(spark, sf, "documents").select("doc_id", "text"), "text", _LEVELS)
+    return d.select("doc_id", *(F.md5(c).alias(f"s{k}") for k, c in enumerate(_LEVELS)))
 
 
 def stage_vocabulary(spark, sf):
     """Distinct words left after each cleaning stage."""
-    d = table(spark, sf, "documents").select("text")
-    out = None
-    for k in range(6):
-        v = d.select(F.lit(k).alias("stage"), F.explode(T.words(T.cleaned(F.col("text"), k))).alias("w")).groupBy("stage").agg(F.count_distinct("w").alias("vocabulary"), F.count("*").alias("n_words"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    d = T.with_stages(table(spark, sf, "documents").select("text"), "text", _LEVELS)
+    each = F.array(*(F.struct(F.lit(k).alias("stage"), T.words(F.col(c)).alias("ws")) for k, c in enumerate(_LEVELS)))
+    # outer explodes: a filter on the size of what is exploded would compute the stages twice
+    v = d.select(F.explode_outer(each).alias("x")).select("x.stage", F.explode_outer("x.ws").alias("w")).filter("w IS NOT NULL")
+    return v.groupBy("stage").agg(F.count_distinct("w").alias("vocabulary"), F.count("*").alias("n_words"))
 
 
 def slug_overlap(spark, sf):
