@@ -154,10 +154,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated chunks taken out; one that loses all its text goes. Columns as in docs (n_chars follows the text)."""
-    [n_removed] = free(docs, "__n_removed")
-    d = dedup_lines(docs, n_removed)
+    n_removed, row = free(docs, "__n_removed", "__row")
+    # the number keeps the filter above it: sent below, it would draw the lines into the lambda that picks them
+    d = dedup_lines(docs, n_removed).withColumn(row, F.monotonically_increasing_id())
     cut = F.col(n_removed) > 0
     gone = cut & (F.length(F.regexp_replace("text", r"\s+", "")) == 0)
-    d = d.filter(~F.coalesce(gone, F.lit(False)))
+    d = d.filter((F.col(row) >= 0) & ~F.coalesce(gone, F.lit(False)))
     now = {"n_chars": lambda: F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
     return d.select(*(now.get(c, lambda c=c: col(c))() for c in docs.columns))
