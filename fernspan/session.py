@@ -148,6 +148,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return Kept(df, label).df
 
 
+def tidy(spark: SparkSession, *done: Kept) -> None:
+    """Drops tables that nothing reads any more, and has the JVM look for shuffle files that no frame needs."""
+    for k in done:
+        k.drop()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
