@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.llm.names import col, free
-from fernspan.session import keep
+from fernspan.session import Kept, keep, tidy
 
 #: Cuts after a line break, after clause punctuation and a space, and after full-width punctuation.
 CLAUSE_CUT = r"(?<=\n)|(?<=[.!?,;:] )(?![ \t\n])|(?<=[。！？，、；：])(?![ \t\n])"
@@ -104,25 +104,27 @@ def _common(side: str) -> Column:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    repeated = keep(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
-    repeated = _sized(repeated, KEY_BYTES)
-    occurrences = keep(_chunks(base, texts=True).join(repeated, "key", "left_semi"), "line_chunks")
+    keys = Kept(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
+    chunks = Kept(_chunks(base, texts=True).join(_sized(keys.df, KEY_BYTES), "key", "left_semi"), "line_chunks")
+    occurrences = chunks.df
     # chunks of blank lines are no content
     same = occurrences.select("key", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
     # the first occurrence travels as one number, so that the table stays slim
     place = lambda *at: F.xxhash64(*at)
     first = place(F.col("first.doc_id"), F.col("first.tid"), F.col("first.start")).alias("first")
-    proven = keep(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", first), "line_proven")
-    marked = occurrences.drop("bytes").join(_sized(proven, PLACE_BYTES), "key").withColumn("is_first", F.col("first") == place("doc_id", "tid", "start")).drop("first")
-    firsts = keep(marked.filter("is_first").select("key", F.col("doc_id").alias("first_doc"), F.col("tid").alias("first_tid"), *(F.col(x).alias(f"first_{x}") for x in _SIDES.values())).dropDuplicates(["key"]), "line_firsts")
-    victims = marked.filter("not is_first").join(firsts.hint("merge"), "key")
+    proven = Kept(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", first), "line_proven")
+    marked = occurrences.drop("bytes").join(_sized(proven.df, PLACE_BYTES), "key").withColumn("is_first", F.col("first") == place("doc_id", "tid", "start")).drop("first")
+    firsts = Kept(marked.filter("is_first").select("key", F.col("doc_id").alias("first_doc"), F.col("tid").alias("first_tid"), *(F.col(x).alias(f"first_{x}") for x in _SIDES.values())).dropDuplicates(["key"]), "line_firsts")
+    victims = marked.filter("not is_first").join(firsts.df.hint("merge"), "key")
     other = (F.col("doc_id") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid"))  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
     to = F.col("start") + MIN_LINES - 1 + F.when(other, _common("after")).otherwise(0)
     # a range of lines in one number, so that what documents lose stays small
     ranges = F.collect_set(F.shiftleft(from_.cast("long"), 32) + to.cast("long"))
-    return keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")
+    out = keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")
+    tidy(docs.sparkSession, keys, chunks, proven, firsts)
+    return out
 
 
 def _lines_of(ranges: Column) -> Column:

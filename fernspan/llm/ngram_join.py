@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
-from fernspan.session import fits_broadcast, keep, lean, release, ship, small_batches
+from fernspan.session import Kept, fits_broadcast, keep, lean, release, ship, small_batches, tidy
 
 SHINGLE = 5
 CELL_BITS = 22
@@ -375,17 +375,22 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x, y) of nodes that link, each looked at once."""
     sig = nodes.select("x", "sig", "doc")
     near = pairs.join(sig.select("x", F.col("sig").alias("sx")), "x").join(sig.select(F.col("x").alias("y"), F.col("sig").alias("sy")), "y")
-    near = keep(near.select("x", "y", "sx", "sy").mapInArrow(lean(_suffix), "x long, y long"), "ngram_near")
-    ends = keep(near.select("x").unionAll(near.select(F.col("y").alias("x"))).distinct(), "ngram_ends")
-    ends = F.broadcast(ends) if fits_broadcast(ends.count(), 32) else ends
-    wanted = keep(sig.join(ends, "x", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "ngram_wanted")
-    wanted = F.broadcast(wanted) if fits_broadcast(wanted.count(), 32) else wanted
-    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, s binary")
-    sets = keep(sets.select(F.col("f").alias("x"), "s").join(ends, "x", "left_semi"), "ngram_sets")
-    if sets.count() > sets.select("x").distinct().count():  # rows that repeat a doc_id may bring the same set twice
-        sets = keep(sets.dropDuplicates(["x"]), "ngram_sets")
-    both = near.join(sets.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.select("x", F.col("s").alias("sx")), "x")
-    return keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
+    near = Kept(near.select("x", "y", "sx", "sy").mapInArrow(lean(_suffix), "x long, y long"), "ngram_near")
+    ends = Kept(near.df.select("x").unionAll(near.df.select(F.col("y").alias("x"))).distinct(), "ngram_ends")
+    few = F.broadcast(ends.df) if fits_broadcast(ends.df.count(), 32) else ends.df
+    wanted = Kept(sig.join(few, "x", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "ngram_wanted")
+    these = F.broadcast(wanted.df) if fits_broadcast(wanted.df.count(), 32) else wanted.df
+    found = docs.join(these, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, s binary")
+    sets = Kept(found.select(F.col("f").alias("x"), "s").join(few, "x", "left_semi"), "ngram_sets")
+    done = [near, ends, wanted, sets]
+    if sets.df.count() > sets.df.select("x").distinct().count():  # rows that repeat a doc_id may bring the same set twice
+        sets = Kept(sets.df.dropDuplicates(["x"]), "ngram_sets")
+        done.append(sets)
+    both = near.df.join(sets.df.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.df.select("x", F.col("s").alias("sx")), "x")
+    links = keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
+    del both, found
+    tidy(docs.sparkSession, *done)
+    return links
 
 
 def join_ngrams(docs: DataFrame) -> DataFrame:
@@ -416,14 +421,16 @@ def _join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bytes_ = ((total["grams"] or 0) // 5 + total["rows"]) * POST.itemsize
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // RANGE_BYTES + 1)
     dealt = docs.filter("doc_id is not null").select("text").mapInArrow(lean(_posting(shared, ranges, SALT_ROWS)), "r long, posts binary").repartition(ranges, "r")
-    found = keep(dealt.mapInArrow(lean(_buckets), "kind int, f long, n long, g long, m long"), "ngram_buckets")
-
+    buckets = Kept(dealt.mapInArrow(lean(_buckets), "kind int, f long, n long, g long, m long"), "ngram_buckets")
+    found = buckets.df
+    rest = keep(found.filter("kind = 1").select(F.col("g").alias("t"), F.col("f").alias("x"), "n", F.col("m").alias("p")).distinct(), "ngram_rest")
     pairs = found.filter("kind = 0").select(F.col("f").alias("x"), F.col("g").alias("y"))
     pairs = keep(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "ngram_pairs")
+    del dealt, found
+    tidy(spark, buckets)
     links = _links(pairs, nodes, docs)
     first = keep(components(links, "x", "y"), "ngram_first")
 
-    rest = keep(found.filter("kind = 1").select(F.col("g").alias("t"), F.col("f").alias("x"), "n", F.col("m").alias("p")).distinct(), "ngram_rest")
     for cap in (*CAPS, None):
         now = rest.join(first.select(F.col("v").alias("x"), "component"), "x", "left").select("t", "x", "n", "p", F.coalesce("component", "x").alias("c"))
         groups = _groups(keep(now, "ngram_rest"), cap, ranges)
