@@ -383,7 +383,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.join(these, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "f long, s binary")
     sets = Kept(found.select(F.col("f").alias("x"), "s").join(few, "x", "left_semi"), "ngram_sets")
     done = [near, ends, wanted, sets]
-    if sets.df.count() > sets.df.select("x").distinct().count():  # rows that repeat a doc_id may bring the same set twice
+    # rows that repeat a doc_id may bring the same set more than once: pairs are then verified again, unless that grows
+    if sets.df.count() > 2 * sets.df.select("x").distinct().count():
         sets = Kept(sets.df.dropDuplicates(["x"]), "ngram_sets")
         done.append(sets)
     both = near.df.join(sets.df.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.df.select("x", F.col("s").alias("sx")), "x")
