@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernspan.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, token_count, topk, toxicity, warc
+from fernspan.llm import byte_pairs, centroids, decontaminate, line_dedup, ngram_join, packing, phrases, quality, secrets, token_count, topk, toxicity, warc
 from fernspan.session import table
 
 
@@ -50,6 +50,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -61,9 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": topk.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
+    "op12_phrase_mining": phrases.ORACLE_SQL,
+    "op13_centroid_clustering": centroids.ORACLE_SQL,
 }
