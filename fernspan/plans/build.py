@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
-from fernspan.operators import dedup, metrics, ml, similarity, split
+from fernspan.operators import bayes, dedup, metrics, ml, similarity, split
 from fernspan.session import keep
 
 # The marks and headlines of a verdict, its notes, and messages whose verdict should survive rewording (probe, variant, text, wanted).
@@ -97,18 +97,26 @@ def html_table(df: DataFrame, columns: list[str], order: list[Column], title: st
     return rows.select(F.concat(F.lit(f"<h1>{title}</h1><table>{head}"), "body", F.lit("</table>")).alias("html"))
 
 
-def cleaning_ablation(df: DataFrame, fields: dict[str, Column], classes: list[str], fit, levels: range = range(6), folds: int = 5) -> DataFrame:
-    """Per text field and cleaning level: mean and deviation over the folds of the macro F1 of one model, and the words that are left. df: doc_id, y."""
-    scores, words = [], []
-    for (name, field), k in ((f, k) for f in fields.items() for k in levels):
-        d = df.select("doc_id", "y", T.cleaned(F.coalesce(field, F.lit("")), k).alias("text"), split.bucket(F.concat_ws("/", "y", "doc_id"), folds, 5).cast("int").alias("fold"))
-        d = keep(ml.labelled(ml.prepared(keep(d, "ablation_texts"), chars=False), classes), "ablation")
-        at = (F.lit(name).alias("field"), F.lit(k).alias("level"))
-        scores.append(ml.fold_predictions(fit, d, classes, "fold", folds).select(*at, "fold", "y", "pred"))
-        words.append(d.select(*at, F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w")).distinct().groupBy("field", "level").agg(F.count("*").alias("vocabulary")))
-    each = metrics.summary(keep(reduce(DataFrame.unionByName, scores), "ablation_scores"), ["field", "level", "fold"])
-    out = each.groupBy("field", "level").agg(F.avg("macro_f1").alias("macro_f1"), F.stddev_pop("macro_f1").alias("deviation"), F.sum("n").alias("n"))
-    return out.join(reduce(DataFrame.unionByName, words), ["field", "level"])
+def cleaning_ablation(df: DataFrame, fields: dict[str, Column], classes: list[str], folds: int = 5) -> DataFrame:
+    """Per text field and cleaning level: mean and deviation over the folds of naive Bayes' macro F1, and the words that are left. df: doc_id, y.
+
+    All fields, levels and folds share one table of counts, so texts are cleaned and read once.
+    """
+    names = [f"c{k}" for k in range(len(T.STAGES) + 1)]
+    fold = split.bucket(F.concat_ws("/", "y", "doc_id"), folds, 5).cast("int")
+    every = []
+    for name, field in fields.items():
+        d = T.with_stages(df.select(F.col("doc_id").alias("doc"), fold.alias("fold"), "y", field.alias("text")), "text", names)
+        each = F.array(*(F.struct(F.lit(k).alias("level"), F.col(c).alias("text")) for k, c in enumerate(names)))
+        every.append(d.select(F.lit(name).alias("field"), "doc", "fold", "y", F.explode_outer(each).alias("x")).select("field", "x.level", "doc", "fold", "y", "x.text"))
+    rows = keep(reduce(DataFrame.unionByName, every), "ablation_texts")
+    keys = ["field", "level"]
+    terms = keep(bayes.counted(rows, keys, F.transform(ml.WORDS_OF(F.col("text")), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("term")))), "ablation_counts")
+    p = keep(bayes.out_of_fold(rows.drop("text"), terms, keys, classes, [bayes.Config()]).select(*keys, "fold", "y", "pred"), "ablation_scores")
+    each = metrics.summary(p, [*keys, "fold"])
+    out = each.groupBy(*keys).agg(F.avg("macro_f1").alias("macro_f1"), F.stddev_pop("macro_f1").alias("deviation"), F.sum("n").alias("n"))
+    left = rows.select(*keys, F.explode_outer(T.words(F.col("text"))).alias("w")).filter("w IS NOT NULL").groupBy(*keys).agg(F.count_distinct("w").alias("vocabulary"))
+    return out.join(left, keys)
 
 
 def augmentation_ablation(rows: DataFrame, synthetic: Column, classes: list[str], fit) -> DataFrame:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from fernspan.operators import bayes, ml
 from fernspan.operators import metrics as M
-from fernspan.operators import ml
 from fernspan.operators import split as P
 from fernspan.session import keep, scratch_path, table
 
 CLASSES = ["ham", "smishing", "spam"]
 
 
-def _texts(spark, sf):
+def _labelled(spark, sf, folds):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     y = F.when(F.col("toxic") == 1, "smishing").when(F.col("quality") == 0, "spam").otherwise("ham")
-    d = d.select("doc_id", "text", y.alias("y"), P.bucket(F.col("doc_id"), 3).cast("int").alias("fold"))
-    return keep(ml.labelled(ml.prepared(d), CLASSES), "ml_texts")
+    d = d.select("doc_id", "text", y.alias("y"), P.bucket(F.col("doc_id"), folds).cast("int").alias("fold"))
+    return d
+
+
+def _texts(spark, sf, chars=False):
+    """Labelled texts with their words and word pairs (and character n-grams, where a model wants them) in three folds."""
+    return keep(ml.labelled(ml.prepared(_labelled(spark, sf, 3), chars), CLASSES), "ml_texts")
 
 
 def _numbers(spark, sf):
@@ -32,7 +37,7 @@ COLUMNS = ["size", "upper", "marks", "digits"]
 
 def ml_ladder(spark, sf):
     """Every rung, fitted on two folds and measured on the third."""
-    d = _texts(spark, sf)
+    d = _texts(spark, sf, chars=True)
     train, test = d.filter("fold <> 0"), d.filter("fold = 0")
     out = None
     for name, p in ml.ladder().items():
@@ -43,7 +48,7 @@ def ml_ladder(spark, sf):
 
 def ml_calibrated_svm(spark, sf):
     """Linear SVM margins out of fold, Platt curves on them, then Brier score and macro F1."""
-    d = _texts(spark, sf)
+    d = _texts(spark, sf, chars=True)
     oof = keep(ml.fold_predictions(lambda: ml.ladder()["svm_char"], d, CLASSES, "fold", 3).select("doc_id", "y", "label", "rawPrediction"), "ml_margins")
     # curves of one half of the rows, measured on the other
     half = P.bucket(F.col("doc_id"), 2, 9)
@@ -53,15 +58,29 @@ def ml_calibrated_svm(spark, sf):
 
 
 def ml_ensemble(spark, sf):
-    d = _texts(spark, sf)
+    d = _texts(spark, sf, chars=True)
     train, test = d.filter("fold <> 0"), d.filter("fold = 0")
     frames = [ml.scored(ml.ladder()[n].fit(train), test, CLASSES).select("doc_id", "y", "proba") for n in ("nb_counts", "lr_word", "lr_word_char")]
     v = ml.soft_vote(frames, "doc_id")
     return v.select("doc_id", "y", M.argmax_class(F.col("proba")).alias("pred"))
 
 
+GRID = ml.grid([0.3, 1.0, 3.0], [1, 2], [2, 3])
+FOLDS = 5
+
+
 def ml_grid_search(spark, sf):
-    return ml.grid_search(_texts(spark, sf), CLASSES, "fold", 3, [0.001, 0.1])
+    """Twelve configurations by five folds from one table of counts."""
+    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select("doc_id", "y", "fold", "words", "word_pairs"), "grid_rows")
+    g = ml.grid_search(d, CLASSES, "doc_id", "fold", GRID)
+    return g.select("alpha", "min_df", "min_df_pairs", F.round("macro_f1", 6).alias("macro_f1"), F.round("deviation", 6).alias("deviation"), "folds", "n")
+
+
+def oof_probabilities(spark, sf):
+    """Every labelled text's class probabilities under naive Bayes on the other folds."""
+    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select("doc_id", "y", "fold", "words", "word_pairs"), "oof_rows")
+    p = bayes.out_of_fold(*ml.bayes_rows(d, "doc_id", "fold", pairs=False), [], CLASSES, [bayes.Config(1.0, {"word": 2})])
+    return p.select(F.col("doc").alias("doc_id"), "fold", "y", "pred", *(F.round(F.get("proba", F.lit(i)), 6).alias(c) for i, c in enumerate(CLASSES)))
 
 
 def ml_trees(spark, sf):
@@ -113,9 +132,45 @@ def linear_model(spark, sf):
     return r.select("term", F.round("coefficient", 2).alias("coefficient"))
 
 
-QUERIES = {f.__name__: f for f in (ml_ladder, ml_calibrated_svm, ml_ensemble, ml_grid_search, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, linear_model)}
+QUERIES = {f.__name__: f for f in (ml_ladder, ml_calibrated_svm, ml_ensemble, ml_grid_search, oof_probabilities, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, linear_model)}
+
+
+def bayes_sql(rows: str, terms: str, keys: list[str], configs: list[bayes.Config]) -> str:
+    """CTEs up to ``oof`` (*keys, doc, fold, y, config, a0.. log-scores, pred); rows and terms: queries for what bayes.out_of_fold takes."""
+    k = "".join(f"{x}, " for x in keys)
+    of = lambda t: "".join(f"{t}.{x}, " for x in keys)
+    on = lambda a, b: "".join(f"{a}.{x} = {b}.{x} AND " for x in keys)
+    each = lambda f: ", ".join(f(i, c) for i, c in enumerate(CLASSES))
+    values = ", ".join(f"({i}, {c.alpha:f}::DOUBLE, {c.least.get('word', 1)}, {c.least.get('pair', 1)})" for i, c in enumerate(configs))
+    enough = "tr.df >= CASE tr.kind WHEN 'word' THEN cf.mw ELSE cf.mp END"
+    best = "CASE " + " ".join(f"WHEN a{i} >= greatest(a0, a1, a2) THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
+    return f"""r AS MATERIALIZED ({rows}), t AS MATERIALIZED ({terms}), cf(config, alpha, mw, mp) AS (VALUES {values}), gs AS (SELECT DISTINCT {k}fold AS g FROM r),
+tr AS MATERIALIZED (SELECT {of("t")}g, kind, term, {each(lambda i, c: f"coalesce(sum(c) FILTER (y = '{c}'), 0) AS n{i}")}, count(*) AS df FROM t JOIN gs ON {on("t", "gs")}t.fold <> g GROUP BY ALL),
+sz AS (SELECT {of("tr")}g, config, any_value(alpha) AS alpha, count(*) AS v, {each(lambda i, c: f"sum(n{i}) AS z{i}")} FROM tr JOIN cf ON {enough} GROUP BY ALL),
+pr AS (SELECT {of("r")}g, {each(lambda i, c: f"CASE WHEN count(*) FILTER (y = '{c}') > 0 THEN ln(count(*) FILTER (y = '{c}') / count(*)) ELSE '-inf'::DOUBLE END AS p{i}")} FROM r JOIN gs ON {on("r", "gs")}r.fold <> g GROUP BY ALL),
+sc AS (SELECT {of("t")}t.doc, cf.config, {each(lambda i, c: f"sum(t.c * ln((tr.n{i} + cf.alpha) / (sz.z{i} + cf.alpha * sz.v))) AS s{i}")} FROM t JOIN tr ON {on("t", "tr")}t.fold = tr.g AND t.kind = tr.kind AND t.term = tr.term JOIN cf ON {enough} JOIN sz ON {on("t", "sz")}sz.g = t.fold AND sz.config = cf.config GROUP BY ALL),
+lg AS (SELECT {of("r")}r.doc, r.fold, r.y, cf.config, {each(lambda i, c: f"pr.p{i} + coalesce(sc.s{i}, 0) AS a{i}")} FROM r CROSS JOIN cf JOIN pr ON {on("r", "pr")}pr.g = r.fold LEFT JOIN sc ON {on("r", "sc")}sc.doc = r.doc AND sc.config = cf.config),
+oof AS MATERIALIZED (SELECT *, {best} AS pred FROM lg)"""
+
+
+def fold_f1_sql(keys: list[str]) -> str:
+    """CTE ``f1`` (*keys, config, fold, n, macro_f1) of ``oof``."""
+    k = "".join(f"{x}, " for x in keys)
+    one = f"SELECT {k}config, fold, cl, 2.0 * count(*) FILTER (y = cl AND pred = cl) / nullif(count(*) FILTER (y = cl) + count(*) FILTER (pred = cl), 0) AS f FROM oof, unnest({list(CLASSES)}) u(cl) GROUP BY ALL"
+    return f"f1 AS (SELECT {k}config, fold, any_value(n) AS n, avg(f) AS macro_f1 FROM ({one}) JOIN (SELECT {k}config, fold, count(*) AS n FROM oof GROUP BY ALL) USING ({k}config, fold) GROUP BY ALL)"
+
+
+_Y = "CASE WHEN toxic = 1 THEN 'smishing' WHEN quality = 0 THEN 'spam' ELSE 'ham' END"
+_BUCKET = lambda key, k, seed: f"(('0x' || left(md5('{seed}/' || {key}), 8))::BIGINT % {k})"
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')"
+_D = f"d AS MATERIALIZED (SELECT doc_id AS doc, {_BUCKET('doc_id', 5, 42)} AS fold, {_Y} AS y, {_WORDS.format('text')} AS w FROM documents JOIN labels USING (doc_id))"
+_ONES = "SELECT doc, fold, y, 'word' AS kind, unnest(w) AS term FROM d"
+_PAIRS = "SELECT doc, fold, y, 'pair', unnest(list_transform(generate_series(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1])) FROM d WHERE len(w) > 1"
+_COUNT = lambda q: f"SELECT doc, fold, y, kind, term, count(*) AS c FROM ({q}) GROUP BY ALL"
 _L = "d AS (SELECT lang, source, quality FROM documents JOIN labels USING (doc_id)), l AS (SELECT 'lang' AS attribute, lang AS value, quality FROM d UNION ALL SELECT 'source', source, quality FROM d)"
 ORACLES = {
+    "ml_grid_search": f"WITH {_D}, {bayes_sql('SELECT doc, fold, y FROM d', _COUNT(_ONES + ' UNION ALL ' + _PAIRS), [], GRID)}, {fold_f1_sql([])} SELECT alpha, mw AS min_df, mp AS min_df_pairs, round(avg(macro_f1), 6) AS macro_f1, round(stddev_pop(macro_f1), 6) AS deviation, count(*) AS folds, cast(sum(n) AS BIGINT) AS n FROM f1 JOIN cf USING (config) GROUP BY alpha, mw, mp",
+    "oof_probabilities": f"WITH {_D}, {bayes_sql('SELECT doc, fold, y FROM d', _COUNT(_ONES), [], [bayes.Config(1.0, {'word': 2})])}, e AS (SELECT *, greatest(a0, a1, a2) AS m FROM oof), x AS (SELECT *, exp(a0 - m) AS e0, exp(a1 - m) AS e1, exp(a2 - m) AS e2 FROM e) SELECT doc AS doc_id, fold::INT AS fold, y, pred, " + ", ".join(f"round(e{i} / (e0 + e1 + e2), 6) AS {c}" for i, c in enumerate(CLASSES)) + " FROM x",
     "one_rule": f"WITH {_L}, c AS (SELECT attribute, value, quality, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT attribute, value, arg_min(quality, -n * 10 + quality) AS answer, max(n) AS hits, cast(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) SELECT *, round(sum(hits) OVER (PARTITION BY attribute) / sum(n) OVER (PARTITION BY attribute), 6) AS accuracy FROM b",
     "linear_model": "SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 2) AS coefficient FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 2) FROM lineitem",
     "ml_persisted": "SELECT count(*) AS n, count(*) AS same FROM documents JOIN labels USING (doc_id)",

@@ -27,8 +27,8 @@ def normal_sql(col: str) -> str:
 KEY_SQL = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 
 
-def _stage_sql(level: int) -> str:
-    s = "coalesce(text, '')"
+def _stage_sql(level: int, field: str = "coalesce(text, '')") -> str:
+    s = field
     q = lambda x: x.replace("'", "''")
     if level >= 1:
         for a, b in T.ENTITIES:
