@@ -42,7 +42,7 @@ def prepared(df: DataFrame, chars: bool = True) -> DataFrame:
     return out.withColumn("chars", T.char_wb(t, 2, 4)) if chars else out
 
 
-def _tfidf(column: str, out: str, idf: bool = True) -> list:
+def tfidf_stages(column: str, out: str, idf: bool = True) -> list:
     tf = HashingTF(inputCol=column, outputCol=f"{out}_tf", numFeatures=FEATURES)
     if not idf:
         return [tf, Normalizer(inputCol=f"{out}_tf", outputCol=out, p=float("inf"))]
@@ -59,13 +59,13 @@ def labelled(df: DataFrame, classes: list[str]) -> DataFrame:
 def ladder() -> dict[str, Pipeline]:
     """The four rungs: counts with naive Bayes, word TF-IDF and word + character TF-IDF with logistic regression, character TF-IDF with a linear SVM."""
     lr = lambda: LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=0.01, maxIter=40)
-    both = [*_tfidf("word_pairs", "wv"), *_tfidf("chars", "cv"), VectorAssembler(inputCols=["wv", "cv"], outputCol="features")]
+    both = [*tfidf_stages("word_pairs", "wv"), *tfidf_stages("chars", "cv"), VectorAssembler(inputCols=["wv", "cv"], outputCol="features")]
     return {
         "nb_counts": Pipeline(stages=[HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES), NaiveBayes(featuresCol="features", labelCol="label", modelType="multinomial", smoothing=1.0)]),
         "nb_complement": Pipeline(stages=[HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES), NaiveBayes(featuresCol="features", labelCol="label", modelType="complement", smoothing=1.0)]),
-        "lr_word": Pipeline(stages=[*_tfidf("word_pairs", "features"), lr()]),
+        "lr_word": Pipeline(stages=[*tfidf_stages("word_pairs", "features"), lr()]),
         "lr_word_char": Pipeline(stages=[*both, lr()]),
-        "svm_char": Pipeline(stages=[*_tfidf("chars", "features"), OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="label", weightCol="weight")]),
+        "svm_char": Pipeline(stages=[*tfidf_stages("chars", "features"), OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="label", weightCol="weight")]),
     }
 
 

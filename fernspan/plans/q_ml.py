@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from fernspan.operators import bayes, ml
+from fernspan.operators import bayes, boosting, ml, sgd
 from fernspan.operators import metrics as M
 from fernspan.operators import split as P
 from fernspan.session import keep, scratch_path, table
@@ -43,7 +43,35 @@ def ml_ladder(spark, sf):
     for name, p in ml.ladder().items():
         s = ml.scored(p.fit(train), test, CLASSES).select(F.lit(name).alias("model"), "y", "pred")
         out = s if out is None else out.unionByName(s)
-    return M.summary(keep(out, "ml_scores"), ["model"])
+    _, s = _descent(train, test)
+    return M.summary(keep(out.unionByName(s.select(F.lit("sgd_word").alias("model"), "y", "pred")), "ml_scores"), ["model"])
+
+
+def _descent(train, test):
+    """Stochastic gradient descent on word TF-IDF: the model, and scores of the test rows."""
+    weights = Pipeline(stages=ml.tfidf_stages("word_pairs", "features")).fit(train)
+    sparse = F.unwrap_udt("features")
+    m = sgd.fit(weights.transform(train), "doc_id", "y", sparse, ml.FEATURES, CLASSES)
+    return m, sgd.scored(m, weights.transform(test), "doc_id", sparse).join(test.select("doc_id", "y"), "doc_id")
+
+
+def ml_sgd(spark, sf):
+    """Mean loss before each epoch of gradient descent, and macro F1 on the rows kept out."""
+    d = _texts(spark, sf)
+    m, s = _descent(d.filter("fold <> 0"), d.filter("fold = 0"))
+    curve = spark.createDataFrame([(i, x) for i, x in enumerate(m.losses)], "epoch int, loss double")
+    return curve.join(F.broadcast(M.summary(s).select("n", "macro_f1")))
+
+
+def ml_boosted(spark, sf):
+    """Three classes by gradient boosting on six columns, measured on rows kept out."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    share = lambda p: F.length(F.regexp_replace("text", p, "")) / n
+    d = _labelled(spark, sf, 3).select("doc_id", "y", "fold", F.log1p(F.length("text")).alias("size"), share("[^A-Z]").alias("upper"), share("[^!$%&#|*]").alias("marks"), share(r"[^0-9]").alias("digits"), share(r"[^.,;:]").alias("stops"), (n / F.greatest(F.size(F.split("text", " ")), F.lit(1))).alias("word_size"))
+    d = keep(d, "boosted_rows")
+    m = boosting.fit(d.filter("fold <> 0"), ["size", "upper", "marks", "digits", "stops", "word_size"], "y", CLASSES)
+    s = boosting.scored(m, d.filter("fold = 0"), "doc_id").join(d.select("doc_id", "y"), "doc_id")
+    return M.summary(keep(s.select("y", "pred"), "boosted_scores"))
 
 
 def ml_calibrated_svm(spark, sf):
@@ -132,7 +160,7 @@ def linear_model(spark, sf):
     return r.select("term", F.round("coefficient", 2).alias("coefficient"))
 
 
-QUERIES = {f.__name__: f for f in (ml_ladder, ml_calibrated_svm, ml_ensemble, ml_grid_search, oof_probabilities, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, linear_model)}
+QUERIES = {f.__name__: f for f in (ml_ladder, ml_sgd, ml_boosted, ml_calibrated_svm, ml_ensemble, ml_grid_search, oof_probabilities, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, linear_model)}
 
 
 def bayes_sql(rows: str, terms: str, keys: list[str], configs: list[bayes.Config]) -> str:

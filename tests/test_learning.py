@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
-from fernspan.operators import bayes, ml
+from fernspan.operators import bayes, boosting, ml, sgd
 from fernspan.operators import similarity as S
 from fernspan.operators.components import components
 
@@ -139,3 +139,86 @@ def test_blocks_of_other_kinds_are_skipped(spark):
     texts = [" ".join("".join(r.choice(k) for _ in range(3)) for _ in range(20)) for k in kinds for _ in range(64)]
     f = S.pruning(S.blocked(vectors_of(spark, texts), "k", block=16, mass=0.9)).first()
     assert f["skipped"] > 0 and f["left_over"] < f["pairs"]
+
+
+def boosted_by_hand(x, y, k, cuts, start, rounds, depth, rate, ridge, least, bins):
+    """Plain numpy, one row of a tree at a time; the same gain, the same order of ties."""
+    b = boosting.binned(x, cuts)
+    scores = np.tile(start, (len(x), 1))
+    for _ in range(rounds):
+        g, h = boosting.gradients(scores, y)
+        add = np.zeros_like(scores)
+        for c in range(k):
+            todo = [(np.arange(len(x)), 0)]
+            while todo:
+                rows, level = todo.pop()
+                gs, hs = sum(int(v) for v in g[rows, c]), sum(int(v) for v in h[rows, c])
+                u = boosting.UNIT
+                best = None
+                if level < depth:
+                    for j in range(x.shape[1]):
+                        for cut in range(bins):
+                            left = rows[b[rows, j] <= cut]
+                            lg, lh = int(g[left, c].sum()), int(h[left, c].sum())
+                            if lh / u < least or (hs - lh) / u < least:
+                                continue
+                            gain = (lg / u) ** 2 / (lh / u + ridge) + ((gs - lg) / u) ** 2 / ((hs - lh) / u + ridge) - (gs / u) ** 2 / (hs / u + ridge)
+                            if gain > (best[0] + 1e-12 if best else 1e-9):
+                                best = (gain, j, cut)
+                if best is None:
+                    add[rows, c] = rate * -(gs / u) / (hs / u + ridge)
+                else:
+                    side = b[rows, best[1]] <= best[2]
+                    todo += [(rows[side], level + 1), (rows[~side], level + 1)]
+        scores = scores + add
+    return boosting.softmax(scores)
+
+
+def test_boosting_equals_numpy(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(500, 4)).round(2)
+    y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(int) + (x[:, 2] > 0.7)
+    x[::17, 1] = np.nan
+    rows = [(i, CLASSES[c], *(None if i % 50 == 3 and j == 3 else float(v) for j, v in enumerate(row))) for i, (c, row) in enumerate(zip(y, x, strict=True))]
+    x[[i for i in range(500) if i % 50 == 3], 3] = np.nan
+    d = spark.createDataFrame([*rows, (999, "none of them", 0.0, 0.0, 0.0, 0.0)], "id long, y string, a double, b double, c double, d double")
+    how = dict(rounds=7, depth=3, rate=0.3, bins=16, ridge=1.0, least=1e-3)
+    m = boosting.fit(d.repartition(5), ["a", "b", "c", "d"], "y", CLASSES, **how)
+    again = boosting.fit(d.coalesce(1), ["a", "b", "c", "d"], "y", CLASSES, **how)
+    assert m == again
+    want = boosted_by_hand(x, y, 3, m.cuts, m.start, 7, 3, 0.3, 1.0, 1e-3, 16)
+    got = {r["id"]: (r["proba"], r["pred"]) for r in boosting.scored(m, d, "id").collect()}
+    assert len(got) == 501 and all(np.allclose(got[i][0], want[i], atol=1e-6) for i in range(500))
+    assert np.mean([got[i][1] == CLASSES[c] for i, c in enumerate(y)]) > 0.9
+    one = boosting.fit(d.filter("y = 'ham'"), ["a"], "y", CLASSES, rounds=2)
+    assert {r["pred"] for r in boosting.scored(one, d, "id").collect()} == {"ham"}
+
+
+def test_descent_equals_a_single_process(spark, monkeypatch):
+    monkeypatch.setattr(sgd, "SHARD_ROWS", 40)
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        c = int(r.integers(3))
+        cells = sorted({int(v) for v in r.integers(0, 20, 4)} | {20 + c})
+        rows.append((i, CLASSES[c], (cells, [float(v) for v in r.random(len(cells))])))
+    rows += [(900, "ham", ([], [])), (901, "other", ([1], [1.0])), (902, None, ([1], [1.0]))]
+    d = spark.createDataFrame(rows, "id long, y string, f struct<indices array<int>, values array<double>>")
+    m = sgd.fit(d.repartition(6), "id", "y", F.col("f"), 23, CLASSES, epochs=4, alpha=1e-3)
+    same = sgd.fit(d.coalesce(1), "id", "y", F.col("f"), 23, CLASSES, epochs=4, alpha=1e-3)
+    assert np.array_equal(m.weights, same.weights) and m.losses == same.losses
+    # one process: the same shards and orders, weights averaged in plain doubles
+    shards = collections.defaultdict(list)
+    for x in d.filter("y in ('ham', 'smishing', 'spam')").withColumn("shard", F.expr("pmod(xxhash64(id, 1), 4)")).withColumn("h", F.array(*(F.xxhash64(F.col("id").cast("string"), F.lit(1), F.lit(e)) for e in range(4)))).collect():
+        shards[x["shard"]].append((x["h"], str(x["id"]), CLASSES.index(x["y"]), np.array(x["f"]["indices"], int), np.array(x["f"]["values"])))
+    w, b, losses = np.zeros((3, 23)), np.zeros(3), []
+    for e in range(4):
+        parts = []
+        for own in shards.values():
+            own = [(c, i, v) for _, _, c, i, v in sorted(own, key=lambda x: (x[0][e], x[1]))]
+            parts.append((len(own) / 151, *sgd.shard_epoch(w, b, own, 1e-3, e * len(own), sgd.first_step(1e-3))))
+        losses.append(sum(x[3] for x in parts) / 151)
+        w, b = w + sum(x[0] * (x[1] - w) for x in parts), b + sum(x[0] * (x[2] - b) for x in parts)
+    assert np.allclose(m.weights, w, atol=1e-6) and np.allclose(m.losses, losses, atol=1e-6) and losses[-1] < losses[0] / 2
+    p = {x["id"]: x for x in sgd.scored(m, d, "id", F.col("f")).collect()}
+    assert np.mean([p[i]["pred"] == y for i, y, _ in rows[:150]]) > 0.95 and all(abs(sum(x["proba"]) - 1) < 1e-9 for x in p.values())
