@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernspan.operators.selection import quantiles
+
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
     """Counts and shares by key; the total is a window over the few counted rows."""
@@ -15,9 +17,18 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles (interpolated), max for each key."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"))
+    """count, mean, std (n-1), min, quartiles (interpolated, exact), max for each key; no group is in one task."""
+    one = df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    q = quantiles(df, F.col(key), F.col(value), [*shares.values()])
+    q = q.groupBy("k").agg(*(F.max(F.when(F.col("share") == s, F.round("q", 6))).alias(n) for n, s in shares.items()))
+    return one.join(q, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "n", "mean", "std", "min", *shares, "max")
+
+
+def median_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): exact, interpolated; null where a key has no value."""
+    q = quantiles(df, F.col(key), F.col(value), [0.5]).select("k", F.col("q").alias("median"))
+    return df.select(key).distinct().join(q, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "median")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

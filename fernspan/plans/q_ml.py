@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from fernspan.operators import bayes, boosting, ml, sgd
+from fernspan.operators import bayes, boosting, induction, ml, sgd
 from fernspan.operators import metrics as M
 from fernspan.operators import split as P
 from fernspan.session import keep, scratch_path, table
@@ -155,12 +155,22 @@ def one_rule(spark, sf):
     return ml.one_rules(d, ["lang", "source"], "quality").select("attribute", "value", "answer", "hits", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
+def cn2_rules(spark, sf):
+    """Rules for the quality of documents from six attributes."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    share = lambda p: F.length(F.regexp_replace("text", p, "")) / n
+    level = lambda c, a, b: F.when(c < a, "low").when(c < b, "middle").otherwise("high")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumns({"size": level(F.length("text"), 200, 1000), "upper": level(share("[^A-Z]"), 0.03, 0.2), "marks": level(share("[^!$%&#|*]"), 0.002, 0.05), "digits": level(share("[^0-9]"), 0.005, 0.05)})
+    columns = ["lang", "source", "size", "upper", "marks", "digits"]
+    return induction.table_of(induction.induce(d.select(*columns, "quality"), columns, "quality"), d)
+
+
 def linear_model(spark, sf):
     r = ml.numeric_regression(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"])
     return r.select("term", F.round("coefficient", 2).alias("coefficient"))
 
 
-QUERIES = {f.__name__: f for f in (ml_ladder, ml_sgd, ml_boosted, ml_calibrated_svm, ml_ensemble, ml_grid_search, oof_probabilities, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, linear_model)}
+QUERIES = {f.__name__: f for f in (ml_ladder, ml_sgd, ml_boosted, ml_calibrated_svm, ml_ensemble, ml_grid_search, oof_probabilities, ml_trees, ml_importances, ml_persisted, ml_top_features, lime_tokens, one_rule, cn2_rules, linear_model)}
 
 
 def bayes_sql(rows: str, terms: str, keys: list[str], configs: list[bayes.Config]) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
+from fernspan.operators import linkage as L
 from fernspan.operators import similarity as S
 from fernspan.operators import split as P
 from fernspan.operators import vectors as V
@@ -130,6 +131,18 @@ def embedding_components(spark, sf):
     return c.select("vec_id", "cluster")
 
 
+def embedding_tree_cut(spark, sf):
+    """Clusters of the merge tree at the height where embedding_components links."""
+    ids, tree = L.spanning_tree(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return L.cut_at(ids, tree, 0.6).select(F.col("v").alias("vec_id"), F.col("component").alias("cluster"))
+
+
+def embedding_dendrogram(spark, sf):
+    """The last thousand merges of all embeddings, with heights and sizes."""
+    m = L.merges(*L.spanning_tree(table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    return m.withColumn("height", F.round("height", 6))
+
+
 def component_chains(spark, sf):
     """Customers of a nation as a chain, each linked with the next one: long paths whose ids rise along them."""
     c = table(spark, sf, "customer")
@@ -137,7 +150,7 @@ def component_chains(spark, sf):
     return components(c.select(F.col("c_custkey").alias("src"), F.coalesce(nxt, "c_custkey").alias("dst")))
 
 
-QUERIES = {f.__name__: f for f in (component_chains, word_tfidf, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, near_copy_pruning, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components)}
+QUERIES = {f.__name__: f for f in (component_chains, word_tfidf, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, near_copy_pruning, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components, embedding_tree_cut, embedding_dendrogram)}
 
 
 def _wb(rows: str) -> str:
@@ -187,3 +200,4 @@ SELECT split, count(*) AS held, count(*) FILTER (EXISTS (SELECT 1 FROM s z WHERE
     "cluster_sizes": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.4), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x) SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM c GROUP BY cluster) GROUP BY size",
     "embedding_components": _COS.replace("WITH v", "WITH RECURSIVE v") + ", e AS (SELECT a, b FROM s WHERE cosine >= 0.4), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS vec_id, min(y) AS cluster FROM r GROUP BY x",
 }
+ORACLES["embedding_tree_cut"] = ORACLES["embedding_components"]

@@ -25,7 +25,7 @@ def describe_lengths(spark, sf):
 
 
 def median_by_group(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("median_price"))
+    return T.median_by(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice").select("l_returnflag", F.round("median", 6).alias("median_price"))
 
 
 def source_lang_cube(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
-from fernspan.operators import bayes, boosting, ml, sgd
+from fernspan.operators import bayes, boosting, induction, linkage, ml, selection, sgd
 from fernspan.operators import similarity as S
 from fernspan.operators.components import components
 
@@ -222,3 +222,106 @@ def test_descent_equals_a_single_process(spark, monkeypatch):
     assert np.allclose(m.weights, w, atol=1e-6) and np.allclose(m.losses, losses, atol=1e-6) and losses[-1] < losses[0] / 2
     p = {x["id"]: x for x in sgd.scored(m, d, "id", F.col("f")).collect()}
     assert np.mean([p[i]["pred"] == y for i, y, _ in rows[:150]]) > 0.95 and all(abs(sum(x["proba"]) - 1) < 1e-9 for x in p.values())
+
+
+def brute_rules(rows, columns, beam, longest, least, significance, most):
+    """rows: dicts with __y; the same search over plain lists."""
+    classes = sorted({r["__y"] for r in rows})
+    count = lambda rs: tuple(sum(r["__y"] == c for r in rs) for c in classes)
+    limit = induction.critical(len(classes) - 1, significance)
+    left, out = rows, []
+    while len(out) < most and sum(c > 0 for c in count(left)) > 1:
+        before, found, tried = count(left), [], [()]
+        for _ in range(longest):
+            level = {}
+            for t in tried:
+                for c in columns:
+                    for v in {r[c] for r in left if r[c] is not None} if c not in dict(t) else ():
+                        new = tuple(sorted([*t, (c, v)]))
+                        n = count([r for r in left if all(r[a] == x for a, x in new)])
+                        if sum(n) >= least:
+                            e = round(-sum(k / sum(n) * math.log2(k / sum(n)) for k in n if k), 9) + 0.0
+                            lrs = 2 * sum(k * math.log((k / sum(n)) / (m / sum(before))) for k, m in zip(n, before, strict=True) if k)
+                            level[new] = (e, -sum(n), len(new), new, lrs, n)
+            ranked = sorted(level.values(), key=lambda x: x[:4])
+            found += [x for x in ranked if x[4] >= limit][:1]
+            tried = [x[3] for x in ranked[:beam]]
+        if not found:
+            break
+        best = min(found, key=lambda x: x[:4])
+        out.append((best[3], classes[max(range(len(classes)), key=lambda i: (best[5][i], -i))], best[5]))
+        left = [r for r in left if not all(r[a] == v for a, v in best[3])]
+    rest = count(left) if left else count(rows)
+    return [*out, ((), classes[max(range(len(classes)), key=lambda i: (rest[i], -i))], count(left))]
+
+
+def test_rules_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(240):
+        x = {"a": r.choice("pqr"), "b": r.choice(["u", "v", None]), "c": r.choice("klmn"), "d": r.choice("xy")}
+        y = "good" if x["a"] == "p" and x["b"] == "u" else "bad" if x["c"] == "k" else r.choice(["good", "bad", "bad", "odd"])
+        rows.append({**x, "__y": y})
+    d = spark.createDataFrame([(*(x[c] for c in "abcd"), x["__y"]) for x in rows] + [("p", "u", "k", "x", None)], "a string, b string, c string, d string, y string")
+    for how in ({"beam": 5, "longest": 3, "least": 2, "significance": 0.05}, {"beam": 2, "longest": 2, "least": 5, "significance": 0.01}):
+        got = induction.induce(d, ["a", "b", "c", "d"], "y", most_rules=6, **how)
+        assert [(x.conditions, x.answer, x.counts) for x in got] == brute_rules(rows, ["a", "b", "c", "d"], most=6, **how)
+    assert got[0].conditions and got[-1].conditions == ()
+    told = induction.applied(got, d).groupBy("rule").count().collect()
+    assert {x["rule"]: x["count"] for x in told if x["rule"] < len(got)} == {i + 1: sum(x.counts) + (1 if i == next(j for j, g in enumerate(got) if all({"a": "p", "b": "u", "c": "k", "d": "x"}[k] == v for k, v in g.conditions)) else 0) for i, x in enumerate(got[:-1])}
+    assert induction.induce(d.limit(0), ["a"], "y") == []
+    assert abs(induction.critical(1, 0.05) - 3.841459) < 1e-5 and abs(induction.critical(2, 0.05) - 5.991465) < 1e-5 and abs(induction.critical(5, 0.01) - 15.08627) < 1e-4
+
+
+def brute_linkage(points):
+    """Single linkage the slow way: (height, first, second, size)."""
+    clusters, out = {i: {i} for i in points}, []
+    d = lambda a, b: math.dist(points[a], points[b])
+    while len(clusters) > 1:
+        h, _, _, x, y = min((*min((d(a, b), min(a, b), max(a, b)) for a in clusters[x] for b in clusters[y]), x, y) for x in clusters for y in clusters if x < y)
+        clusters[x] |= clusters.pop(y)
+        out.append((h, x, y, len(clusters[x])))
+    return out
+
+
+def test_tree_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 7)
+    monkeypatch.setattr(linkage, "ROWS", 3)
+    r = random.Random(9)
+    points = {i * 3: [float(r.randrange(6)), float(r.randrange(6))] for i in range(40)}  # many ties
+    d = spark.createDataFrame([*points.items(), (None, [1.0, 1.0]), (500, None)], "id long, v array<double>").repartition(5)
+    ids, tree = linkage.spanning_tree(d, "id", "v", "euclidean")
+    want = brute_linkage(points)
+    assert tree.count() == 39 and sorted(x["d"] for x in tree.collect()) == [h for h, *_ in want]
+    got = [tuple(x) for x in linkage.merges(ids, tree).orderBy("step").collect()]
+    assert [(h, x, y, n) for _, h, x, y, n in got] == want and [s for s, *_ in got] == [*range(1, 40)]
+    assert [tuple(x)[1:] for x in linkage.merges(ids, tree, 5).orderBy("step").collect()] == want[-5:]
+    for k in (1, 4, 40, 99):
+        assert linkage.cut_into(ids, tree, k).select("component").distinct().count() == min(k, 40)
+    at = linkage.cut_at(ids, tree, 1.0).select("component").distinct().count()
+    assert at == 40 - sum(h <= 1.0 for h, *_ in want)
+    assert linkage.spanning_tree(d.limit(0), "id", "v")[1].count() == 0 and linkage.spanning_tree(d.filter("id = 0"), "id", "v")[1].count() == 0
+
+
+def test_quantiles_of_a_dominant_group(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", 3)
+    monkeypatch.setattr(selection, "BINS", 4)
+    r = random.Random(10)
+    rows = [("hot", r.choice([r.gauss(0, 1), 0.0, 1e300, -1e300, 1e-300, 7.0])) for _ in range(900)]
+    rows += [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 7)) for v in range(n)] + [(None, 3.0), (None, 5.0), ("a", None), ("b", math.nan), ("none", None), ("same", 4.0), ("same", 4.0)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    q = selection.quantiles(d, F.col("k"), F.col("v"), shares)
+    assert "percentile" not in q._jdf.queryExecution().toString().lower()
+    got = {(x["k"], x["share"]): x["q"] for x in q.collect()}
+    groups = collections.defaultdict(list)
+    for k, v in rows:
+        if v is not None and not math.isnan(v):
+            groups[k].append(v)
+    assert {k for k, _ in got} == groups.keys()
+    for (k, p), x in got.items():
+        s = sorted(groups[k])
+        low = math.floor((len(s) - 1) * p)
+        high = min(low + 1, len(s) - 1)
+        assert x == s[low] + (s[high] - s[low]) * ((len(s) - 1) * p - low)
+    assert selection.quantiles(d.limit(0), F.col("k"), F.col("v"), shares).count() == 0
