@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernspan.functions import rules as R
+from fernspan.operators import windows
 
 # Limits of the control policy and the posted-invoice fixture.
 APPROVAL_LIMIT = 10_000
@@ -59,18 +60,17 @@ def triage(invoices: DataFrame, po: DataFrame, ledger: DataFrame, now: dt.dateti
     """Cases: status, reason, flags, priority and the fixed authority columns of every invoice of the batch."""
     keys, used, recent = _ledger(ledger, now)
     d = normalised(invoices).join(keys, "key", "left").join(used, "po_id", "left").join(recent, "supplier", "left").join(latest_orders(po, load_order), "po_id", "left")
-    earlier = (Window.unboundedPreceding, -1)
-    # rows that lack a part of a key (they are invalid, whatever else) get partitions of their own, so they don't pile up in one
+    # rows that lack a part of a key (they are invalid, whatever else) get keys of their own, so they don't pile up in one
     alone = F.concat(F.lit("\n"), F.col("seq").cast("string"))
-    by_key = Window.partitionBy(F.when((F.col("supplier") == "") | (F.col("invoice_ref") == ""), alone).otherwise(F.col("key"))).orderBy("seq")
-    d = d.withColumn("duplicate", F.coalesce("in_ledger", F.lit(False)) | F.col("key").isin(*HISTORIC) | (F.row_number().over(by_key) > 1))
+    own_key = F.when((F.col("supplier") == "") | (F.col("invoice_ref") == ""), alone).otherwise(F.col("key"))
+    d = windows.with_first(d, own_key, "seq", {"__first": F.lit(True)})
+    d = d.withColumn("duplicate", F.coalesce("in_ledger", F.lit(False)) | F.col("key").isin(*HISTORIC) | (F.col("seq") > F.col("__first")))
     d = d.withColumn("counted", (F.col("valid") & ~F.col("duplicate")).cast("int"))
-    by_po = Window.partitionBy(F.when(F.col("po_id") == "", alone).otherwise(F.col("po_id"))).orderBy("seq").rowsBetween(*earlier)
-    # one supplier's rows of a batch are one task: their running sum needs their order
-    by_supplier = Window.partitionBy(F.when(F.col("supplier") == "", alone).otherwise(F.col("supplier"))).orderBy("seq").rowsBetween(*earlier)
+    d = windows.with_first(d, F.when(F.col("po_id") == "", alone).otherwise(F.col("po_id")), "seq", {"__po_first": F.col("counted") == 1})
+    d = d.withColumn("po_used", F.coalesce("po_in_ledger", F.lit(False)) | F.coalesce(F.col("seq") > F.col("__po_first"), F.lit(False)))
     small = F.when((F.col("counted") == 1) & (F.col("amount_usd") <= APPROVAL_LIMIT), F.col("amount_usd"))
-    d = d.withColumn("po_used", F.coalesce("po_in_ledger", F.lit(False)) | (F.coalesce(F.sum("counted").over(by_po), F.lit(0)) > 0))
-    d = d.withColumn("siblings", F.coalesce("old_n", F.lit(0)) + F.count(small).over(by_supplier)).withColumn("split_total", F.coalesce("old_sum", F.lit(0.0)) + F.coalesce(F.sum(small).over(by_supplier), F.lit(0.0)) + F.coalesce("amount_usd", F.lit(0.0)))
+    d = windows.running(d, F.when(F.col("supplier") == "", alone).otherwise(F.col("supplier")), "seq", {"__n": F.when(small.isNotNull(), 1).otherwise(0), "__sum": F.coalesce(small, F.lit(0.0))})
+    d = d.withColumn("siblings", F.coalesce("old_n", F.lit(0)) + F.col("__n")).withColumn("split_total", F.coalesce("old_sum", F.lit(0.0)) + F.col("__sum") + F.coalesce("amount_usd", F.lit(0.0)))
     d = d.withColumn("split", F.col("valid") & ~F.col("high") & (F.col("siblings") > 0) & (F.col("split_total") > APPROVAL_LIMIT))
     money = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
     arms = [
