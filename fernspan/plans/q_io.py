@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fernspan.plans import q_ap
 from fernspan.session import scratch_path, table
 from fernspan.sources import loaders, stores
+from fernspan.streaming import keyed as K
 from fernspan.streaming import ledger as L
 
 
@@ -133,7 +134,41 @@ def stream_ledger(spark, sf):
     return t.rows().groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("supplier").alias("suppliers"))
 
 
-QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_rate_feed, source_invoices, source_all, source_binary, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger)}
+def stream_sliding(spark, sf):
+    """Events by type in windows of two days that begin every day."""
+    e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = L.run_once(L.windowed_counts(e, "2 days", "1 hour", "1 day"), spark)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_sessions(spark, sf):
+    """Sessions of each user, ended by six hours without an event."""
+    e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = L.run_once(L.sessions(e, "6 hours", "1 hour"), spark)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select("user_id", text("start").alias("start"), text("end").alias("end"), "n")
+
+
+def in_order(rows, at, folder, parts=6):
+    """A stream of rows in as many micro-batches, by time: files written one after the other."""
+    cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    part = sum(((F.col(at) > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(parts):
+        rows.filter(part == k).write.mode("append").parquet(f"{folder}/{k}")
+    # one folder a batch, read in the order in which they were written
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def stream_memory(spark, sf):
+    """Orders as a stream of invoices in time order, each told by its supplier's keyed state: reference seen, small invoices of seven days."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    inv = table(spark, sf, "orders").select(F.concat(F.lit("S"), (c % 97).cast("string")).alias("supplier"), k.alias("seq"), F.col("o_orderdate").cast("timestamp").alias("received_at"), F.concat(F.lit("R"), (k % 499).cast("string")).alias("invoice_ref"), (F.floor(F.col("o_totalprice") * 100 / 30) / 100).alias("amount"))
+    stream = in_order(inv, "received_at", scratch_path(spark, "memory_in"))
+    out = L.run_once(K.remembered(stream, 10_000, 7), spark, "append")
+    return out.select("supplier", "seq", "duplicate", "siblings", F.round("split_total", 2).alias("split_total"), "split")
+
+
+QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_rate_feed, source_invoices, source_all, source_binary, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger, stream_sliding, stream_sessions, stream_memory)}
 
 _L = "WITH l AS (SELECT regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text, CASE WHEN toxic = 1 THEN 'smishing' WHEN quality = 0 THEN 'spam' ELSE 'ham' END AS label FROM documents JOIN labels USING (doc_id))"
 ORACLES = {
@@ -147,5 +182,13 @@ ORACLES = {
     "sink_append": "SELECT count(*) AS n, cast(sum(conv_id) AS BIGINT) AS id_sum, cast(sum(length(text) + 17) AS BIGINT) AS chars FROM conversations",
     "keyed_table": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END::DOUBLE AS s_acctbal, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM supplier",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_sliding": "SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS day, event_type, value FROM events) GROUP BY ALL",
+    "stream_sessions": """WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS first FROM events),
+        s AS (SELECT *, sum(first::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_memory": """WITH i AS (SELECT 'S' || o_custkey % 97 AS supplier, o_orderkey AS seq, o_orderdate::DATE AS d, 'R' || o_orderkey % 499 AS ref, floor(o_totalprice * 100 / 30) / 100 AS amount FROM orders),
+        j AS (SELECT *, row_number() OVER (PARTITION BY supplier, ref ORDER BY d, seq) > 1 AS duplicate FROM i),
+        n AS (SELECT a.supplier, a.seq, a.amount, a.duplicate, count(b.seq) AS siblings, coalesce(sum(b.amount), 0) + a.amount AS total FROM j a LEFT JOIN j b ON b.supplier = a.supplier AND NOT b.duplicate AND b.amount <= 10000 AND b.d >= a.d - INTERVAL 7 DAY AND (b.d < a.d OR b.d = a.d AND b.seq < a.seq) GROUP BY a.supplier, a.seq, a.amount, a.duplicate)
+        SELECT supplier, seq, duplicate, siblings, round(total, 2) AS split_total, siblings > 0 AND total > 10000 AND amount <= 10000 AS split FROM n""",
     "stream_ledger": "WITH i AS (SELECT o_custkey % 50 AS s, row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 999 ORDER BY o_orderkey) > 1 AS dup FROM orders) SELECT CASE WHEN dup THEN 'HOLD_DUPLICATE' ELSE 'REVIEW_MISSING_PO' END AS status, count(*) AS n, count(DISTINCT s) AS suppliers FROM i GROUP BY 1",
 }
