@@ -100,11 +100,15 @@ def sink_append(spark, sf):
 
 
 def keyed_table(spark, sf):
-    """Insert all suppliers, update some, read the latest version of each."""
+    """Insert all suppliers, update some, delete some and insert one of them again, write all anew, read what there is."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     t = stores.KeyedTable(spark, scratch_path(spark, "keyed"), "s_suppkey long, s_name string, s_acctbal double").ensure()
     t.insert(s, 1, "s_suppkey")
     t.update(s.filter(F.col("s_suppkey") % 3 == 0).withColumn("s_acctbal", F.lit(0.0)), 2, "s_suppkey")
+    t.delete(s.filter(F.col("s_suppkey") % 7 == 0).select("s_suppkey"), 3, "s_suppkey")
+    t.compact()
+    t.insert(s.filter(F.col("s_suppkey") % 14 == 0), 4, "s_suppkey")
+    t.insert(s, 4, "s_suppkey")  # a batch that comes again changes nothing
     return t.rows().select("s_suppkey", "s_name", "s_acctbal", "version")
 
 
@@ -180,7 +184,7 @@ ORACLES = {
     "source_all": _L + " SELECT s AS source, label, count(*) AS n FROM l, (VALUES ('a'), ('b')) v(s) GROUP BY ALL",
     "sink_splits": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, cast(sum(doc_id) AS BIGINT) AS id_sum, cast(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1",
     "sink_append": "SELECT count(*) AS n, cast(sum(conv_id) AS BIGINT) AS id_sum, cast(sum(length(text) + 17) AS BIGINT) AS chars FROM conversations",
-    "keyed_table": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END::DOUBLE AS s_acctbal, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM supplier",
+    "keyed_table": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 14 <> 0 THEN 0.0 ELSE s_acctbal END::DOUBLE AS s_acctbal, CASE WHEN s_suppkey % 14 = 0 THEN 4 WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM supplier WHERE s_suppkey % 7 <> 0 OR s_suppkey % 14 = 0",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding": "SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS day, event_type, value FROM events) GROUP BY ALL",
     "stream_sessions": """WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS first FROM events),

@@ -17,13 +17,11 @@ LEDGER = "case_id string, invoice_id string, supplier string, invoice_ref string
 def stream_triage(invoices: DataFrame, po: DataFrame, ledger: KeyedTable, checkpoint: str, now: dt.datetime):
     """Each micro-batch is judged against the ledger as the batches before left it, then appended; one query serialises them.
 
-    The batch number is the version of its rows, so a batch that is run again after a failure is read once.
+    A batch that is run again after a failure is judged against the version before its own rows, and committed once.
     """
-    ledger.ensure()
 
     def one(batch: DataFrame, number: int) -> None:
-        # what an earlier try of this very batch wrote isn't an earlier invoice
-        seen = ledger.rows().filter(F.col("version") < number + 1)
+        seen = ledger.rows(ledger.before(number + 1))
         cases = keep(ap.triage(batch, po, seen, now + dt.timedelta(minutes=number)), "stream_cases")
         ledger.insert(cases.select(*[f.split()[0] for f in LEDGER.split(", ")]), number + 1, "case_id")
 
