@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fernspan.functions import text as T
-from fernspan.operators import dedup
-from fernspan.session import table
+from fernspan.operators import dedup, lemmas
+from fernspan.session import keep, table
 
 
 def _sql(pattern: str) -> str:
@@ -33,7 +33,9 @@ def _stage_sql(level: int, field: str = "coalesce(text, '')") -> str:
     if level >= 1:
         for a, b in T.ENTITIES:
             s = f"replace({s}, '{q(a)}', '{q(b)}')"
-        s = f"translate({s}, '{T.ACCENTED}', '{T.PLAIN}')"
+        for c in ("…", "½", "¼", "¾", "™", "ﬁ", "ﬂ"):
+            s = f"replace({s}, '{c}', '{T.EXPANDED[c]}')"
+        s = f"translate({s}, '{T.DECOMPOSED}', '{q(T.ASCII_OF)}')"
         s = f"trim(regexp_replace(lower(regexp_replace({s}, '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'))"
     if level >= 2:
         for a, b in T.CONTRACTIONS:
@@ -153,9 +155,32 @@ def char_wb_ngrams(spark, sf):
     return d.groupBy("g").agg(F.count("*").alias("n"))
 
 
+def _cleaned_words(spark, sf):
+    d = T.with_stages(table(spark, sf, "documents").select("doc_id", "text"), "text", _LEVELS[:5])
+    return keep(d.select("doc_id", T.words(F.col(_LEVELS[4])).alias("words")), "cleaned_words")
+
+
+def lemma_table(spark, sf):
+    """Every distinct word left of the documents after cleaning, as noun and then as verb, by a lexicon of the documents themselves."""
+    return lemmas.lemma_table(_cleaned_words(spark, sf), "doc_id", "words")
+
+
+def lemmatised_texts(spark, sf):
+    """The cleaned documents with every word replaced by its lemma."""
+    d = _cleaned_words(spark, sf)
+    out = lemmas.lemmatised(d, "doc_id", "words", lemmas.lemma_table(d, "doc_id", "words"))
+    return out.select("doc_id", F.md5(F.array_join("words", " ")).alias("lemmas_md5"), F.size("words").cast("long").alias("n"))
+
+
+def ascii_forms(spark, sf):
+    """Characters of the documents outside ASCII, and what compatibility decomposition leaves of them."""
+    c = table(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[\x00-\x7F]+", ""), ""))).alias("c")).filter("c <> ''")
+    return c.groupBy("c").agg(F.count("*").alias("n")).select("c", T.to_ascii(F.col("c")).alias("ascii"), "n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_normalise, dedup_key_groups, priority_dedup, label_conflicts, duplicate_counts, subset_dedup, template_overlap, cleaning_stages, stage_vocabulary, slug_overlap, html_unescape, ui_noise_filter, top_tokens_by_lang, red_flag_words, label_alias_map, char_wb_ngrams)
+    for f in (text_normalise, dedup_key_groups, priority_dedup, label_conflicts, duplicate_counts, subset_dedup, template_overlap, cleaning_stages, stage_vocabulary, slug_overlap, html_unescape, ui_noise_filter, top_tokens_by_lang, red_flag_words, label_alias_map, char_wb_ngrams, lemma_table, lemmatised_texts, ascii_forms)
 }
 
 _NOISE = _sql(T.UI_NOISE)
@@ -173,7 +198,26 @@ SELECT g, count(*) AS n FROM (
 ) GROUP BY g
 """
 
+
+
+def _lemma_sql() -> str:
+    """CTEs up to ``lm`` (word, noun, lemma, n): as lemmas.lemma_table."""
+    def accepted(word: str, rules: tuple, irregular: dict) -> str:
+        forms = [f"SELECT {word} AS word, {word} AS form FROM src"] + [f"SELECT {word}, left({word}, length({word}) - {len(a)}) || '{b}' FROM src WHERE ends_with({word}, '{a}') AND length({word}) > {len(a)}" for a, b in rules]
+        exact = "CASE word " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in irregular.items()) + " END"
+        return f"SELECT word, coalesce({exact}, min(form ORDER BY length(form), form) FILTER (form IN (SELECT word FROM lx)), word) AS lemma FROM ({' UNION '.join(forms)}) GROUP BY word"
+
+    docs = f"w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(trim({_stage_sql(4)}), '\\s+'), lambda x : x <> '') AS ws FROM documents)"
+    count = f"c AS MATERIALIZED (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY word), lx AS MATERIALIZED (SELECT word FROM c WHERE docs >= {lemmas.LEAST_DOCS})"
+    noun = accepted("word", lemmas.NOUN, lemmas.IRREGULAR_NOUNS).replace("FROM src", "FROM c")
+    verb = accepted("noun", lemmas.VERB, lemmas.IRREGULAR_VERBS).replace("FROM src", "FROM nn")
+    return f"{docs}, {count}, nn AS MATERIALIZED (SELECT word, lemma AS noun FROM ({noun})), vb AS (SELECT word AS noun, lemma FROM ({verb})), lm AS MATERIALIZED (SELECT nn.word, nn.noun, vb.lemma, c.n FROM nn JOIN vb USING (noun) JOIN c ON c.word = nn.word)"
+
+
 ORACLES = {
+    "lemma_table": f"WITH {_lemma_sql()} SELECT * FROM lm",
+    "lemmatised_texts": f"WITH {_lemma_sql()}, e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), j AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS t, count(*) AS n FROM e JOIN lm USING (word) GROUP BY doc_id) SELECT doc_id, md5(coalesce(t, '')) AS lemmas_md5, coalesce(j.n, 0) AS n FROM w LEFT JOIN j USING (doc_id)",
+    "ascii_forms": f"SELECT c, regexp_replace(translate(c, '{T.DECOMPOSED}', '{T.ASCII_OF.replace(chr(39), chr(39) * 2)}'), '[^\\x00-\\x7F]', '', 'g') AS ascii, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]+', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY c",
     "text_normalise": f"SELECT doc_id, {normal_sql('text')} AS text_clean, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda x : x <> '')) AS n_words FROM documents",
     "dedup_key_groups": f"SELECT md5(k) AS key_md5, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, {KEY_SQL} AS k FROM documents) WHERE length(k) > 0 GROUP BY k HAVING count(*) > 1",
     "priority_dedup": f"""SELECT doc_id, source, lang, length({normal_sql('text')}) AS clean_chars FROM (
