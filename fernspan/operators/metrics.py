@@ -185,6 +185,50 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return c.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
+def _drawn(group: str, draw: str, seed: int) -> Column:
+    """How often a group is in a draw: Poisson(1) from a hash of both, by its cumulative probabilities."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), group, draw)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return reduce(lambda a, t: a + (u >= t).cast("int"), POISSON_STEPS, F.lit(0))
+
+
+def _poisson_steps() -> list[float]:
+    steps, p, total = [], 0.36787944117144233, 0.0
+    for k in range(1, 8):
+        total += p
+        steps.append(total)
+        p /= k
+    return steps
+
+
+POISSON_STEPS = _poisson_steps()
+
+
+def bootstrap_metrics(df: DataFrame, groups: Column, draws: int, seed: int, label: str = TARGET) -> DataFrame:
+    """(metric, lo, hi, mean): percentile intervals of accuracy, macro F1 and the target's precision, recall and F1, whole groups resampled.
+
+    Groups are reduced to their counts of (class, answer) first; a draw is one sum over these, and its metrics follow from the sums.
+    """
+    pairs = [(t, p) for t in LABELS for p in LABELS]
+    by = df.groupBy(groups.alias("g")).agg(*(F.count_if((F.col("y") == t) & (F.col("pred") == p)).alias(f"{t}_{p}") for t, p in pairs))
+    each = by.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("times", _drawn("g", "draw", seed))
+    d = each.groupBy("draw").agg(*(F.sum(F.col("times") * F.col(f"{t}_{p}")).alias(f"{t}_{p}") for t, p in pairs))
+    total = lambda cells: reduce(lambda a, b: a + b, (F.col(f"{t}_{p}") for t, p in cells))
+    support, answered = {c: total((c, p) for p in LABELS) for c in LABELS}, {c: total((t, c) for t in LABELS) for c in LABELS}
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    f1 = {c: F.try_divide(2 * F.col(f"{c}_{c}"), support[c] + answered[c]) for c in LABELS}
+    met = {c: F.when(support[c] + answered[c] > 0, 1).otherwise(0) for c in LABELS}
+    values = {
+        "accuracy": share(total((c, c) for c in LABELS), total(pairs)),
+        "macro_f1": share(reduce(lambda a, b: a + b, (F.coalesce(f1[c], F.lit(0.0)) for c in LABELS)), reduce(lambda a, b: a + b, met.values())),
+        "precision": share(F.col(f"{label}_{label}"), answered[label]),
+        "recall": share(F.col(f"{label}_{label}"), support[label]),
+        "f1": F.coalesce(f1[label], F.lit(0.0)),
+    }
+    long = d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in values.items()))).alias("x")).select("x.*")
+    # a value a draw: as many as were asked for
+    return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"), F.avg("value").alias("mean"))
+
+
 def bootstrap(df: DataFrame, groups: Column, draws: int, seed: int, label: str = TARGET) -> DataFrame:
     """Percentile interval of the target's recall: whole groups are resampled, by Poisson weights from a hash of (group, draw).
 
@@ -192,13 +236,6 @@ def bootstrap(df: DataFrame, groups: Column, draws: int, seed: int, label: str =
     """
     by = df.groupBy(groups.alias("g")).agg(F.count_if(F.col("y") == label).alias("support"), F.count_if((F.col("y") == label) & (F.col("pred") == label)).alias("hits")).filter("support > 0")
     each = by.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "g", "draw")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    # the number of times a group is drawn: Poisson(1) by its cumulative probabilities
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 8):
-        total += p
-        steps.append(total)
-        p /= k
-    weight = reduce(lambda a, t: a + (u >= t).cast("int"), steps, F.lit(0))
+    weight = _drawn("g", "draw", seed)
     s = each.groupBy("draw").agg(F.sum(weight * F.col("hits")).alias("h"), F.sum(weight * F.col("support")).alias("s")).select(F.coalesce(F.try_divide("h", "s"), F.lit(0.0)).alias("recall"))
     return s.agg(F.percentile("recall", F.lit(0.025)).alias("lo"), F.percentile("recall", F.lit(0.975)).alias("hi"), F.avg("recall").alias("mean"), F.count("*").alias("draws"))

@@ -141,6 +141,17 @@ def bootstrap_ci(spark, sf):
     return b.select(R("lo").alias("lo"), R("hi").alias("hi"), R("mean").alias("mean"), "draws")
 
 
+def bootstrap_metrics(spark, sf):
+    b = M.bootstrap_metrics(predictions(spark, sf), F.col("source"), 2000, 42)
+    return b.select("metric", R("lo").alias("lo"), R("hi").alias("hi"), R("mean").alias("mean"))
+
+
+def most_certain(spark, sf):
+    """The twenty documents whose target probability is farthest from a half."""
+    p = predictions(spark, sf).select("doc_id", M.probability(F.col("proba"), M.TARGET).alias("p"))
+    return p.orderBy(F.desc(F.abs(F.col("p") - 0.5)), "doc_id").limit(20).select("doc_id", R("p").alias("p_target"))
+
+
 def repeated_summary(spark, sf):
     """Gain of min-cost over argmax in target recall, over six groups of documents: mean, times better, least and most."""
     p = predictions(spark, sf)
@@ -174,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion_matrix, class_metrics, model_summary, expected_cost, min_cost_decision, needs_review, review_grid, brier_score, calibration_bins, threshold_sweep, best_threshold, roc_auc, pr_curve, worst_misses, operating_points, leaderboard_select,
-        agreement_table, class_weights, score_map, evaluation_report, bootstrap_ci, repeated_summary, before_after, decided_classes,
+        agreement_table, class_weights, score_map, evaluation_report, bootstrap_ci, bootstrap_metrics, most_certain, repeated_summary, before_after, decided_classes,
     )
 }
 
@@ -242,6 +253,13 @@ ORACLES = {
     "class_weights": _P + "SELECT y, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM o GROUP BY y",
     "score_map": _P + "SELECT doc_id, pred AS label, round(CASE pred WHEN 'ham' THEN ph WHEN 'smishing' THEN pt ELSE ps END, 6) AS confidence, 'ham=' || floor(ph * 10000)::BIGINT || ';smishing=' || floor(pt * 10000)::BIGINT || ';spam=' || floor(ps * 10000)::BIGINT AS scores FROM o",
     "evaluation_report": _P + f"SELECT n, accuracy, macro_f1, target_recall, (SELECT count(DISTINCT source) FROM p WHERE y = 'smishing') AS target_groups FROM (SELECT {_SUM} FROM ({_metrics('p')}))",
+    "most_certain": _P + "SELECT doc_id, round(pt, 6) AS p_target FROM p ORDER BY abs(pt - 0.5) DESC, doc_id LIMIT 20",
+    "bootstrap_metrics": _P
+    + ", g AS (SELECT source, y, pred, count(*) AS n FROM p GROUP BY ALL), u AS (SELECT source, draw, ('0x' || substr(md5('42/' || source || '/' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT source FROM g), generate_series(1, 2000) x(draw)), "
+    + f"t AS (SELECT source, draw, {' + '.join(f'(u >= {s!r}::DOUBLE)::INT' for s in M.POISSON_STEPS)} AS times FROM u), "
+    + "c AS (SELECT draw, y, pred, sum(n * times) AS n FROM g JOIN t USING (source) GROUP BY ALL), k AS (SELECT draw, cl, coalesce(sum(n) FILTER (y = cl), 0) AS s, coalesce(sum(n) FILTER (pred = cl), 0) AS a, coalesce(sum(n) FILTER (y = cl AND pred = cl), 0) AS h FROM c, unnest(['ham', 'spam', 'smishing']) x(cl) GROUP BY ALL), "
+    + "m AS (SELECT draw, coalesce(sum(h) / nullif(sum(s), 0), 0) AS accuracy, coalesce(avg(2 * h / nullif(s + a, 0)), 0) AS macro_f1, coalesce(max(h / nullif(a, 0)) FILTER (cl = 'smishing'), 0) AS precision, coalesce(max(h / nullif(s, 0)) FILTER (cl = 'smishing'), 0) AS recall, coalesce(max(2 * h / nullif(s + a, 0)) FILTER (cl = 'smishing'), 0) AS f1 FROM k GROUP BY draw) "
+    + "SELECT metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, round(avg(value), 6) AS mean FROM (UNPIVOT m ON accuracy, macro_f1, precision, recall, f1 INTO NAME metric VALUE value) GROUP BY metric",
     "bootstrap_ci": _P + ", g AS (SELECT source, count(*) FILTER (y = 'smishing') AS s, count(*) FILTER (y = 'smishing' AND pred = y) AS h FROM p GROUP BY source), d AS (SELECT draw, s, h, ('0x' || substr(md5('42/' || source || '/' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM g, generate_series(1, 2000) x(draw) WHERE s > 0), "
     + f"w AS (SELECT draw, {' + '.join(_POIS)} AS k, s, h FROM d), r AS (SELECT draw, coalesce(sum(k * h) / nullif(sum(k * s), 0), 0) AS r FROM w GROUP BY draw) SELECT round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi, round(avg(r), 6) AS mean, count(*) AS draws FROM r",
     "repeated_summary": _P + ", r AS (SELECT doc_id % 6 AS seed, avg((mc = 'smishing')::INT) - avg((pred = 'smishing')::INT) AS gain FROM o WHERE y = 'smishing' GROUP BY 1) SELECT round(avg(gain), 6) AS mean_gain, count(*) FILTER (gain > 0) AS better, round(min(gain), 6) AS least, round(max(gain), 6) AS most FROM r",

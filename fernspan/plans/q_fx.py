@@ -92,8 +92,11 @@ def fx_reconcile(spark, sf):
 
 
 def fx_settings(spark, sf):
-    rows = spark.createDataFrame([("dod_alert_pct", "1.5"), (" history_days ", "10.4"), ("avg_alert_pct", "much"), ("other", "3")], "setting string, value string")
-    return fx.settings(rows)
+    """Nations as rows of a settings table: two of them set something, one is no number, the others are not known."""
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    name = F.when(k == 1, "dod_alert_pct").when(k == 10, " history_days ").when(k == 7, "avg_alert_pct").otherwise(F.col("n_name"))
+    value = F.when(k == 7, F.col("n_name")).when(k == 10, F.concat(k.cast("string"), F.lit(".4"))).otherwise(F.concat(k.cast("string"), F.lit(".5")))
+    return fx.settings(n.select(name.alias("setting"), value.alias("value")))
 
 
 def fx_formats(spark, sf):
@@ -133,6 +136,6 @@ ORACLES = {
   SELECT alert_type, currency, count(*) AS n, min(detail) AS first_detail, min(message) AS first_message FROM a GROUP BY ALL""",
     "fx_append_once": _R + " SELECT strftime(rate_date, '%Y-%m-%d') AS rate_date, currency, round(eur_rate, 6) AS eur_rate FROM r WHERE day(rate_date) % 3 <> 0",
     "fx_reconcile": _S + "SELECT CASE WHEN days_to_due = 5 THEN 'ONLY_LEFT' WHEN days_to_due = 7 AND good THEN 'DIFFERENT' ELSE 'OK' END AS state, count(*) AS n FROM x GROUP BY 1",
-    "fx_settings": "SELECT 1.5::DOUBLE AS dod_alert_pct, 2.0::DOUBLE AS avg_alert_pct, 10::INTEGER AS history_days",
+    "fx_settings": "SELECT max(CASE WHEN n_nationkey = 1 THEN n_nationkey + 0.5 END)::DOUBLE AS dod_alert_pct, 2.0::DOUBLE AS avg_alert_pct, max(CASE WHEN n_nationkey = 10 THEN n_nationkey END)::INTEGER AS history_days FROM nation",
     "fx_formats": "SELECT o_orderkey, format('{:+.2f}%', floor(o_totalprice - 250000) / 100) AS pct, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
 }

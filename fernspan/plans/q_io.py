@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import struct
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fernspan.plans import q_ap
@@ -82,6 +86,37 @@ def source_binary(spark, sf):
     return f.groupBy(F.regexp_replace("cls", "cls=", "").alias("cls")).agg(F.countDistinct("md5").alias("digests"), (F.sum("size") > 0).alias("filled"))
 
 
+def _png(label: pd.Series, vector: pd.Series) -> pd.Series:
+    """Vectors as small pictures, grey or in colour by the label: eight cells a row."""
+    out = []
+    for n, v in zip(label, vector, strict=True):
+        cells = np.clip(np.asarray(v, float) * 128 + 128, 0, 255).astype(np.uint8).reshape(-1, 8)
+        deep = np.repeat(cells, 3, axis=1) if n % 2 else cells
+        raw = b"".join(b"\0" + r.tobytes() for r in deep)
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, len(cells), 8, 2 if n % 2 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    return pd.Series(out)
+
+
+def image_table(spark, sf):
+    """Embeddings as PNG pictures in class folders: size, colour mode, class and patient of every one."""
+    _png.__annotations__ = {"label": pd.Series, "vector": pd.Series, "return": pd.Series}
+    e = table(spark, sf, "embeddings").filter(F.size("embedding") % 8 == 0)
+    where = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("x/PNEUMONIA/person"), F.col("vec_id").cast("string"), F.lit("_virus_1.png"))).otherwise(F.concat(F.lit("x/NORMAL/IM-"), F.lpad(F.col("vec_id").cast("string"), F.greatest(F.lit(4), F.length(F.col("vec_id").cast("string"))), F.lit("0")), F.lit("-01.png")))
+    r = loaders.image_rows(e.select(where.alias("path"), F.pandas_udf(_png, "binary")("label", "embedding").alias("content")))
+    return r.select("file", "cls", "patient", "width", "height", "mode", "aspect")
+
+
+def sink_json(spark, sf):
+    """Counts of documents by language and source as JSON objects with a nested list, read back."""
+    path = scratch_path(spark, "results")
+    d = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.max(F.when(F.col("n_chars") > 100_000, F.col("n_chars"))).alias("huge"))
+    by = d.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"), F.max("huge").alias("huge"))
+    stores.write_json(by, path)
+    back = spark.read.schema(by.schema).json(path)
+    return back.select("lang", "huge", F.explode("sources").alias("s")).select("lang", "huge", "s.source", "s.n")
+
+
 def sink_splits(spark, sf):
     path = scratch_path(spark, "splits")
     d = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"[\r\n]", " ").alias("text"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
@@ -172,10 +207,12 @@ def stream_memory(spark, sf):
     return out.select("supplier", "seq", "duplicate", "siblings", F.round("split_total", 2).alias("split_total"), "split")
 
 
-QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_rate_feed, source_invoices, source_all, source_binary, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger, stream_sliding, stream_sessions, stream_memory)}
+QUERIES = {f.__name__: f for f in (source_tsv, source_csv_roles, source_xml, source_rate_feed, source_invoices, source_all, source_binary, image_table, sink_json, sink_splits, sink_append, keyed_table, stream_daily, stream_ledger, stream_sliding, stream_sessions, stream_memory)}
 
 _L = "WITH l AS (SELECT regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text, CASE WHEN toxic = 1 THEN 'smishing' WHEN quality = 0 THEN 'spam' ELSE 'ham' END AS label FROM documents JOIN labels USING (doc_id))"
 ORACLES = {
+    "image_table": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'person' || vec_id || '_virus_1.png' ELSE 'IM-' || lpad(vec_id::VARCHAR, greatest(4, length(vec_id::VARCHAR))::INT, '0') || '-01.png' END AS file, CASE WHEN vec_id % 3 = 0 THEN 'PNEUMONIA' ELSE 'NORMAL' END AS cls, CASE WHEN vec_id % 3 = 0 THEN 'person' || vec_id ELSE 'IM-' || lpad(vec_id::VARCHAR, greatest(4, length(vec_id::VARCHAR))::INT, '0') END AS patient, 8 AS width, (len(embedding) // 8)::INT AS height, CASE WHEN label % 2 = 1 THEN 'RGB' ELSE 'L' END AS mode, round(8 / (len(embedding) // 8), 2) AS aspect FROM embeddings WHERE len(embedding) % 8 = 0",
+    "sink_json": "SELECT lang, max(max(CASE WHEN n_chars > 100000 THEN n_chars END)) OVER (PARTITION BY lang) AS huge, source, count(*) AS n FROM documents GROUP BY lang, source",
     "source_tsv": _L + " SELECT 'tsv' AS source, label, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM l GROUP BY label",
     "source_csv_roles": _L + " SELECT 'csv' AS source, label, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM l GROUP BY label",
     "source_xml": "SELECT 'xml' AS source, 'ham' AS label, count(*) AS n FROM conversations WHERE conv_id % 2 = 0",

@@ -76,8 +76,8 @@ def ml_boosted(spark, sf):
 
 def ml_calibrated_svm(spark, sf):
     """Linear SVM margins out of fold, Platt curves on them, then Brier score and macro F1."""
-    d = _texts(spark, sf, chars=True)
-    oof = keep(ml.fold_predictions(lambda: ml.ladder()["svm_char"], d, CLASSES, "fold", 3).select("doc_id", "y", "label", "rawPrediction"), "ml_margins")
+    d = keep(ml.labelled(ml.prepared(_labelled(spark, sf, FOLDS)), CLASSES), "ml_texts")
+    oof = keep(ml.fold_predictions(lambda: ml.ladder()["svm_char"], d, CLASSES, "fold", FOLDS).select("doc_id", "y", "label", "rawPrediction"), "ml_margins")
     # curves of one half of the rows, measured on the other
     half = P.bucket(F.col("doc_id"), 2, 9)
     _, apply = ml.calibrated(oof.filter(half == 0), CLASSES)

@@ -22,6 +22,14 @@ def word_tfidf(spark, sf):
     return v.select("item_id", "term", F.round("w", 6).alias("w"))
 
 
+def word_tfidf_top(spark, sf):
+    """The same over the 300 terms that occur most in two passages or more."""
+    b = table(spark, sf, "benchmark")
+    c = keep(S.term_counts(b, "item_id", S.word_ngrams(F.col("text"), 1, 2)), "q_counts")
+    v = S.tfidf(c, "item_id", S.idf_table(c, "item_id", 2, 300))
+    return v.select("item_id", "term", F.round("w", 6).alias("w"))
+
+
 def char_tfidf_norms(spark, sf):
     """Terms, largest weight and norm of every conversation turn's character n-gram vector."""
     d = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text")
@@ -150,7 +158,7 @@ def component_chains(spark, sf):
     return components(c.select(F.col("c_custkey").alias("src"), F.coalesce(nxt, "c_custkey").alias("dst")))
 
 
-QUERIES = {f.__name__: f for f in (component_chains, word_tfidf, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, near_copy_pruning, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components, embedding_tree_cut, embedding_dendrogram)}
+QUERIES = {f.__name__: f for f in (component_chains, word_tfidf, word_tfidf_top, char_tfidf_norms, near_copy_pairs, near_copy_semijoin, near_copy_clusters, near_copy_pruning, cluster_sizes, group_split, random_split, pinned_roles, fold_table, split_overlap, embedding_knn, embedding_vote, embedding_pairs, embedding_components, embedding_tree_cut, embedding_dendrogram)}
 
 
 def _wb(rows: str) -> str:
@@ -181,6 +189,10 @@ ORACLES = {
     "word_tfidf": """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM benchmark),
 t AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2),
 c AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY ALL), i AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT item_id) FROM c)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term), x AS (SELECT item_id, c.term, (1 + ln(c)) * idf AS x FROM c JOIN i USING (term))
+SELECT item_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS w FROM x""",
+    "word_tfidf_top": """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM benchmark),
+t AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2),
+c AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY ALL), i AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT item_id) FROM c)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(c) DESC, term LIMIT 300), x AS (SELECT item_id, c.term, (1 + ln(c)) * idf AS x FROM c JOIN i USING (term))
 SELECT item_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS w FROM x""",
     "char_tfidf_norms": _wb(_TURNS) + "SELECT k, count(*) AS terms, round(max(w), 6) AS largest, round(sum(w * w), 6) AS norm FROM v GROUP BY k",
     "near_copy_pairs": _wb(_BENCH) + "SELECT a, b, round(s, 6) AS cosine FROM (SELECT x.k AS a, y.k AS b, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.term = y.term AND x.k < y.k GROUP BY ALL) WHERE s >= 0.2 - 1e-9",

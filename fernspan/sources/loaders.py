@@ -77,18 +77,23 @@ def require_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def load_images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(path, file, cls, patient, md5, size, width, height, mode, aspect): class is the folder's name, the patient a class-specific part of the file name.
+    """image_rows() of a folder's files with one of the suffixes."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    suffix = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), -1)
+    return image_rows(df.filter(F.lower(suffix).isin(*suffixes)).select("path", "content"))
+
+
+def image_rows(files: DataFrame) -> DataFrame:
+    """(path, file, cls, patient, md5, size, width, height, mode, aspect) of rows with path and content: class is the folder's name, the patient a class-specific part of the file name.
 
     Width, height and colour mode come from the header of a PNG (IHDR) or JPEG (start of frame), without decoding; aspect is width / height, rounded to 2.
     """
-    ship(spark)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    ship(files.sparkSession)
     image_head.__annotations__ = {"content": pd.Series, "return": pd.DataFrame}  # Spark reads real types
     head = F.pandas_udf(image_head, "width int, height int, mode string")
     name, cls = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
-    ok = F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*suffixes)
     patient = F.when(cls == "PNEUMONIA", F.regexp_extract(name, r"(person\d+)", 1)).otherwise(F.regexp_extract(name, r"((?:IM|NORMAL2-IM)-\d+)", 1))
-    return df.filter(ok).select("path", name.alias("file"), cls.alias("cls"), F.nullif(patient, F.lit("")).alias("patient"), F.md5("content").alias("md5"), F.length("content").alias("size"), head("content").alias("head")).select("*", "head.*", F.round(F.col("head.width") / F.col("head.height"), 2).alias("aspect")).drop("head")
+    return files.select("path", name.alias("file"), cls.alias("cls"), F.nullif(patient, F.lit("")).alias("patient"), F.md5("content").alias("md5"), F.length("content").alias("size"), head("content").alias("head")).select("*", "head.*", F.round(F.col("head.width") / F.col("head.height"), 2).alias("aspect")).drop("head")
 
 
 def image_head(content: pd.Series) -> pd.DataFrame:

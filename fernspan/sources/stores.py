@@ -26,6 +26,11 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").option("escape", '"').csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Results as JSON, one object a row, nulls written out, replaced as a whole."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
 
