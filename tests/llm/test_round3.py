@@ -101,7 +101,7 @@ def prose(seed=2, n=150):
 
 @pytest.mark.parametrize("bits", [2, 16])
 def test_phrases_equal_brute_force(spark, monkeypatch, bits):
-    """With four buckets everything collides, and small hand-overs split all counts."""
+    """With eight buckets everything collides, and small hand-overs split all counts."""
     if bits == 2:
         monkeypatch.setattr(phrases, "bits_for", lambda rows: 3)
         monkeypatch.setattr(phrases, "GROUP_BYTES", 200)
