@@ -7,11 +7,15 @@ a WARC file: record ids are uuid5 of the archive name and offset (the same after
 records become ``response`` or ``revisit`` records, digests are computed from the payload.  ``read_warc`` reads files back.
 
 A record of at least ``REVISIT_BYTES`` bytes whose payload an earlier record (smaller page_id) has is a revisit of that one.
-Payloads are never shuffled: only (digest, page_id) rows decide, counted with map-side combining, and each archive then gets
-its own decisions (as many as it has records), so a payload that a third of all pages share costs one row a page.
+Payloads are never shuffled: only (digest, page_id) rows decide, counted with map-side combining, and each archive's name then
+gets its own decisions (as many as it has records), so a payload that a third of all pages share costs one row a page.  The task
+that converts an archive reads its bytes itself, by name, so that contents are in no join, whatever the input's size.
 
 Files go to the shared folder, written under their final name after a rename, so a task that runs twice leaves one file.
-Archives hold at most ``ARCHIVE_BYTES`` of payload (or one record), which bounds what a task holds.
+Archives hold at most ``ARCHIVE_BYTES`` of records, headers included, and one more record, which bounds what a task holds; a very
+long page is one record of its archive, read whole.
+
+Columns of pages other than page_id, url and html are not read, whatever their names.
 
 Defined results: null html is an empty payload; a null url is stored as "urn:page:<id>", white space in urls is escaped;
 rows with a null page_id are stored without one and come back with null page_id, as responses; rows that repeat a page_id are
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import uuid
 import zlib
@@ -37,6 +42,8 @@ from fernspan.session import fits_broadcast, keep, lean, scratch_path, ship
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
+#: Archives that a converting task takes one after another, where there are more archives than cores.
+ARCHIVES_A_TASK = 16
 DATE = "20240101000000"
 _SPACES = re.compile(r"[\x00-\x20\x7f]")
 _ID = re.compile(rb"(?im)^X-Page-Id: (-?\d+)\r$")
@@ -59,6 +66,12 @@ def _store(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
+def _fetch(uri: str) -> bytes:
+    fs, path = _filesystem(uri)
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def _member(data: bytes) -> bytes:
     c = zlib.compressobj(1, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
@@ -230,9 +243,10 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
                     held.append(_member(arc_head(version, name)))
                     number, size, offset = number + 1, 0, len(held[0])
                 target = _SPACES.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-                held.append(_member(arc_record(version, target, payload, page_id, name, offset)))
+                record = arc_record(version, target, payload, page_id, name, offset)
+                held.append(_member(record))
                 offset += len(held[-1])
-                if (size := size + len(payload)) >= ARCHIVE_BYTES:
+                if (size := size + len(record)) >= ARCHIVE_BYTES:
                     close()
         close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
@@ -258,13 +272,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["archive", "offset", "page_id", "digest", "size"])
 
 
-def _convert(folder: str):
+def _convert(arcs: str, warcs: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = []
-            for name, content, decided in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for name, decided in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 target = name.replace(".arc.gz", ".warc.gz")
-                _store(f"{folder}/{target}", to_warc(content.as_py(), target, {x["offset"]: x["first"] for x in decided or []}))
+                _store(f"{warcs}/{target}", to_warc(_fetch(f"{arcs}/{name}"), target, {x["offset"]: x["first"] for x in decided or []}))
                 done.append(target)
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["archive"])
 
@@ -287,12 +301,13 @@ def archive(pages: DataFrame, folder: str) -> str:
     ship(spark)
     arcs, warcs = f"{folder}/arc", f"{folder}/warc"
     names = keep(write_arc(pages, arcs), "warc_names")
-    if names.isEmpty():
+    if not (n := names.count()):
         return ""
     index = keep(read_files(spark, arcs, ".arc.gz").mapInArrow(lean(_index), "archive string, offset long, page_id long, digest string, size long"), "warc_index")
     decided = keep(decide(index).groupBy("archive").agg(F.collect_list(F.struct("offset", "first")).alias("decided")), "warc_decided")
-    files = read_files(spark, arcs, ".arc.gz").join(F.broadcast(decided) if fits_broadcast(index.count(), 24) else decided, "archive", "left")
-    keep(files.select("archive", "content", "decided").mapInArrow(lean(_convert(warcs)), "archive string"), "warc_done")
+    tasks = max(min(n, spark.sparkContext.defaultParallelism), math.ceil(n / ARCHIVES_A_TASK))
+    files = names.join(decided, "archive", "left").select("archive", "decided").repartition(tasks)
+    keep(files.mapInArrow(lean(_convert(arcs, warcs)), "archive string"), "warc_done")
     return warcs
 
 

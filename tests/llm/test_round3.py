@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernspan.llm import byte_pairs, centroids, phrases
+from fernspan.llm import byte_pairs, centroids, phrases, warc
 from fernspan.llm.vocabulary import default_path, overrides
 from tests.llm.test_llm import CLASH, documents, saved
 
@@ -181,3 +181,25 @@ def test_annuli_prune_and_keep_ties():
     assert which.tolist() == [4, 3, 0] and d.tolist() == [100, 2500, 10000] and max(compared) <= 4
     mirrored = centroids.Annuli([[0, 100] + [0] * 62, [100] + [0] * 63])
     assert mirrored.nearest(np.array([[50.0, 50.0] + [0] * 62]))[0].tolist() == [0]
+
+
+def test_warc_many_archives(spark, monkeypatch):
+    """More archives than a task takes, repeated rows, a very long page and clashing columns: every record comes back, decisions equal the rule."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4096)
+    monkeypatch.setattr(warc, "ARCHIVES_A_TASK", 2)
+    r = random.Random(31)
+    shared = ["<p>" + "x" * n + "</p>" for n in (120, 400, 93, 92)]
+    rows = [(i, f"http://h/{i}", r.choice([*shared, None, "", f"<i>{i}</i>" * 30])) for i in range(300)]
+    rows += [(300, None, "long " * 300_000), (301, "u", "long " * 300_000), *rows[:40]]
+    pages = spark.createDataFrame([(*x, 7, b"z") for x in rows], "page_id long, url string, html string, archive int, content binary").repartition(3)
+    got = collections.Counter(tuple(x) for x in warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    first = {}
+    for i, _, html in rows:
+        if len(html or "") >= warc.REVISIT_BYTES:
+            first[html] = min(i, first.get(html, i))
+    seen, want = set(), collections.Counter()
+    for i, _, html in sorted(rows, key=lambda x: x[0]):
+        payload, again = (html or "").encode(), html in first and (first[html] < i or i in seen)
+        seen.add(i)
+        want[i, len(payload), sha256(payload).hexdigest(), "revisit" if again else "response", first[html] if again else None] += 1
+    assert got == want
