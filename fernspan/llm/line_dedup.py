@@ -37,9 +37,19 @@ LONG = 60
 LONG_CUT = r"(?<=[aeiou] )(?=[a-m])"
 
 
+#: The same cuts told by what lies between them, so that runs without a mark are gone through without looking back at every character.
+_WIDE = "。！？，、；："
+_CLAUSE = rf"(?s)(?=.)(?:[^\n.!?,;:、-；]++|[.!?,;:](?! (?![ \t\n]))|[{_WIDE}](?=[ \t\n])|[、-；&&[^{_WIDE}]])*+(?:[.!?,;:] |.)?"
+_PIECE = r"(?s)(?=.)(?:[^ ]++| (?<![aeiou] )| (?![a-m]))*+ ?"
+#: Ends of texts after which an empty line follows.
+_OPEN_END = rf"(?s)(?:\n|[.!?,;:] |[{_WIDE}])\z"
+
+
 def lines_of(text: Column) -> Column:
-    """A text's lines; joined, they are the text."""
-    return F.flatten(F.transform(F.split(text, CLAUSE_CUT, -1), lambda x: F.when(F.octet_length(x) > LONG, F.split(x, LONG_CUT, -1)).otherwise(F.array(x))))
+    """A text's lines, as the two cuts make them; joined, they are the text."""
+    clauses = F.regexp_extract_all(text, F.lit(_CLAUSE), F.lit(0))
+    clauses = F.when((text == "") | F.right(text, F.lit(2)).rlike(_OPEN_END), F.concat(clauses, F.array(F.lit("")))).otherwise(clauses)
+    return F.flatten(F.transform(clauses, lambda x: F.when(F.octet_length(x) > LONG, F.regexp_extract_all(x, F.lit(_PIECE), F.lit(0))).otherwise(F.array(x))))
 
 
 #: Lines of a chunk, and rolling hashes in a row of which one is a chunk's.
