@@ -88,13 +88,19 @@ def verdict(label: Column, confidence: Column, flags: Column, review: Column) ->
     return F.concat(head, F.when(F.size(flags) > 0, F.concat(F.lit("\nFlagged on: "), quoted)).otherwise(""), note)
 
 
+#: Rows that a page may hold: it is one string, put together in one task.
+PAGE_ROWS = 10_000
+
+
 def html_table(df: DataFrame, columns: list[str], order: list[Column], title: str) -> DataFrame:
-    """One row with an HTML page: a table of the (few, aggregated) rows in order, values escaped."""
+    """One row with an HTML page: a table of the (few, aggregated) rows in order, values escaped; more than PAGE_ROWS rows are an error, never a shorter page."""
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     cells = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns), F.lit("</tr>"))
-    rows = df.select(F.struct(*order).alias("o"), cells.alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]), "").alias("body"))
+    some = df.select(F.struct(*order).alias("o"), cells.alias("r")).limit(PAGE_ROWS + 1)  # no task ever gets more
+    rows = some.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]), "").alias("body"))
     head = "<tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
-    return rows.select(F.concat(F.lit(f"<h1>{title}</h1><table>{head}"), "body", F.lit("</table>")).alias("html"))
+    page = F.concat(F.lit(f"<h1>{title}</h1><table>{head}"), "body", F.lit("</table>"))
+    return rows.select(F.when(F.col("n") > PAGE_ROWS, F.raise_error(F.lit(f"more than {PAGE_ROWS} rows for one page"))).otherwise(page).alias("html"))
 
 
 def cleaning_ablation(df: DataFrame, fields: dict[str, Column], classes: list[str], folds: int = 5) -> DataFrame:

@@ -84,3 +84,12 @@ def test_explanations_find_the_word(spark):
     assert p[3]["predicted"] == "smishing" and p[3]["verdict"].startswith("⚠️ Likely scam (") and "Flagged on: 'jackpot'" in p[3]["verdict"]
     with pytest.raises(Exception, match="empty message"):
         build.predict_batch(model, messages.withColumn("text", F.lit("  ")), classes).collect()
+
+
+def test_html_pages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(build, "PAGE_ROWS", 3)
+    page = lambda n: build.html_table(spark.range(n).withColumn("x", F.lit("a<b")), ["id", "x"], [-F.col("id")], "T").collect()[0]["html"]
+    assert page(3) == "<h1>T</h1><table><tr><th>id</th><th>x</th></tr>" + "".join(f"<tr><td>{i}</td><td>a&lt;b</td></tr>" for i in (2, 1, 0)) + "</table>"
+    assert page(0) == "<h1>T</h1><table><tr><th>id</th><th>x</th></tr></table>"
+    with pytest.raises(Exception, match="more than 3 rows"):
+        page(4)
