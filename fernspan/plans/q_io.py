@@ -189,21 +189,20 @@ def stream_sessions(spark, sf):
 
 
 def in_order(rows, at, folder, parts=6):
-    """A stream of rows in as many micro-batches, by time: files written one after the other."""
+    """A stream of rows and its arrivals by time; a part has as many files as tasks wrote it, so none of them is a batch of its own."""
     cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
     part = sum(((F.col(at) > c).cast("int") for c in cuts), F.lit(0))
-    for k in range(parts):
-        rows.filter(part == k).write.mode("append").parquet(f"{folder}/{k}")
-    # one folder a batch, read in the order in which they were written
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    rows.limit(0).write.parquet(f"{folder}/none")
+    arrivals = [lambda k=k: rows.filter(part == k).write.parquet(f"{folder}/{k}") for k in range(parts)]
+    return rows.sparkSession.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder), arrivals
 
 
 def stream_memory(spark, sf):
     """Orders as a stream of invoices in time order, each told by its supplier's keyed state: reference seen, small invoices of seven days."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     inv = table(spark, sf, "orders").select(F.concat(F.lit("S"), (c % 97).cast("string")).alias("supplier"), k.alias("seq"), F.col("o_orderdate").cast("timestamp").alias("received_at"), F.concat(F.lit("R"), (k % 499).cast("string")).alias("invoice_ref"), (F.floor(F.col("o_totalprice") * 100 / 30) / 100).alias("amount"))
-    stream = in_order(inv, "received_at", scratch_path(spark, "memory_in"))
-    out = L.run_once(K.remembered(stream, 10_000, 7), spark, "append")
+    stream, arrivals = in_order(inv, "received_at", scratch_path(spark, "memory_in"))
+    out = L.run_once(K.remembered(stream, 10_000, 7), spark, "append", arrivals)
     return out.select("supplier", "seq", "duplicate", "siblings", F.round("split_total", 2).alias("split_total"), "split")
 
 

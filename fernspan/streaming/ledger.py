@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +40,21 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
+def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", arrivals: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """Runs a stream over all that is there and returns its result as a table of the shared folder.
 
-    Complete results replace each other batch by batch; appended ones gather.
+    Complete results replace each other batch by batch; appended ones gather.  arrivals are called one after the other, each to bring
+    more rows: what one brings, in however many files, is one micro-batch, and the next comes when its state is written.
     """
     out, check = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_check")
 
     def one(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", check).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    for arrive in arrivals or (lambda: None,):
+        arrive()
+        q = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return spark.read.schema(stream.schema).parquet(out)
