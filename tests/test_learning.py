@@ -325,3 +325,19 @@ def test_quantiles_of_a_dominant_group(spark, monkeypatch):
         high = min(low + 1, len(s) - 1)
         assert x == s[low] + (s[high] - s[low]) * ((len(s) - 1) * p - low)
     assert selection.quantiles(d.limit(0), F.col("k"), F.col("v"), shares).count() == 0
+
+
+def test_stripes_of_blocks(spark, monkeypatch):
+    """However few blocks travel at a time, the links are those of all pairs, and no pair of blocks is met twice or left out."""
+    r = random.Random(12)
+    known = ["".join(r.choices("bdfgklmnaeiou", k=6)) for _ in range(300)]
+    texts = [" ".join(r.choices(known, k=20)) for _ in range(60)]
+    texts += [t.replace(t.split()[0], "else", 1) for t in texts[:30]]
+    v = vectors_of(spark, texts)
+    want = {(x["a"], x["b"]) for x in S.similar_pairs(v, "k").collect()}
+    for size in (1, 20_000):
+        monkeypatch.setattr(S, "STRIPE_BYTES", size)
+        links = S.blocked(v, "k", block=16)
+        got = [(x["a"], x["b"]) for x in links.filter("kind = 0").collect()]
+        assert sorted(got) == sorted(want)
+        assert S.pruning(links).first()["pairs"] == len(texts) * (len(texts) - 1) // 2
