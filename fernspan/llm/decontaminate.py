@@ -9,7 +9,7 @@ What is fingerprinted (60-bit SimHash of the words) is every window of ``SHINGLE
 word moves an item-sized fingerprint by more bits than multi-index blocks can follow (figures in the README), while a window
 at the threshold must hold some shingles whole.  Fingerprints are cut into ``RADIUS + 1`` blocks; two within ``RADIUS`` bits agree in
 one block at least, so equality of (block, value) finds all of them and the bit count of the difference decides.  Of these,
-windows equal to an item's shingle by their 64-bit hash are matches.  Rare first: a window at the threshold misses a fifth
+windows with an item's shingle's words are matches, in any order and, of ``SHINGLE`` words, all but one.  Rare first: a window at the threshold misses a fifth
 of an item's weight at most, so it holds one of the item's rarest shingles that make up more than that; only
 documents with such a match are candidates for the item.  Their matches in order of place, with a sliding frame as wide as the
 item-sized window, give the exact best window.  Nothing at or above the threshold is lost.
@@ -69,8 +69,20 @@ def windows(df: DataFrame, ids: list[str], k: int) -> DataFrame:
     # outer, since a filter on the size of what a plain explode takes would hash the words twice
     d = d.select(*ids, F.posexplode_outer(F.arrays_zip(*h)).alias("pos", "__w")).filter(F.col(f"__w.{h[-1]}").isNotNull())
     cols = [F.col(f"__w.{x}") for x in h]
-    d = d.select(*ids, "pos", F.xxhash64(*cols).alias("sh"), simhash(cols).alias("fp"))
-    return d.select(*ids, "pos", "sh", "fp", F.explode(blocks(F.col("fp"), k)).alias("key"))
+    d = d.select(*ids, "pos", F.xxhash64(*cols).alias("sh"), F.array(*cols).alias("ws"), simhash(cols).alias("fp"))
+    return d.select(*ids, "pos", "sh", "ws", "fp", F.explode(blocks(F.col("fp"), k)).alias("key"))
+
+
+def in_common(a: Column, b: Column) -> Column:
+    """How many words two windows share, repeated ones as often as both have them, in any order."""
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+
+
+def alike(ws: Column, item_ws: Column) -> Column:
+    """Of windows whose fingerprints are near: all words in common, or of ``SHINGLE`` words all but one."""
+    least = F.when(F.size(item_ws) >= SHINGLE, F.size(item_ws) - 1).otherwise(F.size(item_ws))
+    return in_common(ws, item_ws) >= least
 
 
 def prepared_items(benchmark: DataFrame) -> DataFrame:
@@ -93,7 +105,7 @@ def prepared_items(benchmark: DataFrame) -> DataFrame:
     rare = F.col("before") <= (1 - THRESHOLD) * F.col("total") + EPSILON
     slack = F.floor(F.col("n") / 5) + 1
     once = once.select("item_id", "tid", "sh", "weight", "total", rare.alias("rare"), (F.col("n") + 2 * slack - F.col("k")).cast("long").alias("reach"))
-    return keep(long.select("item_id", "tid", "k", "sh", "fp", "key").join(once, ["item_id", "tid", "sh"]), "bench_weighed")
+    return keep(long.select("item_id", "tid", "k", "sh", "ws", "fp", "key").join(once, ["item_id", "tid", "sh"]), "bench_weighed")
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -108,11 +120,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     hashed = base.select("doc_id", F.xxhash64("text").alias("row"), words_hashed(F.col("text")).alias("H"))
-    marks = _sized(keep(items.select("key", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh")).distinct(), "bench_marks"), 96)
+    marks = _sized(keep(items.select("key", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh"), F.col("ws").alias("item_ws")).distinct(), "bench_marks"), 160)
     near = reduce(DataFrame.unionAll, (windows(hashed, ["doc_id", "row"], k) for k in sizes)).join(marks, "key")
-    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).filter(F.col("sh") == F.col("item_sh"))
-    # the blocks of one window may all agree
-    hits = keep(near.select("doc_id", "row", "pos", "sh").distinct(), "bench_hits")
+    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).filter((F.col("sh") == F.col("item_sh")) | alike(F.col("ws"), F.col("item_ws")))
+    # the blocks of one window may all agree; a match goes by the item's shingle
+    hits = keep(near.select("doc_id", "row", "pos", F.col("item_sh").alias("sh")).distinct(), "bench_hits")
     own = keep(items.select("item_id", "tid", "sh", "weight", "total", "rare", "reach").distinct(), "bench_own")
     few = own.filter("rare").select("sh", "item_id", "tid")
     pairs = keep(hits.select("doc_id", "row", "sh").distinct().join(_sized(few, 96), "sh").select("doc_id", "row", "item_id", "tid").distinct(), "bench_pairs")

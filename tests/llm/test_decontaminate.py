@@ -102,3 +102,12 @@ def test_window_fingerprints(spark):
     for x in got:
         five = h[x["i"]][x["pos"] : x["pos"] + 5]
         assert x["fp"] == sum(1 << b for b in range(60) if sum((v >> b) & 1 for v in five) > 2)
+
+
+def test_fingerprints_decide(spark):
+    """Windows near an item's by fingerprint count: its words in another order, or all but one that moves no bit; others with a word changed don't."""
+    items = ["one two three four five", "na na na bat man", "red green blue"]
+    texts = ["see two one three four five there", "see na na na bat girl there", "see one two three four six there", "blue red green", "red green black", "na na na cat girl"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (3, 2)}
