@@ -57,8 +57,8 @@ MIN_LINES = 2
 SPAN = 4
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
 EDGE = SPAN - 1
-#: Bytes that a row of one number, of two, and of a few, takes in the hash table of a broadcast join, about, and the most that one takes.
-KEY_BYTES, PLACE_BYTES, ROW_BYTES, MOST_BYTES = 48, 72, 112, 128 << 20
+#: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about, and the most that one takes.
+KEY_BYTES, ROW_BYTES, MOST_BYTES = 48, 112, 64 << 20
 _NEAR = range(1 - SPAN, SPAN + MIN_LINES - 1)
 #: Columns with the hashes of the lines beside a chunk, by their distance from its first line.
 _SIDES = {-k: f"before{k}" for k in range(1, EDGE + 1)} | {MIN_LINES - 1 + k: f"after{k}" for k in range(1, EDGE + 1)}
@@ -118,22 +118,20 @@ def removals(docs: DataFrame) -> DataFrame:
     chunks = Kept(_chunks(base, texts=True).join(_sized(keys.df, KEY_BYTES), "key", "left_semi"), "line_chunks")
     occurrences = chunks.df
     # chunks of blank lines are no content
-    same = occurrences.select("key", "bytes", "doc_id", "tid", "start").filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "tid", "start")).alias("first"))
+    # the first occurrence brings the hashes of the lines beside it, so that no second pass looks for them
+    place = ["doc_id", "tid", "start", *_SIDES.values()]
+    same = occurrences.select("key", "bytes", *place).filter(F.col("bytes").rlike(r"\S")).groupBy("key", "bytes").agg(F.count("*").alias("seen"), F.min(F.struct(*place)).alias("first"))
     # two different texts under one key (a collision of 64 bits) are left alone
-    # the first occurrence travels as one number, so that the table stays slim
-    place = lambda *at: F.xxhash64(*at)
-    first = place(F.col("first.doc_id"), F.col("first.tid"), F.col("first.start")).alias("first")
-    proven = Kept(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1").select("key", first), "line_proven")
-    marked = occurrences.drop("bytes").join(_sized(proven.df, PLACE_BYTES), "key").withColumn("is_first", F.col("first") == place("doc_id", "tid", "start")).drop("first")
-    firsts = Kept(marked.filter("is_first").select("key", F.col("doc_id").alias("first_doc"), F.col("tid").alias("first_tid"), *(F.col(x).alias(f"first_{x}") for x in _SIDES.values())).dropDuplicates(["key"]), "line_firsts")
-    victims = marked.filter("not is_first").join(firsts.df.hint("merge"), "key")
+    proven = same.groupBy("key").agg(F.count("*").alias("texts"), F.max("seen").alias("seen"), F.first("first").alias("first")).filter("texts = 1 and seen > 1")
+    firsts = Kept(proven.select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.tid").alias("first_tid"), *(F.col(f"first.{x}").alias(f"first_{x}") for x in ("start", *_SIDES.values()))), "line_firsts")
+    victims = occurrences.drop("bytes").join(firsts.df.hint("merge"), "key").filter("doc_id <> first_doc or tid <> first_tid or start <> first_start")
     other = (F.col("doc_id") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid"))  # within one text, extending could reach the first occurrence
     from_ = F.col("start") - F.when(other, _common("before")).otherwise(0)
     to = F.col("start") + MIN_LINES - 1 + F.when(other, _common("after")).otherwise(0)
     # a range of lines in one number, so that what documents lose stays small
     ranges = F.collect_set(F.shiftleft(from_.cast("long"), 32) + to.cast("long"))
     out = keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")
-    tidy(docs.sparkSession, keys, chunks, proven, firsts)
+    tidy(docs.sparkSession, keys, chunks, firsts)
     return out
 
 
