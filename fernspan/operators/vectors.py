@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernspan.operators.components import components
-from fernspan.session import keep, ship
+from fernspan.operators.stripes import Forest, met
+from fernspan.session import Kept, ship
 
 BLOCK = 2048
+PAIRS = "a long, b long, cosine double"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,45 +40,82 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _pairs(k: int | None, least: float | None):
+def _cosines(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, z = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ids2"], "<i8")
+    s = np.frombuffer(row["m"]).reshape(len(a), -1) @ np.frombuffer(row["m2"]).reshape(len(z), -1).T
+    s[(a[:, None] == z[None, :]) | np.isnan(s)] = -2
+    return a, z, s
+
+
+def _rows(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "cosine"])
+
+
+def _nearest(k: int):
+    """The k largest of each row of a block over all the blocks that it meets here; ties go to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, None
+        r, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.zeros(0)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["number"] != last:
+                    if last is not None:
+                        yield _rows(ids[r], b, s)
+                    last, ids = row["number"], np.frombuffer(row["ids"], "<i8")
+                    r, b, s, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(ids), -np.inf)
+                _, z, new = _cosines(row)
+                if np.isneginf(least).any() and new.shape[1] >= k:
+                    least = np.maximum(least, np.partition(new, -k, axis=1)[:, -k])
+                i, j = np.nonzero((new >= least[:, None]) & (new > -2))
+                r, b, s = np.concatenate([r, i]), np.concatenate([b, z[j]]), np.concatenate([s, new[i, j]])
+                order = np.lexsort((b, -s, r))
+                r, b, s = r[order], b[order], s[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, b, s, place = (x[place < k] for x in (r, b, s, place))
+                full = place == k - 1
+                least[r[full]] = s[full]
+        if last is not None:
+            yield _rows(ids[r], b, s)
+
+    return run
+
+
+def _close(least: float, forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids_a, m_a, ids_b, m_b in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                a, z = np.frombuffer(ids_a, "<i8"), np.frombuffer(ids_b, "<i8")
-                s = np.frombuffer(m_a).reshape(len(a), -1) @ np.frombuffer(m_b).reshape(len(z), -1).T
-                s[a[:, None] == z[None, :]] = -2
-                if k is not None:
-                    top = np.argsort(-s, 1, kind="stable")[:, :k]
-                    r = np.repeat(np.arange(len(a)), top.shape[1])
-                    c = top.ravel()
-                    ok = s[r, c] > -2
-                    r, c = r[ok], c[ok]
-                else:
-                    r, c = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(a[r]), pa.array(z[c]), pa.array(s[r, c])], names=["a", "b", "cosine"])
+        links = Forest()
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, z, s = _cosines(row)
+                hit = s >= least
+                if row["number"] == row["other"]:
+                    hit &= a[:, None] < z[None, :]
+                i, j = np.nonzero(hit)
+                if forest:
+                    new = np.array(links.adds(a[i].tolist(), z[j].tolist()), bool)
+                    i, j = i[new], j[new]
+                yield _rows(np.minimum(a[i], z[j]), np.maximum(a[i], z[j]), s[i, j])
 
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, vector: str, k: int | None, least: float | None) -> DataFrame:
-    """Blocks of vectors meet block by block: the number of block pairs is the square of rows / BLOCK, each task holds two blocks."""
+def _met(df: DataFrame, key: str, vector: str, compare: Callable, half: bool) -> DataFrame:
+    """Blocks of vectors meet stripe by stripe (operators.stripes); each task holds two blocks and what it has found."""
     spark = df.sparkSession
     ship(spark)
     v = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
     parts = max(1, v.count() // BLOCK)
-    blocks = keep(v.repartition(parts, key).sortWithinPartitions(key).mapInArrow(_blocks, "block string, ids binary, m binary"), "vector_blocks")
-    names = [r["block"] for r in blocks.select("block").collect()]
-    if not names:
-        return spark.createDataFrame([], "a long, b long, cosine double")
-    left = blocks.select("ids", "m", F.explode(F.array(*map(F.lit, names))).alias("other"))
-    both = left.join(blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids_b"), F.col("m").alias("m_b")), "other")
-    return both.select("ids", "m", "ids_b", "m_b").mapInArrow(_pairs(k, least), "a long, b long, cosine double")
+    blocks = Kept(v.repartition(parts, key).sortWithinPartitions(key).mapInArrow(_blocks, "block string, ids binary, m binary"), "vector_blocks")
+    if blocks.df.isEmpty():
+        return spark.createDataFrame([], PAIRS)
+    return met(blocks, compare, PAIRS, "vector_pairs", half)
 
 
 def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(a, b, cosine, rank): the k nearest other vectors of each vector."""
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return _block_pairs(df, key, vector, k, None).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _met(df, key, vector, _nearest(k), False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def vote(nearest: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -87,11 +126,11 @@ def vote(nearest: DataFrame, labels: DataFrame, key: str, label: str) -> DataFra
 
 
 def close_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    return _block_pairs(df, key, vector, None, least).filter("a < b")
+    return _met(df, key, vector, _close(least, False), True).filter("a < b")
 
 
 def threshold_clusters(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """Single linkage at a similarity: components of the pairs that reach it, single vectors included."""
+    """Single linkage at a similarity: components of the pairs that reach it, single vectors included. A task hands on only links that connect what its pairs do."""
     loops = df.select(F.col(key).alias("a"), F.col(key).alias("b"))
-    e = close_pairs(df, key, vector, least).select("a", "b").unionByName(loops)
+    e = _met(df, key, vector, _close(least, True), True).select("a", "b").unionByName(loops)
     return components(e, "a", "b").select(F.col("v").alias(key), F.col("component").alias("cluster"))
