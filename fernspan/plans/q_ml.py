@@ -103,15 +103,15 @@ FOLDS = 5
 
 def ml_grid_search(spark, sf):
     """Twelve configurations by five folds from one table of counts."""
-    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select("doc_id", "y", "fold", "words", "word_pairs"), "grid_rows")
+    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select("doc_id", "y", "fold", "words"), "grid_rows")
     g = ml.grid_search(d, CLASSES, "doc_id", "fold", GRID)
     return g.select("alpha", "min_df", "min_df_pairs", F.round("macro_f1", 6).alias("macro_f1"), F.round("deviation", 6).alias("deviation"), "folds", "n")
 
 
 def oof_probabilities(spark, sf):
     """Every labelled text's class probabilities under naive Bayes on the other folds."""
-    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select("doc_id", "y", "fold", "words", "word_pairs"), "oof_rows")
-    p = bayes.out_of_fold(*ml.bayes_rows(d, "doc_id", "fold", pairs=False), [], CLASSES, [bayes.Config(1.0, {"word": 2})])
+    d = keep(ml.prepared(_labelled(spark, sf, FOLDS), chars=False).select(F.col("doc_id").alias("doc"), "y", "fold", "words"), "oof_rows")
+    p = bayes.words_out_of_fold(d, [], CLASSES, [bayes.Config(1.0, {"word": 2})], ["doc", "fold", "y", "pred", "proba"])
     return p.select(F.col("doc").alias("doc_id"), "fold", "y", "pred", *(F.round(F.get("proba", F.lit(i)), 6).alias(c) for i, c in enumerate(CLASSES)))
 
 
