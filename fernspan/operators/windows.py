@@ -31,6 +31,26 @@ def running(df: DataFrame, key: Column, order: str, sums: dict[str, Column]) ->
     return d.select(*(c for c in given if c not in sums), *((F.col(f"__carry_{n}") + F.col(f"__in_{n}")).alias(n) for n in sums))
 
 
+def trailing(df: DataFrame, key: str, order: str, span: int, value: str) -> DataFrame:
+    """(key, order, rows, n, total): for every order of a key its rows, and the number and sum of the key's values from span before it up to it.
+
+    A value comes at its order and goes behind its span, so what a window holds is a running sum, and a row costs the same however many rows
+    a window has. Sums are of decimals, so what came goes without a rest; total is null for n = 0. Rows without an order see each other only.
+    Infinite values are right from below only; an infinite or missing number at the top is an error.
+    """
+    low = F.coalesce(F.col(value) == float("-inf"), F.lit(False))
+    one = F.col(value).isNotNull().cast("long")
+    exact = F.coalesce(F.when(~low, F.col(value)).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
+    event = lambda at, rows, sign: F.struct(at.alias(order), F.lit(rows).cast("long").alias("rows"), (one * sign).alias("n"), F.when(F.lit(sign > 0), exact).otherwise(-exact).alias("total"), (low.cast("long") * sign).alias("low"))
+    come, gone = event(F.col(order), 1, 1), event(F.col(order) + span + 1, 0, -1)
+    both = F.when(F.col(order).isNull() | F.col(value).isNull(), F.array(come)).otherwise(F.array(come, gone))
+    d = df.select(key, F.explode(both).alias("e")).groupBy(key, F.col(f"e.{order}").alias(order)).agg(*(F.sum(f"e.{c}").alias(c) for c in ("rows", "n", "total", "low")))
+    d = d.withColumn("__none", F.col(order).isNull())
+    d = running(d, F.struct(key, "__none"), order, {f"__before_{c}": F.col(c) for c in ("n", "total", "low")}).filter("rows > 0")
+    n, total, least = (F.col(f"__before_{c}") + F.col(c) for c in ("n", "total", "low"))
+    return d.select(key, order, "rows", n.alias("n"), F.when(least > 0, float("-inf")).when(n > 0, total.cast("double")).alias("total"))
+
+
 def with_first(df: DataFrame, key: Column, order: str, marks: dict[str, Column]) -> DataFrame:
     """Adds, for each mark, the least order of the key's rows that have it (null if none has): what tells a row that one before it had the mark.
 

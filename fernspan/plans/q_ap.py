@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from fernspan.functions import rules as R
-from fernspan.operators import ap
+from fernspan.operators import ap, windows
 from fernspan.session import table
 
 NOW = dt.datetime(2024, 1, 31)
@@ -59,14 +59,10 @@ def ap_triage_fixed(spark, sf):
 
 def ap_split_window(spark, sf):
     """Ledger rows with the number and sum of the same supplier's small rows of the seven days before (inclusive)."""
-    from pyspark.sql import Window
-
-    e = ledger(spark, sf)
     at = F.unix_micros(F.col("received_at").cast("timestamp"))
-    w = Window.partitionBy("supplier").orderBy(at).rangeBetween(-7 * 86_400_000_000, 0)
     small = F.when(F.col("amount_usd") <= 100, F.col("amount_usd"))
-    d = e.select("supplier", "invoice_ref", "received_at", F.count(small).over(w).alias("n"), F.round(F.sum(small).over(w), 4).alias("total"))
-    return d.groupBy("supplier").agg(F.count("*").alias("n_rows"), F.max("n").alias("most"), F.sum("n").alias("n_sum"), F.round(F.max("total"), 3).alias("largest"))
+    d = windows.trailing(ledger(spark, sf).select("supplier", at.alias("at"), small.alias("small")), "supplier", "at", 7 * 86_400_000_000, "small")
+    return d.groupBy("supplier").agg(F.sum("rows").alias("n_rows"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("rows")).alias("n_sum"), F.round(F.max(F.round("total", 4)), 3).alias("largest"))
 
 
 def ap_digest(spark, sf):
