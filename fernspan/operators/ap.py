@@ -59,14 +59,16 @@ def _ledger(ledger: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame,
 def triage(invoices: DataFrame, po: DataFrame, ledger: DataFrame, now: dt.datetime, load_order: str = "load_seq") -> DataFrame:
     """Cases: status, reason, flags, priority and the fixed authority columns of every invoice of the batch."""
     keys, used, recent = _ledger(ledger, now)
-    d = normalised(invoices).join(keys, "key", "left").join(used, "po_id", "left").join(recent, "supplier", "left").join(latest_orders(po, load_order), "po_id", "left")
-    # rows that lack a part of a key (they are invalid, whatever else) get keys of their own, so they don't pile up in one
+    # rows that lack an order or a part of a key get keys of their own, so they don't pile up in one, in joins neither
     alone = F.concat(F.lit("\n"), F.col("seq").cast("string"))
+    d = normalised(invoices).withColumn("__po", F.when(F.col("po_id") == "", alone).otherwise(F.col("po_id")))
+    of_po = lambda x: x.withColumnRenamed("po_id", "__po")
+    d = d.join(keys, "key", "left").join(of_po(used), "__po", "left").join(recent, "supplier", "left").join(of_po(latest_orders(po, load_order)), "__po", "left")
     own_key = F.when((F.col("supplier") == "") | (F.col("invoice_ref") == ""), alone).otherwise(F.col("key"))
     d = windows.with_first(d, own_key, "seq", {"__first": F.lit(True)})
     d = d.withColumn("duplicate", F.coalesce("in_ledger", F.lit(False)) | F.col("key").isin(*HISTORIC) | (F.col("seq") > F.col("__first")))
     d = d.withColumn("counted", (F.col("valid") & ~F.col("duplicate")).cast("int"))
-    d = windows.with_first(d, F.when(F.col("po_id") == "", alone).otherwise(F.col("po_id")), "seq", {"__po_first": F.col("counted") == 1})
+    d = windows.with_first(d, F.col("__po"), "seq",{"__po_first": F.col("counted") == 1})
     d = d.withColumn("po_used", F.coalesce("po_in_ledger", F.lit(False)) | F.coalesce(F.col("seq") > F.col("__po_first"), F.lit(False)))
     small = F.when((F.col("counted") == 1) & (F.col("amount_usd") <= APPROVAL_LIMIT), F.col("amount_usd"))
     d = windows.running(d, F.when(F.col("supplier") == "", alone).otherwise(F.col("supplier")), "seq", {"__n": F.when(small.isNotNull(), 1).otherwise(0), "__sum": F.coalesce(small, F.lit(0.0))})
