@@ -78,7 +78,8 @@ def cluster_sizes(spark, sf):
 
 def _templates(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return d.select("doc_id", "source", "quality", F.md5(T.normalise_text(F.col("text"))).alias("template"))
+    # written once: filters and joins on it would normalise every text anew
+    return keep(d.select("doc_id", "source", "quality", F.md5(T.normalise_text(F.col("text"))).alias("template")), "templates")
 
 
 def group_split(spark, sf):
