@@ -13,6 +13,9 @@ components and take pairs across them only, since a link inside a component can'
 each node outside the bucket's largest component, which nearly always joins it, in the last round all that are left.  Every
 pair across components that prefix filtering admits is thus verified, and no pair twice.
 
+Sets are sent for few pairs: where pairs are more than twice the nodes, each node is first compared with one partner, and then
+the pairs whose ends are still in different components, with one each once more and at last with all that are left.
+
 Scale: what is shuffled is packed posts (24 bytes a prefix gram), pairs, and the sets of candidates.  A bucket whose gram may have
 more than ``SALT_ROWS`` posts is dealt to several tasks, whose nodes meet in the later rounds; there a bucket is cut into
 slices of ``SLICE`` rows, and each pair of slices (nodes outside the largest component by all nodes; in the capped rounds each
@@ -45,6 +48,8 @@ PARTS = 1 << PART_BITS
 HUBS = 6
 #: Partners a node takes in the rounds before the last, which has no cap.
 CAPS = (12, 96)
+#: Rounds in which each node's set is compared with one partner's, before all pairs that are left across components.
+THIN = 2
 #: Posts that a gram may have before its bucket is dealt to several tasks, and rows of a slice of a bucket in the later rounds.
 SALT_ROWS = 1 << 20
 SLICE = 128
@@ -372,7 +377,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of nodes that link, each looked at once."""
+    """Pairs (x, y) of nodes that link, with the same components as all of them; no pair is looked at twice."""
     sig = nodes.select("x", "sig", "doc")
     near = pairs.join(sig.select("x", F.col("sig").alias("sx")), "x").join(sig.select(F.col("x").alias("y"), F.col("sig").alias("sy")), "y")
     near = Kept(near.select("x", "y", "sx", "sy").mapInArrow(lean(_suffix), "x long, y long"), "ngram_near")
@@ -387,13 +392,40 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if sets.df.count() > 2 * sets.df.select("x").distinct().count():
         sets = Kept(sets.df.dropDuplicates(["x"]), "ngram_sets")
         done.append(sets)
-    both = near.df.join(sets.df.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.df.select("x", F.col("s").alias("sx")), "x")
-    links = keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long"), "ngram_links")
-    del both, found
+    del found
+    left, links, n_ends, these = near.df, None, ends.df.count(), sets.df
+    for _ in range(THIN):
+        if left.count() <= 2 * n_ends:
+            break
+        some = Kept(left.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "ngram_some")
+        new = keep(_linked(some.df, these), "ngram_links")
+        links = new if links is None else links.unionAll(new)
+        rest = Kept(_apart(left.join(some.df, ["x", "y"], "left_anti"), links), "ngram_apart")
+        left = rest.df
+        # of the sets only those that are still asked for are sent again
+        ends = Kept(left.select("x").unionAll(left.select(F.col("y").alias("x"))).distinct(), "ngram_ends")
+        n_ends, done = ends.df.count(), [*done, some, rest, ends]
+        these = sets.df.join(F.broadcast(ends.df) if fits_broadcast(n_ends, 32) else ends.df, "x", "left_semi")
+    if n_ends or links is None:
+        new = keep(_linked(left, these), "ngram_links")
+        links = new if links is None else links.unionAll(new)
     tidy(docs.sparkSession, *done)
     return links
 
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets link."""
+    both = pairs.join(sets.select(F.col("x").alias("y"), F.col("s").alias("sy")), "y").join(sets.select("x", F.col("s").alias("sx")), "x")
+    return both.select("x", "y", "sx", "sy").mapInArrow(lean(_verify), "x long, y long")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends the links leave in different components."""
+    of = keep(components(links, "x", "y"), "ngram_parts")
+    named = pairs.join(of.select(F.col("v").alias("x"), F.col("component").alias("cx")), "x", "left").join(of.select(F.col("v").alias("y"), F.col("component").alias("cy")), "y", "left")
+    return named.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+
+
 def join_ngrams(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. docs must be readable again (a table), since sets are not stored."""
     spark = docs.sparkSession
