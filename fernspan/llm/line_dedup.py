@@ -14,8 +14,10 @@ hash, since carrying their text made the shuffles three times as large.)
 
 Scale: neighbours of a line are looked at in rows of their own, beside each other, so that no text is gone through twice a pass.
 The first shuffle carries 8-byte chunk keys with map-side counts, the second the text of repeated chunks only, with
-map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Repeated keys and removal lists
-are broadcast only while the hash tables of their counted rows fit ``MOST_BYTES``, else they are shuffle joins (skew split by AQE).
+map-side grouping, so a chunk that a third of all documents share arrives as one row a task.  Which chunks may repeat is told by a
+bitmap of ``BITS`` bits (8 MB, whatever the input) of the repeated keys; a chunk that shares its bit with one is found to be alone
+when chunks are grouped, so results are exact at any size.  Removal lists are broadcast only while the hash table of their
+counted rows fits ``MOST_BYTES``, else they are a shuffle join (skew split by AQE).
 
 Defined results: null texts stay null and empty texts empty; rows with a null doc_id pass unchanged; rows that agree in
 doc_id and text are one document (both rows get the same result); very long texts are read whole, one row at a time; other
@@ -24,6 +26,8 @@ columns pass through, whatever their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,8 @@ LONG_CUT = r"(?<=[aeiou] )(?=[a-m])"
 
 #: The same cuts told by what lies between them, so that runs without a mark are gone through without looking back at every character.
 _WIDE = "。！？，、；："
-_CLAUSE = rf"(?s)(?=.)(?:[^\n.!?,;:、-；]++|[.!?,;:](?! (?![ \t\n]))|[{_WIDE}](?=[ \t\n])|[、-；&&[^{_WIDE}]])*+(?:[.!?,;:] |.)?"
-_PIECE = r"(?s)(?=.)(?:[^ ]++| (?<![aeiou] )| (?![a-m]))*+ ?"
+_CLAUSE = rf"(?s)(?=.)(?:[^\n.!?,;:、-；]+|[.!?,;:](?! (?![ \t\n]))|[{_WIDE}](?=[ \t\n])|[、-；&&[^{_WIDE}]])*+(?:[.!?,;:] |.)?"
+_PIECE = r"(?s)(?=.)(?:[^ ]+| (?<![aeiou] )| (?![a-m]))*+ ?"
 #: Ends of texts after which an empty line follows.
 _OPEN_END = rf"(?s)(?:\n|[.!?,;:] |[{_WIDE}])\z"
 
@@ -57,8 +61,10 @@ MIN_LINES = 2
 SPAN = 4
 #: Lines beside a repeated chunk, on either side, that go with it if they are those beside its first occurrence.
 EDGE = SPAN - 1
-#: Bytes that a row of one number, and of a few, takes in the hash table of a broadcast join, about, and the most that one takes.
-KEY_BYTES, ROW_BYTES, MOST_BYTES = 48, 112, 64 << 20
+#: Bits of the bitmap of repeated keys.
+BITS = 1 << 26
+#: Bytes that a row of a few numbers takes in the hash table of a broadcast join, about, and the most that one takes.
+ROW_BYTES, MOST_BYTES = 112, 32 << 20
 _NEAR = range(1 - SPAN, SPAN + MIN_LINES - 1)
 #: Columns with the hashes of the lines beside a chunk, by their distance from its first line.
 _SIDES = {-k: f"before{k}" for k in range(1, EDGE + 1)} | {MIN_LINES - 1 + k: f"after{k}" for k in range(1, EDGE + 1)}
@@ -98,9 +104,21 @@ def _chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
     return d.select("doc_id", "tid", "start", key, F.concat("l0", "l1").alias("bytes"), *sides)
 
 
-def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast hint where the counted rows allow it; the plain frame (a shuffle join) beyond."""
-    return F.broadcast(df) if df.count() * row_bytes <= MOST_BYTES else df
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """One row, bits: an array of BITS / 64 numbers with a bit set for every key. keys: key."""
+    words = keys.groupBy(_word("key").alias("word")).agg(F.bit_or(_bit("key")).alias("bits")).toArrow()  # BITS / 64 rows at most
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    one = pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})
+    return keys.sparkSession.createDataFrame(one)
+
+
+def _word(key: str) -> Column:
+    return F.pmod(F.shiftright(key, 6), F.lit(BITS // 64)).cast("int")
+
+
+def _bit(key: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
 
 
 def _common(side: str) -> Column:
@@ -114,8 +132,9 @@ def _common(side: str) -> Column:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, gone): for each document that loses lines, their ranges (first << 32 | last). docs: doc_id, text."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    keys = Kept(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"), "line_keys")
-    chunks = Kept(_chunks(base, texts=True).join(_sized(keys.df, KEY_BYTES), "key", "left_semi"), "line_chunks")
+    bitmap = _bitmap(_chunks(base).groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1").select("key"))
+    may_repeat = F.get("bits", _word("key")).bitwiseAND(_bit("key")) != 0
+    chunks = Kept(_chunks(base, texts=True).join(F.broadcast(bitmap), may_repeat).drop("bits"), "line_chunks")
     occurrences = chunks.df
     # chunks of blank lines are no content
     # the first occurrence brings the hashes of the lines beside it, so that no second pass looks for them
@@ -131,7 +150,7 @@ def removals(docs: DataFrame) -> DataFrame:
     # a range of lines in one number, so that what documents lose stays small
     ranges = F.collect_set(F.shiftleft(from_.cast("long"), 32) + to.cast("long"))
     out = keep(victims.groupBy("doc_id", "tid").agg(ranges.alias("gone")), "line_removals")
-    tidy(docs.sparkSession, keys, chunks, firsts)
+    tidy(docs.sparkSession, chunks, firsts)
     return out
 
 

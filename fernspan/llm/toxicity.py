@@ -260,6 +260,7 @@ class Scorer:
 
             got = sample.select("text", "toxic").mapInArrow(lean(feats), ", ".join(f"{c} double" for c in "abcdey")).toPandas().to_numpy()
             self.curve = logistic(got[:, :5], got[:, 5])
+            release()  # the model has been sent, and the driver needs it no more
 
     def apply(self, docs: DataFrame, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
         """docs (other columns untouched) plus its score (double, 0 to 1) and prediction (int) under these names."""
