@@ -18,7 +18,8 @@ Scale: texts are read once and nothing of the documents is shuffled but matches;
 their counted rows fit ``BROADCAST_BYTES``, and are a shuffle join beyond.
 
 Defined results: null and empty texts contain nothing; items without words match nothing; rows that repeat an item_id are one
-item with several texts, any of which may be found; rows with a null doc_id are never contaminated; rows that share a doc_id are
+item with several texts, any of which may be found; a passage without an item_id is an item of its own, which counts but can't be
+named; rows with a null doc_id are never contaminated; rows that share a doc_id are
 reported each, with what any of them contains; very long texts are read whole, their matches are what one task sorts; other
 columns pass through, whatever their names; empty tables give clean documents.
 """
@@ -86,26 +87,30 @@ def alike(ws: Column, item_ws: Column) -> Column:
 
 
 def prepared_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, tid, sh, fp, key, k, weight, total, rare, reach (how far beyond its first shingle an item-sized window may hold another)."""
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", words_hashed(F.col("text")).alias("H"))
-    items = items.withColumn("n", F.size("H")).filter("n > 0").withColumn("tid", F.xxhash64("H")).dropDuplicates(["item_id", "tid"])
+    """item, item_id, tid, sh, fp, key, k, weight, total, rare, reach (how far beyond its first shingle an item-sized window may hold another).
+
+    item is the id as a string, or tells a text without one by its words.
+    """
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", words_hashed(F.col("text")).alias("H"))
+    items = items.withColumn("n", F.size("H")).filter("n > 0").withColumn("tid", F.xxhash64("H"))
+    items = items.withColumn("item", F.coalesce(F.col("item_id").cast("string"), F.concat(F.lit("text "), F.hex("tid")))).dropDuplicates(["item", "tid"])
     items = keep(items.withColumn("k", F.least(F.col("n"), F.lit(SHINGLE))), "bench_items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # SHINGLE rows at most
     if not sizes:
-        return items.select("item_id", "k").limit(0)
-    ids = ["item_id", "tid", "n", "k"]
+        return items.select("item", "k").limit(0)
+    ids = ["item", "item_id", "tid", "n", "k"]
     long = reduce(DataFrame.unionAll, (windows(items.filter(F.col("k") == k), ids, k) for k in sizes))
     long = keep(long.drop("pos").distinct(), "bench_shingles")
-    count = float(items.select("item_id").distinct().count())
-    df = long.groupBy("k", "sh").agg(F.count_distinct("item_id").alias("df"))
+    count = float(items.select("item").distinct().count())
+    df = long.groupBy("k", "sh").agg(F.count_distinct("item").alias("df"))
     once = long.select(*ids, "sh").distinct().join(df, ["k", "sh"]).withColumn("weight", F.log(1 + F.lit(count) / F.col("df")))
-    one = Window.partitionBy("item_id", "tid")
+    one = Window.partitionBy("item", "tid")
     before = F.coalesce(F.sum("weight").over(one.orderBy(F.col("weight").desc(), "sh").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     once = once.withColumn("total", F.sum("weight").over(one)).withColumn("before", before)
     rare = F.col("before") <= (1 - THRESHOLD) * F.col("total") + EPSILON
     slack = F.floor(F.col("n") / 5) + 1
-    once = once.select("item_id", "tid", "sh", "weight", "total", rare.alias("rare"), (F.col("n") + 2 * slack - F.col("k")).cast("long").alias("reach"))
-    return keep(long.select("item_id", "tid", "k", "sh", "ws", "fp", "key").join(once, ["item_id", "tid", "sh"]), "bench_weighed")
+    once = once.select("item", "tid", "sh", "weight", "total", rare.alias("rare"), (F.col("n") + 2 * slack - F.col("k")).cast("long").alias("reach"))
+    return keep(long.select("item", "item_id", "tid", "k", "sh", "ws", "fp", "key").join(once, ["item", "tid", "sh"]), "bench_weighed")
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -113,7 +118,7 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity) of every item found, of the most similar window of each pair."""
+    """(doc_id, item_id, similarity) of every item found, of the most similar window of each pair; item_id is null for passages without one."""
     items = prepared_items(benchmark)
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
     if not sizes:
@@ -125,33 +130,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).filter((F.col("sh") == F.col("item_sh")) | alike(F.col("ws"), F.col("item_ws")))
     # the blocks of one window may all agree; a match goes by the item's shingle
     hits = keep(near.select("doc_id", "row", "pos", F.col("item_sh").alias("sh")).distinct(), "bench_hits")
-    own = keep(items.select("item_id", "tid", "sh", "weight", "total", "rare", "reach").distinct(), "bench_own")
-    few = own.filter("rare").select("sh", "item_id", "tid")
-    pairs = keep(hits.select("doc_id", "row", "sh").distinct().join(_sized(few, 96), "sh").select("doc_id", "row", "item_id", "tid").distinct(), "bench_pairs")
-    found = hits.join(_sized(own.drop("rare"), 128), "sh").join(_sized(pairs, 96), ["doc_id", "row", "item_id", "tid"], "left_semi")
+    own = keep(items.select("item", "item_id", "tid", "sh", "weight", "total", "rare", "reach").distinct(), "bench_own")
+    few = own.filter("rare").select("sh", "item", "tid")
+    pairs = keep(hits.select("doc_id", "row", "sh").distinct().join(_sized(few, 96), "sh").select("doc_id", "row", "item", "tid").distinct(), "bench_pairs")
+    found = hits.join(_sized(own.drop("rare"), 128), "sh").join(_sized(pairs, 96), ["doc_id", "row", "item", "tid"], "left_semi")
     # places in units of an item's reach, so that one frame fits all items; the next place beyond it lies 1 / reach further
     widest = own.agg(F.max("reach")).first()[0] or 1
     found = found.withColumn("at", F.col("pos") / F.greatest("reach", F.lit(1)))
-    frame = f"(PARTITION BY doc_id, row, item_id, tid ORDER BY at RANGE BETWEEN CURRENT ROW AND {1 + 0.5 / max(widest, 1):.15f}D FOLLOWING)"
-    found = found.select("doc_id", "item_id", "total", F.expr(f"collect_set(struct(sh, weight)) OVER {frame}").alias("held"))
+    frame = f"(PARTITION BY doc_id, row, item, tid ORDER BY at RANGE BETWEEN CURRENT ROW AND {1 + 0.5 / max(widest, 1):.15f}D FOLLOWING)"
+    found = found.select("doc_id", "item", "item_id", "total", F.expr(f"collect_set(struct(sh, weight)) OVER {frame}").alias("held"))
     held = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    scored = found.select("doc_id", "item_id", (held / F.col("total")).alias("similarity")).filter(F.col("similarity") >= THRESHOLD - EPSILON)
-    return keep(scored.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity")), "bench_found")
+    scored = found.select("doc_id", "item", "item_id", (held / F.col("total")).alias("similarity")).filter(F.col("similarity") >= THRESHOLD - EPSILON)
+    return keep(scored.groupBy("doc_id", "item", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity")).drop("item"), "bench_found")
 
 
 def _by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(found_id, item_ids, max_similarity) of the documents that contain something."""
+    """(found_id, n_found, item_ids, max_similarity) of the documents that contain something."""
     found = contaminated(docs, benchmark)
-    by_doc = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
+    by_doc = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.count("*").alias("n_found"), F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
     return F.broadcast(by_doc) if fits_broadcast(found.count(), 64) else by_doc
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, contaminated, n_items, item_ids, max_similarity (null if clean)."""
+    """Per document: doc_id, contaminated, n_items, item_ids (of those that have one), max_similarity (null if clean)."""
     d = docs.select("doc_id")
     d = d.join(_by_document(docs, benchmark), F.col("doc_id") == F.col("found_id"), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return d.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "max_similarity")
+    return d.select("doc_id", F.col("found_id").isNotNull().alias("contaminated"), F.coalesce("n_found", F.lit(0)).cast("long").alias("n_items"), ids.alias("item_ids"), "max_similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
